@@ -1,0 +1,61 @@
+"""DuckDB SQL for each registered query (same names as ``queries.QUERIES``)."""
+
+from __future__ import annotations
+
+from meterline.plans.oracle import AS_OF, model_label_sql, with_base
+
+
+def _local(ts: str, tz: str) -> str:
+    return ts if tz == "UTC" else f"timezone('{tz}', timezone('UTC', {ts}))"
+
+
+def _period_sql(key_expr: str, key: str, where: str = "", total_tokens: str = "parts",
+                having: str = "", total: bool = False) -> str:
+    label = model_label_sql("model")
+    tot = ("input_tokens + output_tokens + cache_create_tokens + cache_read_tokens"
+           if total_tokens == "parts" else "stored_total")
+    models = (f"COALESCE(string_agg(DISTINCT CASE WHEN model IS NOT NULL AND model <> '' "
+              f"AND model <> '<synthetic>' THEN {label} END, ';' ORDER BY CASE WHEN model IS NOT NULL "
+              f"AND model <> '' AND model <> '<synthetic>' THEN {label} END), '')")
+    measures = f"""
+      count(DISTINCT CASE WHEN session_id <> '' THEN session_id END) AS sessions,
+      {{models}} AS models,
+      COALESCE(sum(input_tokens), 0) AS input_tokens,
+      COALESCE(sum(output_tokens), 0) AS output_tokens,
+      COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
+      COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens,
+      COALESCE(sum(total_tokens), 0) AS stored_total,
+      sum(api_cost) AS api_cost, sum(cache_create_cost) AS cache_create_cost,
+      sum(cache_read_cost) AS cache_read_cost, sum(cost) AS cost"""
+    src = f"(SELECT *, {key_expr} AS {key} FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020) x"
+    w = f"WHERE {where}" if where else ""
+    groups = f"SELECT {key}, {measures.format(models=models)} FROM {src} {w} GROUP BY {key}"
+    if total:
+        groups = (f"SELECT {key}, false AS is_total, * EXCLUDE ({key}) FROM ({groups}) "
+                  f"UNION ALL SELECT NULL AS {key}, true AS is_total, {measures.format(models=repr(''))} "
+                  f"FROM {src} {w}")
+    cols = (f"{key}, " + ("is_total, " if total else "") +
+            f"sessions, models, input_tokens, output_tokens, cache_create_tokens, cache_read_tokens, "
+            f"CAST({tot} AS BIGINT) AS total_tokens, "
+            f"CAST(round(COALESCE(api_cost, 0), 6) AS DOUBLE) AS api_cost, "
+            f"CAST(round(COALESCE(cache_create_cost, 0), 6) AS DOUBLE) AS cache_create_cost, "
+            f"CAST(round(COALESCE(cache_read_cost, 0), 6) AS DOUBLE) AS cache_read_cost, "
+            f"CAST(round(COALESCE(cost, 0), 6) AS DOUBLE) AS cost")
+    return with_base(f"SELECT {cols} FROM ({groups}) g")
+
+
+def _day(tz: str = "UTC") -> str:
+    return f"strftime({_local('ts', tz)}, '%Y-%m-%d')"
+
+
+ORACLE = {
+    "daily_report": _period_sql(_day(), "date_key"),
+    "daily_report_tz": _period_sql(_day("America/New_York"), "date_key"),
+    "daily_report_total": _period_sql(_day(), "date_key", total=True),
+    "daily_filtered": _period_sql(_day(), "date_key", where="date_key BETWEEN '2024-01-05' AND '2024-01-20'"),
+    "monthly_report": _period_sql(f"substr({_day()}, 1, 7)", "month_key", total_tokens="stored"),
+    "monthly_report_total": _period_sql(f"substr({_day('Asia/Tokyo')}, 1, 7)", "month_key",
+                                        total_tokens="stored", total=True),
+    "monthly_filtered": _period_sql(f"substr({_day('Asia/Tokyo')}, 1, 7)", "month_key",
+                                    total_tokens="stored", where="month_key BETWEEN '2023-12' AND '2024-01'"),
+}

@@ -1,0 +1,67 @@
+"""Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
+
+Every query reads the driver tables (whole tables, no sampling) and runs the
+library operators on the usage facts derived from them.  Arrays and maps are
+shown joined into strings, the form the CSV export uses, so that the result
+compares value by value with the DuckDB oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterline.operators import reports as R
+from meterline.plans.usage import joined, map_joined, priced_usage
+
+AS_OF = "2024-01-31 00:00:00"
+REPORT_COLS = ["sessions", "models", "input_tokens", "output_tokens", "cache_create_tokens",
+               "cache_read_tokens", "total_tokens", "api_cost", "cache_create_cost",
+               "cache_read_cost", "cost"]
+
+
+def _period(df: DataFrame, key: str, total: bool = False) -> DataFrame:
+    cols = [key] + (["is_total"] if total else []) + REPORT_COLS
+    return df.withColumn("models", joined("models")).select(*cols)
+
+
+def q_daily_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.daily_report(priced_usage(spark, sf, names=False)), "date_key")
+
+
+def q_daily_report_tz(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.daily_report(priced_usage(spark, sf, names=False), tz="America/New_York"), "date_key")
+
+
+def q_daily_report_total(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.daily_report(priced_usage(spark, sf, names=False), with_total=True), "date_key", True)
+
+
+def q_daily_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.daily_report(priced_usage(spark, sf, names=False), since="20240105",
+                                  until="2024-01-20"), "date_key")
+
+
+def q_monthly_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.monthly_report(priced_usage(spark, sf, names=False)), "month_key")
+
+
+def q_monthly_report_total(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.monthly_report(priced_usage(spark, sf, names=False), tz="Asia/Tokyo", with_total=True),
+                   "month_key", True)
+
+
+def q_monthly_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _period(R.monthly_report(priced_usage(spark, sf, names=False), tz="Asia/Tokyo",
+                                    since="2023-12", until="202401"), "month_key")
+
+
+QUERIES = {
+    "daily_report": q_daily_report,
+    "daily_report_tz": q_daily_report_tz,
+    "daily_report_total": q_daily_report_total,
+    "daily_filtered": q_daily_filtered,
+    "monthly_report": q_monthly_report,
+    "monthly_report_total": q_monthly_report_total,
+    "monthly_filtered": q_monthly_filtered,
+}
