@@ -87,7 +87,7 @@ def usage_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFra
     x = df.withColumns({"_model": F.coalesce("model", F.lit("")),
                         "_project": F.coalesce("project_path", F.lit("")),
                         "_synthetic": F.col("model") == "<synthetic>"})
-    sets = x.groupingSets([g, g + ["_model"], g + ["_project"]], *g).agg(
+    sets = x.groupingSets([g, g + ["_model"], g + ["_project"]], *g, "_model", "_project").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(~F.coalesce("_synthetic", F.lit(False)), F.lit(1))).alias("n_model"),
         F.sum("cost").alias("cost"), sum0("total_tokens").alias("tokens"),

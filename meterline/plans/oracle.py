@@ -154,5 +154,5 @@ def model_label_sql(m: str) -> str:
       ELSE substr({m}, 1, 12) END)"""
 
 
-def with_base(body: str) -> str:
-    return f"WITH {BASE}\n{body}"
+def with_base(body: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{BASE}\n{body}"

@@ -59,3 +59,123 @@ ORACLE = {
     "monthly_filtered": _period_sql(f"substr({_day('Asia/Tokyo')}, 1, 7)", "month_key",
                                     total_tokens="stored", where="month_key BETWEEN '2023-12' AND '2024-01'"),
 }
+
+
+def _money(c: str) -> str:
+    return f"CAST(round(COALESCE({c}, 0), 6) AS DOUBLE)"
+
+
+def _summary(where: str, extra_cols: str = "", group: str = "") -> str:
+    g_sel = f"{group}, " if group else ""
+    g_by = f"GROUP BY {group}" if group else ""
+    join_on = " AND ".join(f"t.{c} IS NOT DISTINCT FROM m.{c}" for c in group.split(", ")) if group else "true"
+    return f"""
+    , f AS (SELECT *{extra_cols} FROM priced WHERE {where}),
+    tot AS (SELECT {g_sel} count(*) AS total_requests, sum(cost) AS c, COALESCE(sum(total_tokens), 0) AS total_tokens,
+                   COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens
+            FROM f {g_by}),
+    bym AS (SELECT {g_sel} COALESCE(model, '') AS k, count(*) AS n FROM f WHERE model IS DISTINCT FROM '<synthetic>'
+            GROUP BY {g_sel} COALESCE(model, '')),
+    byp AS (SELECT {g_sel} COALESCE(project_path, '') AS k, count(*) AS n FROM f
+            GROUP BY {g_sel} COALESCE(project_path, '')),
+    m AS (SELECT {g_sel} string_agg(k || '=' || CAST(n AS VARCHAR), ';' ORDER BY k) AS models FROM bym {g_by}),
+    p AS (SELECT {g_sel} string_agg(k || '=' || CAST(n AS VARCHAR), ';' ORDER BY k) AS projects FROM byp {g_by})
+    """
+
+
+def _summary_select(period: str, start: str, end: str) -> str:
+    return f"""SELECT '{period}' AS period, {start} AS start_time, {end} AS end_time,
+       tot.total_requests, {_money('tot.c')} AS total_cost, tot.total_tokens, tot.input_tokens, tot.output_tokens,
+       CASE WHEN tot.total_requests > 0 THEN {_money('tot.c')} / tot.total_requests ELSE 0.0 END AS average_cost,
+       COALESCE(m.models, '') AS models, COALESCE(p.projects, '') AS projects
+    FROM tot, m, p"""
+
+
+def _range_summary(period: str, start: str, end: str) -> str:
+    return with_base(_summary(f"ts >= {start} AND ts < {end}") + _summary_select(period, start, end))
+
+
+_SESSION = f"""
+    SELECT COALESCE(NULLIF(project_path, ''), 'unknown') AS project_path,
+      COALESCE(arg_min(session_name, (ts, line_seq)) FILTER (WHERE session_name <> ''), '') AS session_name,
+      min(ts) AS start_time, max(ts) AS end_time,
+      (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds,
+      max(ts) AS last_activity, count(*) AS request_count,
+      COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens,
+      COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
+      COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens,
+      COALESCE(sum(total_tokens), 0) AS total_tokens,
+      {_money('sum(cost)')} AS total_cost, {_money('sum(api_cost)')} AS total_api_cost,
+      {_money('sum(cache_create_cost)')} AS cache_create_cost, {_money('sum(cache_read_cost)')} AS cache_read_cost,
+      COALESCE(string_agg(DISTINCT CASE WHEN model <> '' AND model <> '<synthetic>' THEN model END, ';'
+               ORDER BY CASE WHEN model <> '' AND model <> '<synthetic>' THEN model END), '') AS models_used,
+      count(DISTINCT NULLIF(session_id, '')) AS n_session_ids,
+      count(DISTINCT NULLIF(source_file, '')) AS n_source_files
+    FROM priced {{where}} GROUP BY 1"""
+
+_FILE_LABEL = ("CASE WHEN list_position(string_split(source_file, '/'), 'subagents') > 0 AND "
+               "list_position(string_split(source_file, '/'), 'subagents') < len(string_split(source_file, '/')) "
+               "THEN 'subagents/' || string_split(source_file, '/')[list_position(string_split(source_file, '/'), "
+               "'subagents') + 1] ELSE string_split(source_file, '/')[-1] END")
+
+ORACLE.update({
+    "dedup_usage": with_base("SELECT entry_id, message_id, request_id, ts, session_id, model, input_tokens, "
+                             "output_tokens FROM usage"),
+    "price_resolution": with_base(
+        "SELECT model, CAST(p_in AS DOUBLE) AS input_cost_per_token, CAST(p_out AS DOUBLE) AS output_cost_per_token, "
+        "CAST(p_cc AS DOUBLE) AS cache_creation_input_token_cost, "
+        "CAST(p_cr AS DOUBLE) AS cache_read_input_token_cost, price_source FROM prices"),
+    "usage_costs": with_base(
+        f"SELECT entry_id, model, session_name, {_money('api_cost')} AS api_cost, "
+        f"{_money('cache_create_cost')} AS cache_create_cost, {_money('cache_read_cost')} AS cache_read_cost, "
+        f"{_money('cost')} AS cost FROM priced"),
+    "session_names": with_base("SELECT session_id, session_name FROM session_names"),
+    "period_summary": _range_summary("daily", "TIMESTAMP '2024-01-15 00:00:00'", "TIMESTAMP '2024-01-16 00:00:00'"),
+    "monthly_summary": _range_summary("monthly", "TIMESTAMP '2024-01-01 00:00:00'",
+                                      "TIMESTAMP '2024-02-01 00:00:00'"),
+    "weekly_report": _range_summary("weekly", "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-15 00:00:00'"),
+    "weekly_report_all": with_base(
+        _summary("ts IS NOT NULL AND year(ts) >= 2020",
+                 ", year(date_trunc('week', ts)) AS week_year, "
+                 "CAST(floor((dayofyear(date_trunc('week', ts)) - 1) / 7) + 1 AS INTEGER) AS week, "
+                 "CAST(date_trunc('week', ts) AS TIMESTAMP) AS start_time", "week_year, week, start_time")
+        + f"""SELECT t.week_year, t.week, t.start_time, t.start_time + INTERVAL 7 DAY AS end_time,
+       t.total_requests, {_money('t.c')} AS total_cost, t.total_tokens, t.input_tokens, t.output_tokens,
+       CASE WHEN t.total_requests > 0 THEN {_money('t.c')} / t.total_requests ELSE 0.0 END AS average_cost,
+       COALESCE(m.models, '') AS models, COALESCE(p.projects, '') AS projects
+    FROM tot t JOIN m USING (week_year, week, start_time) JOIN p USING (week_year, week, start_time)"""),
+    "session_report": with_base(_SESSION.format(where="")),
+    "session_members": with_base(
+        "SELECT DISTINCT COALESCE(NULLIF(project_path, ''), 'unknown') AS project_path, 'session_id' AS kind, "
+        "session_id AS member FROM priced WHERE session_id <> '' UNION "
+        "SELECT DISTINCT COALESCE(NULLIF(project_path, ''), 'unknown'), 'source_file', source_file FROM priced "
+        "WHERE source_file <> ''"),
+    "session_by_id": with_base(_SESSION.format(where="WHERE session_id = 's7'")),
+    "session_by_name": with_base(_SESSION.format(
+        where="WHERE session_name = (SELECT session_name FROM session_names WHERE session_id = 's3')")),
+    "source_file_report": with_base(f"""
+    SELECT source_file AS file_path, COALESCE(sum(input_tokens), 0) AS input_tokens,
+      COALESCE(sum(output_tokens), 0) AS output_tokens,
+      COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
+      COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens,
+      CAST(COALESCE(sum(input_tokens), 0) + COALESCE(sum(output_tokens), 0) + COALESCE(sum(cache_create_tokens), 0)
+           + COALESCE(sum(cache_read_tokens), 0) AS BIGINT) AS total_tokens,
+      {_money('sum(api_cost)')} AS api_cost, {_money('sum(cache_create_cost)')} AS cache_create_cost,
+      {_money('sum(cache_read_cost)')} AS cache_read_cost, {_money('sum(cost)')} AS cost,
+      COALESCE(string_agg(DISTINCT CASE WHEN model <> '' AND model <> '<synthetic>' THEN model END, ';'
+               ORDER BY CASE WHEN model <> '' AND model <> '<synthetic>' THEN model END), '') AS models_used,
+      max(ts) AS last_activity, count(*) AS entry_count
+    FROM priced WHERE source_file <> '' GROUP BY source_file"""),
+    "block_type_report": with_base(f"""
+    SELECT block_type, count(*) AS count, COALESCE(sum(total_tokens), 0) AS total_tokens,
+      min(ts) AS first_seen, max(ts) AS last_seen, {_money('sum(cost)')} AS total_cost
+    FROM priced WHERE block_type <> '' GROUP BY block_type"""),
+    "usage_totals": with_base(f"SELECT count(*) AS total_requests, {_money('sum(cost)')} AS total_cost, "
+                              "COALESCE(sum(total_tokens), 0) AS total_tokens FROM priced"),
+    "recent_entries": with_base(f"SELECT entry_id, ts, model, total_tokens, {_money('cost')} AS cost FROM priced "
+                                "ORDER BY ts DESC, source_file DESC, line_seq DESC LIMIT 5"),
+    "model_labels": with_base(f"SELECT model, {model_label_sql('model')} AS label FROM (SELECT DISTINCT model "
+                              "FROM usage_raw)"),
+    "file_labels": with_base(f"SELECT source_file, {_FILE_LABEL} AS label FROM (SELECT DISTINCT source_file "
+                             "FROM usage_raw)"),
+})

@@ -65,3 +65,148 @@ QUERIES = {
     "monthly_report_total": q_monthly_report_total,
     "monthly_filtered": q_monthly_filtered,
 }
+
+
+# ---- facts: dedup, prices, costs, names -------------------------------------
+
+from meterline.operators.dedup import dedup_usage as _dedup  # noqa: E402
+from meterline.operators.pricing import resolve_prices as _resolve  # noqa: E402
+from meterline.plans.usage import view_names  # noqa: E402
+from meterline.sources.events_view import VIEW_ORDER, usage_view  # noqa: E402
+from meterline.operators.common import money_out  # noqa: E402
+
+
+def q_dedup_usage(spark, sf):
+    return _dedup(usage_view(spark, sf), order=VIEW_ORDER).select(
+        "entry_id", "message_id", "request_id", "ts", "session_id", "model", "input_tokens", "output_tokens")
+
+
+def q_price_resolution(spark, sf):
+    return _resolve(_dedup(usage_view(spark, sf), order=VIEW_ORDER)).select(
+        "model", *[F.col(c).cast("double").alias(c) for c in
+                   ["input_cost_per_token", "output_cost_per_token", "cache_creation_input_token_cost",
+                    "cache_read_input_token_cost"]], "price_source")
+
+
+def q_usage_costs(spark, sf):
+    return priced_usage(spark, sf).select(
+        "entry_id", "model", "session_name",
+        *[money_out(c).alias(c) for c in ["api_cost", "cache_create_cost", "cache_read_cost", "cost"]])
+
+
+def q_session_names(spark, sf):
+    return view_names(spark, sf)
+
+
+# ---- reports ---------------------------------------------------------------------
+
+def q_period_summary(spark, sf):
+    s = R.period_report(priced_usage(spark, sf, names=False), "daily", "2024-01-15")
+    return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
+
+
+def q_monthly_summary(spark, sf):
+    s = R.period_report(priced_usage(spark, sf, names=False), "monthly", "2024-01")
+    return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
+
+
+def q_weekly_report(spark, sf):
+    s = R.weekly_report(priced_usage(spark, sf, names=False), 2024, 2)
+    return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
+
+
+def q_weekly_report_all(spark, sf):
+    s = R.weekly_report_all(priced_usage(spark, sf, names=False))
+    return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
+
+
+SESSION_COLS = ["project_path", "session_name", "start_time", "end_time", "duration_seconds", "last_activity",
+                "request_count", "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens",
+                "total_tokens", "total_cost", "total_api_cost", "cache_create_cost", "cache_read_cost",
+                "models_used", "n_session_ids", "n_source_files"]
+
+
+def _sessions(df):
+    return df.withColumn("models_used", joined("models_used")).select(*SESSION_COLS)
+
+
+def q_session_report(spark, sf):
+    return _sessions(R.session_report(priced_usage(spark, sf), order=VIEW_ORDER))
+
+
+def q_session_members(spark, sf):
+    return R.session_members(priced_usage(spark, sf, names=False))
+
+
+def q_session_by_id(spark, sf):
+    from meterline.operators.filters import filter_session_id
+    return _sessions(R.session_report(filter_session_id(priced_usage(spark, sf), "s7"), order=VIEW_ORDER))
+
+
+def q_session_by_name(spark, sf):
+    from meterline.operators.filters import filter_session_name
+    df = priced_usage(spark, sf)
+    # the name of the session of user 3 (a name of the data, not a literal)
+    name = view_names(spark, sf).where(F.col("session_id") == "s3").select("session_name")
+    return _sessions(R.session_report(df.join(name, "session_name", "left_semi"), order=VIEW_ORDER))
+
+
+def q_source_file_report(spark, sf):
+    return R.source_file_report(priced_usage(spark, sf, names=False)).withColumn(
+        "models_used", joined("models_used"))
+
+
+def q_block_type_report(spark, sf):
+    return R.block_type_report(priced_usage(spark, sf, names=False))
+
+
+def q_usage_totals(spark, sf):
+    return R.usage_totals(priced_usage(spark, sf, names=False))
+
+
+def q_recent_entries(spark, sf):
+    return R.recent_entries(priced_usage(spark, sf, names=False), 5).select(
+        "entry_id", "ts", "model", "total_tokens", money_out("cost").alias("cost"))
+
+
+# ---- labels ------------------------------------------------------------------------
+
+def q_model_labels(spark, sf):
+    from meterline.functions.labels import model_label
+    return usage_view(spark, sf).select("model").distinct().select("model", model_label("model").alias("label"))
+
+
+def q_file_labels(spark, sf):
+    from meterline.functions.labels import short_file_label
+    return usage_view(spark, sf).select("source_file").distinct().select(
+        "source_file", short_file_label("source_file").alias("label"))
+
+
+def q_project_labels(spark, sf):
+    from meterline.functions.labels import project_label, project_short_name
+    return usage_view(spark, sf).select("project_path").distinct().select(
+        "project_path", project_label("project_path").alias("label"),
+        project_short_name("project_path").alias("short_name"))
+
+
+QUERIES.update({
+    "dedup_usage": q_dedup_usage,
+    "price_resolution": q_price_resolution,
+    "usage_costs": q_usage_costs,
+    "session_names": q_session_names,
+    "period_summary": q_period_summary,
+    "monthly_summary": q_monthly_summary,
+    "weekly_report": q_weekly_report,
+    "weekly_report_all": q_weekly_report_all,
+    "session_report": q_session_report,
+    "session_members": q_session_members,
+    "session_by_id": q_session_by_id,
+    "session_by_name": q_session_by_name,
+    "source_file_report": q_source_file_report,
+    "block_type_report": q_block_type_report,
+    "usage_totals": q_usage_totals,
+    "recent_entries": q_recent_entries,
+    "model_labels": q_model_labels,
+    "file_labels": q_file_labels,
+    "project_labels": q_project_labels,
+})
