@@ -280,19 +280,19 @@ def with_live_status(blocks: DataFrame, token_limit: int) -> DataFrame:
     })
 
 
-def current_block(blocks: DataFrame) -> DataFrame:
-    """The first active block (O6.4)."""
-    return blocks.where(F.col("is_active")).orderBy("start_time").limit(1)
+def current_block(blocks: DataFrame, key=None) -> DataFrame:
+    """The first active block (O6.4); ties on the start broken by the key."""
+    return blocks.where(F.col("is_active")).orderBy("start_time", *key_list(key)).limit(1)
 
 
-def active_block_detail(blocks: DataFrame, as_of, limit=None) -> DataFrame:
+def active_block_detail(blocks: DataFrame, as_of, limit=None, key=None) -> DataFrame:
     """One row for the first active block: timing, usage, burn rate,
     projection and limit status (O5.13)."""
-    cur = current_block(blocks)
+    cur = current_block(blocks, key)
     b = with_projection(with_burn_rate(cur), as_of)
     b = with_limit_status(b, limit, all_blocks=blocks)
     return b.select(
-        "block_id", "start_time", "end_time", "elapsed_minutes",
+        *key_list(key), "block_id", "start_time", "end_time", "elapsed_minutes",
         minutes_between("end_time", F.lit(as_of).cast("timestamp")).alias("time_remaining_minutes"),
         "input_tokens", "output_tokens", "total_tokens", money_out("cost_usd").alias("cost_usd"),
         "tokens_per_minute", "cost_per_hour", "projected_total_tokens", "projected_total_cost",

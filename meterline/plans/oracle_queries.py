@@ -179,3 +179,125 @@ ORACLE.update({
     "file_labels": with_base(f"SELECT source_file, {_FILE_LABEL} AS label FROM (SELECT DISTINCT source_file "
                              "FROM usage_raw)"),
 })
+
+
+# ---- billing blocks: recursive CTE + range attach -------------------------------
+
+def _blocks_ctes(key: str) -> str:
+    return f"""
+, e AS (SELECT {key} AS k, * FROM priced WHERE ts IS NOT NULL),
+b(k, st) AS (
+  SELECT k, date_trunc('hour', min(ts)) FROM e GROUP BY k
+  UNION ALL
+  SELECT b.k, date_trunc('hour', min(e.ts)) FROM b JOIN e ON e.k = b.k AND e.ts > b.st + INTERVAL 5 HOUR
+  GROUP BY b.k
+),
+asg AS (
+  SELECT e.entry_id, min(b.st) AS block_start FROM e JOIN b ON b.k = e.k
+    AND e.ts >= b.st AND e.ts <= b.st + INTERVAL 5 HOUR GROUP BY e.entry_id
+),
+ea AS (SELECT e.*, asg.block_start FROM e JOIN asg USING (entry_id)),
+blk AS (
+  SELECT k, block_start AS start_time, block_start + INTERVAL 5 HOUR AS end_time,
+    strftime(block_start, '%Y-%m-%dT%H:%M:%SZ') AS block_id,
+    max(ts) AS actual_end_time, min(ts) AS first_ts, false AS is_gap, count(*) AS entry_count,
+    COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens,
+    COALESCE(sum(cache_create_tokens), 0) AS cache_creation_input_tokens,
+    COALESCE(sum(cache_read_tokens), 0) AS cache_read_input_tokens,
+    COALESCE(sum(input_tokens), 0) + COALESCE(sum(output_tokens), 0) + COALESCE(sum(cache_create_tokens), 0)
+      + COALESCE(sum(cache_read_tokens), 0) AS total_tokens,
+    {_money('sum(cost)')} AS cost_usd,
+    COALESCE(string_agg(DISTINCT NULLIF(model, ''), ';' ORDER BY NULLIF(model, '')), '') AS models,
+    (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) < CAST(18000000000 AS BIGINT)
+      AND TIMESTAMP '{AS_OF}' < block_start + INTERVAL 5 HOUR) AS is_active
+  FROM ea GROUP BY k, block_start
+),
+gaps AS (
+  SELECT k, 'gap-' || strftime(actual_end_time + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS block_id,
+    actual_end_time + INTERVAL 5 HOUR AS start_time, nf AS end_time, CAST(NULL AS TIMESTAMP) AS actual_end_time,
+    false AS is_active, true AS is_gap, 0 AS entry_count, 0 AS input_tokens, 0 AS output_tokens,
+    0 AS cache_creation_input_tokens, 0 AS cache_read_input_tokens, 0 AS total_tokens, 0.0 AS cost_usd,
+    '' AS models
+  FROM (SELECT *, lead(first_ts) OVER (PARTITION BY k ORDER BY start_time) AS nf FROM blk)
+  WHERE epoch_us(nf) - epoch_us(actual_end_time) > CAST(18000000000 AS BIGINT)
+),
+burn AS (
+  SELECT *, (epoch_us(actual_end_time) - epoch_us(first_ts)) / 60000000.0 AS mins FROM blk
+),
+proj AS (
+  SELECT *,
+    CASE WHEN mins > 0 THEN total_tokens / mins END AS tpm,
+    CASE WHEN mins > 0 THEN (input_tokens + output_tokens) / mins END AS tpm_ind,
+    greatest((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0, 0.0) AS rem
+  FROM burn
+),
+projected AS (
+  SELECT *,
+    CASE WHEN is_active AND tpm IS NOT NULL THEN rem END AS remaining_minutes,
+    CASE WHEN is_active THEN (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0 END
+      AS elapsed_minutes,
+    CASE WHEN is_active AND tpm IS NOT NULL THEN total_tokens + CAST(trunc(tpm * rem) AS BIGINT) END
+      AS projected_total_tokens
+  FROM proj
+),
+maxtok AS (SELECT COALESCE(max(CASE WHEN NOT is_active THEN total_tokens END), 0) AS max_tokens FROM blk)
+"""
+
+
+_BLOCK_COLS = ("block_id, start_time, end_time, actual_end_time, is_active, is_gap, entry_count, input_tokens, "
+               "output_tokens, cache_creation_input_tokens, cache_read_input_tokens, total_tokens, cost_usd, models")
+
+ORACLE.update({
+    "block_assignment": with_base(_blocks_ctes("session_id")
+                                  + "SELECT entry_id, k AS session_id, block_start FROM ea", recursive=True),
+    "block_report": with_base(_blocks_ctes("session_id") + f"SELECT k AS session_id, {_BLOCK_COLS} FROM blk",
+                              recursive=True),
+    "block_report_global": with_base(_blocks_ctes("0") + f"SELECT {_BLOCK_COLS} FROM blk UNION ALL "
+                                     f"SELECT {_BLOCK_COLS} FROM gaps", recursive=True),
+    "block_gaps": with_base(_blocks_ctes("session_id")
+                            + "SELECT k AS session_id, block_id, start_time, end_time FROM gaps", recursive=True),
+    "active_blocks": with_base(_blocks_ctes("session_id")
+                               + f"SELECT k AS session_id, {_BLOCK_COLS} FROM blk WHERE is_active", recursive=True),
+    "recent_blocks": with_base(_blocks_ctes("session_id") + f"""
+        SELECT k AS session_id, {_BLOCK_COLS} FROM (SELECT * FROM blk UNION ALL BY NAME SELECT * FROM gaps)
+        WHERE start_time > TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY""", recursive=True),
+    "block_burn_rate": with_base(_blocks_ctes("0") + """
+        SELECT block_id, CASE WHEN mins > 0 THEN total_tokens / mins END AS tokens_per_minute,
+          CASE WHEN mins > 0 THEN (input_tokens + output_tokens) / mins END AS tokens_per_minute_for_indicator,
+          CASE WHEN mins > 0 THEN cost_usd / mins * 60 END AS cost_per_hour FROM burn""", recursive=True),
+    "block_projection": with_base(_blocks_ctes("session_id") + """
+        SELECT k AS session_id, block_id, remaining_minutes, elapsed_minutes, projected_total_tokens
+        FROM projected WHERE is_active""", recursive=True),
+    "block_limit_status": with_base(_blocks_ctes("session_id") + """
+        SELECT k AS session_id, block_id, is_active, max_tokens AS token_limit,
+          CASE WHEN max_tokens > 0 THEN total_tokens / max_tokens * 100 END AS percent_of_limit,
+          CASE WHEN max_tokens > 0 AND is_active THEN greatest(max_tokens - total_tokens, 0) END AS remaining_tokens,
+          CASE WHEN max_tokens > 0 AND projected_total_tokens IS NOT NULL
+               THEN projected_total_tokens / max_tokens * 100 END AS projected_percent,
+          CASE WHEN max_tokens > 0 AND projected_total_tokens IS NOT NULL THEN
+            CASE WHEN projected_total_tokens / max_tokens * 100 > 100 THEN 'exceeds'
+                 WHEN projected_total_tokens / max_tokens * 100 > 80 THEN 'warning' ELSE 'ok' END END AS limit_status
+        FROM projected, maxtok""", recursive=True),
+    "block_live_status": with_base(_blocks_ctes("session_id") + """
+        SELECT k AS session_id, block_id, total_tokens / 50000 * 100 AS usage_percent,
+          CASE WHEN tpm_ind IS NULL THEN NULL WHEN tpm_ind > 1000 THEN 'HIGH' WHEN tpm_ind > 500 THEN 'MODERATE'
+               ELSE 'NORMAL' END AS burn_status,
+          CASE WHEN total_tokens / 50000 * 100 > 95 THEN 'red' WHEN total_tokens / 50000 * 100 > 80 THEN 'yellow'
+               ELSE 'green' END AS usage_level,
+          CASE WHEN projected_total_tokens IS NULL THEN NULL
+               WHEN projected_total_tokens / 50000 * 100 > 100 THEN 'EXCEEDS'
+               WHEN projected_total_tokens / 50000 * 100 > 90 THEN 'APPROACHING' ELSE 'WITHIN' END
+            AS projection_status
+        FROM projected WHERE is_active""", recursive=True),
+    "max_block_tokens": with_base(_blocks_ctes("session_id") + "SELECT max_tokens FROM maxtok", recursive=True),
+    "active_block_detail": with_base(_blocks_ctes("session_id") + f"""
+        SELECT k AS session_id, block_id, start_time, end_time, elapsed_minutes,
+          (epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0 AS time_remaining_minutes,
+          input_tokens, output_tokens, total_tokens, cost_usd, projected_total_tokens,
+          max_tokens AS token_limit,
+          CASE WHEN max_tokens > 0 THEN greatest(max_tokens - total_tokens, 0) END AS remaining_tokens,
+          CASE WHEN max_tokens > 0 AND projected_total_tokens IS NOT NULL THEN
+            CASE WHEN projected_total_tokens / max_tokens * 100 > 100 THEN 'exceeds'
+                 WHEN projected_total_tokens / max_tokens * 100 > 80 THEN 'warning' ELSE 'ok' END END AS limit_status
+        FROM projected, maxtok WHERE is_active ORDER BY start_time, k LIMIT 1""", recursive=True),
+})

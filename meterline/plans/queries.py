@@ -210,3 +210,108 @@ QUERIES.update({
     "file_labels": q_file_labels,
     "project_labels": q_project_labels,
 })
+
+
+# ---- billing blocks ----------------------------------------------------------------
+
+from meterline.operators import blocks as B  # noqa: E402
+
+BLOCK_COLS = ["block_id", "start_time", "end_time", "actual_end_time", "is_active", "is_gap", "entry_count",
+              "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
+              "total_tokens", "cost_usd", "models"]
+
+
+def _block_view(b, key):
+    return b.withColumns({"cost_usd": money_out("cost_usd"), "models": joined("models")}).select(
+        *([key] if key else []), *BLOCK_COLS)
+
+
+def _facts(spark, sf):
+    return priced_usage(spark, sf, names=False)
+
+
+def q_block_assignment(spark, sf):
+    return B.assign_blocks(_facts(spark, sf), 5, "session_id").select("entry_id", "session_id", "block_start")
+
+
+def q_block_report(spark, sf):
+    return _block_view(B.identify_blocks(_facts(spark, sf), 5, "session_id", AS_OF), "session_id")
+
+
+def q_block_report_global(spark, sf):
+    return _block_view(B.session_blocks(_facts(spark, sf), 5, None, AS_OF), None)
+
+
+def q_block_gaps(spark, sf):
+    b = B.identify_blocks(_facts(spark, sf), 5, "session_id", AS_OF)
+    return B.gap_blocks(b, 5, "session_id").select("session_id", "block_id", "start_time", "end_time")
+
+
+def q_active_blocks(spark, sf):
+    from meterline.operators.filters import active_blocks
+    return _block_view(active_blocks(B.identify_blocks(_facts(spark, sf), 5, "session_id", AS_OF)), "session_id")
+
+
+def q_recent_blocks(spark, sf):
+    from meterline.operators.filters import recent_blocks
+    b = B.session_blocks(_facts(spark, sf), 5, "session_id", AS_OF)
+    return _block_view(recent_blocks(b, AS_OF, 3), "session_id")
+
+
+def q_block_burn_rate(spark, sf):
+    b = B.with_burn_rate(B.identify_blocks(_facts(spark, sf), 5, None, AS_OF))
+    return b.select("block_id", "tokens_per_minute", "tokens_per_minute_for_indicator",
+                    (money_out("cost_usd") / B.minutes_between("actual_end_time", "first_ts") * 60)
+                    .alias("cost_per_hour"))
+
+
+def _projected(spark, sf):
+    b = B.identify_blocks(_facts(spark, sf), 5, "session_id", AS_OF)
+    return b, B.with_projection(B.with_burn_rate(b), AS_OF)
+
+
+def q_block_projection(spark, sf):
+    _, p = _projected(spark, sf)
+    return p.where("is_active").select("session_id", "block_id", "remaining_minutes", "elapsed_minutes",
+                                       "projected_total_tokens")
+
+
+def q_block_limit_status(spark, sf):
+    b, p = _projected(spark, sf)
+    s = B.with_limit_status(p, "max", all_blocks=b)
+    return s.select("session_id", "block_id", "is_active", "token_limit", "percent_of_limit", "remaining_tokens",
+                    "projected_percent", "limit_status")
+
+
+def q_block_live_status(spark, sf):
+    _, p = _projected(spark, sf)
+    s = B.with_live_status(p.where("is_active"), 50_000)
+    return s.select("session_id", "block_id", "usage_percent", "burn_status", "usage_level", "projection_status")
+
+
+def q_max_block_tokens(spark, sf):
+    return B.max_block_tokens(B.identify_blocks(_facts(spark, sf), 5, "session_id", AS_OF))
+
+
+def q_active_block_detail(spark, sf):
+    d = B.active_block_detail(B.session_blocks(_facts(spark, sf), 5, "session_id", AS_OF), AS_OF,
+                              key="session_id")
+    return d.select("session_id", "block_id", "start_time", "end_time", "elapsed_minutes", "time_remaining_minutes",
+                    "input_tokens", "output_tokens", "total_tokens", "cost_usd", "projected_total_tokens",
+                    "token_limit", "remaining_tokens", "limit_status")
+
+
+QUERIES.update({
+    "block_assignment": q_block_assignment,
+    "block_report": q_block_report,
+    "block_report_global": q_block_report_global,
+    "block_gaps": q_block_gaps,
+    "active_blocks": q_active_blocks,
+    "recent_blocks": q_recent_blocks,
+    "block_burn_rate": q_block_burn_rate,
+    "block_projection": q_block_projection,
+    "block_limit_status": q_block_limit_status,
+    "block_live_status": q_block_live_status,
+    "max_block_tokens": q_max_block_tokens,
+    "active_block_detail": q_active_block_detail,
+})
