@@ -62,9 +62,11 @@ usage_raw AS (
     event_type
   FROM ev
 ),
+file_first AS (SELECT source_file, min(ts) AS file_first_ts FROM usage_raw GROUP BY source_file),
 usage AS (
-  SELECT * FROM usage_raw WHERE message_id IS NOT NULL AND request_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY message_id, request_id ORDER BY ts, line_seq) = 1
+  SELECT r.* FROM usage_raw r JOIN file_first f USING (source_file)
+  WHERE message_id IS NOT NULL AND request_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY message_id, request_id ORDER BY {{dedup_order}}) = 1
   UNION ALL
   SELECT * FROM usage_raw WHERE message_id IS NULL OR request_id IS NULL
 ),
@@ -112,7 +114,6 @@ name_lines AS (
          CASE WHEN event_type = 'signup' THEN 'title-' ELSE 'agent-' END || CAST(line_seq AS VARCHAR) AS name
   FROM usage_raw WHERE event_type IN ('signup', 'error')
 ),
-file_first AS (SELECT source_file, min(ts) AS file_first_ts FROM usage_raw GROUP BY source_file),
 file_names AS (
   SELECT session_id, source_file,
     COALESCE(arg_max(name, (ts, line_seq)) FILTER (WHERE kind = 'title'),
@@ -154,5 +155,11 @@ def model_label_sql(m: str) -> str:
       ELSE substr({m}, 1, 12) END)"""
 
 
-def with_base(body: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{BASE}\n{body}"
+VIEW_DEDUP_ORDER = "r.ts, r.line_seq"
+# the JSONL logs: files by earliest time, then path, then line (time order)
+LOAD_DEDUP_ORDER = "f.file_first_ts, r.source_file, r.ts, r.line_seq"
+
+
+def with_base(body: str, recursive: bool = False, dedup_order: str = VIEW_DEDUP_ORDER) -> str:
+    base = BASE.replace("{dedup_order}", dedup_order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{base}\n{body}"

@@ -301,3 +301,31 @@ ORACLE.update({
                  WHEN projected_total_tokens / max_tokens * 100 > 80 THEN 'warning' ELSE 'ok' END END AS limit_status
         FROM projected, maxtok WHERE is_active ORDER BY start_time, k LIMIT 1""", recursive=True),
 })
+
+
+# ---- JSONL logs: same facts, load-order dedup ------------------------------------
+
+from meterline.plans.oracle import LOAD_DEDUP_ORDER  # noqa: E402
+
+
+def _load_order(sql_with_base: str) -> str:
+    return sql_with_base.replace("ORDER BY r.ts, r.line_seq) = 1", f"ORDER BY {LOAD_DEDUP_ORDER}) = 1")
+
+
+_REL = "'projects/' || split_part(source_file, '/data/projects/', 2)"
+
+ORACLE.update({
+    "jsonl_ingest": _load_order(ORACLE["daily_report"]),
+    "jsonl_entries": with_base(f"SELECT entry_id, session_name, {_REL} AS source_file, total_tokens, "
+                               f"{_money('cost')} AS cost FROM priced", dedup_order=LOAD_DEDUP_ORDER),
+    "jsonl_rejects": """
+        SELECT reject_reason, counted, count(*) AS lines FROM (
+          SELECT 'malformed_json' AS reject_reason, true AS counted FROM events WHERE event_id % 13 = 0
+          UNION ALL SELECT 'input_tokens_not_number', true FROM events
+            WHERE event_id % 13 <> 0 AND event_id % 17 = 0
+          UNION ALL SELECT 'missing_usage', false FROM events
+            WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 = 0
+        ) GROUP BY reject_reason, counted""",
+    "jsonl_session_names": with_base("SELECT session_id, session_name FROM session_names"),
+    "file_order": with_base(f"SELECT {_REL} AS rel_path, min(ts) AS file_first_ts FROM usage_raw GROUP BY 1"),
+})

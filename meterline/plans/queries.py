@@ -315,3 +315,51 @@ QUERIES.update({
     "max_block_tokens": q_max_block_tokens,
     "active_block_detail": q_active_block_detail,
 })
+
+
+# ---- JSONL logs written from events, read back through the log source ----------
+
+def _jsonl(spark, sf):
+    from meterline.sources.events_logs import events_log_root
+    from meterline.sources.jsonl import load_usage
+    return load_usage(spark, events_log_root(spark, sf))
+
+
+def _rel(c):
+    return F.concat(F.lit("projects/"), F.substring_index(F.col(c), "/projects/", -1))
+
+
+def q_jsonl_ingest(spark, sf):
+    return _period(R.daily_report(_jsonl(spark, sf)["entries"]), "date_key")
+
+
+def q_jsonl_entries(spark, sf):
+    e = _jsonl(spark, sf)["entries"]
+    return e.select("entry_id", "session_name", _rel("source_file").alias("source_file"), "total_tokens",
+                    money_out("cost").alias("cost"))
+
+
+def q_jsonl_rejects(spark, sf):
+    r = _jsonl(spark, sf)["rejects"]
+    return r.groupBy("reject_reason", "counted").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def q_jsonl_session_names(spark, sf):
+    return _jsonl(spark, sf)["names"]
+
+
+def q_file_order(spark, sf):
+    from meterline.sources.events_logs import events_log_root
+    from meterline.sources.jsonl import parse_lines, scan_logs
+    lines = scan_logs(spark, events_log_root(spark, sf))
+    e = parse_lines(lines)["entries"]
+    return e.groupBy(_rel("source_file").alias("rel_path")).agg(F.min("file_first_ts").alias("file_first_ts"))
+
+
+QUERIES.update({
+    "jsonl_ingest": q_jsonl_ingest,
+    "jsonl_entries": q_jsonl_entries,
+    "jsonl_rejects": q_jsonl_rejects,
+    "jsonl_session_names": q_jsonl_session_names,
+    "file_order": q_file_order,
+})
