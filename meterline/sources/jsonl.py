@@ -3,11 +3,12 @@
 The scan is a plain text read of every ``*.jsonl`` (case-insensitive) below
 the root, prefering ``<root>/projects``.  Every line keeps its lineage:
 ``source_file`` and ``file_block_start`` come from ``_metadata``, and
-``line_seq`` is the position of the line inside its split, derived from
-``monotonically_increasing_id`` right after the scan (ids of one split are
-consecutive inside its partition).  The load order of the reference,
-files by their earliest RFC3339 timestamp and then lines, is therefore a
-sort key that never needs a global sort.
+``line_seq`` is ``monotonically_increasing_id`` taken right after the scan,
+which grows with the read order inside a split.  The load order of the
+reference, files by their earliest RFC3339 timestamp and then lines, is
+therefore a sort key that never needs a global sort.  The earliest
+timestamp is looked for in the first split of each file (the reference
+looks at its first 100 lines).
 
 Parsing is ``try_parse_json`` into VARIANT and strict extraction: a JSON
 string is never taken for a number or the other way round.  Lines that are
@@ -27,7 +28,9 @@ from meterline.operators.common import blank_to_null
 JSONL_GLOB = "*.[jJ][sS][oO][nN][lL]"
 RFC3339_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 # lines of a file looked at for its earliest timestamp
-FILE_ORDER_LINES = 100
+# a file-order table with at most this many files is broadcast (the count
+# comes from the file listing, so the bound is known before any job runs)
+MAX_BROADCAST_FILES = 2_000_000
 _NUMBER_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
@@ -91,17 +94,14 @@ def scan_logs(spark: SparkSession, root: str, modified_within: timedelta | None
                 return _empty_lines(spark)
         else:
             paths = [base]
-    raw = reader.text(paths).select(
+    # line order inside a split is the read order: the id grows with it and
+    # never needs a shuffle; (source_file, file_block_start, line_seq) sorts lines
+    return reader.text(paths).select(
         F.col("value").alias("line"),
-        F.monotonically_increasing_id().alias("_mono"),
-        F.col("_metadata.file_path").alias("_uri"),
+        plain_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
-        F.col("_metadata.file_modification_time").alias("file_mtime"))
-    # position of each line inside its split: ids of one split are consecutive
-    first = raw.groupBy("_uri", "file_block_start").agg(F.min("_mono").alias("_first"))
-    return (raw.join(first, ["_uri", "file_block_start"])
-            .select("line", plain_path(F.col("_uri")).alias("source_file"), "file_block_start", "file_mtime",
-                    (F.col("_mono") - F.col("_first")).alias("line_seq")))
+        F.col("_metadata.file_modification_time").alias("file_mtime"),
+        F.monotonically_increasing_id().alias("line_seq"))
 
 
 def _empty_lines(spark):
@@ -124,29 +124,37 @@ def file_manifest(spark: SparkSession, root: str, modified_within: timedelta | N
 
 
 # ---- strict JSON access --------------------------------------------------------------
+# Every field is pulled out of the VARIANT once, as a struct of small
+# VARIANT values; a non-object record (array, scalar) does not cast and
+# gives NULL.  Type checks then look at each small value's schema, so a JSON
+# string is never taken for a number or the other way round.
 
-def _get(v: str, path: str) -> Column:
-    return F.expr(f"variant_get({v}, '{path}', 'variant')")
+TOP = ("struct<id:variant,timestamp:variant,type:variant,sessionId:variant,session_id:variant,"
+       "requestId:variant,model:variant,project_path:variant,block_type:variant,cost:variant,costUSD:variant,"
+       "customTitle:variant,agentName:variant,usage_limit_reset_time:variant,"
+       "cache_creation_input_tokens:variant,cache_read_input_tokens:variant,message:variant>")
+MESSAGE = "struct<id:variant,model:variant,usage:variant>"
+USAGE = ("struct<input_tokens:variant,output_tokens:variant,cache_creation_input_tokens:variant,"
+         "cache_read_input_tokens:variant>")
 
 
-def _kind(v: str, path: str) -> Column:
-    return F.expr(f"schema_of_variant(variant_get({v}, '{path}', 'variant'))")
+def _struct_of(c: Column, ddl: str) -> Column:
+    return F.try_variant_get(c, "$", ddl)
 
 
-def _str(v: str, path: str) -> Column:
-    """The value when it is a JSON string, else NULL."""
-    return F.when(_kind(v, path) == "STRING", F.expr(f"try_variant_get({v}, '{path}', 'string')"))
+def _kind(c: Column) -> Column:
+    return F.schema_of_variant(c)
 
 
-def _num(v: str, path: str) -> Column:
-    """The value when it is a JSON number, as double, else NULL."""
-    k = _kind(v, path)
-    return F.when(k.isin(*_NUMBER_TYPES) | k.startswith("DECIMAL"),
-                  F.expr(f"try_variant_get({v}, '{path}', 'double')"))
+def _str(c: Column) -> Column:
+    """The value when it is a JSON string, else NULL."""
+    return F.when(_kind(c) == "STRING", F.try_variant_get(c, "$", "string"))
 
 
-def _is_obj(v: str, path: str) -> Column:
-    return F.coalesce(_kind(v, path).startswith("OBJECT"), F.lit(False))
+def _num(c: Column) -> Column:
+    """The value when it is a JSON number, as double, else NULL."""
+    k = _kind(c)
+    return F.when(k.isin(*_NUMBER_TYPES) | k.startswith("DECIMAL"), F.try_variant_get(c, "$", "double"))
 
 
 def _int(c: Column) -> Column:
@@ -154,98 +162,129 @@ def _int(c: Column) -> Column:
     return c.try_cast("bigint")
 
 
-def parse_time(v: str) -> Column:
+def parse_time(ts_value: Column) -> Column:
     """RFC3339 string, or Unix seconds as a number (truncated) (O1.8)."""
-    s = _str(v, "$.timestamp")
-    n = _num(v, "$.timestamp")
+    s = _str(ts_value)
+    n = _num(ts_value)
     return F.coalesce(F.when(s.rlike(RFC3339_RE), s.try_cast("timestamp")),
                       F.when(n.isNotNull(), F.timestamp_seconds(_int(n))))
 
 
 # ---- parse ------------------------------------------------------------------------------
 
-def parse_lines(lines: DataFrame) -> dict[str, DataFrame]:
-    """Split raw lines into ``entries`` (USAGE_ENTRY rows before dedup),
-    ``names`` (session-name lines) and ``rejects`` (O1.5-O1.12).
-
-    ``rejects.counted`` tells whether the reference would count the line as a
-    parse error (blank lines are not kept at all).
-    """
+def parse_narrow(lines: DataFrame) -> DataFrame:
+    """One narrow row per non-blank line: ``kind`` is 'entry', 'name' or
+    'reject'; entry fields, name fields, reject reason (with the raw line for
+    rejects only) and the line's file-order timestamp candidate.  Nothing
+    wide (the raw JSON, the VARIANT) leaves this projection."""
+    v = F.try_parse_json(F.col("line"))
     x = (lines.where(F.trim("line") != "")
-         .withColumn("v", F.expr("try_parse_json(line)"))
-         .withColumn("_is_object", F.col("v").isNotNull() & F.ltrim("line").startswith("{"))
-         .withColumn("_type", F.when(F.col("_is_object"), _str("v", "$.type"))))
-
-    # file load order: earliest RFC3339 timestamp among the first lines
-    ts_str = _str("v", "$.timestamp")
-    first_ts = F.when((F.col("file_block_start") == 0) & (F.col("line_seq") < FILE_ORDER_LINES)
-                      & ts_str.rlike(RFC3339_RE), ts_str.try_cast("timestamp"))
-    order = x.groupBy("source_file").agg(F.min(first_ts).alias("file_first_ts"))
-    x = x.join(order, "source_file", "left")
-
+         .select("line", "source_file", "file_block_start", "line_seq", _struct_of(v, TOP).alias("r")))
+    r = F.col("r")
+    m = _struct_of(r["message"], MESSAGE)
+    x = x.select("*", m.alias("m"))
+    x = x.select("*", _struct_of(F.col("m")["usage"], USAGE).alias("u"))
+    m, u = F.col("m"), F.col("u")
+    x = x.select(
+        "*",
+        _str(r["type"]).alias("_type"),
+        _num(u["input_tokens"]).alias("_in"),
+        _num(u["output_tokens"]).alias("_out"),
+        parse_time(r["timestamp"]).alias("_ts"),
+        F.coalesce(_str(m["model"]), _str(r["model"])).alias("_model"),
+        _str(r["timestamp"]).alias("_ts_str"))
     is_title = F.coalesce(F.col("_type") == "custom-title", F.lit(False))
     is_agent = F.coalesce(F.col("_type") == "agent-name", F.lit(False))
-    names = x.where(is_title | is_agent).select(
-        _str("v", "$.sessionId").alias("session_id"),
-        F.when(is_title, F.lit("title")).otherwise(F.lit("agent")).alias("kind"),
-        F.when(is_title, _str("v", "$.customTitle")).otherwise(_str("v", "$.agentName")).alias("name"),
-        "source_file", "file_first_ts", "file_block_start", "line_seq"
-    ).where(F.col("session_id").isNotNull() & F.col("name").isNotNull())
-
-    body = x.where(F.col("_is_object") & ~(is_title | is_agent))
-    inp = _num("v", "$.message.usage.input_tokens")
-    out = _num("v", "$.message.usage.output_tokens")
-    ts = parse_time("v")
-    model = F.coalesce(_str("v", "$.message.model"), _str("v", "$.model"))
-    reason = (F.when(inp.isNotNull() & out.isNotNull(),
-                     F.when(ts.isNull() | (F.year(ts) < 2020), F.lit("invalid_time"))
-                     .when(model == "<synthetic>", F.lit("synthetic")))
-              .when(~_is_obj("v", "$.message"), F.lit("missing_message"))
-              .when(~_is_obj("v", "$.message.usage"), F.lit("missing_usage"))
-              .when(F.expr("variant_get(v, '$.message.usage.input_tokens', 'variant')").isNull(),
-                    F.lit("missing_input_tokens"))
-              .when(inp.isNull(), F.lit("input_tokens_not_number"))
-              .when(F.expr("variant_get(v, '$.message.usage.output_tokens', 'variant')").isNull(),
-                    F.lit("missing_output_tokens"))
+    reason = (F.when(r.isNull(), F.lit("malformed_json"))
+              .when(is_title | is_agent, F.lit(None).cast("string"))
+              .when(F.col("_in").isNotNull() & F.col("_out").isNotNull(),
+                    F.when(F.col("_ts").isNull() | (F.year("_ts") < 2020), F.lit("invalid_time"))
+                    .when(F.col("_model") == "<synthetic>", F.lit("synthetic")))
+              .when(m.isNull(), F.lit("missing_message"))
+              .when(u.isNull(), F.lit("missing_usage"))
+              .when(u["input_tokens"].isNull(), F.lit("missing_input_tokens"))
+              .when(F.col("_in").isNull(), F.lit("input_tokens_not_number"))
+              .when(u["output_tokens"].isNull(), F.lit("missing_output_tokens"))
               .otherwise(F.lit("output_tokens_not_number")))
-    body = body.withColumns({"_reason": reason, "_ts": ts, "_model": model, "_in": inp, "_out": out})
-
-    good = body.where(F.col("_reason").isNull())
-    cc_n = _num("v", "$.message.usage.cache_creation_input_tokens")
-    cr_n = _num("v", "$.message.usage.cache_read_input_tokens")
-    cc = F.coalesce(_int(cc_n), _int(_num("v", "$.cache_creation_input_tokens")))
-    cr = F.coalesce(_int(cr_n), _int(_num("v", "$.cache_read_input_tokens")))
+    x = x.select("*", reason.alias("reject_reason"))
+    kind = (F.when(F.col("reject_reason").isNotNull(), F.lit("reject"))
+            .when(is_title | is_agent, F.lit("name")).otherwise(F.lit("entry")))
+    x = x.select("*", kind.alias("kind"))
+    entry = F.col("kind") == "entry"
+
+    def ef(c):
+        return F.when(entry, c)
+
+    cc_n = _num(u["cache_creation_input_tokens"])
+    cr_n = _num(u["cache_read_input_tokens"])
+    cc = F.coalesce(_int(cc_n), _int(_num(r["cache_creation_input_tokens"])))
+    cr = F.coalesce(_int(cr_n), _int(_num(r["cache_read_input_tokens"])))
     in_i, out_i = _int(F.col("_in")), _int(F.col("_out"))
     # total counts nested cache tokens only; flat ones are kept in the cache columns
     total = in_i + out_i + F.coalesce(_int(cc_n), F.lit(0)) + F.coalesce(_int(cr_n), F.lit(0))
-    logged = F.coalesce(_num("v", "$.cost"), _num("v", "$.costUSD"))
-    entries = good.select(
-        _str("v", "$.id").alias("entry_id"),
-        F.col("_ts").alias("ts"),
-        F.coalesce(blank_to_null(_str("v", "$.project_path")), project_from_file(F.col("source_file")))
+    logged = F.coalesce(_num(r["cost"]), _num(r["costUSD"]))
+    counted = ~F.coalesce(((F.col("reject_reason") == "missing_usage") & F.col("_type").isin("user", "summary"))
+                          | ((F.col("reject_reason") == "missing_message") & (F.col("_type") == "summary"))
+                          | F.col("reject_reason").isin("invalid_time", "synthetic"), F.lit(False))
+    return x.select(
+        "kind", "source_file", "file_block_start", "line_seq",
+        F.when((F.col("file_block_start") == 0) & F.col("_ts_str").rlike(RFC3339_RE),
+               F.col("_ts_str").try_cast("timestamp")).alias("_first_ts_candidate"),
+        ef(_str(r["id"])).alias("entry_id"),
+        ef(F.col("_ts")).alias("ts"),
+        ef(F.coalesce(blank_to_null(_str(r["project_path"])), project_from_file(F.col("source_file"))))
         .alias("project_path"),
-        F.col("_model").alias("model"),
-        in_i.alias("input_tokens"), out_i.alias("output_tokens"),
-        cc.alias("cache_create_tokens"), cr.alias("cache_read_tokens"),
-        total.alias("total_tokens"),
-        F.coalesce(logged, F.lit(0.0)).cast("decimal(38,12)").alias("logged_cost"),
-        F.coalesce(_str("v", "$.session_id"), _str("v", "$.sessionId")).alias("session_id"),
-        _str("v", "$.block_type").alias("block_type"),
-        _str("v", "$.message.id").alias("message_id"),
-        _str("v", "$.requestId").alias("request_id"),
-        _str("v", "$.usage_limit_reset_time").alias("usage_limit_reset_time"),
-        "source_file", "file_first_ts", "file_block_start", "line_seq")
-
-    malformed = x.where(~F.col("_is_object")).select(
-        "source_file", "file_block_start", "line_seq", F.lit("malformed_json").alias("reject_reason"),
-        F.lit(True).alias("counted"), "line")
-    bad = body.where(F.col("_reason").isNotNull()).select(
-        "source_file", "file_block_start", "line_seq", F.col("_reason").alias("reject_reason"),
-        (~F.coalesce(((F.col("_reason") == "missing_usage") & F.col("_type").isin("user", "summary"))
-                     | ((F.col("_reason") == "missing_message") & (F.col("_type") == "summary"))
-                     | F.col("_reason").isin("invalid_time", "synthetic"), F.lit(False))).alias("counted"),
-        "line")
-    return {"entries": entries, "names": names, "rejects": malformed.unionByName(bad)}
+        ef(F.col("_model")).alias("model"),
+        ef(in_i).alias("input_tokens"), ef(out_i).alias("output_tokens"),
+        ef(cc).alias("cache_create_tokens"), ef(cr).alias("cache_read_tokens"),
+        ef(total).alias("total_tokens"),
+        ef(F.coalesce(logged, F.lit(0.0)).cast("decimal(38,12)")).alias("logged_cost"),
+        F.when(entry, F.coalesce(_str(r["session_id"]), _str(r["sessionId"])))
+        .when(F.col("kind") == "name", _str(r["sessionId"])).alias("session_id"),
+        ef(_str(r["block_type"])).alias("block_type"),
+        ef(_str(m["id"])).alias("message_id"),
+        ef(_str(r["requestId"])).alias("request_id"),
+        ef(_str(r["usage_limit_reset_time"])).alias("usage_limit_reset_time"),
+        F.when(is_title, F.lit("title")).when(is_agent, F.lit("agent")).alias("name_kind"),
+        F.when(is_title, _str(r["customTitle"])).when(is_agent, _str(r["agentName"])).alias("name"),
+        "reject_reason",
+        F.when(F.col("kind") == "reject", counted).alias("counted"),
+        F.when(F.col("kind") == "reject", F.col("line")).alias("line"))
+
+
+ENTRY_COLS = ["entry_id", "ts", "project_path", "model", "input_tokens", "output_tokens", "cache_create_tokens",
+              "cache_read_tokens", "total_tokens", "logged_cost", "session_id", "block_type", "message_id",
+              "request_id", "usage_limit_reset_time", "source_file", "file_first_ts", "file_block_start", "line_seq"]
+
+
+def split_parsed(parsed: DataFrame, n_files: int | None = None) -> dict[str, DataFrame]:
+    """``entries`` / ``names`` / ``rejects`` from the narrow parsed lines.
+
+    The file order (earliest RFC3339 time of each file, O1.12) is one small
+    aggregate; with a known file count under ``MAX_BROADCAST_FILES`` it is
+    broadcast to the rows, else joined by shuffle.
+    """
+    order = parsed.groupBy("source_file").agg(F.min("_first_ts_candidate").alias("file_first_ts"))
+    if n_files is not None and n_files <= MAX_BROADCAST_FILES:
+        order = F.broadcast(order)
+    rows = parsed.where(F.col("kind") != "reject").join(order, "source_file", "left")
+    entries = rows.where(F.col("kind") == "entry").select(*ENTRY_COLS)
+    names = rows.where((F.col("kind") == "name") & F.col("session_id").isNotNull() & F.col("name").isNotNull()) \
+        .select("session_id", F.col("name_kind").alias("kind"), "name", "source_file", "file_first_ts",
+                "file_block_start", "line_seq")
+    rejects = parsed.where(F.col("kind") == "reject").select(
+        "source_file", "file_block_start", "line_seq", "reject_reason", "counted", "line")
+    return {"entries": entries, "names": names, "rejects": rejects}
+
+
+def parse_lines(lines: DataFrame, n_files: int | None = None) -> dict[str, DataFrame]:
+    """Split raw lines into ``entries`` (USAGE_ENTRY rows before dedup),
+    ``names`` (session-name lines) and ``rejects`` (O1.5-O1.12).
+
+    ``rejects.counted`` tells whether the reference would count the line as a
+    parse error (blank lines are not kept at all).
+    """
+    return split_parsed(parse_narrow(lines), n_files)
 
 
 def reject_summary(rejects: DataFrame) -> DataFrame:
@@ -257,17 +296,30 @@ def reject_summary(rejects: DataFrame) -> DataFrame:
 
 
 def load_usage(spark: SparkSession, root: str, prices: DataFrame | None = None, tz: str = "UTC",
-               **scan_args) -> dict[str, DataFrame]:
+               materialize: str | None = "checkpoint", **scan_args) -> dict[str, DataFrame]:
     """Scan, parse, deduplicate, name and price logs: the batch entry point.
 
-    Returns ``entries`` (priced USAGE_ENTRY + cost + session_name + date_key),
-    ``names`` and ``rejects``.
+    The narrow parsed lines are materialized once (``checkpoint``: written to
+    the shared ``spark.checkpoint.dir``, which also cuts the lineage so a lost
+    executor never re-parses text; ``cache``: kept by the block manager), so
+    the text is read and parsed exactly once for entries, names, rejects and
+    the file order.  Returns ``entries`` (priced USAGE_ENTRY + cost +
+    session_name + date_key), ``names`` and ``rejects``.
     """
     from meterline.functions.timefns import date_key
     from meterline.operators.dedup import dedup_usage
     from meterline.operators.names import session_names, with_session_name
     from meterline.operators.pricing import with_cost
-    parts = parse_lines(scan_logs(spark, root, **scan_args))
+    from meterline.session import checkpoint_dir
+    lines = scan_logs(spark, root, **scan_args)
+    n_files = len(lines.inputFiles())
+    parsed = parse_narrow(lines)
+    if materialize == "checkpoint":
+        checkpoint_dir(spark)
+        parsed = parsed.checkpoint(eager=True)
+    elif materialize == "cache":
+        parsed = parsed.persist()
+    parts = split_parsed(parsed, n_files)
     names = session_names(parts["names"])
     entries = with_cost(with_session_name(dedup_usage(parts["entries"]), names), prices)
     return {"entries": entries.withColumn("date_key", date_key("ts", tz)), "names": names,

@@ -75,14 +75,27 @@ def embedded_lookup_rows() -> list[tuple]:
     return sorted(best.values())
 
 
+def _values(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small constant table as a JVM-side local relation (no Python worker)."""
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t.simpleString()})"
+        if isinstance(t, T.StringType):
+            return "'" + str(v).replace("'", "''") + "'"
+        return f"CAST({v} AS {t.simpleString()})"
+    body = ", ".join("(" + ", ".join(lit(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
+    names = ", ".join(f.name for f in schema.fields)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+
+
 def embedded_price_lookup(spark: SparkSession) -> DataFrame:
     """Bounded (<= 88 rows) lookup ``lookup_model -> prices``."""
-    return spark.createDataFrame(embedded_lookup_rows(), LOOKUP_SCHEMA)
+    return _values(spark, embedded_lookup_rows(), LOOKUP_SCHEMA)
 
 
 def embedded_price_table(spark: SparkSession) -> DataFrame:
     rows = [(n, *[Decimal(p) for p in ps]) for n, *ps in EMBEDDED_PRICES]
-    return spark.createDataFrame(rows, PRICE_TABLE)
+    return _values(spark, rows, PRICE_TABLE)
 
 
 def load_prices(spark: SparkSession, path: str, fmt: str = "map-json") -> DataFrame:
