@@ -363,3 +363,58 @@ QUERIES.update({
     "jsonl_session_names": q_jsonl_session_names,
     "file_order": q_file_order,
 })
+
+
+# ---- streaming over the same logs (availableNow, result read from the sink) ----
+
+def _stream_entries(spark, sf, priced: bool = True):
+    from meterline.operators.pricing import with_cost as _with_cost
+    from meterline.sources.events_logs import events_log_root
+    from meterline.streaming.live import stream_logs
+    s = stream_logs(spark, events_log_root(spark, sf))
+    return _with_cost(s) if priced else s
+
+
+def q_stream_dedup(spark, sf):
+    from meterline.streaming.live import run_available_now, stream_dedup
+    out = run_available_now(stream_dedup(_stream_entries(spark, sf, priced=False)), "dedup")
+    return out.select("message_id", "request_id").where(F.col("message_id").isNotNull()
+                                                        & F.col("request_id").isNotNull())
+
+
+def q_stream_daily(spark, sf):
+    from meterline.streaming.live import run_available_now, stream_daily
+    out = run_available_now(stream_daily(_stream_entries(spark, sf)), "daily", "complete")
+    return out.withColumn("cost", money_out("cost"))
+
+
+def q_stream_totals(spark, sf):
+    from meterline.streaming.live import run_available_now, stream_totals
+    out = run_available_now(stream_totals(_stream_entries(spark, sf)), "totals", "complete")
+    return out.withColumn("total_cost", money_out("total_cost"))
+
+
+def q_stream_activity(spark, sf):
+    from meterline.streaming.live import run_available_now, stream_activity
+    out = run_available_now(stream_activity(_stream_entries(spark, sf, priced=False)), "activity", "complete")
+    return (out.groupBy("session_id", "start_time")
+            .agg(F.max_by(F.struct("end_time", "entries", "first_ts", "last_ts"), F.col("entries")).alias("b"))
+            .select("session_id", "start_time", "b.*"))
+
+
+def q_stream_blocks(spark, sf):
+    from meterline.streaming.live import latest_blocks, run_available_now, stream_blocks
+    out = run_available_now(stream_blocks(_stream_entries(spark, sf)), "blocks", "update")
+    b = latest_blocks(out)
+    return b.select("session_id", "start_time", "first_ts", "last_ts", "entry_count", "input_tokens",
+                    "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
+                    money_out(F.col("cost_usd").cast("decimal(38,12)")).alias("cost_usd"))
+
+
+QUERIES.update({
+    "stream_dedup": q_stream_dedup,
+    "stream_daily": q_stream_daily,
+    "stream_totals": q_stream_totals,
+    "stream_activity": q_stream_activity,
+    "stream_blocks": q_stream_blocks,
+})
