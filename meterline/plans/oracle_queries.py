@@ -367,3 +367,15 @@ ORACLE.update({
           entry_count, input_tokens, output_tokens, cache_creation_input_tokens, cache_read_input_tokens, cost_usd
         FROM blk""", recursive=True)),
 })
+
+ORACLE.update({
+    "incremental_refresh": ORACLE["jsonl_ingest"],
+    "manifest_diff": """
+        SELECT status, count(*) AS files FROM (
+          SELECT src, CASE WHEN min(ts) < TIMESTAMP '2024-01-16 00:00:00' THEN 'changed' ELSE 'new' END AS status
+          FROM (SELECT ts, CASE WHEN event_id % 7 = 0
+                  THEN 'p' || CAST(user_id % 10 AS VARCHAR) || '/s' || CAST(user_id AS VARCHAR) || '/subagents/agent-'
+                       || CAST(event_id % 3 AS VARCHAR)
+                  ELSE 'p' || CAST(user_id % 10 AS VARCHAR) || '/s' || CAST(user_id AS VARCHAR) END AS src
+                FROM events) GROUP BY src) GROUP BY status""",
+})

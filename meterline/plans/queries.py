@@ -418,3 +418,45 @@ QUERIES.update({
     "stream_activity": q_stream_activity,
     "stream_blocks": q_stream_blocks,
 })
+
+
+# ---- incremental refresh: logs written in two phases into one folder ---------------
+
+REFRESH_SPLIT = "2024-01-16 00:00:00"
+
+
+def _two_phase_logs(spark, sf):
+    """Write the first half of the month, load, then write everything (files
+    grow in place and new files appear) and diff/refresh."""
+    import uuid as _uuid
+    from meterline.session import checkpoint_dir
+    from meterline.sinks.jsonl import write_jsonl
+    from meterline.sources.events_logs import usage_log_lines
+    from meterline.streaming.refresh import load_state, manifest, manifest_diff
+    root = checkpoint_dir(spark).rstrip("/") + f"/meterline-refresh/{_uuid.uuid4().hex[:8]}"
+    lines = usage_log_lines(spark, sf)
+    write_jsonl(lines.where(F.col("ts") < F.lit(REFRESH_SPLIT).cast("timestamp")), root,
+                order=["ts", "line_seq", "kind"])
+    state = load_state(spark, root)
+    old_manifest = state["manifest"]
+    write_jsonl(lines, root, order=["ts", "line_seq", "kind"])
+    return root, state, old_manifest, manifest_diff, manifest
+
+
+def q_incremental_refresh(spark, sf):
+    from meterline.streaming.refresh import refresh
+    root, state, _, _, _ = _two_phase_logs(spark, sf)
+    out = refresh(spark, root, state)
+    return _period(R.daily_report(out["entries"]), "date_key")
+
+
+def q_manifest_diff(spark, sf):
+    root, state, old_manifest, diff_fn, manifest_fn = _two_phase_logs(spark, sf)
+    d = diff_fn(old_manifest, manifest_fn(spark, root))
+    return d.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+QUERIES.update({
+    "incremental_refresh": q_incremental_refresh,
+    "manifest_diff": q_manifest_diff,
+})

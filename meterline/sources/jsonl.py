@@ -295,32 +295,46 @@ def reject_summary(rejects: DataFrame) -> DataFrame:
             .orderBy("source_file", "reject_reason"))
 
 
-def load_usage(spark: SparkSession, root: str, prices: DataFrame | None = None, tz: str = "UTC",
-               materialize: str | None = "checkpoint", **scan_args) -> dict[str, DataFrame]:
-    """Scan, parse, deduplicate, name and price logs: the batch entry point.
-
-    The narrow parsed lines are materialized once (``checkpoint``: written to
-    the shared ``spark.checkpoint.dir``, which also cuts the lineage so a lost
-    executor never re-parses text; ``cache``: kept by the block manager), so
-    the text is read and parsed exactly once for entries, names, rejects and
-    the file order.  Returns ``entries`` (priced USAGE_ENTRY + cost +
-    session_name + date_key), ``names`` and ``rejects``.
-    """
+def finish_usage(parsed: DataFrame, n_files: int | None = None, prices: DataFrame | None = None,
+                 tz: str = "UTC") -> dict[str, DataFrame]:
+    """Narrow parsed lines -> deduplicated, named, priced entries."""
     from meterline.functions.timefns import date_key
     from meterline.operators.dedup import dedup_usage
     from meterline.operators.names import session_names, with_session_name
     from meterline.operators.pricing import with_cost
-    from meterline.session import checkpoint_dir
-    lines = scan_logs(spark, root, **scan_args)
-    n_files = len(lines.inputFiles())
-    parsed = parse_narrow(lines)
-    if materialize == "checkpoint":
-        checkpoint_dir(spark)
-        parsed = parsed.checkpoint(eager=True)
-    elif materialize == "cache":
-        parsed = parsed.persist()
     parts = split_parsed(parsed, n_files)
     names = session_names(parts["names"])
     entries = with_cost(with_session_name(dedup_usage(parts["entries"]), names), prices)
     return {"entries": entries.withColumn("date_key", date_key("ts", tz)), "names": names,
             "rejects": parts["rejects"]}
+
+
+def materialize(parsed: DataFrame, how: str | None = "checkpoint") -> DataFrame:
+    """``checkpoint``: written to the shared ``spark.checkpoint.dir`` (cuts the
+    lineage: a lost executor never re-parses text); ``cache``: kept by the
+    block manager; None: left lazy."""
+    from meterline.session import checkpoint_dir
+    if how == "checkpoint":
+        checkpoint_dir(parsed.sparkSession)
+        return parsed.checkpoint(eager=True)
+    if how == "cache":
+        return parsed.persist()
+    return parsed
+
+
+def load_usage(spark: SparkSession, root: str, prices: DataFrame | None = None, tz: str = "UTC",
+               materialize_as: str | None = "checkpoint", **scan_args) -> dict[str, DataFrame]:
+    """Scan, parse, deduplicate, name and price logs: the batch entry point.
+
+    The narrow parsed lines are materialized once, so the text is read and
+    parsed exactly once for entries, names, rejects and the file order.
+    Returns ``entries`` (priced USAGE_ENTRY + cost + session_name +
+    date_key), ``names``, ``rejects`` and ``parsed`` (the narrow lines, the
+    state an incremental refresh starts from).
+    """
+    lines = scan_logs(spark, root, **scan_args)
+    n_files = len(lines.inputFiles())
+    parsed = materialize(parse_narrow(lines), materialize_as)
+    out = finish_usage(parsed, n_files, prices, tz)
+    out["parsed"] = parsed
+    return out
