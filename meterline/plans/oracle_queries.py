@@ -379,3 +379,110 @@ ORACLE.update({
                   ELSE 'p' || CAST(user_id % 10 AS VARCHAR) || '/s' || CAST(user_id AS VARCHAR) END AS src
                 FROM events) GROUP BY src) GROUP BY status""",
 })
+
+
+# ---- documented extras ------------------------------------------------------------
+
+_DAILY_SERIES = """, series AS (
+    SELECT strftime(ts, '%Y-%m-%d') AS date_key, round(COALESCE(sum(cost), 0), 6) AS cost,
+           COALESCE(sum(total_tokens), 0) AS total_tokens
+    FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020 GROUP BY 1),
+    reg AS (SELECT count(*)::DECIMAL(38,0) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sx2,
+                   sum(y * y) AS sy2
+            FROM (SELECT (row_number() OVER (ORDER BY date_key) - 1)::DECIMAL(38,0) AS x,
+                         cost::DECIMAL(38,6) AS y FROM series))
+"""
+
+ORACLE.update({
+    "model_breakdown": with_base(f"""
+        SELECT strftime(ts, '%Y-%m-%d') AS period, COALESCE(model, '') AS model, count(*) AS requests,
+          COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens,
+          COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
+          COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens,
+          COALESCE(sum(total_tokens), 0) AS total_tokens, {_money('sum(cost)')} AS cost
+        FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020 GROUP BY 1, 2"""),
+    "project_daily": with_base(f"""
+        SELECT COALESCE(project_path, '') AS project_path, strftime(ts, '%Y-%m-%d') AS date_key,
+          count(*) AS requests, COALESCE(sum(total_tokens), 0) AS total_tokens, {_money('sum(cost)')} AS cost
+        FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020
+          AND contains(lower(COALESCE(project_path, '')), 'projects/p3') GROUP BY 1, 2"""),
+    "iso_weekly_report": _period_sql("strftime(ts, '%G-W%V')", "week_key"),
+    "month_stats": with_base(_DAILY_SERIES + f"""
+        SELECT substr(date_key, 1, 7) AS month, count(*) AS days_active, {_money('sum(cost)')} AS total_cost,
+          sum(total_tokens) AS total_tokens, CAST(sum(cost) AS DOUBLE) / count(*) AS average_daily_cost,
+          CAST(trunc(sum(total_tokens) / count(*)) AS BIGINT) AS average_daily_tokens,
+          arg_max(date_key, (cost, date_key)) AS peak_day, {_money('max(cost)')} AS peak_day_cost,
+          CAST(NULL AS DOUBLE) AS change_percent
+        FROM series GROUP BY 1"""),
+    "usage_stats": with_base("""
+        , v AS (SELECT total_tokens AS x FROM priced WHERE total_tokens IS NOT NULL),
+        a AS (SELECT count(*) AS count, sum(x::DECIMAL(38,0)) AS s, sum(x::DECIMAL(38,0) * x::DECIMAL(38,0)) AS s2,
+                     min(x) AS min, max(x) AS max FROM v),
+        o AS (SELECT x, row_number() OVER (ORDER BY x) AS rk FROM v)
+        SELECT count, CAST(s AS BIGINT) AS sum, CAST(s AS DOUBLE) / count AS average, min, max,
+          sqrt(CAST(count::DECIMAL(38,0) * s2 - s * s AS DOUBLE) / (CAST(count AS DOUBLE) * CAST(count AS DOUBLE)))
+            AS std_dev,
+          (SELECT x FROM o WHERE rk = floor(count / 2) + 1) AS median,
+          (SELECT x FROM o WHERE rk = floor(CAST(count AS DOUBLE) * 0.95) + 1) AS p95
+        FROM a"""),
+    "usage_trend": with_base(_DAILY_SERIES + """
+        , t AS (SELECT n, sx, sy,
+                  CAST(n * sxy - sx * sy AS DOUBLE) AS num, CAST(n * sx2 - sx * sx AS DOUBLE) AS dx,
+                  CAST(n * sy2 - sy * sy AS DOUBLE) AS dy FROM reg)
+        SELECT CAST(n AS BIGINT) AS points,
+          CASE WHEN n >= 2 THEN num / dx END AS slope,
+          CASE WHEN n >= 2 THEN abs(num) / sqrt(dx * dy) END AS correlation,
+          CASE WHEN n < 2 OR abs(num / dx) < 0.01 THEN 'stable' WHEN num / dx > 0 THEN 'increasing'
+               ELSE 'decreasing' END AS direction,
+          CASE WHEN n >= 2 THEN num / dx * CAST(n AS DOUBLE)
+               + (CAST(sy AS DOUBLE) - num / dx * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE) END AS prediction
+        FROM t"""),
+    "half_trend": with_base(_DAILY_SERIES + """
+        , h AS (SELECT count(*) AS n, floor(count(*) / 2) AS mid FROM series),
+        s2 AS (SELECT row_number() OVER (ORDER BY date_key) - 1 AS i, cost::DECIMAL(38,6) AS y FROM series),
+        g AS (SELECT h.n, h.mid, sum(CASE WHEN i < h.mid THEN y END) AS a, sum(CASE WHEN i >= h.mid THEN y END) AS b
+              FROM s2, h GROUP BY h.n, h.mid)
+        SELECT n AS points, CAST(a AS DOUBLE) / mid AS first_half_avg, CAST(b AS DOUBLE) / (n - mid) AS second_half_avg,
+          CASE WHEN n < 10 THEN 'stable'
+               WHEN (CAST(b AS DOUBLE) / (n - mid) - CAST(a AS DOUBLE) / mid) / (CAST(a AS DOUBLE) / mid) > 0.1
+                 THEN 'increasing'
+               WHEN (CAST(b AS DOUBLE) / (n - mid) - CAST(a AS DOUBLE) / mid) / (CAST(a AS DOUBLE) / mid) < -0.1
+                 THEN 'decreasing' ELSE 'stable' END AS trend
+        FROM g"""),
+    "block_alerts": with_base(_blocks_ctes("session_id") + """
+        , a AS (SELECT k, block_id, is_active, remaining_minutes, cost_usd,
+                  CASE WHEN mins > 0 THEN cost_usd / mins * 60 END AS cph FROM projected)
+        SELECT k AS session_id, block_id, 'high_burn_rate' AS rule, 'warning' AS level FROM a
+          WHERE is_active AND cph > 50
+        UNION ALL SELECT k, block_id, 'block_limit_approaching', 'critical' FROM a
+          WHERE is_active AND remaining_minutes < 30 AND cost_usd > 150""", recursive=True),
+    "cost_per_token": with_base(f"""
+        , bm AS (SELECT project_path, COALESCE(model, '') AS model, count(*) AS n, sum(cost) AS cost,
+                        COALESCE(sum(total_tokens), 0) AS tokens FROM priced GROUP BY 1, 2)
+        SELECT project_path, sum(n) AS requests, {_money('sum(cost)')} AS total_cost, sum(tokens) AS total_tokens,
+          CAST(sum(cost) AS DOUBLE) / sum(tokens) AS cost_per_token, arg_max(model, (n, model)) AS most_used_model
+        FROM bm GROUP BY 1"""),
+    "live_sessions": with_base(f"""
+        SELECT session_id, max(ts) AS last_seen, count(*) AS requests, {_money('sum(cost)')} AS cost,
+          epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) < CAST(18000000000 AS BIGINT) AS is_active
+        FROM priced WHERE session_id <> '' GROUP BY 1"""),
+    "gap_sessions": with_base(f"""
+        , o AS (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, line_seq) AS prev FROM priced
+                WHERE ts IS NOT NULL),
+        g AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > CAST(18000000000 AS BIGINT)
+                                 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, line_seq) AS sn FROM o)
+        SELECT session_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS request_count,
+          COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens,
+          {_money('sum(cost)')} AS total_cost,
+          string_agg(DISTINCT COALESCE(model, ''), ';' ORDER BY COALESCE(model, '')) AS models_used,
+          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds,
+          CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / (count(*) - 1) END
+            AS average_interval_seconds
+        FROM g GROUP BY session_id, sn"""),
+    "data_quality": with_base("SELECT entry_id, '' AS quality_issues FROM usage_raw WHERE input_tokens < 0 "
+                              "OR output_tokens < 0 OR cache_create_tokens < 0 OR cache_read_tokens < 0 "
+                              "OR logged_cost < 0"),
+    "sorted_report": with_base(f"""
+        SELECT strftime(ts, '%Y-%m-%d') AS date_key, count(DISTINCT NULLIF(session_id, '')) AS sessions,
+          {_money('sum(cost)')} AS cost FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020 GROUP BY 1"""),
+})

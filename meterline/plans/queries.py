@@ -460,3 +460,82 @@ QUERIES.update({
     "incremental_refresh": q_incremental_refresh,
     "manifest_diff": q_manifest_diff,
 })
+
+
+# ---- documented extras (X1-X13) --------------------------------------------------
+
+from meterline.operators import extras as X  # noqa: E402
+
+
+def q_model_breakdown(spark, sf):
+    return X.model_breakdown(_facts(spark, sf))
+
+
+def q_project_daily(spark, sf):
+    return X.project_daily(_facts(spark, sf), project="PROJECTS/P3")
+
+
+def q_iso_weekly_report(spark, sf):
+    return _period(X.iso_weekly_report(_facts(spark, sf)), "week_key")
+
+
+def q_month_stats(spark, sf):
+    return X.month_stats(_facts(spark, sf))
+
+
+def q_usage_stats(spark, sf):
+    return X.usage_stats(_facts(spark, sf), "total_tokens")
+
+
+def q_usage_trend(spark, sf):
+    return X.usage_trend(X.daily_cost_series(_facts(spark, sf)))
+
+
+def q_half_trend(spark, sf):
+    return X.half_trend(X.daily_cost_series(_facts(spark, sf)))
+
+
+def q_block_alerts(spark, sf):
+    _, p = _projected(spark, sf)
+    a = X.block_alerts(p)
+    return a.select("session_id", "block_id", "rule", "level")
+
+
+def q_cost_per_token(spark, sf):
+    return X.cost_per_token(_facts(spark, sf))
+
+
+def q_live_sessions(spark, sf):
+    return X.live_sessions(_facts(spark, sf), AS_OF)
+
+
+def q_gap_sessions(spark, sf):
+    return X.gap_sessions(_facts(spark, sf)).drop("session_no")
+
+
+def q_data_quality(spark, sf):
+    # the view has no negative values: the check must return an empty frame
+    return X.data_quality(usage_view(spark, sf)).select("entry_id", F.array_join("quality_issues", ";")
+                                                        .alias("quality_issues"))
+
+
+def q_sorted_report(spark, sf):
+    d = R.daily_report(_facts(spark, sf))
+    return X.sort_report(d, [("sessions", "desc"), ("date_key", "asc")]).select("date_key", "sessions", "cost")
+
+
+QUERIES.update({
+    "model_breakdown": q_model_breakdown,
+    "project_daily": q_project_daily,
+    "iso_weekly_report": q_iso_weekly_report,
+    "month_stats": q_month_stats,
+    "usage_stats": q_usage_stats,
+    "usage_trend": q_usage_trend,
+    "half_trend": q_half_trend,
+    "block_alerts": q_block_alerts,
+    "cost_per_token": q_cost_per_token,
+    "live_sessions": q_live_sessions,
+    "gap_sessions": q_gap_sessions,
+    "data_quality": q_data_quality,
+    "sorted_report": q_sorted_report,
+})
