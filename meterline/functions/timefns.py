@@ -72,7 +72,7 @@ def reset_time_label(ts, tz: str, as_of) -> Column:
     """'Resets 2am (zone)' on the same local day as ``as_of``, otherwise
     'Resets Mar 13 at 10am (zone)'; zero minutes are dropped (O9.9)."""
     t = local_time(ts, tz)
-    now = local_time(F.lit(as_of).cast("timestamp"), tz)
+    now = local_time(as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp"), tz)
     hour = F.regexp_replace(F.when(F.minute(t) == 0, F.date_format(t, "ha"))
                             .otherwise(F.date_format(t, "h:mma")), "AM|PM", "")
     suffix = F.lower(F.date_format(t, "a"))

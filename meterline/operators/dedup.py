@@ -37,9 +37,10 @@ def dedup_usage(df: DataFrame, order: list[str] = LOAD_ORDER) -> DataFrame:
 
 
 def merge_projects(frames: list[DataFrame], order: list[str] = LOAD_ORDER) -> DataFrame:
-    """Union of per-project entry sets, keep-first on (entry_id, session_id) (O3.7)."""
+    """Union of per-project entry sets, keep-first on (entry_id, session_id);
+    rows missing either are all kept (O3.7)."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    keyed = F.coalesce(nonempty("entry_id") | nonempty("session_id"), F.lit(False))
+    keyed = F.coalesce(nonempty("entry_id") & nonempty("session_id"), F.lit(False))
     return keep_first(out, ["entry_id", "session_id"], order, keyed)

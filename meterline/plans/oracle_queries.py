@@ -486,3 +486,86 @@ ORACLE.update({
         SELECT strftime(ts, '%Y-%m-%d') AS date_key, count(DISTINCT NULLIF(session_id, '')) AS sessions,
           {_money('sum(cost)')} AS cost FROM priced WHERE ts IS NOT NULL AND year(ts) >= 2020 GROUP BY 1"""),
 })
+
+
+# ---- detail, merge, labels, sinks ------------------------------------------------------
+
+def _fixed(c: str, places: int) -> str:
+    return f"CAST(CAST(round(CAST({c} AS DECIMAL(38,12)), {places}) AS DECIMAL(38,{places})) AS VARCHAR)"
+
+
+_RFC = "'%Y-%m-%dT%H:%M:%SZ'"
+
+ORACLE.update({
+    "session_file_detail": with_base(f"""
+        , names AS (SELECT COALESCE(NULLIF(project_path, ''), 'unknown') AS project,
+                      arg_min(session_name, (ts, line_seq)) FILTER (WHERE session_name <> '') AS name FROM priced
+                    GROUP BY 1),
+        files AS (SELECT COALESCE(NULLIF(project_path, ''), 'unknown') AS project, source_file,
+                    COALESCE(sum(input_tokens), 0) AS input_tokens, COALESCE(sum(output_tokens), 0) AS output_tokens,
+                    COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
+                    COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens,
+                    sum(api_cost) AS api_cost, sum(cache_create_cost) AS cache_create_cost,
+                    sum(cache_read_cost) AS cache_read_cost, sum(cost) AS cost,
+                    COALESCE(string_agg(DISTINCT {model_label_sql('model')}, ';' ORDER BY {model_label_sql('model')}),
+                             '') AS models,
+                    max(ts) AS last_activity
+                  FROM priced WHERE source_file <> '' GROUP BY 1, 2)
+        SELECT f.project AS project_path, COALESCE(n.name, split_part(f.project, '/', -1)) AS session_display,
+          f.source_file AS file_path, {_FILE_LABEL} AS file_label, f.models, f.input_tokens, f.output_tokens,
+          f.cache_create_tokens, f.cache_read_tokens,
+          f.input_tokens + f.output_tokens + f.cache_create_tokens + f.cache_read_tokens AS total_tokens,
+          {_money('f.api_cost')} AS api_cost, {_money('f.cache_create_cost')} AS cache_create_cost,
+          {_money('f.cache_read_cost')} AS cache_read_cost, {_money('f.cost')} AS cost,
+          strftime(f.last_activity, '%Y-%m-%d %H:%M') AS last_activity, false AS all_files_fallback
+        FROM files f JOIN names n USING (project)"""),
+    "merge_projects": with_base("SELECT entry_id, session_id, project_path FROM usage_raw"),
+    "block_time_labels": with_base(_blocks_ctes("session_id") + f"""
+        , allb AS (SELECT * FROM blk UNION ALL BY NAME SELECT * FROM gaps)
+        SELECT k AS session_id, block_id,
+          CASE WHEN is_gap THEN floor((epoch_us(end_time) - epoch_us(start_time)) / 60000000.0 / 60) END AS gap_hours,
+          CASE WHEN NOT is_gap THEN floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0 / 60) END
+            AS span_hours,
+          CASE WHEN NOT is_gap THEN floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0) % 60 END
+            AS span_minutes,
+          CASE WHEN is_active THEN floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0 / 60) END
+            AS elapsed_hours,
+          CASE WHEN is_active THEN floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0) % 60 END
+            AS elapsed_minutes_part,
+          CASE WHEN is_active THEN floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0 / 60) END
+            AS remaining_hours,
+          CASE WHEN is_active THEN floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0) % 60 END
+            AS remaining_minutes_part
+        FROM allb""", recursive=True),
+    "entries_csv": with_base(f"""
+        SELECT strftime(ts, {_RFC}) AS timestamp, COALESCE(model, '') AS model, COALESCE(project_path, '')
+          AS project_path, input_tokens, output_tokens, total_tokens, {_fixed('cost', 6)} AS cost,
+          COALESCE(session_id, '') AS session_id, COALESCE(block_type, '') AS block_type FROM priced"""),
+    "block_types_csv": with_base(f"""
+        SELECT block_type, count(*) AS count, COALESCE(sum(total_tokens), 0) AS total_tokens,
+          {_fixed('round(sum(cost), 6)', 6)} AS total_cost, strftime(min(ts), {_RFC}) AS first_seen,
+          strftime(max(ts), {_RFC}) AS last_seen FROM priced WHERE block_type <> '' GROUP BY block_type"""),
+    "blocks_csv": with_base(_blocks_ctes("0") + f"""
+        , allb AS (SELECT * FROM blk UNION ALL BY NAME SELECT * FROM gaps)
+        SELECT block_id AS "Block ID", strftime(start_time, {_RFC}) AS "Start Time",
+          strftime(end_time, {_RFC}) AS "End Time", CAST(is_active AS VARCHAR) AS "Is Active",
+          CAST(is_gap AS VARCHAR) AS "Is Gap", input_tokens AS "Input Tokens", output_tokens AS "Output Tokens",
+          cache_creation_input_tokens AS "Cache Creation Tokens", cache_read_input_tokens AS "Cache Read Tokens",
+          total_tokens AS "Total Tokens", {_fixed('cost_usd', 2)} AS "Cost (USD)", models AS "Models",
+          entry_count AS "Entry Count" FROM allb""", recursive=True),
+    "sessions_csv": with_base(f"""
+        SELECT COALESCE(NULLIF(project_path, ''), 'unknown') AS session_id,
+          COALESCE(arg_min(session_name, (ts, line_seq)) FILTER (WHERE session_name <> ''), '') AS session_name,
+          string_agg(DISTINCT NULLIF(session_id, ''), ';' ORDER BY NULLIF(session_id, '')) AS session_ids,
+          string_agg(DISTINCT NULLIF(source_file, ''), ';' ORDER BY NULLIF(source_file, '')) AS source_files,
+          strftime(min(ts), {_RFC}) AS start_time, strftime(max(ts), {_RFC}) AS end_time,
+          CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS duration_seconds,
+          {_fixed('round(sum(cost), 6)', 6)} AS total_cost,
+          {_fixed('round(sum(cache_create_cost), 6)', 6)} AS cache_create_cost,
+          {_fixed('round(sum(cache_read_cost), 6)', 6)} AS cache_read_cost,
+          COALESCE(sum(total_tokens), 0) AS total_tokens, count(*) AS request_count,
+          COALESCE(NULLIF(project_path, ''), 'unknown') AS project_path
+        FROM priced GROUP BY COALESCE(NULLIF(project_path, ''), 'unknown')"""),
+    "usage_table": with_base(f"SELECT entry_id, strftime(ts, '%Y-%m-%d') AS date_key, total_tokens, "
+                             f"{_money('cost')} AS cost FROM priced WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15'"),
+})

@@ -539,3 +539,71 @@ QUERIES.update({
     "data_quality": q_data_quality,
     "sorted_report": q_sorted_report,
 })
+
+
+# ---- detail, merge, labels, sinks ------------------------------------------------------
+
+def q_session_file_detail(spark, sf):
+    from meterline.operators.detail import session_file_detail
+    return session_file_detail(priced_usage(spark, sf), order=VIEW_ORDER)
+
+
+def q_merge_projects(spark, sf):
+    from meterline.operators.dedup import merge_projects
+    v = usage_view(spark, sf)
+    p = F.substring_index("project_path", "/p", -1).cast("int")
+    merged = merge_projects([v.where(p < 6), v.where(p >= 4)], order=VIEW_ORDER)
+    return merged.select("entry_id", "session_id", "project_path")
+
+
+def q_block_time_labels(spark, sf):
+    from meterline.operators.detail import block_time_fields
+    b = B.session_blocks(_facts(spark, sf), 5, "session_id", AS_OF)
+    return block_time_fields(b, AS_OF).select("session_id", "block_id", "gap_hours", "span_hours", "span_minutes",
+                                              "elapsed_hours", "elapsed_minutes_part", "remaining_hours",
+                                              "remaining_minutes_part")
+
+
+def q_entries_csv(spark, sf):
+    from meterline.sinks.reports import entries_csv_rows
+    return entries_csv_rows(_facts(spark, sf))
+
+
+def q_block_types_csv(spark, sf):
+    from meterline.sinks.reports import block_types_csv_rows
+    return block_types_csv_rows(R.block_type_report(_facts(spark, sf)))
+
+
+def q_blocks_csv(spark, sf):
+    from meterline.sinks.reports import blocks_csv_rows
+    return blocks_csv_rows(B.session_blocks(_facts(spark, sf), 5, None, AS_OF))
+
+
+def q_sessions_csv(spark, sf):
+    from meterline.sinks.reports import sessions_csv_rows
+    return sessions_csv_rows(R.session_report(priced_usage(spark, sf), with_lists=True, order=VIEW_ORDER))
+
+
+def q_usage_table(spark, sf):
+    """Write the priced facts partitioned by day, read one day back: the
+    read touches one partition only."""
+    import uuid as _uuid
+    from meterline.functions.timefns import date_key
+    from meterline.session import checkpoint_dir
+    from meterline.sinks.reports import write_usage_table
+    path = checkpoint_dir(spark).rstrip("/") + f"/meterline-table/{_uuid.uuid4().hex[:8]}"
+    write_usage_table(_facts(spark, sf).withColumn("date_key", date_key("ts")), path)
+    day = spark.read.parquet(path).where(F.col("date_key") == "2024-01-15")
+    return day.select("entry_id", "date_key", "total_tokens", money_out("cost").alias("cost"))
+
+
+QUERIES.update({
+    "session_file_detail": q_session_file_detail,
+    "merge_projects": q_merge_projects,
+    "block_time_labels": q_block_time_labels,
+    "entries_csv": q_entries_csv,
+    "block_types_csv": q_block_types_csv,
+    "blocks_csv": q_blocks_csv,
+    "sessions_csv": q_sessions_csv,
+    "usage_table": q_usage_table,
+})
