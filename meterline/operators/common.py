@@ -38,12 +38,29 @@ def sum0(c) -> Column:
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast a data-derived side only after checking its size.
 
-    The row count is taken on ``limit(max_rows + 1)``; beyond the bound the
-    frame is returned as is and the planner shuffles both sides (AQE then
-    splits skewed partitions).
+    The side is checkpointed once to the shared ``spark.checkpoint.dir`` and
+    counted there, so the size check never recomputes its plan and the join
+    reads the same materialized rows.  Within the bound it is broadcast;
+    beyond it the planner shuffles both sides (AQE splits skewed partitions).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    from meterline.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    small = df.checkpoint(eager=True)
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A tiny input (one parquet row group, a few small files) otherwise runs
+    every map-side step in one task; a large input already has one split per
+    block and is returned untouched, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def order_struct(cols: list[str]) -> Column:

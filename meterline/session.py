@@ -18,6 +18,10 @@ BASE_CONF = {
 }
 
 
+# The JSONL parser generates large methods; let the JIT compile them.
+JIT_OPTION = "-XX:-DontCompileHugeMethods"
+
+
 def get_spark(master: str | None = None, app: str = "meterline",
               shuffle_partitions: int | None = None,
               conf: dict[str, str] | None = None) -> SparkSession:
@@ -25,6 +29,11 @@ def get_spark(master: str | None = None, app: str = "meterline",
     if master:
         builder = builder.master(master)
     settings = dict(BASE_CONF)
+    for key in ("spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions"):
+        settings[key] = JIT_OPTION
+    if master and master.startswith("local"):
+        # one machine: listing files with Spark jobs only adds scheduling
+        settings["spark.sql.sources.parallelPartitionDiscovery.threshold"] = "1000000"
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})

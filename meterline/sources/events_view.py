@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.operators.common import spread_small_scan
 from meterline.schema import MONEY
 
 # Load order of the events view: the event time, then the event id.
@@ -41,7 +42,7 @@ def _source_file(project: F.Column, session: F.Column, event_id: F.Column) -> F.
 
 def usage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """USAGE_ENTRY rows, one per event (before dedup)."""
-    ev = load_table(spark, sf_dir, "events")
+    ev = spread_small_scan(load_table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     model_map = F.create_map(*[F.lit(x) for kv in VIEW_MODELS.items() for x in kv])
     uid = F.col("user_id").cast("string")
