@@ -569,3 +569,51 @@ ORACLE.update({
     "usage_table": with_base(f"SELECT entry_id, strftime(ts, '%Y-%m-%d') AS date_key, total_tokens, "
                              f"{_money('cost')} AS cost FROM priced WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15'"),
 })
+
+
+# ---- project labels: the whole rule in SQL ------------------------------------------
+
+_SYS = r"'^(Volumes?|Users?|home|var|tmp|opt|usr|bin|lib|etc|[A-Z0-9]+_[A-Z0-9]+|^\d+[A-Z]+$)$'"
+_SRC = r"'(?:^|-)(?:go_)?(?:src|react_src|python_src)[_-]([A-Za-z][A-Za-z0-9_-]+)'"
+_BLOG = r"'blog-([a-z]+)-([a-z]+)'"
+_FOUND = f"len(list_filter(range(1, i), lambda j: ends_with(segs[j], '_src') AND NOT regexp_full_match(segs[j], {_SYS})))"
+
+ORACLE["project_labels"] = with_base(f"""
+    , paths AS (
+      SELECT DISTINCT project_path FROM (
+        SELECT project_path FROM usage_raw
+        UNION ALL
+        SELECT CASE p_partkey % 6
+          WHEN 0 THEN '/home/dev/.claude/projects/-Users-' || p_type || '-' || replace(p_name, ' ', '-')
+          WHEN 1 THEN '/x/projects/-Volumes-DATA_' || CAST(p_partkey % 10 AS VARCHAR) || '-'
+                      || replace(p_name, ' ', '_') || '_src-' || replace(p_brand, '#', '')
+          WHEN 2 THEN '/x/projects/-Users-bob-go_src-' || replace(p_name, ' ', '')
+          WHEN 3 THEN '/x/projects/-Users-bob-blog-' || replace(p_name, ' ', '-')
+          WHEN 4 THEN '/srv/' || p_type || '/' || replace(p_name, ' ', '-') || '/2024/01/05'
+          ELSE '/x/projects/' || replace(p_brand, '#', '') || '-' || upper(replace(p_name, ' ', '-'))
+               || '-longsegmentname' END FROM part)),
+    l1 AS (SELECT project_path AS p, string_split(COALESCE(project_path, ''), '/') AS parts FROM paths),
+    l2 AS (SELECT p, parts, list_position(parts, 'projects') AS idx FROM l1),
+    l3 AS (SELECT p, CASE WHEN idx IS NOT NULL AND idx < len(parts) AND parts[idx + 1] <> '' THEN parts[idx + 1]
+                          ELSE parts[-1] END AS name0 FROM l2),
+    l4 AS (SELECT p, CASE WHEN starts_with(name0, '-') THEN substr(name0, 2) ELSE name0 END AS name FROM l3),
+    l5 AS (SELECT p, name, string_split(name, '-') AS segs FROM l4),
+    l6 AS (SELECT p, name, segs,
+      list_filter(range(1, len(segs) + 1), lambda i: NOT regexp_full_match(segs[i], {_SYS})
+        AND (ends_with(segs[i], '_src') OR (segs[i] = 'src' AND {_FOUND} > 0))
+        AND i < len(segs) AND NOT regexp_full_match(segs[i + 1], {_SYS})) AS trig,
+      list_transform(list_filter(range(1, len(segs) + 1), lambda i: NOT regexp_full_match(segs[i], {_SYS})
+        AND NOT (regexp_full_match(segs[i], '^[a-z]+$') AND {_FOUND} = 0 AND length(segs[i]) < 8)
+        AND length(segs[i]) > 2), lambda i: segs[i]) AS meaningful
+      FROM l5)
+    SELECT p AS project_path,
+      CASE WHEN COALESCE(p, '') = '' OR p = 'unknown' THEN 'unknown'
+           WHEN regexp_matches(name, {_SRC}) THEN 'src-' || regexp_extract(name, {_SRC}, 1)
+           WHEN regexp_matches(name, {_BLOG}) THEN 'blog-' || regexp_extract(name, {_BLOG}, 1) || '-'
+                || regexp_extract(name, {_BLOG}, 2)
+           WHEN len(trig) > 0 THEN 'src-' || segs[trig[1] + 1]
+           WHEN len(meaningful) >= 2 THEN meaningful[-2] || '-' || meaningful[-1]
+           WHEN len(meaningful) = 1 THEN meaningful[1]
+           ELSE segs[-1] END AS label,
+      CASE WHEN COALESCE(p, '') = '' THEN 'unknown' ELSE string_split(p, '/')[-1] END AS short_name
+    FROM l6""")

@@ -182,9 +182,27 @@ def q_file_labels(spark, sf):
         "source_file", short_file_label("source_file").alias("label"))
 
 
+def label_paths(spark, sf):
+    """Project paths of the view plus paths in six layouts built from the
+    ``part`` table's names, types and brands, so every branch of the label
+    rule is exercised by data of the test tables."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    dashed = F.regexp_replace("p_name", " ", "-")
+    brand = F.regexp_replace("p_brand", "#", "")
+    k = F.col("p_partkey") % 6
+    path = (F.when(k == 0, F.concat(F.lit("/home/dev/.claude/projects/-Users-"), F.col("p_type"), F.lit("-"), dashed))
+            .when(k == 1, F.concat(F.lit("/x/projects/-Volumes-DATA_"), (F.col("p_partkey") % 10).cast("string"),
+                                   F.lit("-"), F.regexp_replace("p_name", " ", "_"), F.lit("_src-"), brand))
+            .when(k == 2, F.concat(F.lit("/x/projects/-Users-bob-go_src-"), F.regexp_replace("p_name", " ", "")))
+            .when(k == 3, F.concat(F.lit("/x/projects/-Users-bob-blog-"), dashed))
+            .when(k == 4, F.concat(F.lit("/srv/"), F.col("p_type"), F.lit("/"), dashed, F.lit("/2024/01/05")))
+            .otherwise(F.concat(F.lit("/x/projects/"), brand, F.lit("-"), F.upper(dashed), F.lit("-longsegmentname"))))
+    return usage_view(spark, sf).select("project_path").unionByName(part.select(path.alias("project_path"))).distinct()
+
+
 def q_project_labels(spark, sf):
     from meterline.functions.labels import project_label, project_short_name
-    return usage_view(spark, sf).select("project_path").distinct().select(
+    return label_paths(spark, sf).select(
         "project_path", project_label("project_path").alias("label"),
         project_short_name("project_path").alias("short_name"))
 
