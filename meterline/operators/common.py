@@ -43,9 +43,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     reads the same materialized rows.  Within the bound it is broadcast;
     beyond it the planner shuffles both sides (AQE splits skewed partitions).
     """
-    from meterline.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    small = df.checkpoint(eager=True)
+    from meterline.session import materialize_checkpoint
+    small = materialize_checkpoint(df)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 

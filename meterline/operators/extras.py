@@ -108,7 +108,8 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict[str, Column],
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = (df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
           .repartitionByRange(n_parts, value_col).withColumn("_pid", F.spark_partition_id()))
-    vc = vc.checkpoint(eager=True)
+    from meterline.session import materialize_checkpoint
+    vc = materialize_checkpoint(vc)
     per = vc.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
     w_all = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("_pid", F.coalesce(F.sum("_pc").over(w_all), F.lit(0)).alias("_off"),

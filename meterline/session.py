@@ -65,3 +65,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="meterline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize_checkpoint(df):
+    """Reliable checkpoint into ``spark.checkpoint.dir``, computing the plan
+    once: the rows are cached while the checkpoint job writes them (a plain
+    eager checkpoint runs the plan a second time to write) and released
+    after.  The result reads from the shared folder, so its lineage is cut."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()

@@ -313,10 +313,9 @@ def materialize(parsed: DataFrame, how: str | None = "checkpoint") -> DataFrame:
     """``checkpoint``: written to the shared ``spark.checkpoint.dir`` (cuts the
     lineage: a lost executor never re-parses text); ``cache``: kept by the
     block manager; None: left lazy."""
-    from meterline.session import checkpoint_dir
+    from meterline.session import materialize_checkpoint
     if how == "checkpoint":
-        checkpoint_dir(parsed.sparkSession)
-        return parsed.checkpoint(eager=True)
+        return materialize_checkpoint(parsed)
     if how == "cache":
         return parsed.persist()
     return parsed
