@@ -4,11 +4,10 @@ The scan is a plain text read of every ``*.jsonl`` (case-insensitive) below
 the root, prefering ``<root>/projects``.  Every line keeps its lineage:
 ``source_file`` and ``file_block_start`` come from ``_metadata``, and
 ``line_seq`` is ``monotonically_increasing_id`` taken right after the scan,
-which grows with the read order inside a split.  The load order of the
-reference, files by their earliest RFC3339 timestamp and then lines, is
-therefore a sort key that never needs a global sort.  The earliest
-timestamp is looked for in the first split of each file (the reference
-looks at its first 100 lines).
+which grows with the read order inside a split (ids of one split are
+consecutive).  The load order of the reference, files by the earliest
+RFC3339 timestamp of their first 100 lines and then lines, is therefore a
+sort key that never needs a global sort.
 
 Parsing is ``try_parse_json`` into VARIANT and strict extraction: a JSON
 string is never taken for a number or the other way round.  Lines that are
@@ -28,6 +27,8 @@ from meterline.operators.common import blank_to_null
 JSONL_GLOB = "*.[jJ][sS][oO][nN][lL]"
 RFC3339_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 # lines of a file looked at for its earliest timestamp
+# lines of a file looked at for its earliest timestamp
+FILE_ORDER_LINES = 100
 # a file-order table with at most this many files is broadcast (the count
 # comes from the file listing, so the bound is known before any job runs)
 MAX_BROADCAST_FILES = 2_000_000
@@ -173,11 +174,14 @@ def parse_time(ts_value: Column) -> Column:
 # ---- parse ------------------------------------------------------------------------------
 
 def parse_narrow(lines: DataFrame) -> DataFrame:
-    """One narrow row per non-blank line: ``kind`` is 'entry', 'name' or
-    'reject'; entry fields, name fields, reject reason (with the raw line for
+    """One narrow row per line: ``kind`` is 'entry', 'name', 'reject' or
+    'blank'; entry fields, name fields, reject reason (with the raw line for
     rejects only) and the line's file-order timestamp candidate.  Nothing
-    wide (the raw JSON, the VARIANT) leaves this projection."""
+    wide (the raw JSON, the VARIANT) leaves this projection; blank lines keep
+    only their position, which the file order needs."""
     v = F.try_parse_json(F.col("line"))
+    blank = (lines.where(F.trim("line") == "")
+             .select(F.lit("blank").alias("kind"), "source_file", "file_block_start", "line_seq"))
     x = (lines.where(F.trim("line") != "")
          .select("line", "source_file", "file_block_start", "line_seq", _struct_of(v, TOP).alias("r")))
     r = F.col("r")
@@ -249,7 +253,7 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
         F.when(is_title, _str(r["customTitle"])).when(is_agent, _str(r["agentName"])).alias("name"),
         "reject_reason",
         F.when(F.col("kind") == "reject", counted).alias("counted"),
-        F.when(F.col("kind") == "reject", F.col("line")).alias("line"))
+        F.when(F.col("kind") == "reject", F.col("line")).alias("line")).unionByName(blank, allowMissingColumns=True)
 
 
 ENTRY_COLS = ["entry_id", "ts", "project_path", "model", "input_tokens", "output_tokens", "cache_create_tokens",
@@ -260,14 +264,23 @@ ENTRY_COLS = ["entry_id", "ts", "project_path", "model", "input_tokens", "output
 def split_parsed(parsed: DataFrame, n_files: int | None = None) -> dict[str, DataFrame]:
     """``entries`` / ``names`` / ``rejects`` from the narrow parsed lines.
 
-    The file order (earliest RFC3339 time of each file, O1.12) is one small
-    aggregate; with a known file count under ``MAX_BROADCAST_FILES`` it is
-    broadcast to the rows, else joined by shuffle.
+    File order (O1.12): the earliest RFC3339 time among the first
+    ``FILE_ORDER_LINES`` physical lines of each file.  Line ids inside the
+    file's first split are consecutive, so a line is among the first N when
+    its id is below the split's smallest id plus N.  Both steps are small
+    per-file aggregates; with a file count (from the listing) under
+    ``MAX_BROADCAST_FILES`` they are broadcast to the rows, else shuffled.
     """
-    order = parsed.groupBy("source_file").agg(F.min("_first_ts_candidate").alias("file_first_ts"))
-    if n_files is not None and n_files <= MAX_BROADCAST_FILES:
-        order = F.broadcast(order)
-    rows = parsed.where(F.col("kind") != "reject").join(order, "source_file", "left")
+    def small(df):
+        return F.broadcast(df) if n_files is not None and n_files <= MAX_BROADCAST_FILES else df
+
+    first_split = parsed.where(F.col("file_block_start") == 0)
+    first_id = first_split.groupBy("source_file").agg(F.min("line_seq").alias("_first_id"))
+    order = (first_split.where(F.col("_first_ts_candidate").isNotNull())
+             .join(small(first_id), "source_file")
+             .where(F.col("line_seq") < F.col("_first_id") + FILE_ORDER_LINES)
+             .groupBy("source_file").agg(F.min("_first_ts_candidate").alias("file_first_ts")))
+    rows = parsed.where(F.col("kind").isin("entry", "name")).join(small(order), "source_file", "left")
     entries = rows.where(F.col("kind") == "entry").select(*ENTRY_COLS)
     names = rows.where((F.col("kind") == "name") & F.col("session_id").isNotNull() & F.col("name").isNotNull()) \
         .select("session_id", F.col("name_kind").alias("kind"), "name", "source_file", "file_first_ts",

@@ -81,3 +81,19 @@ def test_max_files_and_modified_within(spark, tmp_logs):
     recent = parse_lines(scan_logs(spark, tmp_logs, modified_within=dt.timedelta(days=1),
                                    as_of=dt.datetime.fromtimestamp(now + 60, dt.UTC).replace(tzinfo=None)))["entries"].collect()
     assert [r.session_id for r in recent] == ["new"]
+
+
+def test_file_order_looks_at_the_first_100_lines_only(spark, tmp_logs):
+    # a.jsonl: its first 100 lines start at 12:00; an earlier time only on line 102
+    lines_a = [""] + [usage("2024-05-01T12:00:00Z", mid=f"a{i}", requestId="r", sessionId="s")
+                      for i in range(100)] + [usage("2024-05-01T01:00:00Z", mid="dup", requestId="r", sessionId="s",
+                                                    usage={"input_tokens": 1, "output_tokens": 0})]
+    write(tmp_logs, "projects/p/a.jsonl", lines_a)
+    write(tmp_logs, "projects/p/b.jsonl", [usage("2024-05-01T06:00:00Z", mid="dup", requestId="r", sessionId="s",
+                                                 usage={"input_tokens": 2, "output_tokens": 0})])
+    parts = parse_lines(scan_logs(spark, tmp_logs))
+    order = {r.source_file.rsplit("/", 1)[1]: r.file_first_ts for r in
+             parts["entries"].select("source_file", "file_first_ts").distinct().collect()}
+    assert order["a.jsonl"].hour == 12 and order["b.jsonl"].hour == 6
+    out = load_usage(spark, tmp_logs, materialize_as=None)["entries"].where("message_id = 'dup'").collect()
+    assert [r.input_tokens for r in out] == [2]     # b.jsonl loads first, its copy wins
