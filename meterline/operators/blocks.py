@@ -152,7 +152,7 @@ def with_active_flag(blocks: DataFrame, hours: int, as_of) -> DataFrame:
     """``as_of - last < D`` and ``as_of < end`` (O5.3); False without ``as_of``."""
     if as_of is None:
         return blocks.withColumn("is_active", F.lit(False))
-    now = F.lit(as_of).cast("timestamp")
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     d_us = hours * 3600 * 1_000_000
     active = ((F.unix_micros(now) - F.unix_micros("actual_end_time") < d_us)
               & (now < F.col("end_time")) & ~F.col("is_gap"))
@@ -213,7 +213,7 @@ def with_projection(blocks: DataFrame, as_of) -> DataFrame:
     """For active blocks with a burn rate: remaining minutes (>= 0), projected
     total tokens (truncated toward zero) and projected cost (O5.7, O5.12)."""
     b = blocks if "tokens_per_minute" in blocks.columns else with_burn_rate(blocks)
-    now = F.lit(as_of).cast("timestamp")
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     rem = F.greatest(minutes_between("end_time", now), F.lit(0.0))
     ok = F.col("is_active") & ~F.col("is_gap") & F.col("tokens_per_minute").isNotNull()
     return b.withColumns({

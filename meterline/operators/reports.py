@@ -136,9 +136,16 @@ def period_report(df: DataFrame, kind: str, at: str) -> DataFrame:
             .select(F.lit(kind).alias("period"), s.alias("start_time"), end_expr.alias("end_time"), "*"))
 
 
-def weekly_report(df: DataFrame, year: int, week: int) -> DataFrame:
+def weekly_report(df: DataFrame, year: int | None = None, week: int | None = None, as_of=None) -> DataFrame:
     """Week ``week`` of ``year``, week 1 starting on the first Monday, UTC,
-    ``[start, +7d)`` (O4.8)."""
+    ``[start, +7d)`` (O4.8).  Without year/week, the ISO year and week of
+    ``as_of`` are used, as the reference does by default (O9.7); the two
+    numberings differ in some years (SURVEY Q11)."""
+    if year is None or week is None:
+        from datetime import datetime
+        at = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
+        iso = at.isocalendar()
+        year, week = (year or iso[0]), (week or iso[1])
     s = week_start_first_monday(year, week)
     e = s + F.expr("INTERVAL 7 DAYS")
     return (usage_summary(filter_range(df, s, e))

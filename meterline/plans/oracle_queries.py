@@ -617,3 +617,30 @@ ORACLE["project_labels"] = with_base(f"""
            ELSE segs[-1] END AS label,
       CASE WHEN COALESCE(p, '') = '' THEN 'unknown' ELSE string_split(p, '/')[-1] END AS short_name
     FROM l6""")
+
+ORACLE.update({
+    "stream_active_blocks": _raw(with_base(_blocks_ctes("session_id").replace("FROM priced WHERE", "FROM priced_nn WHERE")
+                                           + """
+        SELECT k AS session_id, block_id, entry_count, total_tokens, remaining_minutes, projected_total_tokens,
+          CASE WHEN projected_total_tokens IS NOT NULL THEN
+            CASE WHEN projected_total_tokens / 50000 * 100 > 100 THEN 'exceeds'
+                 WHEN projected_total_tokens / 50000 * 100 > 80 THEN 'warning' ELSE 'ok' END END AS limit_status,
+          CASE WHEN tpm_ind IS NULL THEN NULL WHEN tpm_ind > 1000 THEN 'HIGH' WHEN tpm_ind > 500 THEN 'MODERATE'
+               ELSE 'NORMAL' END AS burn_status,
+          CASE WHEN total_tokens / 50000 * 100 > 95 THEN 'red' WHEN total_tokens / 50000 * 100 > 80 THEN 'yellow'
+               ELSE 'green' END AS usage_level,
+          CASE WHEN projected_total_tokens IS NULL THEN NULL
+               WHEN projected_total_tokens / 50000 * 100 > 100 THEN 'EXCEEDS'
+               WHEN projected_total_tokens / 50000 * 100 > 90 THEN 'APPROACHING' ELSE 'WITHIN' END
+            AS projection_status
+        FROM projected WHERE is_active""", recursive=True)),
+    "blocks_date_filtered": with_base(_blocks_ctes("session_id").replace(
+        "FROM priced WHERE ts IS NOT NULL",
+        "FROM priced WHERE ts IS NOT NULL AND ts >= TIMESTAMP '2024-01-10 00:00:00' "
+        "AND ts < TIMESTAMP '2024-01-21 00:00:00'") + f"SELECT k AS session_id, {_BLOCK_COLS} FROM blk",
+        recursive=True),
+    "sessions_activity_filtered": with_base("SELECT * FROM (" + _SESSION.format(where="") + ") s "
+                                            "WHERE strftime(last_activity, '%Y-%m-%d %H:%M') BETWEEN "
+                                            "'2024-01-30 20:00' AND '2024-01-30 23:59'"),
+    "weekly_default": _range_summary("weekly", "TIMESTAMP '2024-01-15 00:00:00'", "TIMESTAMP '2024-01-22 00:00:00'"),
+})

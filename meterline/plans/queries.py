@@ -625,3 +625,38 @@ QUERIES.update({
     "sessions_csv": q_sessions_csv,
     "usage_table": q_usage_table,
 })
+
+
+# ---- live metrics, remaining filters -------------------------------------------------
+
+def q_stream_active_blocks(spark, sf):
+    from meterline.streaming.live import stream_active_blocks
+    out = stream_active_blocks(_stream_entries(spark, sf), 5, "session_id", token_limit=50_000, as_of=AS_OF,
+                               name="active")
+    return out.select("session_id", "block_id", "entry_count", "total_tokens", "remaining_minutes",
+                      "projected_total_tokens", "limit_status", "burn_status", "usage_level", "projection_status")
+
+
+def q_blocks_date_filtered(spark, sf):
+    from meterline.operators.filters import filter_until_day
+    f = filter_until_day(_facts(spark, sf), "2024-01-10", "2024-01-20", AS_OF)
+    return _block_view(B.identify_blocks(f, 5, "session_id", AS_OF), "session_id")
+
+
+def q_sessions_activity_filtered(spark, sf):
+    from meterline.operators.filters import filter_sessions_activity
+    s = R.session_report(priced_usage(spark, sf), order=VIEW_ORDER)
+    return _sessions(filter_sessions_activity(s, "2024-01-30 20:00", "2024-01-30 23:59", tz="UTC"))
+
+
+def q_weekly_default(spark, sf):
+    s = R.weekly_report(priced_usage(spark, sf, names=False), as_of="2024-01-17 12:00:00")
+    return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
+
+
+QUERIES.update({
+    "stream_active_blocks": q_stream_active_blocks,
+    "blocks_date_filtered": q_blocks_date_filtered,
+    "sessions_activity_filtered": q_sessions_activity_filtered,
+    "weekly_default": q_weekly_default,
+})

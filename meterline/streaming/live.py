@@ -233,3 +233,53 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append",
 
 def money(c: str):
     return money_out(c)
+
+
+def open_blocks_frame(emitted: DataFrame, hours: int, key: str = "session_id") -> DataFrame:
+    """Block rows emitted by ``stream_blocks`` in the batch block schema."""
+    return emitted.select(
+        key, F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_id"), "start_time",
+        (F.col("start_time") + F.make_interval(hours=F.lit(hours))).alias("end_time"),
+        F.col("last_ts").alias("actual_end_time"), "first_ts", F.lit(False).alias("is_gap"), "entry_count",
+        "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
+        (F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_input_tokens")
+         + F.col("cache_read_input_tokens")).alias("total_tokens"),
+        F.col("cost_usd").cast("decimal(38,12)").alias("cost_usd"), "is_closed")
+
+
+def live_block_metrics(blocks: DataFrame, hours: int, as_of, token_limit: int) -> DataFrame:
+    """Burn rate, projection, limit status and live labels of the open blocks
+    (O8.8, applying O5.6-O5.10 to each trigger's block table)."""
+    from meterline.operators.blocks import (with_active_flag, with_burn_rate, with_limit_status,
+                                            with_live_status, with_projection)
+    b = with_active_flag(blocks, hours, as_of)
+    b = with_projection(with_burn_rate(b), as_of)
+    b = with_limit_status(b, token_limit)
+    return with_live_status(b, token_limit)
+
+
+def stream_active_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id", token_limit: int = 0,
+                         as_of=None, name: str = "active-blocks") -> DataFrame:
+    """Run the live block processor; every trigger applies the block metrics
+    to the blocks it emitted and appends the active ones to a table in the
+    shared checkpoint folder, which is returned (``availableNow`` run).
+    ``as_of`` None means each trigger's processing time."""
+    spark = sdf.sparkSession
+    base = checkpoint_dir(spark).rstrip("/") + f"/meterline-streams/{name}-{uuid.uuid4().hex[:8]}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        now = as_of if as_of is not None else F.current_timestamp()
+        m = live_block_metrics(open_blocks_frame(batch, hours, key).where(~F.col("is_closed")), hours, now,
+                               token_limit)
+        m.where("is_active").withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(base + "/out")
+
+    q = (stream_blocks(sdf, hours, key).writeStream.outputMode("update")
+         .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True).foreachBatch(each).start())
+    q.awaitTermination()
+    try:
+        out = spark.read.parquet(base + "/out")
+    except Exception:  # no active block was ever emitted
+        return None
+    # the latest trigger's view of each block
+    return (out.groupBy(key, "start_time").agg(F.max_by(F.struct("*"), F.col("_epoch")).alias("b"))
+            .select("b.*").drop("_epoch"))
