@@ -58,25 +58,55 @@ def normalize_month(value: str) -> str:
     return v
 
 
+def _local_midnight_utc(day: str, tz: str | None) -> F.Column:
+    t = F.lit(f"{day} 00:00:00").cast("timestamp")
+    return t if tz in (None, "", "UTC") else F.to_utc_timestamp(t, tz)
+
+
+def ts_bounds(since_day: str | None, until_day_exclusive: str | None, tz: str | None) -> F.Column:
+    """The same range as a predicate on the raw ``ts`` column, which the
+    parquet reader can push down (row-group and partition pruning)."""
+    cond = F.lit(True)
+    if since_day:
+        cond = cond & (F.col("ts") >= _local_midnight_utc(since_day, tz))
+    if until_day_exclusive:
+        cond = cond & (F.col("ts") < _local_midnight_utc(until_day_exclusive, tz))
+    return cond
+
+
 def filter_days(df: DataFrame, since: str | None = None, until: str | None = None,
-                key: str = "date_key") -> DataFrame:
-    """Inclusive day-key range, string compare (O2.5)."""
+                key: str = "date_key", tz: str | None = None) -> DataFrame:
+    """Inclusive day-key range, string compare (O2.5).  With ``tz`` the range
+    is also stated on ``ts`` so it reaches the scan."""
     cond = F.lit(True)
-    if since:
-        cond = cond & (F.col(key) >= normalize_day(since))
-    if until:
-        cond = cond & (F.col(key) <= normalize_day(until))
+    s = normalize_day(since) if since else None
+    u = normalize_day(until) if until else None
+    if s:
+        cond = cond & (F.col(key) >= s)
+    if u:
+        cond = cond & (F.col(key) <= u)
+    if tz is not None and (s or u):
+        nxt = (datetime.strptime(u, "%Y-%m-%d") + timedelta(days=1)).strftime("%Y-%m-%d") if u else None
+        cond = cond & ts_bounds(s, nxt, tz)
     return df.where(cond)
 
 
 def filter_months(df: DataFrame, since: str | None = None, until: str | None = None,
-                  key: str = "month_key") -> DataFrame:
-    """Inclusive month-key range (O2.6)."""
+                  key: str = "month_key", tz: str | None = None) -> DataFrame:
+    """Inclusive month-key range (O2.6); with ``tz`` also stated on ``ts``."""
     cond = F.lit(True)
-    if since:
-        cond = cond & (F.col(key) >= normalize_month(since))
-    if until:
-        cond = cond & (F.col(key) <= normalize_month(until))
+    s = normalize_month(since) if since else None
+    u = normalize_month(until) if until else None
+    if s:
+        cond = cond & (F.col(key) >= s)
+    if u:
+        cond = cond & (F.col(key) <= u)
+    if tz is not None and (s or u):
+        nxt = None
+        if u:
+            y, m = int(u[:4]), int(u[5:])
+            nxt = f"{y + (m == 12):04d}-{(m % 12) + 1:02d}-01"
+        cond = cond & ts_bounds(f"{s}-01" if s else None, nxt, tz)
     return df.where(cond)
 
 

@@ -64,7 +64,7 @@ def daily_report(df: DataFrame, tz: str = "UTC", since: str | None = None, until
                  with_total: bool = False) -> DataFrame:
     """Per day in zone ``tz``: distinct sessions, model labels, token and cost
     sums; total tokens recomputed from the four parts (O4.1, O4.3)."""
-    x = filter_days(valid_time(df).withColumn("date_key", date_key("ts", tz)), since, until)
+    x = filter_days(valid_time(df).withColumn("date_key", date_key("ts", tz)), since, until, tz=tz)
     return _period_report(x, "date_key", F.col("date_key"), True, with_total)
 
 
@@ -72,7 +72,7 @@ def monthly_report(df: DataFrame, tz: str = "UTC", since: str | None = None, unt
                    with_total: bool = False) -> DataFrame:
     """Per month; total tokens are the stored per-entry totals (O4.2, O4.3)."""
     x = valid_time(df).withColumn("month_key", month_key(date_key("ts", tz)))
-    x = filter_months(x, since, until)
+    x = filter_months(x, since, until, tz=tz)
     return _period_report(x, "month_key", F.col("month_key"), False, with_total)
 
 
