@@ -17,7 +17,9 @@ Plan, with no global sort and no range join:
    the list of block starts (a key's list is bounded by its time span, about
    17,500 marks per year, not by its row count).
 3. Start marks and hour rows are unioned and ``last(start, ignorenulls)`` over
-   a window per key gives every hour row its block start.
+   a window per key gives every hour row its block start.  The compressed
+   table feeds both steps, so it is checkpointed once (small: two rows per
+   key and hour at most) and the facts are aggregated a single time.
 4. A second small aggregate by (key, block start) merges the hour rows.
 
 Gaps, burn rate, projection and limit status are column expressions and
@@ -92,8 +94,11 @@ def _block_starts(hourly: DataFrame, keys: list[str], hours: int) -> DataFrame:
 def block_assignment(df: DataFrame, hours: int = DEFAULT_HOURS, key=None,
                      hourly: DataFrame | None = None) -> DataFrame:
     """(key, hour mark, strict) -> block start, plus the hour's measures."""
+    from meterline.session import materialize_checkpoint
     keys = key_list(key)
-    hourly = hourly if hourly is not None else hourly_usage(df, key)
+    # the compressed table feeds two branches: materialize it once so the
+    # facts are aggregated a single time
+    hourly = hourly if hourly is not None else materialize_checkpoint(hourly_usage(df, key))
     starts = _block_starts(hourly, keys, hours).withColumn("_is_start", F.lit(True))
     rows = hourly.withColumn("_is_start", F.lit(False))
     both = rows.unionByName(starts, allowMissingColumns=True)

@@ -3,11 +3,13 @@
 Rows with both a message id and a request id keep only their first copy in
 load order; rows missing either key are never deduplicated.
 
-Plan: a ``min`` over ``struct(order, row)`` grouped by the key.  Unlike a
+Plan: one ``min`` over ``struct(order, row)`` grouped by the key.  Unlike a
 ``row_number`` window this aggregate runs partially on the map side, so a
 hot key (a third of all rows) is reduced to one row per map task before the
-shuffle.  The un-keyed rows bypass the shuffle entirely (``unionByName``),
-which also avoids one giant NULL-key partition.
+shuffle.  Un-keyed rows must all survive: they are grouped by their own
+position in the load order (unique per line), so they form singleton groups
+instead of one giant NULL-key group, and the facts are read once (a union of
+a keyed and an un-keyed branch would scan the input twice).
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from meterline.schema import LOAD_ORDER
 def keep_first(df: DataFrame, keys: list[str], order: list[str], keyed=None) -> DataFrame:
     cols = df.columns
     keyed = keyed if keyed is not None else F.lit(True)
-    with_keys = df.where(keyed)
-    without = df.where(~keyed)
-    best = (with_keys.groupBy(*keys)
+    group = [F.when(keyed, F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # un-keyed rows: their load-order position makes each one its own group
+    group.append(F.when(~keyed, F.struct(*[F.col(c) for c in order])).alias("_own"))
+    return (df.groupBy(*group)
             .agg(F.min(F.struct(order_struct(order).alias("o"), F.struct(*cols).alias("r"))).alias("_m"))
             .select(*[F.col(f"_m.r.{c}").alias(c) for c in cols]))
-    return best.unionByName(without)
 
 
 def dedup_usage(df: DataFrame, order: list[str] = LOAD_ORDER) -> DataFrame:
