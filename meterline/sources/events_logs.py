@@ -31,10 +31,24 @@ def _rfc3339(c):
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def usage_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(rel_path, ts, line_seq, kind, line)`` for every log line."""
+def usage_log_lines(spark: SparkSession, sf_dir: str, replicas: int = 1) -> DataFrame:
+    """``(rel_path, ts, line_seq, kind, line)`` for every log line.
+
+    ``replicas`` > 1 repeats every event that many times inside the same
+    files, with replica-specific entry and message ids (a larger log set for
+    throughput measurements; replica 0 is the plain set).
+    """
     u = usage_view(spark, sf_dir).withColumn(
         "rel_path", F.concat(F.lit("projects/"), F.substring_index(F.col("source_file"), LOG_PREFIX, -1)))
+    if replicas > 1:
+        rep = F.col("_rep")
+        u = (u.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+             .withColumns({"entry_id": F.when(rep == 0, F.col("entry_id"))
+                                        .otherwise(F.concat_ws("-", "entry_id", rep.cast("string"))),
+                           "message_id": F.when(rep == 0, F.col("message_id"))
+                                          .otherwise(F.concat_ws("-r", "message_id", rep.cast("string"))),
+                           "line_seq": F.col("line_seq") * replicas + rep})
+             .drop("_rep"))
     usage = u.select(
         "rel_path", "ts", "line_seq", F.lit(0).alias("kind"),
         F.to_json(F.struct(
@@ -52,8 +66,9 @@ def usage_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.col("cache_read_tokens").alias("cache_read_input_tokens")).alias("usage")
                      ).alias("message"))).alias("line"))
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    named = u.join(ev.withColumnRenamed("event_id", "line_seq"), "line_seq").where(
-        F.col("event_type").isin("signup", "error"))
+    named = u.join(ev.withColumnRenamed("event_id", "_eid"),
+                   F.col("_eid") == (F.floor(F.col("line_seq") / replicas) if replicas > 1 else F.col("line_seq"))
+                   ).where(F.col("event_type").isin("signup", "error")).drop("_eid")
     names = named.select(
         "rel_path", "ts", "line_seq", F.lit(1).alias("kind"),
         F.when(F.col("event_type") == "signup", F.to_json(F.struct(
@@ -75,7 +90,7 @@ def usage_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.unionByName(names).unionByName(bad)
 
 
-def events_log_root(spark: SparkSession, sf_dir: str) -> str:
+def events_log_root(spark: SparkSession, sf_dir: str, replicas: int = 1) -> str:
     """Write (once per table set) and return the log root for ``sf_dir``.
 
     The files live under the shared ``spark.checkpoint.dir``; a marker file
@@ -84,8 +99,9 @@ def events_log_root(spark: SparkSession, sf_dir: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     st = os.stat(f"{sf_dir}/events.parquet") if os.path.exists(f"{sf_dir}/events.parquet") else None
     tag = hashlib.sha1(f"{sf_dir}|{st.st_size if st else 0}|{st.st_mtime if st else 0}|v1".encode()).hexdigest()[:12]
-    root = f"{base}/meterline-logs/{os.path.basename(sf_dir.rstrip('/'))}-{tag}"
+    suffix = f"-x{replicas}" if replicas > 1 else ""
+    root = f"{base}/meterline-logs/{os.path.basename(sf_dir.rstrip('/'))}-{tag}{suffix}"
     if not exists(root, "_DONE"):
-        write_jsonl(usage_log_lines(spark, sf_dir), root, order=["ts", "line_seq", "kind"])
+        write_jsonl(usage_log_lines(spark, sf_dir, replicas), root, order=["ts", "line_seq", "kind"])
         touch(root, "_DONE")
     return root

@@ -180,10 +180,11 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
     wide (the raw JSON, the VARIANT) leaves this projection; blank lines keep
     only their position, which the file order needs."""
     v = F.try_parse_json(F.col("line"))
-    blank = (lines.where(F.trim("line") == "")
-             .select(F.lit("blank").alias("kind"), "source_file", "file_block_start", "line_seq"))
-    x = (lines.where(F.trim("line") != "")
-         .select("line", "source_file", "file_block_start", "line_seq", _struct_of(v, TOP).alias("r")))
+    # one pass over the text: blank lines stay (their position counts for the
+    # file order) but are never parsed
+    is_blank = F.trim("line") == ""
+    x = lines.select("line", "source_file", "file_block_start", "line_seq", is_blank.alias("_blank"),
+                     F.when(~is_blank, _struct_of(v, TOP)).alias("r"))
     r = F.col("r")
     m = _struct_of(r["message"], MESSAGE)
     x = x.select("*", m.alias("m"))
@@ -199,7 +200,8 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
         _str(r["timestamp"]).alias("_ts_str"))
     is_title = F.coalesce(F.col("_type") == "custom-title", F.lit(False))
     is_agent = F.coalesce(F.col("_type") == "agent-name", F.lit(False))
-    reason = (F.when(r.isNull(), F.lit("malformed_json"))
+    reason = (F.when(F.col("_blank"), F.lit(None).cast("string"))
+              .when(r.isNull(), F.lit("malformed_json"))
               .when(is_title | is_agent, F.lit(None).cast("string"))
               .when(F.col("_in").isNotNull() & F.col("_out").isNotNull(),
                     F.when(F.col("_ts").isNull() | (F.year("_ts") < 2020), F.lit("invalid_time"))
@@ -211,7 +213,8 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
               .when(u["output_tokens"].isNull(), F.lit("missing_output_tokens"))
               .otherwise(F.lit("output_tokens_not_number")))
     x = x.select("*", reason.alias("reject_reason"))
-    kind = (F.when(F.col("reject_reason").isNotNull(), F.lit("reject"))
+    kind = (F.when(F.col("_blank"), F.lit("blank"))
+            .when(F.col("reject_reason").isNotNull(), F.lit("reject"))
             .when(is_title | is_agent, F.lit("name")).otherwise(F.lit("entry")))
     x = x.select("*", kind.alias("kind"))
     entry = F.col("kind") == "entry"
@@ -253,7 +256,7 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
         F.when(is_title, _str(r["customTitle"])).when(is_agent, _str(r["agentName"])).alias("name"),
         "reject_reason",
         F.when(F.col("kind") == "reject", counted).alias("counted"),
-        F.when(F.col("kind") == "reject", F.col("line")).alias("line")).unionByName(blank, allowMissingColumns=True)
+        F.when(F.col("kind") == "reject", F.col("line")).alias("line"))
 
 
 ENTRY_COLS = ["entry_id", "ts", "project_path", "model", "input_tokens", "output_tokens", "cache_create_tokens",
