@@ -136,7 +136,7 @@ ORACLE.update({
     "weekly_report": _range_summary("weekly", "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-15 00:00:00'"),
     "weekly_report_all": with_base(
         _summary("ts IS NOT NULL AND year(ts) >= 2020",
-                 ", year(date_trunc('week', ts)) AS week_year, "
+                 ", CAST(year(date_trunc('week', ts)) AS INTEGER) AS week_year, "
                  "CAST(floor((dayofyear(date_trunc('week', ts)) - 1) / 7) + 1 AS INTEGER) AS week, "
                  "CAST(date_trunc('week', ts) AS TIMESTAMP) AS start_time", "week_year, week, start_time")
         + f"""SELECT t.week_year, t.week, t.start_time, t.start_time + INTERVAL 7 DAY AS end_time,
@@ -523,18 +523,18 @@ ORACLE.update({
     "block_time_labels": with_base(_blocks_ctes("session_id") + f"""
         , allb AS (SELECT * FROM blk UNION ALL BY NAME SELECT * FROM gaps)
         SELECT k AS session_id, block_id,
-          CASE WHEN is_gap THEN floor((epoch_us(end_time) - epoch_us(start_time)) / 60000000.0 / 60) END AS gap_hours,
-          CASE WHEN NOT is_gap THEN floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0 / 60) END
+          CASE WHEN is_gap THEN CAST(floor((epoch_us(end_time) - epoch_us(start_time)) / 60000000.0 / 60) AS BIGINT) END AS gap_hours,
+          CASE WHEN NOT is_gap THEN CAST(floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0 / 60) AS BIGINT) END
             AS span_hours,
-          CASE WHEN NOT is_gap THEN floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0) % 60 END
+          CASE WHEN NOT is_gap THEN CAST(floor((epoch_us(actual_end_time) - epoch_us(start_time)) / 60000000.0) % 60 AS BIGINT) END
             AS span_minutes,
-          CASE WHEN is_active THEN floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0 / 60) END
+          CASE WHEN is_active THEN CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0 / 60) AS BIGINT) END
             AS elapsed_hours,
-          CASE WHEN is_active THEN floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0) % 60 END
+          CASE WHEN is_active THEN CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(start_time)) / 60000000.0) % 60 AS BIGINT) END
             AS elapsed_minutes_part,
-          CASE WHEN is_active THEN floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0 / 60) END
+          CASE WHEN is_active THEN CAST(floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0 / 60) AS BIGINT) END
             AS remaining_hours,
-          CASE WHEN is_active THEN floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0) % 60 END
+          CASE WHEN is_active THEN CAST(floor((epoch_us(end_time) - epoch_us(TIMESTAMP '{AS_OF}')) / 60000000.0) % 60 AS BIGINT) END
             AS remaining_minutes_part
         FROM allb""", recursive=True),
     "entries_csv": with_base(f"""
@@ -644,3 +644,19 @@ ORACLE.update({
                                             "'2024-01-30 20:00' AND '2024-01-30 23:59'"),
     "weekly_default": _range_summary("weekly", "TIMESTAMP '2024-01-15 00:00:00'", "TIMESTAMP '2024-01-22 00:00:00'"),
 })
+
+
+# ---- result types ---------------------------------------------------------------------
+# DuckDB sums BIGINT columns into HUGEINT; Spark keeps BIGINT.  The integer
+# sums are cast back so both sides have the same column types.
+_INT_SUMS = ["input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "total_tokens",
+             "n", "tokens"]
+
+
+def _bigint_sums(sql: str) -> str:
+    for c in _INT_SUMS:
+        sql = sql.replace(f"sum({c})", f"CAST(sum({c}) AS BIGINT)")
+    return sql
+
+
+ORACLE.update({k: _bigint_sums(v) for k, v in ORACLE.items()})

@@ -612,7 +612,8 @@ def q_usage_table(spark, sf):
     path = checkpoint_dir(spark).rstrip("/") + f"/meterline-table/{_uuid.uuid4().hex[:8]}"
     write_usage_table(_facts(spark, sf).withColumn("date_key", date_key("ts")), path)
     day = spark.read.parquet(path).where(F.col("date_key") == "2024-01-15")
-    return day.select("entry_id", "date_key", "total_tokens", money_out("cost").alias("cost"))
+    return day.select("entry_id", F.col("date_key").cast("string").alias("date_key"), "total_tokens",
+                      money_out("cost").alias("cost"))
 
 
 QUERIES.update({

@@ -45,6 +45,15 @@ def get_spark(master: str | None = None, app: str = "meterline",
     return spark
 
 
+def ensure_session(spark: SparkSession) -> SparkSession:
+    """Apply the session settings the operators rely on (UTC session time,
+    AQE) to a session created elsewhere."""
+    for k, v in BASE_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -67,6 +76,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+class session_conf:
+    """Temporarily set session options for the jobs run inside the block."""
+
+    def __init__(self, spark: SparkSession, **options: str):
+        self.spark, self.options, self.saved = spark, options, {}
+
+    def __enter__(self):
+        for k, v in self.options.items():
+            key = k.replace("__", ".")
+            self.saved[key] = self.spark.conf.get(key, None)
+            self.spark.conf.set(key, v)
+        return self
+
+    def __exit__(self, *exc):
+        for key, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, v)
+        return False
+
+
 def materialize_checkpoint(df):
     """Reliable checkpoint into ``spark.checkpoint.dir``, computing the plan
     once: the rows are cached while the checkpoint job writes them (a plain

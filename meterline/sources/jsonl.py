@@ -329,9 +329,13 @@ def materialize(parsed: DataFrame, how: str | None = "checkpoint") -> DataFrame:
     """``checkpoint``: written to the shared ``spark.checkpoint.dir`` (cuts the
     lineage: a lost executor never re-parses text); ``cache``: kept by the
     block manager; None: left lazy."""
-    from meterline.session import materialize_checkpoint
+    from meterline.session import materialize_checkpoint, session_conf
     if how == "checkpoint":
-        return materialize_checkpoint(parsed)
+        # the parser's fused stage is too large for one generated method: the
+        # compile would fail and fall back each time, so this one job runs
+        # without whole-stage fusion (expressions keep their generated code)
+        with session_conf(parsed.sparkSession, spark__sql__codegen__wholeStage="false"):
+            return materialize_checkpoint(parsed)
     if how == "cache":
         return parsed.persist()
     return parsed

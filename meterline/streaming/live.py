@@ -72,7 +72,7 @@ def stream_daily(sdf: DataFrame, tz: str = "UTC") -> DataFrame:
     sessions and the model catalogue)."""
     x = sdf.withColumn("date_key", date_key("ts", tz))
     return x.groupBy("date_key").agg(
-        F.size(F.collect_set(F.when(nonempty("session_id"), F.col("session_id")))).alias("sessions"),
+        F.size(F.collect_set(F.when(nonempty("session_id"), F.col("session_id")))).cast("bigint").alias("sessions"),
         F.array_join(F.sort_array(F.collect_set(F.when(is_real_model("model"), model_label("model")))), ";")
         .alias("models"),
         F.count(F.lit(1)).alias("requests"),
