@@ -3,7 +3,9 @@
 Spark's text writer cannot name files, so each task writes the files of the
 paths it owns through the Arrow file-system layer (local, HDFS or object
 stores alike).  Rows are hash-partitioned by path and sorted inside the
-task, so every file is written by exactly one task, in line order.
+task, so every file is written by exactly one task, in line order.  A task
+attempt writes to a private temporary name and moves the finished file into
+place, so a retried or speculative attempt never exposes a partial file.
 """
 
 from __future__ import annotations
@@ -33,21 +35,29 @@ def write_jsonl(df: DataFrame, root_uri: str, path_col: str = "rel_path", line_c
                .select(F.col(path_col).alias("p"), F.col(line_col).alias("l")))
 
     def writer(batches):
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        attempt = ctx.taskAttemptId() if ctx is not None else 0
         filesystem, base = _open_fs(root_uri)
-        current, out, written = None, None, []
+        current, out, tmp, written = None, None, None, []
+
+        def finish():
+            if out is not None:
+                out.close()
+                filesystem.move(tmp, f"{base}/{current}")
+
         for pdf in batches:
             for p, line in zip(pdf["p"], pdf["l"]):
                 if p != current:
-                    if out is not None:
-                        out.close()
+                    finish()
                     current = p
                     parent = f"{base}/{p}".rsplit("/", 1)[0]
                     filesystem.create_dir(parent, recursive=True)
-                    out = filesystem.open_output_stream(f"{base}/{p}")
+                    tmp = f"{base}/{p}.attempt-{attempt}.tmp"
+                    out = filesystem.open_output_stream(tmp)
                     written.append(p)
                 out.write((line + "\n").encode("utf-8"))
-        if out is not None:
-            out.close()
+        finish()
         yield pd.DataFrame({"p": written})
 
     return ordered.mapInPandas(writer, "p string").count()
