@@ -28,6 +28,7 @@ from meterline.session import checkpoint_dir
 from meterline.sources.jsonl import ENTRY_COLS, JSONL_GLOB, parse_narrow, plain_path
 
 MIN_REFRESH_SECONDS = 1
+COST_UNITS = 10 ** 12          # money is carried as exact integer units of 1e-12
 MAX_REFRESH_SECONDS = 60
 LIVE_WINDOW = "24 hours"
 
@@ -146,25 +147,37 @@ def _block_processor(key: str, hours: int):
             yield pd.DataFrame(out, columns=[f.name for f in _block_output(key).fields])
             return
         rows = pd.concat(list(pdfs), ignore_index=True)
-        rows = rows.sort_values(["ts_us", "line_seq"], kind="stable")
-        for r in rows.itertuples(index=False):
-            t = int(r.ts_us)
-            if st is not None and t < st["block_start_us"]:
+        # vectorized compression: one mark per (hour, strictly after the hour);
+        # the sequential rule then walks the marks, never the rows
+        ts = rows["ts_us"].astype("int64")
+        rows = rows.assign(
+            hs=ts - ts % hour_us, strict=ts % hour_us != 0,
+            cc=rows["cache_create_tokens"].fillna(0).astype("int64"),
+            cr=rows["cache_read_tokens"].fillna(0).astype("int64"),
+            cost_units=[int(Decimal(c) * COST_UNITS) for c in rows["cost"]])
+        marks = (rows.groupby(["hs", "strict"], sort=True)
+                 .agg(n=("ts_us", "size"), first_us=("ts_us", "min"), last_us=("ts_us", "max"),
+                      inp=("input_tokens", "sum"), outp=("output_tokens", "sum"), cc=("cc", "sum"),
+                      cr=("cr", "sum"), cost_units=("cost_units", "sum"))
+                 .reset_index())
+        for m in marks.itertuples(index=False):
+            hs = int(m.hs)
+            if st is not None and hs < st["block_start_us"]:
                 continue  # older than the open block: corrected by the batch refresh
-            if st is None or t - st["block_start_us"] > d_us:
+            if st is None or hs > st["block_start_us"] + d_us or (hs == st["block_start_us"] + d_us and m.strict):
                 if st is not None:
                     out.append(emit(k, st, True))
-                st = {"block_start_us": t - t % hour_us, "first_us": t, "last_us": t, "n": 0, "input_tokens": 0,
-                      "output_tokens": 0, "cache_creation_input_tokens": 0, "cache_read_input_tokens": 0,
-                      "cost_usd": "0"}
-            st["first_us"] = min(st["first_us"], t)
-            st["last_us"] = max(st["last_us"], t)
-            st["n"] += 1
-            st["input_tokens"] += int(r.input_tokens or 0)
-            st["output_tokens"] += int(r.output_tokens or 0)
-            st["cache_creation_input_tokens"] += int(r.cache_create_tokens or 0) if pd.notna(r.cache_create_tokens) else 0
-            st["cache_read_input_tokens"] += int(r.cache_read_tokens or 0) if pd.notna(r.cache_read_tokens) else 0
-            st["cost_usd"] = str(Decimal(st["cost_usd"]) + Decimal(str(r.cost)))
+                st = {"block_start_us": hs, "first_us": int(m.first_us), "last_us": int(m.last_us), "n": 0,
+                      "input_tokens": 0, "output_tokens": 0, "cache_creation_input_tokens": 0,
+                      "cache_read_input_tokens": 0, "cost_usd": "0"}
+            st["first_us"] = min(st["first_us"], int(m.first_us))
+            st["last_us"] = max(st["last_us"], int(m.last_us))
+            st["n"] += int(m.n)
+            st["input_tokens"] += int(m.inp)
+            st["output_tokens"] += int(m.outp)
+            st["cache_creation_input_tokens"] += int(m.cc)
+            st["cache_read_input_tokens"] += int(m.cr)
+            st["cost_usd"] = str(Decimal(st["cost_usd"]) + Decimal(int(m.cost_units)) / COST_UNITS)
         if st is not None:
             end_ms = st["block_start_us"] // 1000 + d_us // 1000 + 1
             if end_ms <= state.getCurrentWatermarkMs():
@@ -186,7 +199,9 @@ def stream_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id", delay
     State per key: the open block's start, first/last time and sums.  An
     entry more than D after the block start closes it; the open block also
     closes when the watermark passes its end.  Each trigger emits the open
-    block (``is_closed`` false) and every block closed in it.
+    block (``is_closed`` false) and every block closed in it.  Inside a
+    trigger a key's rows are first compressed (vectorized) to one mark per
+    hour and side of the hour mark, and the rule walks the marks.
     """
     x = (sdf.withWatermark("ts", delay)
          .select(F.col(key).cast("string").alias(key), "ts", F.unix_micros("ts").alias("ts_us"), "line_seq",
