@@ -298,3 +298,16 @@ def stream_active_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id"
     # the latest trigger's view of each block
     return (out.groupBy(key, "start_time").agg(F.max_by(F.struct("*"), F.col("_epoch")).alias("b"))
             .select("b.*").drop("_epoch"))
+
+
+def run_live(sdf: DataFrame, name: str, refresh_seconds: float = 5, output_mode: str = "update",
+             sink=None):
+    """Start a long-running live query refreshing every ``refresh_seconds``
+    (clamped to 1-60 s, O8.10).  ``sink`` is a ``foreachBatch`` function;
+    without one the rows go to an in-memory table named ``name`` (for
+    interactive use).  The checkpoint lives under ``spark.checkpoint.dir``,
+    so a restarted query resumes; the caller stops the returned query."""
+    base = checkpoint_dir(sdf.sparkSession).rstrip("/") + f"/meterline-streams/{name}"
+    w = (sdf.writeStream.outputMode(output_mode).option("checkpointLocation", base + "/_checkpoint")
+         .trigger(processingTime=refresh_interval(refresh_seconds)))
+    return (w.foreachBatch(sink) if sink is not None else w.format("memory").queryName(name)).start()

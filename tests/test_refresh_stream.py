@@ -47,3 +47,16 @@ def test_stream_equals_batch(spark, tmp_logs):
     final = blocks.groupBy("start_time").agg(F.max("entry_count").alias("n")).orderBy("start_time").collect()
     # hours 0,3 | 6,9 | 12,15 | 18 with 5-hour blocks
     assert [r.n for r in final] == [2, 2, 2, 1]
+
+
+def test_refresh_interval_is_clamped_and_live_query_runs(spark, tmp_logs):
+    import time
+    from meterline.streaming.live import refresh_interval, run_live, stream_totals
+    assert refresh_interval(0.2) == "1 seconds" and refresh_interval(600) == "60 seconds"
+    write(tmp_logs, "projects/p/a.jsonl", [usage("2024-05-01T10:00:00Z", sessionId="s")])
+    q = run_live(stream_totals(with_cost(stream_logs(spark, tmp_logs))), f"live_{int(time.time())}", 1, "complete")
+    try:
+        q.processAllAvailable()
+        assert spark.sql(f"SELECT total_requests FROM {q.name}").collect()[0][0] == 1
+    finally:
+        q.stop()
