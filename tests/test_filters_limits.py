@@ -42,3 +42,22 @@ def test_limits_and_levels(spark):
     assert [rows[t].level for t in ("five_hour", "seven_day_sonnet", "seven_day")] == ["green", "yellow", "red"]
     assert rows["five_hour"].reset_label == "Resets 6pm (UTC)"
     assert rows["seven_day_sonnet"].reset_label == "Resets Mar 13 at 7:30pm (UTC)"
+
+
+def test_filter_day_in_zone(spark):
+    from meterline.operators.filters import filter_day
+    rows = [(dt.datetime(2024, 3, 10, 4, 59),), (dt.datetime(2024, 3, 10, 5, 0),), (dt.datetime(2024, 3, 11, 3, 59),),
+            (dt.datetime(2024, 3, 11, 4, 0),)]
+    df = spark.createDataFrame(rows, "ts timestamp")
+    # 2024-03-10 in New York: 05:00 UTC to 04:00 UTC next day (the clocks change that night)
+    got = sorted(r.ts for r in filter_day(df, "20240310", "America/New_York").collect())
+    assert got == [dt.datetime(2024, 3, 10, 5, 0), dt.datetime(2024, 3, 11, 3, 59)]
+
+
+def test_removed_projects(spark):
+    from meterline.streaming.refresh import removed_projects
+    t = dt.datetime(2024, 1, 1)
+    schema = "path string, modification_time timestamp, length long"
+    old = spark.createDataFrame([("/r/projects/a/1.jsonl", t, 1), ("/r/projects/b/2.jsonl", t, 1)], schema)
+    new = spark.createDataFrame([("/r/projects/a/1.jsonl", t, 1)], schema)
+    assert [r.project for r in removed_projects(old, new).collect()] == ["b"]
