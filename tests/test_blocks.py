@@ -118,3 +118,13 @@ def test_plan_compresses_before_the_fold(spark):
     df = priced(spark, [(T0, 1, 1, 0, 0)])
     plan = B.identify_blocks(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate" in plan.lower()
+
+
+def test_block_reset_time_is_last_parseable_value(spark):
+    df = priced(spark, [(T0, 1, 1, 0, 0), (T0 + dt.timedelta(minutes=5), 1, 1, 0, 0),
+                        (T0 + dt.timedelta(minutes=9), 1, 1, 0, 0)])
+    resets = spark.createDataFrame([("e0", "2024-03-01T05:00:00Z"), ("e1", "2024-03-01T06:30:00+01:00"),
+                                    ("e2", "not a time")], "entry_id string, usage_limit_reset_time string")
+    df = df.drop("usage_limit_reset_time").join(resets, "entry_id")
+    b = B.identify_blocks(df).collect()[0]
+    assert b.usage_limit_reset_time == dt.datetime(2024, 3, 1, 5, 30)   # e1, in UTC; e2 does not parse
