@@ -67,12 +67,18 @@ def stream_dedup(sdf: DataFrame, delay: str = LIVE_WINDOW) -> DataFrame:
     return first.unionByName(w.where(~keyed))
 
 
-def stream_daily(sdf: DataFrame, tz: str = "UTC") -> DataFrame:
+def stream_daily(sdf: DataFrame, tz: str = "UTC", delay: str | None = None) -> DataFrame:
     """Incremental daily report over priced entries (O8.6).  Sessions and
     models are exact sets held in state per day (bounded by the day's
-    sessions and the model catalogue)."""
-    x = sdf.withColumn("date_key", date_key("ts", tz))
-    return x.groupBy("date_key").agg(
+    sessions and the model catalogue).
+
+    Without ``delay`` every day stays in state (complete/update output).  With
+    ``delay`` (UTC days only) the days are event-time windows under a
+    watermark: a day is emitted once in append mode when the watermark passes
+    its end, and its state is dropped, so a long-running stream keeps only
+    the open days.
+    """
+    aggs = [
         F.size(F.collect_set(F.when(nonempty("session_id"), F.col("session_id")))).cast("bigint").alias("sessions"),
         F.array_join(F.sort_array(F.collect_set(F.when(is_real_model("model"), model_label("model")))), ";")
         .alias("models"),
@@ -81,7 +87,13 @@ def stream_daily(sdf: DataFrame, tz: str = "UTC") -> DataFrame:
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
         F.sum(F.coalesce("cache_create_tokens", F.lit(0))).alias("cache_create_tokens"),
         F.sum(F.coalesce("cache_read_tokens", F.lit(0))).alias("cache_read_tokens"),
-        F.sum("cost").alias("cost"))
+        F.sum("cost").alias("cost")]
+    if delay is not None:
+        if tz not in (None, "", "UTC"):
+            raise ValueError("finalized days are UTC days; use delay=None for other zones")
+        g = sdf.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w")).agg(*aggs)
+        return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("date_key"), *[a for a in g.columns if a != "w"])
+    return sdf.withColumn("date_key", date_key("ts", tz)).groupBy("date_key").agg(*aggs)
 
 
 def stream_totals(sdf: DataFrame) -> DataFrame:

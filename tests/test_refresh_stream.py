@@ -60,3 +60,11 @@ def test_refresh_interval_is_clamped_and_live_query_runs(spark, tmp_logs):
         assert spark.sql(f"SELECT total_requests FROM {q.name}").collect()[0][0] == 1
     finally:
         q.stop()
+
+
+def test_finalized_days_are_emitted_once(spark, tmp_logs):
+    lines = [usage(f"2024-05-0{d}T10:00:00Z", mid=f"m{d}", requestId="r", sessionId="s") for d in (1, 2, 3)]
+    write(tmp_logs, "projects/p/a.jsonl", lines)
+    out = run_available_now(stream_daily(with_cost(stream_logs(spark, tmp_logs)), delay="1 hour"), "t-final")
+    # the watermark (last event - 1 h) has passed the ends of May 1 and May 2 only
+    assert sorted(r.date_key for r in out.collect()) == ["2024-05-01", "2024-05-02"]
