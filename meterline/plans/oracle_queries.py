@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterline.plans.oracle import AS_OF, model_label_sql, with_base
+from meterline.plans.oracle import AS_OF, LOAD_DEDUP_ORDER, model_label_sql, with_base
 
 
 def _local(ts: str, tz: str) -> str:
@@ -305,8 +305,6 @@ ORACLE.update({
 
 # ---- JSONL logs: same facts, load-order dedup ------------------------------------
 
-from meterline.plans.oracle import LOAD_DEDUP_ORDER  # noqa: E402
-
 
 def _load_order(sql_with_base: str) -> str:
     return sql_with_base.replace("ORDER BY r.ts, r.line_seq) = 1", f"ORDER BY {LOAD_DEDUP_ORDER}) = 1")

@@ -11,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.operators import blocks as B
+from meterline.operators import extras as X
 from meterline.operators import reports as R
-from meterline.plans.usage import joined, map_joined, priced_usage
+from meterline.operators.common import money_out
+from meterline.operators.dedup import dedup_usage as _dedup
+from meterline.operators.pricing import resolve_prices as _resolve
+from meterline.plans.usage import joined, map_joined, priced_usage, view_names
+from meterline.sources.events_view import VIEW_ORDER, usage_view
 
 AS_OF = "2024-01-31 00:00:00"
 REPORT_COLS = ["sessions", "models", "input_tokens", "output_tokens", "cache_create_tokens",
@@ -69,11 +75,6 @@ QUERIES = {
 
 # ---- facts: dedup, prices, costs, names -------------------------------------
 
-from meterline.operators.dedup import dedup_usage as _dedup  # noqa: E402
-from meterline.operators.pricing import resolve_prices as _resolve  # noqa: E402
-from meterline.plans.usage import view_names  # noqa: E402
-from meterline.sources.events_view import VIEW_ORDER, usage_view  # noqa: E402
-from meterline.operators.common import money_out  # noqa: E402
 
 
 def q_dedup_usage(spark, sf):
@@ -232,7 +233,6 @@ QUERIES.update({
 
 # ---- billing blocks ----------------------------------------------------------------
 
-from meterline.operators import blocks as B  # noqa: E402
 
 BLOCK_COLS = ["block_id", "start_time", "end_time", "actual_end_time", "is_active", "is_gap", "entry_count",
               "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
@@ -482,7 +482,6 @@ QUERIES.update({
 
 # ---- documented extras (X1-X13) --------------------------------------------------
 
-from meterline.operators import extras as X  # noqa: E402
 
 
 def q_model_breakdown(spark, sf):
