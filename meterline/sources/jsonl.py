@@ -352,7 +352,8 @@ def load_usage(spark: SparkSession, root: str, prices: DataFrame | None = None,
     state an incremental refresh starts from).
     """
     lines = scan_logs(spark, root, **scan_args)
-    n_files = len(lines.inputFiles())
+    # the listing's size, read on the JVM side: no path list is copied to Python
+    n_files = len(lines._jdf.inputFiles())
     parsed = materialize(parse_narrow(lines), materialize_as)
     out = finish_usage(parsed, n_files, prices, tz)
     out["parsed"] = parsed
