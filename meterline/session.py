@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "meterline",
     settings = dict(BASE_CONF)
     for key in ("spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions"):
         settings[key] = JIT_OPTION
+    # checkpoint files of frames no longer referenced are removed by the cleaner
+    settings["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if master and master.startswith("local"):
         # one machine: listing files with Spark jobs only adds scheduling
         settings["spark.sql.sources.parallelPartitionDiscovery.threshold"] = "1000000"
