@@ -34,3 +34,13 @@ def test_every_query_has_a_callable_and_most_an_oracle():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(o) >= len(q) - 2
+
+
+def test_entry_sets_the_session_options_it_needs(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = E.entry(spark).select("date_key").collect()
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert rows[0].date_key.startswith("2024-01")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
