@@ -196,7 +196,7 @@ def half_trend(series: DataFrame, order_col: str = "date_key", y_col: str = "cos
               F.max(mid).alias("mid"))
     first = F.col("a").cast("double") / F.col("mid")
     second = F.col("b").cast("double") / (F.col("n") - F.col("mid"))
-    diff = (second - first) / first
+    diff = F.when(first != 0, (second - first) / first)
     return g.select(F.col("n").cast("bigint").alias("points"), first.alias("first_half_avg"),
                     second.alias("second_half_avg"),
                     F.when(F.col("n") < HALF_TREND_MIN_POINTS, F.lit("stable"))
@@ -226,7 +226,7 @@ def cost_per_token(df: DataFrame, group: str = "project_path") -> DataFrame:
     return by_model.groupBy(group).agg(
         F.sum("n").alias("requests"), money_out(F.sum("cost")).alias("total_cost"),
         F.sum("tokens").alias("total_tokens"),
-        (F.sum("cost").cast("double") / F.sum("tokens")).alias("cost_per_token"),
+        F.when(F.sum("tokens") > 0, F.sum("cost").cast("double") / F.sum("tokens")).alias("cost_per_token"),
         F.max_by("model", F.struct("n", F.col("model"))).alias("most_used_model"))
 
 

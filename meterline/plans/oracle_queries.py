@@ -458,7 +458,7 @@ ORACLE.update({
         , bm AS (SELECT project_path, COALESCE(model, '') AS model, count(*) AS n, sum(cost) AS cost,
                         COALESCE(sum(total_tokens), 0) AS tokens FROM priced GROUP BY 1, 2)
         SELECT project_path, sum(n) AS requests, {_money('sum(cost)')} AS total_cost, sum(tokens) AS total_tokens,
-          CAST(sum(cost) AS DOUBLE) / sum(tokens) AS cost_per_token, arg_max(model, (n, model)) AS most_used_model
+          CASE WHEN CAST(sum(tokens) AS BIGINT) > 0 THEN CAST(sum(cost) AS DOUBLE) / CAST(sum(tokens) AS BIGINT) END AS cost_per_token, arg_max(model, (n, model)) AS most_used_model
         FROM bm GROUP BY 1"""),
     "live_sessions": with_base(f"""
         SELECT session_id, max(ts) AS last_seen, count(*) AS requests, {_money('sum(cost)')} AS cost,

@@ -278,9 +278,9 @@ def q_recent_blocks(spark, sf):
 
 def q_block_burn_rate(spark, sf):
     b = B.with_burn_rate(B.identify_blocks(_facts(spark, sf), 5, None, AS_OF))
+    mins = B.minutes_between("actual_end_time", "first_ts")
     return b.select("block_id", "tokens_per_minute", "tokens_per_minute_for_indicator",
-                    (money_out("cost_usd") / B.minutes_between("actual_end_time", "first_ts") * 60)
-                    .alias("cost_per_hour"))
+                    F.when(mins > 0, money_out("cost_usd") / mins * 60).alias("cost_per_hour"))
 
 
 def _projected(spark, sf):
