@@ -5,13 +5,21 @@ with the largest spread (largest minus smallest sum) are combined again and
 again, the sums of one in rising order laid on those of the other in falling
 order, until one partition is left.
 
-Groups of equal texts are the items.  Differencing is sequential, so items
-are dealt to blocks of ``BLOCK`` by hash, each block is reduced to one partial
-partition, and the blocks' partitions (k numbers each) are reduced the same
-way, ``BLOCK`` at a time, until one is left: a tree whose tasks are all
-bounded.  The slot permutations of the levels are joined back on block
-numbers.  Rows find their group's shard by a join that AQE splits where one
-group is very large, and slots are counted in cells of bounded size.
+Groups of equal texts are the items.  Differencing is sequential, so it runs in
+tasks of bounded size that share one set of shards:
+
+1. The heavy groups, of at least a ``HEAVY``-th of a shard's share, are at most
+   k * HEAVY whatever the input; they are differenced first.
+2. The other groups are dealt to blocks of about ``BLOCK`` by hash.  Each block
+   is differenced together with its share of the heavy partition (scaled by
+   weight and cut at the level to which the shards can be filled), so a block
+   leaves room where a heavy group lies.
+3. The last block is differenced with the true sums of all the rest, which
+   evens out what the blocks' small spreads add up to.
+
+Only k sums pass through the driver between the steps.  Rows find their
+group's shard by a join that AQE splits where one group is very large, and
+slots are counted in cells of bounded size.
 
 Defined cases: null and empty texts have size ``OVERHEAD``, and each of the
 two is one group; repeated rows count each; an empty table gives an empty one;
@@ -28,6 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from meterline.llm.common import stored, text_key
 
 OVERHEAD = 16
+HEAVY = 64
 BLOCK = 4096
 CELL = 4096
 
@@ -72,46 +81,56 @@ def difference(sums: list[list[int]]) -> tuple[list[int], list[list[int]]]:
     return vals, places
 
 
-def _reduce(parts: DataFrame, k: int, block: int):
-    """Combine partial partitions (part, sums) block by block.  Returns the
-    stored rows (part, sums, up, places): each part's place in its block ``up``."""
-    n = parts.count()
-    blocks = max(1, -(-n // block))
+def _level(sums: list[int], more: int) -> float:
+    """The level to which ``more`` fills the lowest of ``sums``."""
+    low = sorted(sums)
+    for i in range(1, len(low) + 1):
+        level = (sum(low[:i]) + more) / i
+        if i == len(low) or level <= low[i]:
+            return level
+    return 0.0
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        vals, places = difference([list(map(int, s)) for s in pdf["sums"]])
-        return pd.DataFrame({"part": pdf["part"].to_numpy(), "up": int(key[0]), "places": places,
-                             "vals": [vals] + [None] * (len(pdf) - 1)})
 
-    dealt = parts.withColumn("up", F.pmod(F.xxhash64("part"), F.lit(blocks)))
-    return stored(dealt.groupBy("up").applyInPandas(run, "part long, up long, places array<int>, vals array<long>"),
-                  "shard-level"), blocks
+def _place(sizes: list[int], start: list[int]) -> list[int]:
+    """A slot for each size, on top of the sums ``start``."""
+    k = len(start)
+    _, places = difference([list(start), *([0] * (k - 1) + [s] for s in sizes)])
+    slot = [0] * k
+    for j, p in enumerate(places[0]):
+        slot[p] = j
+    return [slot[p[k - 1]] for p in places[1:]]
 
 
 def assign(groups: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(grp, shard) for ``groups`` (grp, size), sizes near equal over k shards."""
-    n = groups.count()
-    blocks = max(1, -(-n // block))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    spark = groups.sparkSession
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    is_heavy = (F.col("size") > 0) & (F.col("size") >= total / (k * HEAVY))
+    heavy = groups.where(is_heavy).orderBy(F.col("size").desc(), "grp").collect()  # at most k * HEAVY
+    start, slots = [0] * k, _place([r.size for r in heavy], [0] * k)
+    for r, j in zip(heavy, slots):
+        start[j] += r.size
+    light, rest = n - len(heavy), total - sum(start)
+    blocks = max(1, -(-light // block))
+    level = _level(start, rest)
+    share = [min(s, level) / rest if rest else 0.0 for s in start]
+
+    def differ(pdf: pd.DataFrame, base) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "grp"], ascending=[False, True])
-        vals, places = difference([[0] * (k - 1) + [int(s)] for s in pdf["size"]])
-        return pd.DataFrame({"grp": pdf["grp"].to_numpy(), "part": int(key[0]), "slot": [p[k - 1] for p in places],
-                             "vals": [vals] + [None] * (len(pdf) - 1)})
-
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(blocks)))
-    grp_type = groups.schema["grp"].dataType.simpleString()
-    leaf = stored(dealt.groupBy("part").applyInPandas(
-        run, f"grp {grp_type}, part long, slot int, vals array<long>"), "shard-leaves")
-    out = leaf.select("grp", "part", "slot")
-    parts = leaf.where("vals is not null").select("part", F.col("vals").alias("sums"))  # one row of each block has them
-    while blocks > 1:
-        level, blocks = _reduce(parts, k, block)
-        out = stored(out.join(level.select("part", "up", "places"), "part").select(
-            "grp", F.col("up").alias("part"), F.get("places", F.col("slot")).alias("slot")), "shard-slots")
-        parts = level.where("vals is not null").select(F.col("up").alias("part"), F.col("vals").alias("sums"))
-    return out.select("grp", F.col("slot").alias("shard"))
+        sizes = pdf["size"].astype(int).tolist()
+        return pd.DataFrame({"grp": pdf["grp"].to_numpy(), "shard": _place(sizes, base(sum(sizes))), "size": sizes})
+
+    kind = groups.schema["grp"].dataType.simpleString()
+    schema = f"grp {kind}, shard int, size long"
+    dealt = groups.where(~is_heavy).withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(blocks)))
+    first = stored(dealt.where("part > 0").groupBy("part").applyInPandas(
+        lambda pdf: differ(pdf, lambda w: [int(s * w) for s in share]), schema), "shard-blocks")
+    sums = list(start)
+    for r in first.groupBy("shard").agg(F.sum("size").alias("size")).collect():  # k rows
+        sums[r.shard] += r.size
+    last = dealt.where("part = 0").groupBy("part").applyInPandas(lambda pdf: differ(pdf, lambda w: sums), schema)
+    fixed = spark.createDataFrame([(r.grp, j, r.size) for r, j in zip(heavy, slots)], schema)
+    return first.unionByName(last).unionByName(fixed).select("grp", "shard")
 
 
 def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD,

@@ -97,7 +97,7 @@ def records(caps: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     block = F.when(revisit, F.lit(head + CRLF)).otherwise(F.concat(F.lit(head), body))
     digest = _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     profile = F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    note = F.concat(F.lit("capture: "), F.col("id").cast("string"), F.lit(CRLF))
+    note = F.concat(F.lit("capture: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF))
     kind = F.when(revisit, "revisit").otherwise("response")
     three = F.array(
         _record([*common(kind, response), _field("Content-Type", F.lit("application/http; msgtype=response")), digest,
