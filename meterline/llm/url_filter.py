@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     probes = under.select(F.col("rk").alias("grp"), F.col("p").alias("key")).distinct()
     found = sweep(rules.select(host_key(F.col("host")).alias("grp"), F.col("path").alias("prefix")), probes)
     # the deepest active path rule; a stack left open by another host is none
-    top = found.select("grp", "key", F.element_at("stack", -1).alias("r")).where(F.col("r.grp") == F.col("grp"))
+    top = found.select("grp", "key", F.try_element_at("stack", F.lit(-1)).alias("r")).where(F.col("r.grp") == F.col("grp"))
     decided = top.select("grp", "key", F.col("r.prefix").alias("prefix")).join(
         rules.select(host_key(F.col("host")).alias("grp"), F.col("path").alias("prefix"), "host", "verdict"),
         ["grp", "prefix"])
