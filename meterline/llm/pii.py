@@ -57,22 +57,27 @@ SYLLABLES = {"latin": ("an", "el", "or", "is", "en", "ar", "ul", "in"), "cyrilli
 _WORD = r"\p{Lu}[\p{Ll}’'-]+"
 _TITLE = "(?:" + "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)) + r")\b\.?"
 _GIVEN = "(?:" + "|".join(n for (g, _), names in NAMES.items() if g != "s" for n in names) + ")"
+_KEYWORD = "(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+# No entity starts inside a run of ASCII letters and digits; this one test per
+# character keeps the alternatives off most of a text.
+_START = "(?<![A-Za-z0-9])"
+# Names and titles start with one of these.
+_CAPITAL = r"(?=[\p{Lu}г])"
 # In order of precedence; the first alternative that matches at a place wins.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
-    "secret": r"""(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)["']? ?[=:] ?["']?[A-Za-z0-9+/_-]{8,}+"""
-              r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE} {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})(?!\p{{L}})",
+    "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
+    "secret": _KEYWORD + r"""["']? ?[=:] ?["']?[A-Za-z0-9+/_-]{8,}+|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])""",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "name": rf"{_CAPITAL}(?<!\p{{L}})(?:{_TITLE} {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# Every pattern needs one of these; a cheap exact test on whole texts.
-MAY_HOLD = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|AKIA|" + f"(?:{_TITLE}) |{_GIVEN} "
-_SECRET_HEAD = r"""^((?:(?i:password|passwd|pwd|token|secret|api[_-]?key)["']? ?[=:] ?["']?)|AKIA)"""
+ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# Every pattern needs a match of this; a cheap test on whole texts.
+MAY_HOLD = rf"""[0-9@]|{_START}(?:(?=[pPtTsSaA])(?:AKIA|{_KEYWORD}["']? ?[=:])|{_CAPITAL}(?:{_TITLE} |{_GIVEN} ))"""
+_SECRET_HEAD = "^((?:" + _KEYWORD + r"""["']? ?[=:] ?["']?)|AKIA)"""
 
 
 def _type(ent: Column) -> Column:
@@ -122,10 +127,16 @@ def _syllable(script: str, draw, i: Column) -> Column:
     return _pick(SYLLABLES[script], draw(i))
 
 
-def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+def _seeds(key: str) -> dict[str, Column]:
+    """Keyed seeds of an attempt at an entity and of the domain of an address."""
+    told = F.concat_ws("\0", F.lit(key), "kind", "norm", F.col("attempt").cast("string"))
+    domain = F.concat_ws("\0", F.lit(key), F.lit("domain"), F.substring_index("norm", "@", -1))
+    return {"seed": F.sha2(told, 256), "domain_seed": F.sha2(domain, 256)}
+
+
+def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Column) -> Column:
     """The canonical surrogate that the key gives an entity at this attempt."""
-    secret = F.sha2(F.concat(F.lit(key), F.lit("\0"), kind, F.lit("\0"), norm, F.lit("\0"), attempt.cast("string")), 256)
-    draw = lambda i: F.xxhash64(secret, i)
+    draw = lambda i: F.xxhash64(seed, i)
     digit = lambda i, lo=0: F.pmod(draw(i), F.lit(10 - lo)).cast("int") + lo
     letters = lambda alphabet, i: F.substr(F.lit(alphabet), F.pmod(draw(i), F.lit(len(alphabet))).cast("int") + 1, F.lit(1))
     hexa = norm.rlike("^[0-9a-f]+$")
@@ -141,8 +152,7 @@ def _candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
     longer = F.when(attempt >= 8, F.array_join(F.transform(  # formats with few values grow
         F.sequence(F.lit(1), attempt - 7), lambda i: digit(i + 1000).cast("string")), "")).otherwise("")
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    at = F.sha2(F.concat(F.lit(key), F.lit("\0domain\0"), domain), 256)
+    local = F.substring_index(norm, "@", 1)
     host = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.substr(
         F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(F.xxhash64(at, i), F.lit(26)).cast("int") + 1, F.lit(1))), "")
     email = F.concat(shaped(local, 0), longer, F.lit("@"), host, F.lit(".example."),
@@ -190,7 +200,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     todo = stored(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "pii-entities")
     real, done, attempt = todo.select("kind", F.col("norm").alias("surrogate")), None, 0
     while True:
-        drawn = todo.withColumn("surrogate", _candidate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        drawn = todo.withColumns(_seeds(key)).select("kind", "norm", _candidate(
+            *map(F.col, ("kind", "norm", "attempt", "seed", "domain_seed"))).alias("surrogate"))
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
         rank = F.struct(F.xxhash64(F.lit(key), "kind", "norm").alias("h"), F.col("norm").alias("norm"))
         won = drawn.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate") \

@@ -34,9 +34,8 @@ def test_types_and_formats(run):
     got = run(rows)
     for i, text in rows:
         assert got[i].n_entities > 0
-        for secret in re.findall(r"\S*[0-9@]\S*", text):
-            if secret not in ("v", "4.0.", "+1", "(988)", "DE89"):
-                assert secret.strip('.,"') not in got[i].text, (secret, got[i].text)
+        for secret in re.findall(r"[^\s,]{9,}", text):
+            assert not re.search("[0-9@]", secret) or secret.strip('."') not in got[i].text, (secret, got[i].text)
     a, b = re.findall(r"\S+@\S+?(?=[,.]?(?: |$))", got[1].text)
     assert a == b and re.fullmatch(r"[a-z]{2}\.[0-9]{2}@[a-z]{6}\.example\.(com|net|org)", a)
     assert re.fullmatch(r"call \+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4} now", got[2].text)
