@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.timefns import minutes_between
-from meterline.operators.common import broadcast_if_small, key_list, money_out
+from meterline.operators.common import key_list, money_out
 from meterline.schema import MONEY
 
 DEFAULT_HOURS = 5
@@ -119,7 +119,7 @@ def assign_blocks(df: DataFrame, hours: int = DEFAULT_HOURS, key=None) -> DataFr
     assign = block_assignment(df, hours, key).select(*keys, "_hs", "_strict", "_block_hs")
     h = F.date_trunc("hour", F.col("ts"))
     facts = df.where(F.col("ts").isNotNull()).withColumns({"_hs": F.unix_seconds(h), "_strict": F.col("ts") > h})
-    out = facts.join(broadcast_if_small(assign), [*keys, "_hs", "_strict"], "inner")
+    out = facts.join(assign, [*keys, "_hs", "_strict"], "inner")
     return out.withColumn("block_start", F.timestamp_seconds("_block_hs")).drop("_hs", "_strict", "_block_hs")
 
 

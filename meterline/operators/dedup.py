@@ -3,33 +3,30 @@
 Rows with both a message id and a request id keep only their first copy in
 load order; rows missing either key are never deduplicated.
 
-Plan: one ``min`` over ``struct(order, row)`` grouped by the key.  Unlike a
-``row_number`` window this aggregate runs partially on the map side, so a
-hot key (a third of all rows) is reduced to one row per map task before the
-shuffle.  Un-keyed rows must all survive: they are grouped by their own
-position in the load order (unique per line), so they form singleton groups
-instead of one giant NULL-key group, and the facts are read once (a union of
-a keyed and an un-keyed branch would scan the input twice).
+Plan: ``row_number() = 1`` over the key.  Spark keeps only the first row of a
+group on the map side as well (its window group limit), so a hot key, a third
+of all rows, is one row per map task before the shuffle.  Un-keyed rows must
+all survive: each is a group of its own by a row id, so they spread over all
+tasks, and the facts are read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.operators.common import nonempty, order_struct
+from meterline.operators.common import nonempty
 from meterline.schema import LOAD_ORDER
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], keyed=None) -> DataFrame:
-    cols = df.columns
     keyed = keyed if keyed is not None else F.lit(True)
-    group = [F.when(keyed, F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
-    # un-keyed rows: their load-order position makes each one its own group
-    group.append(F.when(~keyed, F.struct(*[F.col(c) for c in order])).alias("_own"))
-    return (df.groupBy(*group)
-            .agg(F.min(F.struct(order_struct(order).alias("o"), F.struct(*cols).alias("r"))).alias("_m"))
-            .select(*[F.col(f"_m.r.{c}").alias(c) for c in cols]))
+    group = [F.when(keyed, F.col(k)) for k in keys]
+    own = F.when(~keyed, F.monotonically_increasing_id())
+    marked = df.withColumns({**{f"_k{i}": g for i, g in enumerate(group)}, "_own": own})
+    first = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_own").orderBy(
+        *[F.col(c).asc_nulls_last() for c in order])
+    return marked.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*df.columns)
 
 
 def dedup_usage(df: DataFrame, order: list[str] = LOAD_ORDER) -> DataFrame:

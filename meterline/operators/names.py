@@ -2,7 +2,7 @@
 
 Inside one file the last custom title wins, else the first agent name; across
 files the first file in load order that names the session wins.  Both levels
-are hash aggregates over small structs, partial on the map side.
+are aggregates over small structs, partial on the map side.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.operators.common import broadcast_if_small, order_struct
+from meterline.operators.common import order_struct
 
 FILE_ORDER = ["file_first_ts", "source_file"]
 LINE_ORDER = ["file_block_start", "line_seq"]
@@ -39,11 +39,10 @@ def session_names(name_rows: DataFrame, line_order: list[str] = LINE_ORDER,
 def with_session_name(df: DataFrame, names: DataFrame) -> DataFrame:
     """Back-fill the session name on every entry of the session (O3.3).
 
-    The names table has one row per named session; it is broadcast when its
-    counted size allows, else joined by shuffle.
+    The names table has one row per named session; the planner chooses the
+    join by its size.
     """
-    small = broadcast_if_small(names.select("session_id", F.col("session_name").alias("_sn")))
-    out = df.join(small, "session_id", "left")
+    out = df.join(names.select("session_id", F.col("session_name").alias("_sn")), "session_id", "left")
     if "session_name" in df.columns:
         out = out.withColumn("session_name", F.coalesce("_sn", "session_name")).drop("_sn")
     else:

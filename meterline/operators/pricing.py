@@ -1,8 +1,7 @@
 """Price resolution and cost (O3.4, O3.5).
 
-Both lookups are broadcast hash joins against tables of bounded size: the
-embedded lookup has at most 88 rows by construction, a user price table is
-counted before it is broadcast.  The fact table is never shuffled here.
+The embedded lookup has at most 88 rows by construction and is broadcast.  A
+user price table is joined as the planner chooses by its size.
 """
 
 from __future__ import annotations
@@ -12,13 +11,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.operators.common import broadcast_if_small
 from meterline.schema import MONEY, PRICE, TOKENS_DEC
 from meterline.sources.prices import DEFAULT_PRICES, PRICE_COLS, embedded_price_lookup
 
-# a user price table larger than this is joined by shuffle instead
-USER_PRICE_BROADCAST_ROWS = 1_000_000
-
 
 def _price_frames(spark, prices: DataFrame | None):
     emb = embedded_price_lookup(spark).select(
@@ -26,11 +21,10 @@ def _price_frames(spark, prices: DataFrame | None):
         *[F.col(c).alias(f"_e_{c}") for c in PRICE_COLS])
     user = None
     if prices is not None:
-        # one row per model id: the first row of a repeated id wins
-        user = (prices.groupBy("model")
-                .agg(*[F.first(c).alias(f"_u_{c}") for c in PRICE_COLS])
-                .withColumnRenamed("model", "_u_model"))
-        user = broadcast_if_small(user, USER_PRICE_BROADCAST_ROWS)
+        # one row per model id: of a repeated id the lowest prices, compared in
+        # column order, wherever its rows were read
+        user = (prices.groupBy("model").agg(F.min(F.struct(*PRICE_COLS)).alias("_p"))
+                .select(F.col("model").alias("_u_model"), *[F.col(f"_p.{c}").alias(f"_u_{c}") for c in PRICE_COLS]))
     return F.broadcast(emb), user
 
 

@@ -329,41 +329,21 @@ ORACLE.update({
 })
 
 
-# ---- streams: computed over the un-deduplicated facts ---------------------------------
-
-def _raw(sql: str) -> str:
-    """The same statement over all rows (streams keep arrival order, so these
-    checks use quantities that do not depend on which copy a dedup keeps)."""
-    return sql.replace("FROM usage u LEFT JOIN prices p", "FROM usage_raw u LEFT JOIN prices p")
-
+# ---- live reports: the batch statements, over the load-order dedup ------------------
 
 ORACLE.update({
-    "stream_dedup": with_base("SELECT DISTINCT message_id, request_id FROM usage_raw "
-                              "WHERE message_id IS NOT NULL AND request_id IS NOT NULL"),
-    "stream_daily": _raw(with_base(f"""
-        SELECT strftime(ts, '%Y-%m-%d') AS date_key,
-          count(DISTINCT NULLIF(session_id, '')) AS sessions,
-          COALESCE(string_agg(DISTINCT CASE WHEN model <> '' AND model <> '<synthetic>' THEN {model_label_sql('model')}
-                   END, ';' ORDER BY CASE WHEN model <> '' AND model <> '<synthetic>'
-                   THEN {model_label_sql('model')} END), '') AS models,
-          count(*) AS requests, COALESCE(sum(input_tokens), 0) AS input_tokens,
-          COALESCE(sum(output_tokens), 0) AS output_tokens,
-          COALESCE(sum(cache_create_tokens), 0) AS cache_create_tokens,
-          COALESCE(sum(cache_read_tokens), 0) AS cache_read_tokens, {_money('sum(cost)')} AS cost
-        FROM priced_nn GROUP BY 1""")),
-    "stream_totals": _raw(with_base(f"SELECT count(*) AS total_requests, {_money('sum(cost)')} AS total_cost, "
-                                    "COALESCE(sum(total_tokens), 0) AS total_tokens FROM priced_nn")),
+    "stream_dedup": with_base(f"SELECT entry_id, message_id, request_id, session_id, {_REL} AS source_file, "
+                              "total_tokens FROM usage", dedup_order=LOAD_DEDUP_ORDER),
+    "stream_daily": ORACLE["jsonl_ingest"],
+    "stream_totals": _load_order(ORACLE["usage_totals"]),
     "stream_activity": with_base("""
         , s AS (SELECT session_id, ts, sum(CASE WHEN prev IS NOT NULL AND ts - prev >= INTERVAL 5 HOUR THEN 1
                                                 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, line_seq) AS g
                 FROM (SELECT session_id, ts, line_seq,
-                             lag(ts) OVER (PARTITION BY session_id ORDER BY ts, line_seq) AS prev FROM usage_raw))
+                             lag(ts) OVER (PARTITION BY session_id ORDER BY ts, line_seq) AS prev FROM usage))
         SELECT session_id, min(ts) AS start_time, max(ts) + INTERVAL 5 HOUR AS end_time, count(*) AS entries,
-               min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY session_id, g"""),
-    "stream_blocks": _raw(with_base(_blocks_ctes("session_id").replace("FROM priced WHERE", "FROM priced_nn WHERE")
-                                    + """SELECT k AS session_id, start_time, first_ts, actual_end_time AS last_ts,
-          entry_count, input_tokens, output_tokens, cache_creation_input_tokens, cache_read_input_tokens, cost_usd
-        FROM blk""", recursive=True)),
+               min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY session_id, g""", dedup_order=LOAD_DEDUP_ORDER),
+    "stream_blocks": _load_order(ORACLE["block_report"]),
 })
 
 ORACLE.update({
@@ -617,8 +597,7 @@ ORACLE["project_labels"] = with_base(f"""
     FROM l6""")
 
 ORACLE.update({
-    "stream_active_blocks": _raw(with_base(_blocks_ctes("session_id").replace("FROM priced WHERE", "FROM priced_nn WHERE")
-                                           + """
+    "stream_active_blocks": _load_order(with_base(_blocks_ctes("session_id") + """
         SELECT k AS session_id, block_id, entry_count, total_tokens, remaining_minutes, projected_total_tokens,
           CASE WHEN projected_total_tokens IS NOT NULL THEN
             CASE WHEN projected_total_tokens / 50000 * 100 > 100 THEN 'exceeds'

@@ -8,6 +8,8 @@ compares value by value with the DuckDB oracle.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,48 +387,41 @@ QUERIES.update({
 
 # ---- streaming over the same logs (availableNow, result read from the sink) ----
 
-def _stream_entries(spark, sf, priced: bool = True):
-    from meterline.operators.pricing import with_cost as _with_cost
+def _live(spark, sf, name: str, report):
+    """The report after the last trigger, over the deduplicated entries."""
     from meterline.sources.events_logs import events_log_root
-    from meterline.streaming.live import stream_logs
-    s = stream_logs(spark, events_log_root(spark, sf))
-    return _with_cost(s) if priced else s
+    from meterline.streaming.live import live_reports
+    root = events_log_root(spark, sf)
+    # one checkpoint per log set, so a repeated run resumes it
+    tag = hashlib.sha1(root.encode()).hexdigest()[:12]
+    return live_reports(spark, root, f"{name}-{tag}", {name: report})[name]
 
 
 def q_stream_dedup(spark, sf):
-    from meterline.streaming.live import run_available_now, stream_dedup
-    out = run_available_now(stream_dedup(_stream_entries(spark, sf, priced=False)), "dedup")
-    return out.select("message_id", "request_id").where(F.col("message_id").isNotNull()
-                                                        & F.col("request_id").isNotNull())
+    return _live(spark, sf, "dedup", lambda e: e.select(
+        "entry_id", "message_id", "request_id", "session_id", _rel("source_file").alias("source_file"), "total_tokens"))
 
 
 def q_stream_daily(spark, sf):
-    from meterline.streaming.live import run_available_now, stream_daily
-    out = run_available_now(stream_daily(_stream_entries(spark, sf)), "daily", "complete")
-    return out.withColumn("cost", money_out("cost"))
+    return _live(spark, sf, "daily", lambda e: _period(R.daily_report(e), "date_key"))
 
 
 def q_stream_totals(spark, sf):
-    from meterline.streaming.live import run_available_now, stream_totals
-    out = run_available_now(stream_totals(_stream_entries(spark, sf)), "totals", "complete")
-    return out.withColumn("total_cost", money_out("total_cost"))
+    return _live(spark, sf, "totals", R.usage_totals)
 
 
 def q_stream_activity(spark, sf):
-    from meterline.streaming.live import run_available_now, stream_activity
-    out = run_available_now(stream_activity(_stream_entries(spark, sf, priced=False)), "activity", "complete")
-    return (out.groupBy("session_id", "start_time")
-            .agg(F.max_by(F.struct("end_time", "entries", "first_ts", "last_ts"), F.col("entries")).alias("b"))
-            .select("session_id", "start_time", "b.*"))
+    def activity(e):
+        return (e.groupBy("session_id", F.session_window("ts", "5 hours").alias("w"))
+                .agg(F.count(F.lit(1)).alias("entries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+                .select("session_id", F.col("w.start").alias("start_time"), F.col("w.end").alias("end_time"),
+                        "entries", "first_ts", "last_ts"))
+    return _live(spark, sf, "activity", activity)
 
 
 def q_stream_blocks(spark, sf):
-    from meterline.streaming.live import latest_blocks, run_available_now, stream_blocks
-    out = run_available_now(stream_blocks(_stream_entries(spark, sf)), "blocks", "update")
-    b = latest_blocks(out)
-    return b.select("session_id", "start_time", "first_ts", "last_ts", "entry_count", "input_tokens",
-                    "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
-                    money_out(F.col("cost_usd").cast("decimal(38,12)")).alias("cost_usd"))
+    return _live(spark, sf, "blocks",
+                 lambda e: _block_view(B.identify_blocks(e, 5, "session_id", AS_OF), "session_id"))
 
 
 QUERIES.update({
@@ -630,11 +625,14 @@ QUERIES.update({
 # ---- live metrics, remaining filters -------------------------------------------------
 
 def q_stream_active_blocks(spark, sf):
-    from meterline.streaming.live import stream_active_blocks
-    out = stream_active_blocks(_stream_entries(spark, sf), 5, "session_id", token_limit=50_000, as_of=AS_OF,
-                               name="active")
-    return out.select("session_id", "block_id", "entry_count", "total_tokens", "remaining_minutes",
-                      "projected_total_tokens", "limit_status", "burn_status", "usage_level", "projection_status")
+    from meterline.streaming.live import live_block_metrics
+
+    def active(e):
+        m = live_block_metrics(B.identify_blocks(e, 5, "session_id", AS_OF), 5, AS_OF, 50_000)
+        return m.where("is_active").select(
+            "session_id", "block_id", "entry_count", "total_tokens", "remaining_minutes", "projected_total_tokens",
+            "limit_status", "burn_status", "usage_level", "projection_status")
+    return _live(spark, sf, "active", active)
 
 
 def q_blocks_date_filtered(spark, sf):

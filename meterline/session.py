@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a repeated key in a log line keeps its last value, as the logs' readers do
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -115,11 +115,7 @@ def write_report_json(summary: DataFrame, entries: DataFrame, path: str) -> None
 
 def write_usage_table(entries: DataFrame, path: str) -> None:
     """Priced entries as parquet partitioned by ``date_key`` (O10.8): later
-    reports filtered on days read only those partitions.  Rows are spread by
-    day and a hash salt, so a day holding a third of the rows is written by
-    several tasks, each producing a few files per day."""
-    salt = F.pmod(F.xxhash64("source_file", "line_seq", "entry_id"), F.lit(SALT_BUCKETS))
-    (entries.repartition("date_key", salt).write.mode("overwrite").partitionBy("date_key").parquet(path))
-
-
-SALT_BUCKETS = 16
+    reports filtered on days read only those partitions.  Rows are rebalanced by
+    day: AQE splits a day that holds a third of the rows by its measured size
+    and joins small ones."""
+    entries.hint("rebalance", "date_key").write.mode("overwrite").partitionBy("date_key").parquet(path)

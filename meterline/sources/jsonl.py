@@ -6,7 +6,7 @@ the root, prefering ``<root>/projects``.  Every line keeps its lineage:
 ``line_seq`` is ``monotonically_increasing_id`` taken right after the scan,
 which grows with the read order inside a split (ids of one split are
 consecutive).  The load order of the reference, files by the earliest
-RFC3339 timestamp of their first 100 lines and then lines, is therefore a
+RFC3339 timestamp in them and then lines, is therefore a
 sort key that never needs a global sort.
 
 Parsing is ``try_parse_json`` into VARIANT and strict extraction: a JSON
@@ -26,12 +26,6 @@ from meterline.operators.common import blank_to_null
 
 JSONL_GLOB = "*.[jJ][sS][oO][nN][lL]"
 RFC3339_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-# lines of a file looked at for its earliest timestamp
-# lines of a file looked at for its earliest timestamp
-FILE_ORDER_LINES = 100
-# a file-order table with at most this many files is broadcast (the count
-# comes from the file listing, so the bound is known before any job runs)
-MAX_BROADCAST_FILES = 2_000_000
 _NUMBER_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
@@ -73,14 +67,18 @@ def project_from_file(path: Column) -> Column:
 
 def scan_logs(spark: SparkSession, root: str, modified_within: timedelta | None = None,
               as_of: datetime | None = None, max_files: int | None = None,
-              paths: list[str] | None = None) -> DataFrame:
+              paths: list[str] | None = None, skip_unreadable: bool = False) -> DataFrame:
     """Raw lines ``(line, source_file, file_block_start, file_mtime, line_seq)``.
 
     ``modified_within`` prunes files at listing time (``modifiedAfter``);
     ``max_files`` keeps the newest N files by modification time (O1.3, O1.4).
+    A read error ends the job unless ``skip_unreadable`` lets Spark leave out
+    the rest of such a file.  Lines end at a newline only, as in the logs'
+    definition; a carriage return is white space.
     """
     reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", JSONL_GLOB)
-              .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true"))
+              .option("lineSep", "\n").option("ignoreMissingFiles", str(skip_unreadable).lower())
+              .option("ignoreCorruptFiles", str(skip_unreadable).lower()))
     if modified_within is not None:
         cutoff = (as_of or datetime.utcnow()) - modified_within
         reader = reader.option("modifiedAfter", cutoff.strftime("%Y-%m-%dT%H:%M:%S"))
@@ -182,7 +180,7 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json(F.col("line"))
     # one pass over the text: blank lines stay (their position counts for the
     # file order) but are never parsed
-    is_blank = F.trim("line") == ""
+    is_blank = ~F.col("line").rlike(r"\S")
     x = lines.select("line", "source_file", "file_block_start", "line_seq", is_blank.alias("_blank"),
                      F.when(~is_blank, _struct_of(v, TOP)).alias("r"))
     r = F.col("r")
@@ -235,7 +233,7 @@ def parse_narrow(lines: DataFrame) -> DataFrame:
                           | F.col("reject_reason").isin("invalid_time", "synthetic"), F.lit(False))
     return x.select(
         "kind", "source_file", "file_block_start", "line_seq",
-        F.when((F.col("file_block_start") == 0) & F.col("_ts_str").rlike(RFC3339_RE),
+        F.when(F.col("_ts_str").rlike(RFC3339_RE),
                F.col("_ts_str").try_cast("timestamp")).alias("_first_ts_candidate"),
         ef(_str(r["id"])).alias("entry_id"),
         ef(F.col("_ts")).alias("ts"),
@@ -264,26 +262,15 @@ ENTRY_COLS = ["entry_id", "ts", "project_path", "model", "input_tokens", "output
               "request_id", "usage_limit_reset_time", "source_file", "file_first_ts", "file_block_start", "line_seq"]
 
 
-def split_parsed(parsed: DataFrame, n_files: int | None = None) -> dict[str, DataFrame]:
+def split_parsed(parsed: DataFrame) -> dict[str, DataFrame]:
     """``entries`` / ``names`` / ``rejects`` from the narrow parsed lines.
 
-    File order (O1.12): the earliest RFC3339 time among the first
-    ``FILE_ORDER_LINES`` physical lines of each file.  Line ids inside the
-    file's first split are consecutive, so a line is among the first N when
-    its id is below the split's smallest id plus N.  Both steps are small
-    per-file aggregates; with a file count (from the listing) under
-    ``MAX_BROADCAST_FILES`` they are broadcast to the rows, else shuffled.
+    File order (O1.12): the earliest RFC3339 time of the whole file, one small
+    per-file aggregate joined back; the planner chooses the join by its size.
     """
-    def small(df):
-        return F.broadcast(df) if n_files is not None and n_files <= MAX_BROADCAST_FILES else df
-
-    first_split = parsed.where(F.col("file_block_start") == 0)
-    first_id = first_split.groupBy("source_file").agg(F.min("line_seq").alias("_first_id"))
-    order = (first_split.where(F.col("_first_ts_candidate").isNotNull())
-             .join(small(first_id), "source_file")
-             .where(F.col("line_seq") < F.col("_first_id") + FILE_ORDER_LINES)
+    order = (parsed.where(F.col("_first_ts_candidate").isNotNull())
              .groupBy("source_file").agg(F.min("_first_ts_candidate").alias("file_first_ts")))
-    rows = parsed.where(F.col("kind").isin("entry", "name")).join(small(order), "source_file", "left")
+    rows = parsed.where(F.col("kind").isin("entry", "name")).join(order, "source_file", "left")
     entries = rows.where(F.col("kind") == "entry").select(*ENTRY_COLS)
     names = rows.where((F.col("kind") == "name") & F.col("session_id").isNotNull() & F.col("name").isNotNull()) \
         .select("session_id", F.col("name_kind").alias("kind"), "name", "source_file", "file_first_ts",
@@ -293,14 +280,14 @@ def split_parsed(parsed: DataFrame, n_files: int | None = None) -> dict[str, Dat
     return {"entries": entries, "names": names, "rejects": rejects}
 
 
-def parse_lines(lines: DataFrame, n_files: int | None = None) -> dict[str, DataFrame]:
+def parse_lines(lines: DataFrame) -> dict[str, DataFrame]:
     """Split raw lines into ``entries`` (USAGE_ENTRY rows before dedup),
     ``names`` (session-name lines) and ``rejects`` (O1.5-O1.12).
 
     ``rejects.counted`` tells whether the reference would count the line as a
     parse error (blank lines are not kept at all).
     """
-    return split_parsed(parse_narrow(lines), n_files)
+    return split_parsed(parse_narrow(lines))
 
 
 def reject_summary(rejects: DataFrame) -> DataFrame:
@@ -311,14 +298,14 @@ def reject_summary(rejects: DataFrame) -> DataFrame:
             .orderBy("source_file", "reject_reason"))
 
 
-def finish_usage(parsed: DataFrame, n_files: int | None = None, prices: DataFrame | None = None,
+def finish_usage(parsed: DataFrame, prices: DataFrame | None = None,
                  tz: str = "UTC") -> dict[str, DataFrame]:
     """Narrow parsed lines -> deduplicated, named, priced entries."""
     from meterline.functions.timefns import date_key
     from meterline.operators.dedup import dedup_usage
     from meterline.operators.names import session_names, with_session_name
     from meterline.operators.pricing import with_cost
-    parts = split_parsed(parsed, n_files)
+    parts = split_parsed(parsed)
     names = session_names(parts["names"])
     entries = with_cost(with_session_name(dedup_usage(parts["entries"]), names), prices)
     return {"entries": entries.withColumn("date_key", date_key("ts", tz)), "names": names,
@@ -352,9 +339,7 @@ def load_usage(spark: SparkSession, root: str, prices: DataFrame | None = None,
     state an incremental refresh starts from).
     """
     lines = scan_logs(spark, root, **scan_args)
-    # the listing's size, read on the JVM side: no path list is copied to Python
-    n_files = len(lines._jdf.inputFiles())
     parsed = materialize(parse_narrow(lines), materialize_as)
-    out = finish_usage(parsed, n_files, prices, tz)
+    out = finish_usage(parsed, prices, tz)
     out["parsed"] = parsed
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from meterline.functions.labels import is_real_model, model_label
 from meterline.functions.timefns import date_key
-from meterline.operators.common import money_out, nonempty
+from meterline.operators.common import nonempty
 from meterline.session import checkpoint_dir
 from meterline.sources.jsonl import ENTRY_COLS, JSONL_GLOB, parse_narrow, plain_path
 
@@ -39,20 +39,61 @@ def refresh_interval(seconds: float) -> str:
     return f"{s} seconds"
 
 
-def stream_logs(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming USAGE_ENTRY rows (before dedup) from ``*.jsonl`` files
-    landing below ``root`` (O8.3).  Load order inside the stream is the
-    arrival order, so ``file_first_ts`` is NULL."""
-    reader = (spark.readStream.format("text").option("recursiveFileLookup", "true")
+def stream_lines(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Raw lines of ``*.jsonl`` files landing below ``root``, with lineage."""
+    reader = (spark.readStream.format("text").option("recursiveFileLookup", "true").option("lineSep", "\n")
               .option("pathGlobFilter", JSONL_GLOB))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(root).select(
+    return reader.load(root).select(
         F.col("value").alias("line"),
         plain_path(F.col("_metadata.file_path")).alias("source_file"),
-        F.col("_metadata.file_block_start").alias("file_block_start"),
-        F.lit(0).cast("bigint").alias("line_seq"))
-    parsed = parse_narrow(lines)
+        F.col("_metadata.file_block_start").alias("file_block_start"))
+
+
+def live_reports(spark: SparkSession, root: str, name: str, reports: dict, prices: DataFrame | None = None,
+                 max_files_per_trigger: int | None = None) -> dict[str, DataFrame]:
+    """Reports over everything landed so far, refreshed on every trigger, equal
+    to the batch reports whatever the triggers (O8.4, O8.6-O8.9).
+
+    A trigger parses its new lines into a folder of its own, then runs the
+    batch dedup, pricing and ``reports`` (name -> function of the priced
+    entries) over all parsed lines: which copy of a call counts is decided in
+    load order, not in order of arrival.  Every folder is named by the
+    trigger's number and overwritten, so a retried trigger writes the same
+    files again; the checkpoint is kept under ``name``, so a restarted run
+    goes on where it stopped.  Runs until nothing new is there and returns the
+    last trigger's reports.
+    """
+    from meterline.sources.jsonl import finish_usage
+    base = checkpoint_dir(spark).rstrip("/") + f"/meterline-streams/{name}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        # the read order inside a split, as in the batch scan
+        parsed = parse_narrow(batch.withColumn("line_seq", F.monotonically_increasing_id()))
+        parsed.write.mode("overwrite").parquet(f"{base}/parsed/epoch={epoch}")
+        entries = finish_usage(session.read.parquet(f"{base}/parsed").drop("epoch"), prices)["entries"]
+        for report, fn in reports.items():
+            fn(entries).write.mode("overwrite").parquet(f"{base}/reports/{report}/epoch={epoch}")
+
+    q = (stream_lines(spark, root, max_files_per_trigger).writeStream
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).foreachBatch(each).start())
+    q.awaitTermination()
+
+    def latest(report: str) -> DataFrame:
+        out = spark.read.parquet(f"{base}/reports/{report}")
+        return out.where(F.col("epoch") == out.agg(F.max("epoch")).scalar()).drop("epoch")
+
+    return {report: latest(report) for report in reports}
+
+
+def stream_logs(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming USAGE_ENTRY rows (before dedup) from ``*.jsonl`` files
+    landing below ``root`` (O8.3).  Load order inside the stream is the
+    arrival order, so ``file_first_ts`` is NULL."""
+    lines = stream_lines(spark, root, max_files_per_trigger)
+    parsed = parse_narrow(lines.withColumn("line_seq", F.lit(0).cast("bigint")))
     return (parsed.where(F.col("kind") == "entry")
             .withColumn("file_first_ts", F.lit(None).cast("timestamp"))
             .select(*ENTRY_COLS))
@@ -244,22 +285,25 @@ def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append",
         return spark.read.format(fmt).load(base + "/out")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").format(fmt).save(base + "/out")
+        # one folder per trigger: a retried trigger overwrites its own rows
+        batch.write.mode("overwrite").format(fmt).save(f"{base}/out/_epoch={epoch}")
 
     q = writer.outputMode(output_mode).foreachBatch(sink).start()
     q.awaitTermination()
-    try:
-        out = spark.read.format(fmt).load(base + "/out")
-    except Exception:  # nothing was emitted
-        return None
+    out = _written(spark, base + "/out", sdf.schema, fmt)
     if output_mode == "complete":
         last = out.agg(F.max("_epoch").alias("_m"))
         out = out.join(last, out["_epoch"] == last["_m"], "left_semi")
     return out.drop("_epoch")
 
 
-def money(c: str):
-    return money_out(c)
+def _written(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """What the triggers wrote below ``path``, with ``_epoch``; no rows of
+    ``schema`` when none has written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.format(fmt).load(path)
+    return spark.createDataFrame([], schema.add("_epoch", "int"))
 
 
 def open_blocks_frame(emitted: DataFrame, hours: int, key: str = "session_id") -> DataFrame:
@@ -298,15 +342,14 @@ def stream_active_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id"
         now = as_of if as_of is not None else F.current_timestamp()
         m = live_block_metrics(open_blocks_frame(batch, hours, key).where(~F.col("is_closed")), hours, now,
                                token_limit)
-        m.where("is_active").withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(base + "/out")
+        m.where("is_active").write.mode("overwrite").parquet(f"{base}/out/_epoch={epoch}")
 
     q = (stream_blocks(sdf, hours, key).writeStream.outputMode("update")
          .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
-    try:
-        out = spark.read.parquet(base + "/out")
-    except Exception:  # no active block was ever emitted
-        return None
+    empty = live_block_metrics(open_blocks_frame(spark.createDataFrame([], _block_output(key)), hours, key), hours,
+                               as_of if as_of is not None else F.current_timestamp(), token_limit).schema
+    out = _written(spark, base + "/out", empty)
     # the latest trigger's view of each block
     return (out.groupBy(key, "start_time").agg(F.max_by(F.struct("*"), F.col("_epoch")).alias("b"))
             .select("b.*").drop("_epoch"))

@@ -71,8 +71,7 @@ def refresh(spark: SparkSession, root: str, state: dict, prices: DataFrame | Non
     if not changed and "entries" in state:
         return {**state, "manifest": new_manifest, "diff": diff}
     parsed = materialize(refresh_parsed(spark, state["parsed"], diff))
-    n_files = new_manifest.count()
-    out = finish_usage(parsed, n_files, prices, tz)
+    out = finish_usage(parsed, prices, tz)
     return {**out, "parsed": parsed, "manifest": new_manifest, "diff": diff}
 
 
@@ -81,5 +80,5 @@ def load_state(spark: SparkSession, root: str, prices: DataFrame | None = None,
     m = manifest(spark, root)
     lines = scan_logs(spark, root)
     parsed = materialize(parse_narrow(lines))
-    out = finish_usage(parsed, m.count(), prices, tz)
+    out = finish_usage(parsed, prices, tz)
     return {**out, "parsed": parsed, "manifest": m}

@@ -83,8 +83,8 @@ def test_max_files_and_modified_within(spark, tmp_logs):
     assert [r.session_id for r in recent] == ["new"]
 
 
-def test_file_order_looks_at_the_first_100_lines_only(spark, tmp_logs):
-    # a.jsonl: its first 100 lines start at 12:00; an earlier time only on line 102
+def test_file_order_looks_at_the_whole_file(spark, tmp_logs):
+    # a.jsonl starts at 12:00; its earliest time is on line 102
     lines_a = [""] + [usage("2024-05-01T12:00:00Z", mid=f"a{i}", requestId="r", sessionId="s")
                       for i in range(100)] + [usage("2024-05-01T01:00:00Z", mid="dup", requestId="r", sessionId="s",
                                                     usage={"input_tokens": 1, "output_tokens": 0})]
@@ -94,6 +94,22 @@ def test_file_order_looks_at_the_first_100_lines_only(spark, tmp_logs):
     parts = parse_lines(scan_logs(spark, tmp_logs))
     order = {r.source_file.rsplit("/", 1)[1]: r.file_first_ts for r in
              parts["entries"].select("source_file", "file_first_ts").distinct().collect()}
-    assert order["a.jsonl"].hour == 12 and order["b.jsonl"].hour == 6
+    assert order["a.jsonl"].hour == 1 and order["b.jsonl"].hour == 6
     out = load_usage(spark, tmp_logs, materialize_as=None)["entries"].where("message_id = 'dup'").collect()
-    assert [r.input_tokens for r in out] == [2]     # b.jsonl loads first, its copy wins
+    assert [r.input_tokens for r in out] == [1]     # a.jsonl loads first, its copy wins
+
+
+def test_lines_end_at_newlines_and_repeated_keys_keep_the_last(spark, tmp_logs):
+    good = usage("2024-05-01T10:00:00Z", sessionId="s")
+    write(tmp_logs, "projects/p/a.jsonl", [
+        good[:-1] + ',"sessionId":"last"}', good.replace(", ", ",\r", 1), good + "\r", "\t \t", "\r", "{bad"])
+    parts = parse_lines(scan_logs(spark, tmp_logs))
+    assert sorted(r.session_id for r in parts["entries"].collect()) == ["last", "s", "s"]
+    assert [r.reject_reason for r in parts["rejects"].collect()] == ["malformed_json"]
+
+
+def test_unkeyed_lines_at_one_position_are_all_kept(spark):
+    from meterline.operators.dedup import keep_first
+    df = spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), ("k", 2, "c"), ("k", 1, "d")], "k string, o int, v string")
+    got = keep_first(df, ["k"], ["o"], df["k"].isNotNull())
+    assert sorted(r.v for r in got.collect()) == ["a", "b", "d"]

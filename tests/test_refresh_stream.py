@@ -68,3 +68,18 @@ def test_finalized_days_are_emitted_once(spark, tmp_logs):
     out = run_available_now(stream_daily(with_cost(stream_logs(spark, tmp_logs)), delay="1 hour"), "t-final")
     # the watermark (last event - 1 h) has passed the ends of May 1 and May 2 only
     assert sorted(r.date_key for r in out.collect()) == ["2024-05-01", "2024-05-02"]
+
+
+def test_live_reports_do_not_depend_on_triggers(spark, tmp_logs):
+    from meterline.operators import reports as R
+    from meterline.sources.jsonl import load_usage
+    from meterline.streaming.live import live_reports
+    for i in range(4):  # the same calls in every file; the earliest file's copies count
+        write(tmp_logs, f"projects/p/f{i}.jsonl", [
+            usage(f"2024-05-01T{(h + 7 * i) % 24:02d}:00:00Z", mid=f"m{h}", requestId="r", sessionId=f"s{i}",
+                  usage={"input_tokens": 10 * i + h, "output_tokens": 1}) for h in range(5)])
+    want = R.daily_report(load_usage(spark, tmp_logs)["entries"]).collect()
+    for n in (None, 1):
+        got = live_reports(spark, tmp_logs, f"t-live-{n}-{os.path.basename(tmp_logs)}", {"daily": R.daily_report},
+                           max_files_per_trigger=n)["daily"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
