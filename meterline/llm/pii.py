@@ -221,14 +221,15 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with every detected entity of ``text_col`` replaced; all columns
     kept, plus ``n_entities`` (of the original text) under a name that is free."""
     (count,) = fresh(docs, "n_entities")
-    th, ents, sur, whole = "__text_key", "__entities", "__surrogates", "__row"
+    th, sur, whole = "__text_key", "__surrogates", "__row"
     text = F.col(f"`{text_col}`")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), text.alias("__text"))
     may = packed.where(F.col("__text").rlike(MAY_HOLD)).withColumn(th, text_key(F.col("__text")))
     rest = packed.where(~F.coalesce(F.col("__text").rlike(MAY_HOLD), F.lit(False)))
 
-    found = may.select(th, F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias(ents)).where(F.size(ents) > 0)
-    occurrences = found.select(th, F.posexplode(ents).alias("pos", "ent")).select(th, "pos", "ent", _type(F.col("ent")).alias("kind"))
+    # the outer form: a filter on the array's size would match every text twice
+    found = may.select(th, F.posexplode_outer(F.regexp_extract_all("__text", F.lit(ANY), F.lit(0))).alias("pos", "ent"))
+    occurrences = found.where("pos is not null").select(th, "pos", "ent", _type(F.col("ent")).alias("kind"))
     # a text that occurs in many rows is kept once: its mentions are equal
     mentions = occurrences.select(th, "pos", F.posexplode(_parts(F.col("ent"), F.col("kind"))).alias("sub", "part")) \
         .select(th, "pos", "sub", "part.*").distinct()

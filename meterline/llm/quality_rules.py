@@ -146,4 +146,7 @@ def apply_policy(docs: DataFrame, policy: Policy = DEFAULT_POLICY, text_col: str
     (whole,) = fresh(docs, "__row")
     led = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole),
                              F.col(f"`{text_col}`").alias("__quality_text")), whole, "__quality_text", rules)
-    return led.where(~policy.rejects(F.col("fail_bits"))).select(f"{whole}.*")
+    # the row number keeps the filter above the projections: pushed below, the
+    # measures would be written out inside their own array functions
+    led = led.withColumn("__at", F.monotonically_increasing_id())
+    return led.where(~policy.rejects(F.col("fail_bits")) & (F.col("__at") >= 0)).select(f"{whole}.*")
