@@ -117,7 +117,8 @@ def _matches(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame
     vocabulary = stored(sets.select(F.explode("words").alias("word")).distinct(), "notice-words")
 
     # order: template words by the number of documents that hold them
-    seen = docs.select(F.explode(F.array_distinct(_words(lower_ascii(normal(F.col("text")))))).alias("word")) \
+    # outer explodes: a test on an array's size would cut the text twice
+    seen = docs.select(F.explode_outer(F.array_distinct(_words(lower_ascii(normal(F.col("text")))))).alias("word")) \
         .join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
     order = stored(vocabulary.join(seen, "word", "left").select(
         "word", F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "word").alias("w")), "notice-order")
@@ -130,11 +131,10 @@ def _matches(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame
                                    .alias("i", "w")).select("w.word", "tid", "size", "need", "i"), "notice-prefixes")
 
     # blocks long enough for some template that hold a prefix word of it
-    lines = docs.select(text_key(F.col("text")).alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-    blocks = lines.select("key", F.array_distinct(_words(lower_ascii(normal(F.col("line"))))).alias("words")) \
-        .where(F.size("words") > 0)
+    lines = docs.select(text_key(F.col("text")).alias("key"), F.explode_outer(F.split("text", "\n")).alias("line"))
+    blocks = lines.select("key", F.array_distinct(_words(lower_ascii(normal(F.col("line"))))).alias("words"))
     short = prefix.groupBy("word").agg(F.min("need").alias("need"))
-    hit = blocks.select("key", "words", F.explode("words").alias("word")).join(short, "word") \
+    hit = blocks.select("key", "words", F.explode_outer("words").alias("word")).join(short, "word") \
         .where(F.size("words") >= F.col("need"))
     hit = stored(hit.select("key", F.md5(F.array_join(F.array_sort("words"), " ")).alias("bid"), "words").distinct(), "blocks")
 
