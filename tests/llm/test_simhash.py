@@ -32,7 +32,7 @@ def brute_components(fps, t=2):
         return x
     for i, a in enumerate(keys):
         for b in keys[i + 1:]:
-            if bin(a ^ b).count("1") <= t:
+            if bin((a ^ b) % 2 ** 64).count("1") <= t:
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
     return {k: find(k) for k in keys}
