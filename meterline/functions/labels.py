@@ -36,10 +36,6 @@ BLOG_PROJECT_RE = r"blog-([a-z]+)-([a-z]+)"
 SYSTEM_SEGMENT_RE = r"^(Volumes?|Users?|home|var|tmp|opt|usr|bin|lib|etc|[A-Z0-9]+_[A-Z0-9]+|^\d+[A-Z]+$)$"
 USER_NAME_RE = r"^[a-z]+$"
 USER_NAME_MAX = 8
-# System directory names.
-SYSTEM_DIRECTORIES = ["home", "Users", "usr", "var", "tmp", "opt", "etc", "lib", "bin", "sbin",
-                      "dev", "proc", "sys", "root", "mnt", "media", "Volumes", "Applications",
-                      "Library"]
 # ---------------------------------------------------------------------------
 
 
@@ -154,27 +150,3 @@ def project_label(col) -> Column:
             .when(name.rlike(SRC_PROJECT_RE), F.concat(F.lit("src-"), src_re))
             .when(name.rlike(BLOG_PROJECT_RE), F.concat(F.lit("blog-"), blog1, F.lit("-"), blog2))
             .otherwise(F.coalesce(src_hit, tail)))
-
-
-# ---- segment predicates (O9.10) -------------------------------------------
-
-def is_numeric(col) -> Column:
-    return _c(col).rlike(r"^[0-9]+$")
-
-
-def is_date_like(col) -> Column:
-    c = _c(col)
-    return (F.length(c).isin(1, 2, 4) & is_numeric(c)) | (c == "")
-
-
-def is_uuid(col) -> Column:
-    return _c(col).rlike(r"^[^-]{8}-[^-]{4}-[^-]{4}-[^-]{4}-[^-]{12}$")
-
-
-def is_timestamp_like(col) -> Column:
-    c = _c(col)
-    return (F.length(c) >= 8) & is_numeric(c)
-
-
-def is_system_directory(col) -> Column:
-    return _c(col).isin(*SYSTEM_DIRECTORIES)

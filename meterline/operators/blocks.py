@@ -113,7 +113,7 @@ def assign_blocks(df: DataFrame, hours: int = DEFAULT_HOURS, key=None) -> DataFr
     """Every entry with its ``block_start`` (O5.1).
 
     The assignment table has at most two rows per key and hour; it is
-    broadcast when its counted size allows, else joined by shuffle.
+    joined as the planner chooses by its size.
     """
     keys = key_list(key)
     assign = block_assignment(df, hours, key).select(*keys, "_hs", "_strict", "_block_hs")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.functions.labels import is_real_model, model_label
 from meterline.functions.timefns import date_key, iso_week_key
 from meterline.operators.common import key_list, money_out, nonempty, sum0
 from meterline.operators.reports import _period_report

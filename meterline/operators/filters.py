@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.timefns import date_key, local_time
-from meterline.operators.common import nonempty
 
 
 def _ts(value) -> F.Column:
@@ -164,11 +163,3 @@ def filter_sessions_activity(sessions: DataFrame, since: str | None, until: str
     if until:
         cond = cond & (act <= until)
     return sessions.where(cond)
-
-
-def with_date_key(df: DataFrame, tz: str = "UTC") -> DataFrame:
-    return df.withColumn("date_key", date_key("ts", tz))
-
-
-def has_session(df: DataFrame) -> DataFrame:
-    return df.where(nonempty("session_id"))

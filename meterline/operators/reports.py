@@ -1,6 +1,6 @@
 """Group-by reports (O4.*, O6.1-O6.2).
 
-Each report is one hash aggregate (partial on the map side, so a hot key
+Each report is one aggregate (partial on the map side, so a hot key
 never lands whole in one task) followed by an ``orderBy`` of the small
 result.  Money is summed as exact decimals and rounded at the edge.
 The grand-total row is a ``rollup``: distinct counts are recounted over all
@@ -119,9 +119,9 @@ def usage_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFra
         "models", "projects")
 
 
-def period_report(df: DataFrame, kind: str, at: str) -> DataFrame:
-    """One day ('YYYY-MM-DD') or month ('YYYY-MM') in UTC: range filter, then
-    the summary with period bounds (O4.9)."""
+def period_report(df: DataFrame, kind: str, at: str, tz: str = "UTC") -> DataFrame:
+    """One day ('YYYY-MM-DD') or month ('YYYY-MM') of zone ``tz``: range filter,
+    then the summary with the period's bounds as instants (O4.9)."""
     from datetime import datetime
     if kind == "daily":
         start = datetime.strptime(at, "%Y-%m-%d")
@@ -131,14 +131,16 @@ def period_report(df: DataFrame, kind: str, at: str) -> DataFrame:
         end_expr = F.add_months(F.lit(start.strftime("%Y-%m-%d")).cast("date"), 1).cast("timestamp")
     else:
         raise ValueError("kind must be 'daily' or 'monthly'")
-    s = F.lit(start.strftime("%Y-%m-%d")).cast("timestamp")
+    s = F.to_utc_timestamp(F.lit(start.strftime("%Y-%m-%d")).cast("timestamp"), tz)
+    end_expr = F.to_utc_timestamp(end_expr, tz)
     return (usage_summary(filter_range(df, s, end_expr))
             .select(F.lit(kind).alias("period"), s.alias("start_time"), end_expr.alias("end_time"), "*"))
 
 
-def weekly_report(df: DataFrame, year: int | None = None, week: int | None = None, as_of=None) -> DataFrame:
-    """Week ``week`` of ``year``, week 1 starting on the first Monday, UTC,
-    ``[start, +7d)`` (O4.8).  Without year/week, the ISO year and week of
+def weekly_report(df: DataFrame, year: int | None = None, week: int | None = None, as_of=None,
+                  tz: str = "UTC") -> DataFrame:
+    """Week ``week`` of ``year``, week 1 starting on the first Monday of zone
+    ``tz``, ``[start, +7d)`` (O4.8).  Without year/week, the ISO year and week of
     ``as_of`` are used, as the reference does by default (O9.7); the two
     numberings differ in some years (SURVEY Q11)."""
     if year is None or week is None:
@@ -147,7 +149,7 @@ def weekly_report(df: DataFrame, year: int | None = None, week: int | None = Non
         iso = at.isocalendar()
         year, week = (year or iso[0]), (week or iso[1])
     s = week_start_first_monday(year, week)
-    e = s + F.expr("INTERVAL 7 DAYS")
+    s, e = F.to_utc_timestamp(s, tz), F.to_utc_timestamp(s + F.expr("INTERVAL 7 DAYS"), tz)
     return (usage_summary(filter_range(df, s, e))
             .select(F.lit("weekly").alias("period"), s.alias("start_time"), e.alias("end_time"), "*"))
 

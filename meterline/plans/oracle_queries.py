@@ -129,6 +129,20 @@ ORACLE.update({
         f"SELECT entry_id, model, session_name, {_money('api_cost')} AS api_cost, "
         f"{_money('cache_create_cost')} AS cache_create_cost, {_money('cache_read_cost')} AS cache_read_cost, "
         f"{_money('cost')} AS cost FROM priced"),
+    "user_price_costs": with_base(f"""
+        , made AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'claude-3-haiku-20240307' WHEN 1 THEN 'gpt-4o'
+                          WHEN 2 THEN 'unknown-model-x' ELSE 'not-used' END AS model,
+                    CAST(p_size * 0.000000001 AS DECIMAL(18,12)) AS a, CAST(p_size * 2 * 0.000000001 AS DECIMAL(18,12)) AS b,
+                    CAST((p_partkey % 7) * 0.000000001 AS DECIMAL(18,12)) AS c,
+                    CAST((p_partkey % 7 + 1) * 0.000000001 AS DECIMAL(18,12)) AS d FROM part),
+        own AS (SELECT model, a, b, c, d FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY a, b, c, d) AS rn
+                                               FROM made) WHERE rn = 1),
+        costed AS (SELECT u.model, CASE WHEN u.logged_cost <> 0 THEN u.logged_cost ELSE
+              CAST(u.input_tokens AS DECIMAL(15,0)) * coalesce(o.a, p.p_in) + CAST(u.output_tokens AS DECIMAL(15,0)) * coalesce(o.b, p.p_out)
+              + coalesce(CAST(u.cache_create_tokens AS DECIMAL(15,0)) * coalesce(o.c, p.p_cc), 0)
+              + coalesce(CAST(u.cache_read_tokens AS DECIMAL(15,0)) * coalesce(o.d, p.p_cr), 0) END AS cost
+            FROM usage u LEFT JOIN own o USING (model) LEFT JOIN prices p ON p.model = u.model)
+        SELECT model, count(*) AS requests, {_money('sum(cost)')} AS cost FROM costed GROUP BY model"""),
     "session_names": with_base("SELECT session_id, session_name FROM session_names"),
     "period_summary": _range_summary("daily", "TIMESTAMP '2024-01-15 00:00:00'", "TIMESTAMP '2024-01-16 00:00:00'"),
     "monthly_summary": _range_summary("monthly", "TIMESTAMP '2024-01-01 00:00:00'",

@@ -150,8 +150,31 @@ def q_session_by_name(spark, sf):
     from meterline.operators.filters import filter_session_name
     df = priced_usage(spark, sf)
     # the name of the session of user 3 (a name of the data, not a literal)
-    name = view_names(spark, sf).where(F.col("session_id") == "s3").select("session_name")
-    return _sessions(R.session_report(df.join(name, "session_name", "left_semi"), order=VIEW_ORDER))
+    name = view_names(spark, sf).where(F.col("session_id") == "s3").select("session_name").first()
+    return _sessions(R.session_report(filter_session_name(df, name and name.session_name), order=VIEW_ORDER))
+
+
+def q_user_price_costs(spark, sf):
+    """Costs by model under a user price table made from ``part``: many rows
+    per model id, of which the lowest prices count (O1.14, O3.4)."""
+    import uuid
+    from decimal import Decimal
+    from meterline.operators.dedup import dedup_usage
+    from meterline.operators.pricing import with_cost
+    from meterline.session import checkpoint_dir
+    from meterline.sources.events_view import load_table, usage_view
+    from meterline.sources.prices import load_prices
+    nano = F.lit(Decimal("0.000000001"))
+    size, key = F.col("p_size").cast("decimal(10,0)"), (F.col("p_partkey") % 7).cast("decimal(10,0)")
+    ids = F.array(*[F.lit(m) for m in ("claude-3-haiku-20240307", "gpt-4o", "unknown-model-x", "not-used")])
+    made = load_table(spark, sf, "part").select(
+        F.element_at(ids, (F.col("p_partkey") % 4 + 1).cast("int")).alias("model"),
+        (size * nano).alias("input_cost_per_token"), (size * 2 * nano).alias("output_cost_per_token"),
+        (key * nano).alias("cache_creation_input_token_cost"), ((key + 1) * nano).alias("cache_read_input_token_cost"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/meterline-prices/{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    priced = with_cost(dedup_usage(usage_view(spark, sf), order=VIEW_ORDER), load_prices(spark, path, "parquet"))
+    return priced.groupBy("model").agg(F.count(F.lit(1)).alias("requests"), money_out(F.sum("cost")).alias("cost"))
 
 
 def q_source_file_report(spark, sf):
@@ -223,6 +246,7 @@ QUERIES.update({
     "session_members": q_session_members,
     "session_by_id": q_session_by_id,
     "session_by_name": q_session_by_name,
+    "user_price_costs": q_user_price_costs,
     "source_file_report": q_source_file_report,
     "block_type_report": q_block_type_report,
     "usage_totals": q_usage_totals,

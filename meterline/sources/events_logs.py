@@ -97,8 +97,9 @@ def events_log_root(spark: SparkSession, sf_dir: str, replicas: int = 1) -> str:
     makes the write idempotent across runs and retries.
     """
     base = checkpoint_dir(spark).rstrip("/")
-    st = os.stat(f"{sf_dir}/events.parquet") if os.path.exists(f"{sf_dir}/events.parquet") else None
-    tag = hashlib.sha1(f"{sf_dir}|{st.st_size if st else 0}|{st.st_mtime if st else 0}|v1".encode()).hexdigest()[:12]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    st = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    tag = hashlib.sha1(f"{sf_dir}|{st.getLen()}|{st.getModificationTime()}|v1".encode()).hexdigest()[:12]
     suffix = f"-x{replicas}" if replicas > 1 else ""
     root = f"{base}/meterline-logs/{os.path.basename(sf_dir.rstrip('/'))}-{tag}{suffix}"
     if not exists(root, "_DONE"):

@@ -93,11 +93,6 @@ def embedded_price_lookup(spark: SparkSession) -> DataFrame:
     return _values(spark, embedded_lookup_rows(), LOOKUP_SCHEMA)
 
 
-def embedded_price_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, *[Decimal(p) for p in ps]) for n, *ps in EMBEDDED_PRICES]
-    return _values(spark, rows, PRICE_TABLE)
-
-
 def load_prices(spark: SparkSession, path: str, fmt: str = "map-json") -> DataFrame:
     """A user price table with the PRICE_TABLE schema.
 
