@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -103,14 +104,13 @@ class session_conf:
 
 
 def materialize_checkpoint(df):
-    """Reliable checkpoint into ``spark.checkpoint.dir``, computing the plan
-    once: the rows are cached while the checkpoint job writes them (a plain
-    eager checkpoint runs the plan a second time to write) and released
-    after.  The result reads from the shared folder, so its lineage is cut."""
-    from pyspark import StorageLevel
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    """The rows of ``df`` as a parquet table in ``spark.checkpoint.dir``: the
+    plan runs once, the lineage is cut (a lost executor reads files again), and
+    later reads prune columns and push filters down.  The files are deleted
+    when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/meterline-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
