@@ -164,9 +164,10 @@ def payload_of(block: Column) -> Column:
     return F.when(F.contains(F.lower(head), F.lit("transfer-encoding: chunked")), joined).otherwise(body)
 
 
-def assemble(recs: DataFrame) -> DataFrame:
+def assemble(recs: DataFrame, carry: tuple[str, ...] = ("block", "complete")) -> DataFrame:
     """One nested row per capture: ``capture_id``, ``uri``, ``response`` (type, id,
-    refers_to, digest, block), lists ``requests`` and ``metadata``.
+    refers_to, digest and the columns ``carry`` of ``recs``, its block by
+    default), lists ``requests`` and ``metadata``.
 
     A request or metadata record may name the response or another record
     that does (a chain of two).  The lists are gathered per capture, so they
@@ -182,4 +183,4 @@ def assemble(recs: DataFrame) -> DataFrame:
     lists = resolved.groupBy("id").agg(part("request").alias("requests"), part("metadata").alias("metadata"))
     return answers.join(lists, "id", "left").select(
         F.col("id").alias("capture_id"), "uri",
-        F.struct("type", "id", "refers_to", "digest", "block", "complete").alias("response"), "requests", "metadata")
+        F.struct("type", "id", "refers_to", "digest", *carry).alias("response"), "requests", "metadata")
