@@ -1,8 +1,14 @@
 """License notices by an exact set-similarity join, in SQL functions only.
 
 The blocks are the lines of a text, as sets of words; a template matches a
-block that contains at least ``threshold`` of its distinct words.  Only words
-of some template can count, and the join finds every match:
+block that contains at least ``threshold`` of its distinct words.  With
+``windows`` they are instead, whatever the line breaks, the runs of
+ceil(n / threshold) consecutive words (threshold 0.5 at least), for a template
+of n words: a wrapped notice is whole and a long line is not one set.  Texts
+are cut in overlapping stretches of twice the longest run, so each run lies in
+one, and the join below is on the stretches; the last step tries their runs.
+
+Only words of some template can count, and the join finds every match:
 
 * *order*: template words are ordered by the number of documents that hold
   them, over the whole corpus, rarest first;
@@ -71,14 +77,16 @@ def _spaces(text: Column) -> Column:
 
 def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          threshold: float = THRESHOLD, phrases: tuple[tuple[str, str], ...] = PHRASES,
-         keep: tuple[str, ...] = ()) -> DataFrame:
+         keep: tuple[str, ...] = (), windows: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``keep``, ``n_words``, ``n_base``
     (places of the phrases), ``first_word`` and ``last_word`` (their smallest
     and largest start, else null), ``base_labels``, ``labels`` (also those of
     matching ``notices`` (label, text); both distinct, sorted, comma-joined) and
-    ``score``, the highest containment of a matching template, else 0."""
+    ``score``, the highest containment of a matching template, else 0.  Notices
+    match within a line, or with ``windows`` within a run of words."""
     base = _phrases(docs, id_col, text_col, phrases, keep)
-    found = stored(_matches(docs.select(F.col(f"`{text_col}`").alias("text")), notices, threshold), "license-matches")
+    found = stored(_matches(docs.select(F.col(f"`{text_col}`").alias("text")), notices, threshold, windows),
+                   "license-matches")
     out = base.join(found, "__key", "left")
     labels = F.array_sort(F.array_distinct(F.concat("__base", F.coalesce("__labels", F.array().cast("array<string>")))))
     return out.select(id_col, *keep, "n_words", "n_base", "first_word", "last_word",
@@ -108,12 +116,14 @@ def _phrases(docs: DataFrame, id_col: str, text_col: str, phrases, keep) -> Data
                       F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("__base"))
 
 
-def _matches(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame:
+def _matches(docs: DataFrame, notices: DataFrame, threshold: float, windows: bool) -> DataFrame:
     """(__key, __labels, __score) of the texts that hold a matching block."""
+    notice = _words(lower_ascii(normal(F.col("text"))))
+    run = F.ceil(F.size(notice) / F.lit(max(threshold, 0.5)) - 1e-9).cast("int")
     sets = notices.where("text is not null and label is not null").select(
-        "label", F.array_distinct(_words(lower_ascii(normal(F.col("text"))))).alias("words")).where("size(words) > 0")
-    sets = stored(sets.distinct().select(F.xxhash64("label", F.array_join("words", " ")).alias("tid"), "label", "words"),
-                  "notices")
+        "label", F.array_distinct(notice).alias("words"), run.alias("run")).where("size(words) > 0")
+    sets = stored(sets.distinct().select(F.xxhash64("label", F.array_join("words", " "), "run").alias("tid"), "label",
+                                         "words", "run"), "notices")
     vocabulary = stored(sets.select(F.explode("words").alias("word")).distinct(), "notice-words")
 
     # order: template words by the number of documents that hold them
@@ -124,23 +134,32 @@ def _matches(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame
         "word", F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "word").alias("w")), "notice-order")
 
     need = F.ceil(F.lit(threshold) * F.size("s") - 1e-9).cast("int")
-    ordered = stored(sets.select("tid", "label", F.explode("words").alias("word")).join(order, "word")
-                     .groupBy("tid", "label").agg(F.sort_array(F.collect_list("w")).alias("s"))
-                     .select("tid", "label", "s", F.size("s").alias("size"), need.alias("need")), "notice-sets")
+    ordered = stored(sets.select("tid", "label", "run", F.explode("words").alias("word")).join(order, "word")
+                     .groupBy("tid", "label", "run").agg(F.sort_array(F.collect_list("w")).alias("s"))
+                     .select("tid", "label", "run", "s", F.size("s").alias("size"), need.alias("need")), "notice-sets")
     prefix = stored(ordered.select("tid", "size", "need", F.posexplode(F.slice("s", F.lit(1), F.col("size") - F.col("need") + 1))
                                    .alias("i", "w")).select("w.word", "tid", "size", "need", "i"), "notice-prefixes")
 
     # blocks long enough for some template that hold a prefix word of it
-    lines = docs.select(text_key(F.col("text")).alias("key"), F.explode_outer(F.split("text", "\n")).alias("line"))
-    blocks = lines.select("key", F.array_distinct(_words(lower_ascii(normal(F.col("line"))))).alias("words"))
+    if windows:
+        longest = sets.agg(F.max("run")).first()[0] or 1
+        word = "[^ ]++ "
+        stretch = F.regexp_extract_all(lower_ascii(normal(F.col("text"))),
+                                       F.lit(f"(?=((?:{word}){{1,{2 * longest}}}+))(?:{word}){{1,{longest}}}+"), F.lit(1))
+        cut = docs.select(text_key(F.col("text")).alias("key"), F.explode_outer(stretch).alias("line"))
+        blocks = cut.select("key", _words(F.col("line")).alias("words"))
+    else:
+        lines = docs.select(text_key(F.col("text")).alias("key"), F.explode_outer(F.split("text", "\n")).alias("line"))
+        blocks = lines.select("key", F.array_distinct(_words(lower_ascii(normal(F.col("line"))))).alias("words"))
     short = prefix.groupBy("word").agg(F.min("need").alias("need"))
     hit = blocks.select("key", "words", F.explode_outer("words").alias("word")).join(short, "word") \
         .where(F.size("words") >= F.col("need"))
-    hit = stored(hit.select("key", F.md5(F.array_join(F.array_sort("words"), " ")).alias("bid"), "words").distinct(), "blocks")
+    told = F.col("words") if windows else F.array_sort("words")
+    hit = stored(hit.select("key", F.md5(F.array_join(told, " ")).alias("bid"), "words").distinct(), "blocks")
 
     # candidate blocks, each once, in the global order
-    sorted_blocks = hit.groupBy("bid").agg(F.first("words").alias("words")) \
-        .select("bid", F.explode("words").alias("word")).join(order, "word") \
+    once = hit.groupBy("bid").agg(F.first("words").alias("words"))
+    sorted_blocks = once.select("bid", F.explode(F.array_distinct("words")).alias("word")).join(order, "word") \
         .groupBy("bid").agg(F.sort_array(F.collect_list("w")).alias("b"))
     probe = sorted_blocks.select("bid", "b", F.size("b").alias("m"), F.posexplode("b").alias("j", "w")) \
         .select("bid", "b", "m", "j", "w.word").join(prefix, "word").where(F.col("m") >= F.col("need"))
@@ -149,7 +168,11 @@ def _matches(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame
     pairs = first.join(ordered, "tid").where(
         1 + F.least(F.col("size") - F.col("f.i") - 1, F.col("m") - F.col("f.j") - 1) >= F.col("need"))
     common = F.size(F.array_intersect("b.word", "s.word"))
-    verified = pairs.select("bid", "label", "size", "need", common.alias("c")).where("c >= need")
+    verified = pairs.select("bid", "label", "size", "need", "run", F.col("s.word").alias("s"), common.alias("c")).where("c >= need")
+    if windows:
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.size(
+            F.array_intersect(F.slice("words", i, F.col("run")), F.col("s")))))
+        verified = verified.join(once, "bid").select("bid", "label", "size", "need", best.alias("c")).where("c >= need")
     return hit.select("key", "bid").join(verified, "bid").groupBy("key").agg(
         F.collect_set("label").alias("__labels"), F.max(F.col("c") / F.col("size")).alias("__score")) \
         .withColumnRenamed("key", "__key")

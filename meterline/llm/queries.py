@@ -97,6 +97,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
 
 
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark), windows=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_pii, op3_decontamination, op4_quality_rules, op5_warc, op6_simhash, op7_chat, op8_packing,
-    op9_sharding, op10_license_scan, quality_ablation)}
+    op9_sharding, op10_license_scan, op10_license_windows, quality_ablation)}

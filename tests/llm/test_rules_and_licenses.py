@@ -128,3 +128,41 @@ def test_licenses(frame, spark):
     empty = spark.createDataFrame([], "label string, text string")
     assert {r.labels for r in L.scan(docs.where("doc_id = 7"), empty).collect()} == {""}
     assert L.scan(docs.where("false"), L.templates(spark)).collect() == []
+
+
+def brute_windows(text, notices, threshold=0.8):
+    w, labels, score = words_of(text), set(), 0.0
+    for label, t in notices:
+        tw = set(words_of(t))
+        run = ceil(len(words_of(t)) / threshold - 1e-9)
+        n = max((len(tw & set(w[i:i + run])) for i in range(len(w))), default=0)
+        if tw and n >= ceil(threshold * len(tw) - 1e-9):
+            labels.add(label)
+            score = max(score, n / len(tw))
+    return labels, score
+
+
+def test_licenses_in_windows(frame, spark):
+    rnd = random.Random(5)
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL "
+           "was not distributed with this\n * file, You can obtain one")
+    album = "The album was released in 1999 under the band's own label after the distributor lost its license"
+    notices = [*L.TEMPLATES, ("two", "alpha beta gamma delta epsilon"), ("rep", "x x x é é"), ("none", " . ")]
+    vocab = "alpha beta gamma delta epsilon released under the mit license x é".split()
+    filler = "some other words of a long line " * 3000
+    texts = [None, "", "...", bsd, mpl, album, filler + album, filler + bsd + " " + filler, "\n".join(bsd.split()),
+             "license MIT the; released", "released " * 5000 + "under the license"]
+    texts += [" ".join(rnd.choice(vocab) for _ in range(n)) for n in range(120)]
+    texts += ["a " * n + notices[n % 9][1].replace(" ", "\n") + " b" * 50 for n in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, bsd)]
+    docs = frame(rows, "doc_id long, text string")
+    got = L.scan(docs, spark.createDataFrame(notices, "label string, text string"), phrases=(), windows=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        labels, score = brute_windows(texts[r.doc_id], notices)
+        assert (set(filter(None, r.labels.split(","))), round(r.score, 9)) == (labels, round(score, 9)), texts[r.doc_id][-300:]
+    by = {r.doc_id: r.labels for r in got}
+    assert (by[3], by[4], by[5], by[6], by[7], by[8]) == ("bsd", "mpl-2.0", "", "", "bsd", "bsd")
+    empty = spark.createDataFrame([], "label string, text string")
+    assert {r.labels for r in L.scan(docs.where("doc_id = 3"), empty, phrases=(), windows=True).collect()} == {""}
