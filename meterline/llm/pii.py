@@ -7,13 +7,15 @@ share one: the distinct values get candidates derived from the key, a
 candidate that is another value's or that occurs as a real value is rejected,
 and the losers draw again until none is left.
 
-Types: email, phone, card, ip, ssn, iban, secret, and person names, split in
-given names (by gender) and family names, each in Latin, Cyrillic or Greek.
+Types: email, phone, card, ip, ipv6, ssn, iban, secret, and person names, split
+in given names (by gender) and family names, each in Latin, Cyrillic or Greek.
 Digits stay digits, letters keep case and hex stays hex; cards keep their
-first digit and whether they pass the Luhn check; phones keep country code
-and layout; addresses move to reserved example domains; names are drawn from
-lists of the same gender and script, lengthened by syllables when a list is
-used up.
+first digit and whether they pass the Luhn check; phones keep layout and, after
+"+" or "00", the whole country code, else the first digit; email addresses move
+to reserved example domains, IPv6 to the documentation prefix, written in full;
+names are drawn from lists of the same gender and script, lengthened by
+syllables when a list is used up.  Initials are rotated in their alphabet by a
+keyed step, one to one, as there are too few to avoid all real ones.
 
 Distinct texts are rewritten once per text key.  Texts that cannot hold an
 entity (a necessary-character test) are passed on without a shuffle.
@@ -24,6 +26,7 @@ same result; an empty table gives an empty one; all columns are passed on.
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,7 +57,10 @@ NAMES = {
 SYLLABLES = {"latin": ("an", "el", "or", "is", "en", "ar", "ul", "in"), "cyrillic": ("ан", "ел", "ор", "ин", "ев", "ич"),
              "greek": ("ας", "ης", "ος", "ιδ", "ακ", "ελ")}
 
-_WORD = r"\p{Lu}[\p{Ll}’'-]+"
+# With inner capitals: O'Brien, McDonald, Smith-Jones.
+_WORD = r"\p{Lu}(?:[\p{Ll}’'-]|(?<=[\p{Ll}’'-])\p{Lu}(?=[\p{Ll}’']))+"
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+_INITIAL = "[" + "".join(ALPHABETS) + r"]\."
 _TITLE = "(?:" + "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)) + r")\b\.?"
 _GIVEN = "(?:" + "|".join(n for (g, _), names in NAMES.items() if g != "s" for n in names) + ")"
 _KEYWORD = "(?i:password|passwd|pwd|token|secret|api[_-]?key)"
@@ -63,20 +69,34 @@ _KEYWORD = "(?i:password|passwd|pwd|token|secret|api[_-]?key)"
 _START = "(?<![A-Za-z0-9])"
 # Names and titles start with one of these.
 _CAPITAL = r"(?=[\p{Lu}г])"
+_H = "[0-9A-Fa-f]{1,4}"
+# After "+": country code, area or trunk digits in brackets, groups; 7 digits at least.
+_ABROAD = r"(?<![+])\+(?=(?:[0-9][ .()-]{0,3}){7})[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\))?[ .-]?[0-9]{1,14}(?:[ .-][0-9]{2,8}){0,5}(?![0-9])"
+_LOCAL = r"(?<![+])(?:1[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+# With the trunk digit 0: groups parted by one and the same sign, 8 digits at least, no date.
+_TRUNK = (r"(?<![+.,])(?:(?!0[0-9](?<day>[ .-])[0-9]{2}\k<day>[0-9]{4}(?![0-9]))0[0-9]{1,5}(?<sep>[ .-])(?=(?:[0-9][ .-]?){6})[0-9]{2,8}(?:\k<sep>[0-9]{2,8}){0,4}"
+          r"|\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ .-][0-9]{2,5}){0,3})(?![0-9])")
+_PLAIN = r"(?<![+.,])(?:[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{8,9})(?!\.?[0-9])"
 # In order of precedence; the first alternative that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
     "secret": _KEYWORD + r"""["']? ?[=:] ?["']?[A-Za-z0-9+/_-]{8,}+|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])""",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "ipv6": rf"(?<![:.])(?=[A-Fa-f:]*[0-9])(?:{_H}(?::{_H}){{7}}|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)"
+            r"(?![A-Za-z0-9]|:[0-9A-Fa-f:]|\.[0-9])",
+    # not a number with 00, a country code and a short group, which is a phone
+    "card": r"(?!00[1-9][0-9]{1,2}(?<cut>[ -])[0-9]{2,3}(?:\k<cut>[0-9]{2,8}){1,3}(?![ -]?[0-9]))[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-    "name": rf"{_CAPITAL}(?<!\p{{L}})(?:{_TITLE} {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})(?!\p{{L}})",
+    "phone": f"{_ABROAD}|{_LOCAL}|{_TRUNK}|{_PLAIN}",
+    "name": rf"{_CAPITAL}(?<!\p{{L}})(?:{_TITLE}(?: {_INITIAL}){{0,3}} {_WORD}(?:(?: {_INITIAL}){{0,3}} {_WORD})?"
+            rf"|{_GIVEN}(?:-{_WORD})?(?: {_INITIAL}){{0,3}} {_WORD})(?!\p{{L}})",
 }
 ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 # Every pattern needs a match of this; a cheap test on whole texts.
-MAY_HOLD = rf"""[0-9@]|{_START}(?:(?=[pPtTsSaA])(?:AKIA|{_KEYWORD}["']? ?[=:])|{_CAPITAL}(?:{_TITLE} |{_GIVEN} ))"""
+MAY_HOLD = rf"""[0-9@]|{_START}(?:(?=[pPtTsSaA])(?:AKIA|{_KEYWORD}["']? ?[=:])|{_CAPITAL}(?:{_TITLE} |{_GIVEN}[ -]))"""
+# E.164: no country code starts another.
+_COUNTRY = r"^(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _SECRET_HEAD = "^((?:" + _KEYWORD + r"""["']? ?[=:] ?["']?)|AKIA)"""
 
 
@@ -91,30 +111,56 @@ def _any_of(values) -> str:
     return "^(?:" + "|".join(values) + r")\.?$"
 
 
-def _parts(ent: Column, kind: Column) -> Column:
+def _turned(initial: Column, key: str) -> Column:
+    """Another initial of the same alphabet, by a keyed step."""
+    step = int(hashlib.sha256(f"{key}\0initial".encode()).hexdigest(), 16)
+    turn = lambda a: a[(n := 1 + step % (len(a) - 1)):] + a[:n]
+    return F.translate(initial, "".join(ALPHABETS), "".join(map(turn, ALPHABETS)))
+
+
+def _parts(ent: Column, kind: Column, key: str) -> Column:
     """(kind, head, value) of an occurrence: names are split in words, titles
-    have kind null and keep their text; others are one part whose fixed head
+    and initials have kind null and their written form as head; others are one part whose fixed head
     (the name of a secret) is kept."""
     words = F.split(ent, " ")
     known = lambda g: F.array(*[F.lit(n) for (x, _), ns in NAMES.items() if x == g for n in ns])
+    given = lambda w: F.substring_index(w, "-", 1)
     title = words[0].rlike(_any_of((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)))
-    gender = lambda w: (F.when(words[0].rlike(_any_of(MALE_TITLES)) | F.array_contains(known("m"), w), "m")
-                        .when(words[0].rlike(_any_of(FEMALE_TITLES)) | F.array_contains(known("f"), w), "f").otherwise("n"))
+    gender = lambda w: (F.when(words[0].rlike(_any_of(MALE_TITLES)) | F.array_contains(known("m"), given(w)), "m")
+                        .when(words[0].rlike(_any_of(FEMALE_TITLES)) | F.array_contains(known("f"), given(w)), "f").otherwise("n"))
     script = lambda w: (F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic")
                         .when(w.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin"))
     part = lambda k, h, v: F.struct(k.alias("kind"), h.alias("head"), v.alias("value"))
     none = F.lit(None).cast("string")
     names = F.transform(words, lambda w, i: F.when((i == 0) & title, part(none, w, F.lit(""))).when(
+        w.rlike(f"^{_INITIAL}$"), part(none, _turned(w, key), F.lit(""))).when(
         i == F.size(words) - 1, part(F.concat(F.lit("s-"), script(w)), F.lit(""), w))
         .otherwise(part(F.concat(gender(w), F.lit("-"), script(w)), F.lit(""), w)))
     head = F.when(kind == "secret", F.regexp_extract(ent, _SECRET_HEAD, 1)).otherwise("")
     return F.when(kind == "name", names).otherwise(F.array(part(kind, head, F.substr(ent, F.length(head) + 1))))
 
 
+def _without_trunk(phone: Column) -> Column:
+    """The "(0)" after a country code is no part of the number."""
+    return F.when(phone.startswith("+"), F.replace(phone, F.lit("(0)"), F.lit("()"))).otherwise(phone)
+
+
+def _full_ipv6(value: Column) -> Column:
+    """All eight groups in four digits."""
+    groups = lambda text: F.array_remove(F.split(text, ":"), "")
+    left = groups(F.substring_index(value, "::", 1))
+    right = F.when(F.contains(value, F.lit("::")), groups(F.substring_index(value, "::", -1))) \
+        .otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def _canonical(kind: Column, value: Column) -> Column:
     """The same for every way of writing one entity."""
     return (F.when(kind == "email", lower_ascii(value))
-            .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
+            .when(kind == "phone", F.regexp_replace(_without_trunk(value), "(?!^[+])[^0-9]", ""))
+            .when(kind == "ipv6", _full_ipv6(lower_ascii(value)))
+            .when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
             .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
             .otherwise(value))
 
@@ -141,7 +187,7 @@ def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Co
     letters = lambda alphabet, i: F.substr(F.lit(alphabet), F.pmod(draw(i), F.lit(len(alphabet))).cast("int") + 1, F.lit(1))
     hexa = norm.rlike("^[0-9a-f]+$")
 
-    def shaped(text: Column, keep: int) -> Column:
+    def shaped(text: Column, keep: int | Column) -> Column:
         """Every letter and digit redrawn in its class, the first ``keep`` kept."""
         one = lambda c, i: (F.when(i < keep, c)
                             .when(c.rlike("[0-9]"), digit(i).cast("string"))
@@ -159,6 +205,8 @@ def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Co
                      _pick(("com", "net", "org"), F.xxhash64(at, F.lit(0))))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)),
                                   lambda i: (F.pmod(draw(i), F.lit(254)) + 1).cast("string")), ".")
+    ipv6 = F.concat(F.lit("2001:0db8"), F.regexp_replace(F.substr(seed, F.lit(1), F.lit(24)), "(.{4})", ":$1"))
+    code = F.greatest(F.lit(1), F.length(F.regexp_extract(norm, _COUNTRY, 0)))
     card = shaped(norm, 1)
     # the last digit makes the number pass the Luhn check, or fail it, as the original does
     def luhn(text: Column) -> Column:
@@ -170,8 +218,8 @@ def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Co
     off = F.when(F.pmod(luhn(norm), F.lit(10)) == 0, 0).otherwise(digit(F.lit(99), 1))
     card = F.concat(body, F.pmod(check + off, F.lit(10)).cast("string"))
     out = (F.when(kind == "email", email).when(kind == "ip", F.concat(ip, longer))
-           .when(kind == "card", F.concat(card, longer)).when(kind == "phone", F.concat(shaped(norm, 1), longer))
-           .when(kind == "iban", F.concat(shaped(norm, 2), longer)))
+           .when(kind == "card", F.concat(card, longer)).when(kind == "phone", F.concat(shaped(norm, code), longer))
+           .when(kind == "ipv6", ipv6).when(kind == "iban", F.concat(shaped(norm, 2), longer)))
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(attempt / 2).cast("int")))
     syllables = {s: F.array_join(F.transform(rounds, partial(_syllable, s, draw)), "") for s in SYLLABLES}
     for (g, script), names in NAMES.items():
@@ -182,12 +230,16 @@ def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Co
 
 def _rendered(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate's characters in the layout in which ``value`` is written."""
+    written = value
+    value = F.when(kind == "phone", _without_trunk(value)).otherwise(value)
+    surrogate = F.when(kind == "phone", F.ltrim(surrogate, F.lit("+"))).otherwise(surrogate)
     layout = F.split(value, "")
     body = r"[A-Z0-9]"
     at = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^A-Z0-9]", ""))
     filled = F.array_join(F.transform(layout, lambda c, i: F.when(
         c.rlike(body), F.substr(surrogate, at(i), F.lit(1))).otherwise(c)), "")
     tail = F.substr(surrogate, F.length(F.regexp_replace(value, "[^A-Z0-9]", "")) + 1)
+    filled = F.when((kind == "phone") & (written != value), F.replace(filled, F.lit("()"), F.lit("(0)"))).otherwise(filled)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), F.concat(filled, tail)).otherwise(surrogate)
 
 
@@ -231,7 +283,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     found = may.select(th, F.posexplode_outer(F.regexp_extract_all("__text", F.lit(ANY), F.lit(0))).alias("pos", "ent"))
     occurrences = found.where("pos is not null").select(th, "pos", "ent", _type(F.col("ent")).alias("kind"))
     # a text that occurs in many rows is kept once: its mentions are equal
-    mentions = occurrences.select(th, "pos", F.posexplode(_parts(F.col("ent"), F.col("kind"))).alias("sub", "part")) \
+    mentions = occurrences.select(th, "pos", F.posexplode(_parts(F.col("ent"), F.col("kind"), key)).alias("sub", "part")) \
         .select(th, "pos", "sub", "part.*").distinct()
     mentions = stored(mentions.withColumn("norm", _canonical(F.col("kind"), F.col("value"))), "pii-mentions")
     table = surrogates(mentions.where("kind is not null"), key)

@@ -87,3 +87,44 @@ def test_cases(frame):
     assert by[4, "a"][1] == by[None, "b"][1] != "q@r.org"
     assert by[5, "long"][3] == 3000 and "p@s.org" not in by[5, "long"][1]
     assert pii.replace_pii(frame([], docs.schema), KEY).collect() == []
+
+
+PHONES = ["+14155550123", "4155550123", "+49 30 1234567", "+49 (0)30 1234567", "07911 123456", "+34 912 34 56 78",
+          "+33 1 42 68 53 00", "+1 (988) 555-2485", "0049 30 1234567", "01 42 68 53 00", "(030) 1234567", "1-800-555-0199",
+          "+1 4155550123", "+353 1 234 5678"]
+CODES = {"+14155550123": "+1", "+49 30 1234567": "+49 ", "+49 (0)30 1234567": "+49 (0)", "+34 912 34 56 78": "+34 ",
+         "+33 1 42 68 53 00": "+33 ", "0049 30 1234567": "0049 ", "+353 1 234 5678": "+353 "}
+
+
+def test_phone_forms(run):
+    got = run([(i, f"call {p}, now") for i, p in enumerate(PHONES)])
+    for i, p in enumerate(PHONES):
+        m = re.fullmatch("call (" + re.sub("[0-9]", "[0-9]", re.escape(p)) + "), now", got[i].text)
+        assert m and m[1] != p and got[i].n_entities == 1, (p, got[i].text)
+        assert m[1].startswith(CODES.get(p, "")), (p, m[1])
+    digits = lambda i: re.sub("[^0-9]", "", got[i].text.replace("(0)", ""))
+    assert digits(2) == digits(3) and digits(0) == digits(12)
+    rows = [(0, "on 01.02.2024 10:30 and 01-02-2024, 12:30:45, v 0.4155550123, std::ab and 1700000000")]
+    assert run(rows)[0].text == rows[0][1] and run(rows)[0].n_entities == 0
+
+
+def test_ipv6(run):
+    forms = ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "::1", "2a00::"]
+    got = run([(i, f"host {a}, up") for i, a in enumerate(forms)])
+    out = [re.fullmatch(r"host (2001:0db8(?::[0-9a-f]{4}){6}), up", got[i].text)[1] for i in range(len(forms))]
+    assert out[0] == out[1] and len(set(out)) == 4
+    assert run([(0, "::ffff:10.1.2.3 x")])[0].text.startswith("::ffff:") and "10.1.2.3" not in run([(0, "::ffff:10.1.2.3 x")])[0].text
+
+
+def test_name_forms(run):
+    forms = ["Mr. O'Brien", "Dr. McDonald", "Mr. John McDonald", "Mrs. Anna Smith-Jones", "John F. Kennedy",
+             "Mr. J. F. Kennedy", "Jean-Pierre Dubois"]
+    got = run([(i, f"so {n}, here") for i, n in enumerate(forms)])
+    for i, n in enumerate(forms):
+        assert got[i].n_entities == 1
+        for w in n.split():
+            if w not in ("Mr.", "Mrs.", "Dr."):
+                assert w not in got[i].text.split() and w + "," not in got[i].text.split(), (n, got[i].text)
+        assert len(got[i].text.split()) == len(n.split()) + 2 and got[i].text.endswith(", here")
+    m = re.fullmatch(r"so (\S+) ([A-Z])\. (\S+), here", got[4].text)
+    assert m and got[5].text == f"so Mr. {got[5].text.split()[2]} {m[2]}. {m[3]}, here"
