@@ -7,10 +7,12 @@ proper prefix hash of another is a snapshot of it and is left out by an
 anti-join; of equal conversations the one with the smallest id stays.  What
 remains is rendered.
 
-The place of a turn is counted within chunks of ``CHUNK`` turn numbers and
-offset by the sizes of earlier chunks, so a conversation that holds a third of
-all rows is many window groups, not one.  Likewise it is rendered in parts of
-``CHUNK`` turns.
+The turns are dealt in ranges of their order over all conversations, equal
+rows by a row id; a turn's place is counted within its range and offset by the
+conversation's sizes in earlier ranges.  So a conversation that holds a third
+of all rows is many window groups, not one, also if its turn numbers repeat or
+are null.  It is rendered in parts of ``CHUNK`` turn numbers, or of ``CHUNK``
+places when more than ``CHUNK`` turns share one such part.
 
 Defined cases: turns are ordered by number, then role and text, nulls first; a
 null role or text counts as empty text; rows without conv_id form the one
@@ -27,6 +29,22 @@ from meterline.llm.common import stored
 CHUNK = 1024
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv, turn, h, g, ...) with chunk and place, which counts a
+    conversation's turns from 1; a chunk is a range of all rows."""
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
+    dealt = stored(rows.repartitionByRange(F.col("conv"), F.col("turn"), F.col("h"), F.col("g"), F.col("row"))
+                   .withColumn("chunk", F.spark_partition_id().cast("long")), "turn-ranges")
+    order = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "h", "g", "row")
+    local = dealt.withColumn("at", F.row_number().over(order))
+    ahead = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))
+    sizes = dealt.groupBy("conv", "chunk").agg(F.count("*").alias("n"))
+    offsets = sizes.select(F.col("conv").alias("c"), F.col("chunk").alias("k"),
+                           F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("offset"))
+    return local.join(offsets, same).withColumn("place", F.col("at") + F.col("offset")).drop("c", "k", "at", "offset", "row")
+
+
 def turn_prefixes(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                   text_col: str = "text") -> DataFrame:
     """(conv, chunk, place, p, q): place counts from 1; p and q identify the first
@@ -34,17 +52,10 @@ def turn_prefixes(conversations: DataFrame, id_col: str = "conv_id", turn_col: s
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
     rows = conversations.select(
         F.col(f"`{id_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"),
-        F.coalesce(F.floor(F.col(f"`{turn_col}`") / CHUNK), F.lit(-1)).cast("long").alias("chunk"),
         F.xxhash64(role, F.lit("\1"), text).alias("h"), F.xxhash64(F.lit("\2"), text, role).alias("g"))
-    order = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "h", "g")
-    local = stored(rows.withColumn("at", F.row_number().over(order)), "turns")
-    sizes = local.groupBy("conv", "chunk").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("conv").alias("c"), F.col("chunk").alias("k"),
-                           F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("offset"))
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))
-    placed = local.join(offsets, same).select("conv", "chunk", (F.col("at") + F.col("offset")).alias("place"), "h", "g") \
-        .select("conv", "chunk", "place", F.xxhash64("h", "place").alias("h"), F.xxhash64("g", "place").alias("g"))
+    placed = _places(rows).select("conv", "chunk", "place", F.xxhash64("h", "place").alias("h"), F.xxhash64("g", "place").alias("g"))
     placed = stored(placed, "turn-places")
     totals = placed.groupBy("conv", "chunk").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
     zero = F.lit(0).cast("long")
@@ -89,12 +100,20 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     snap = snapshots(conversations, id_col=id_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
     keep = stored(snap.where(F.col("maximal") & F.col("conv").eqNullSafe(F.col("first"))).select("conv"), "conversations-kept")
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
+    number = F.coalesce(F.floor(F.col(f"`{turn_col}`") / CHUNK), F.lit(-1)).cast("long")
+    crowded = conversations.groupBy(F.col(f"`{id_col}`").alias("conv"), number.alias("part")).agg(F.count("*").alias("n")) \
+        .where(F.col("n") > CHUNK).select("conv").distinct()
+    crowded = stored(keep.alias("k").join(crowded.alias("c"), F.col("k.conv").eqNullSafe(F.col("c.conv")), "left_semi"),
+                     "conversations-crowded")
+    usual = stored(keep.alias("k").join(crowded.alias("c"), F.col("k.conv").eqNullSafe(F.col("c.conv")), "left_anti"),
+                   "conversations-usual")
     turns = conversations.select(
-        F.col(f"`{id_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"),
-        F.coalesce(F.floor(F.col(f"`{turn_col}`") / CHUNK), F.lit(-1)).cast("long").alias("part"),
+        F.col(f"`{id_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), number.alias("part"),
         F.xxhash64(role, F.lit("\1"), text).alias("h"), F.xxhash64(F.lit("\2"), text, role).alias("g"),
         render_turn(F.col(f"`{role_col}`"), F.col(f"`{text_col}`")).alias("out")).alias("t")
-    kept = turns.join(keep.alias("k"), F.col("t.conv").eqNullSafe(F.col("k.conv")), "left_semi")
+    of = lambda ids: turns.join(ids.alias("k"), F.col("t.conv").eqNullSafe(F.col("k.conv")), "left_semi")
+    ranked = _places(of(crowded)).withColumn("part", F.floor((F.col("place") - 1) / CHUNK).cast("long"))
+    kept = of(usual).unionByName(ranked.select("conv", "turn", "part", "h", "g", "out"))
     # nulls sort first in structs too
     return kept.groupBy("conv", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "h", "g", "out"))).alias("o")) \

@@ -104,6 +104,33 @@ def test_chat_ties(frame):
     assert {r.conv_id for r in got} == {1} and sum(r.n_turns for r in got) == 3
 
 
+def test_chat_crowded(frame, spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    rows = [(None, i % 4 or None, "user", f"t{i % 7}") for i in range(100)] + [(None, 2, "user", "same")] * 100
+    rows += [(7, 5000 + i, "user", str(i)) for i in range(5)]
+    df = frame(rows, "conv_id long, turn long, role string, text string")
+    on = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(on)
+    spark.conf.set(on, "false")
+    try:
+        pre = chat.turn_prefixes(df)
+        groups = pre.groupBy("conv", "chunk").count().where("conv is null").collect()
+        assert len(groups) > 1 and max(r["count"] for r in groups) < 150
+        assert sorted(r.place for r in pre.where("conv is null").collect()) == list(range(1, 201))
+        got = chat.format_chats(df).collect()
+    finally:
+        spark.conf.set(on, before)
+    assert {r.part for r in got if r.conv_id == 7} == {1666, 1667, 1668}
+    hot = sorted((r.part, r.n_turns, r.text) for r in got if r.conv_id is None)
+    assert [p for p, _, _ in hot] == list(range(67)) and [n for _, n, _ in hot] == [3] * 66 + [2]
+    texts = re.findall(r"user\n(.*?)<", "".join(t for _, _, t in hot))
+    for want in (None, 1, 2, 3):
+        mine = sorted(t for c, n, _, t in rows if c is None and n == want)
+        assert sorted(texts[:len(mine)]) == mine
+        texts = texts[len(mine):]
+    assert texts == []
+
+
 # WARC ------------------------------------------------------------------------
 
 def b32(data):
