@@ -132,6 +132,61 @@ FROM d LEFT JOIN pb USING (doc_id) LEFT JOIN ml USING (doc_id)
 """
 
 
+_COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+      FROM w, unnest(range(1, 5)) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(i) GROUP BY ALL HAVING f >= 30),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m >= 2),
+cut AS (SELECT c.lang, c.phrase, c.w, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+        FROM c, unnest(range(1, m)) AS u(k) JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+        JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+        FROM c, unnest(range(2, m)) AS x(s), unnest(range(1, m - s + 2)) AS y(i) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM rk JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+def _manifest_sql(levels: int = 13) -> str:
+    """One CTE a level; ``levels`` is enough for 3 ** levels rows of a source."""
+    def tree(name: str, table: str, group: str, order: str) -> str:
+        # id: the leaf's place; h0: its digest; each level adds the node's hash and the siblings before and after
+        sql = [f"{name}0 AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS p, "
+               f"count(*) OVER (PARTITION BY {group}) AS n, '' AS proof, [] AS steps, h AS node FROM {table})"]
+        for i in range(levels):
+            sql.append(f"""{name}n{i} AS (SELECT {group} AS g, p // 3 AS q, string_agg(node, '' ORDER BY p) AS kids
+              FROM (SELECT DISTINCT {group}, p, node FROM {name}{i}) GROUP BY 1, 2),
+{name}{i + 1} AS (SELECT x.* REPLACE (p // 3 AS p, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(kids) ELSE node END AS node,
+              CASE WHEN n > 1 THEN proof || substr(kids, 1, 64 * (p % 3)) || substr(kids, 64 * (p % 3) + 65) ELSE proof END AS proof,
+              CASE WHEN n > 1 THEN list_append(steps, [substr(kids, 1, 64 * (p % 3)), substr(kids, 64 * (p % 3) + 65)]) ELSE steps END AS steps)
+              FROM {name}{i} x JOIN {name}n{i} k ON k.g IS NOT DISTINCT FROM x.{group} AND k.q = x.p // 3)""")
+        return ",\n".join(sql)
+
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in
+                  ("CAST(doc_id AS VARCHAR)", "CAST(source AS VARCHAR)", "CAST(lang AS VARCHAR)", "CAST(n_chars AS VARCHAR)", text)]
+        return f"sha256({' || '.join(fields)})"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda b: (ascii(c) >> b) & 1)))"
+    crc = (f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), "
+           "lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)")
+    fold = "list_reduce(list_concat([[{0}, '']], steps), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1]"
+    return f"""
+WITH l AS (SELECT doc_id, source, {leaf('text')} AS h,
+      CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS t FROM documents),
+{tree('a', 'l', 'source', 'doc_id NULLS FIRST, h')},
+s AS (SELECT DISTINCT source, node AS h, 1 AS one FROM a{levels}),
+{tree('b', 's', 'one', 'source NULLS FIRST')},
+j AS (SELECT doc_id, a.h AS leaf, a.t, a.node AS subroot, b.node AS root, a.proof || b.proof AS proof, list_concat(a.steps, b.steps) AS steps
+      FROM a{levels} a JOIN b{levels} b ON a.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, {fold.format('t')} AS folded_root, {fold.format('t')} = root AS verified
+FROM j
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_url_filters": _URL,
     "op3_decontamination": _DECON,
@@ -140,4 +195,6 @@ ORACLE: dict[str, str] = {
     "op7_chat": _CHAT,
     "op10_license_scan": _license_sql(),
     "quality_ablation": _ABLATION,
+    "op11_collocations": _COLLOCATIONS,
+    "op13_manifest": _manifest_sql(),
 }

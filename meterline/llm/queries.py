@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterline.llm import (chat, decontaminate, license_scan, packing, pii, quality_rules, sharding, simhash,
-                           url_filter, warc)
+from meterline.llm import (chat, collocations, decontaminate, license_scan, manifest, packing, pii, quality_rules,
+                           sharding, simhash, url_filter, warc, window_packing)
 from meterline.llm.common import stored
 
 # The rules of the URL query.
@@ -101,6 +101,36 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark), windows=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file() -> str:
+    """The vocabulary of the packing query; a package that every executor has."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = window_packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+    # the windows need the lengths alone; the ids go no further than their digest
+    digest = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return window_packing.pack(digest)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    others, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    # what an attacker leaves: every second document without its line ends
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    leaves = docs.select("source", "doc_id", manifest.leaf(*others, text).alias("leaf"),
+                         manifest.leaf(*others, tampered).alias("tampered"))
+    rows = manifest.manifest(leaves).withColumn("folded_root", manifest.folded(F.col("tampered"), F.col("witness")))
+    return rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("witness")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_pii, op3_decontamination, op4_quality_rules, op5_warc, op6_simhash, op7_chat, op8_packing,
-    op9_sharding, op10_license_scan, op10_license_windows, quality_ablation)}
+    op9_sharding, op10_license_scan, op10_license_windows, quality_ablation, op11_collocations,
+    op12_window_packing, op13_manifest)}
