@@ -20,8 +20,9 @@ keyed step, one to one, as there are too few to avoid all real ones.
 Distinct texts are rewritten once per text key.  Texts that cannot hold an
 entity (a necessary-character test) are passed on without a shuffle.
 
-Defined cases: null and empty texts stay as they are; repeated rows get the
-same result; an empty table gives an empty one; all columns are passed on.
+Defined cases: null and empty texts stay as they are; texts, words, hosts and
+digit runs may be of any length; repeated rows get the same result; an empty
+table gives an empty one; all columns are passed on.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ NAMES = {
 SYLLABLES = {"latin": ("an", "el", "or", "is", "en", "ar", "ul", "in"), "cyrillic": ("ан", "ел", "ор", "ин", "ев", "ич"),
              "greek": ("ας", "ης", "ος", "ιδ", "ακ", "ελ")}
 
-# With inner capitals: O'Brien, McDonald, Smith-Jones.
-_WORD = r"\p{Lu}(?:[\p{Ll}’'-]|(?<=[\p{Ll}’'-])\p{Lu}(?=[\p{Ll}’']))+"
+# No pattern repeats a group without a bound: Java matches such groups by recursion,
+# one level a repetition, while a repeated character class is a loop.
+# With up to eight inner capitals: O'Brien, McDonald, Smith-Jones.
+_WORD = r"\p{Lu}[\p{Ll}’'-]+(?:\p{Lu}(?=[\p{Ll}’'])[\p{Ll}’'-]+){0,8}"
 ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _INITIAL = "[" + "".join(ALPHABETS) + r"]\."
 _TITLE = "(?:" + "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)) + r")\b\.?"
@@ -78,8 +81,9 @@ _TRUNK = (r"(?<![+.,])(?:(?!0[0-9](?<day>[ .-])[0-9]{2}\k<day>[0-9]{4}(?![0-9]))
           r"|\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ .-][0-9]{2,5}){0,3})(?![0-9])")
 _PLAIN = r"(?<![+.,])(?:[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{8,9})(?!\.?[0-9])"
 # In order of precedence; the first alternative that matches at a place wins.
+# A host has at most 127 labels, as in the domain name system.
 PATTERNS = {
-    "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
+    "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+",
     "secret": _KEYWORD + r"""["']? ?[=:] ?["']?[A-Za-z0-9+/_-]{8,}+|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])""",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
@@ -189,12 +193,13 @@ def _candidate(kind: Column, norm: Column, attempt: Column, seed: Column, at: Co
 
     def shaped(text: Column, keep: int | Column) -> Column:
         """Every letter and digit redrawn in its class, the first ``keep`` kept."""
-        one = lambda c, i: (F.when(i < keep, c)
-                            .when(c.rlike("[0-9]"), digit(i).cast("string"))
-                            .when(c.rlike("[a-z]"), F.when(hexa, letters("abcdef", i))
-                                  .otherwise(letters("abcdefghijklmnopqrstuvwxyz", i)))
-                            .when(c.rlike("[A-Z]"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c))
-        return F.array_join(F.transform(F.split(text, ""), one), "")
+        one = lambda h, c, i: (F.when(i < keep, c)
+                               .when(c.rlike("[0-9]"), digit(i).cast("string"))
+                               .when(c.rlike("[a-z]"), F.when(h, letters("abcdef", i))
+                                     .otherwise(letters("abcdefghijklmnopqrstuvwxyz", i)))
+                               .when(c.rlike("[A-Z]"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c))
+        # the test of the whole value is made once, not at every character
+        return F.get(F.transform(F.array(hexa), lambda h: F.array_join(F.transform(F.split(text, ""), partial(one, h)), "")), F.lit(0))
 
     longer = F.when(attempt >= 8, F.array_join(F.transform(  # formats with few values grow
         F.sequence(F.lit(1), attempt - 7), lambda i: digit(i + 1000).cast("string")), "")).otherwise("")

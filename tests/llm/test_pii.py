@@ -128,3 +128,59 @@ def test_name_forms(run):
         assert len(got[i].text.split()) == len(n.split()) + 2 and got[i].text.endswith(", here")
     m = re.fullmatch(r"so (\S+) ([A-Z])\. (\S+), here", got[4].text)
     assert m and got[5].text == f"so Mr. {got[5].text.split()[2]} {m[2]}. {m[3]}, here"
+
+
+N = 10 ** 6
+LONG = {
+    "word": "Mr. A" + "a" * N, "inner capitals": "Mr. A" + "aB" * N, "hyphens": "Mrs. A" + "a-" * N, "given": "John " + "Abc" * N,
+    "labels": "ab@c" + ".d" * N, "label": "ab@" + "c" * N + ".org", "local": "a" * N + "@c.org", "dots": "a." * N + "@c.org",
+    "digits": "1" * N, "plus": "+1" * N, "brackets": "(0" * N, "colons": "a:" * N, "colon run": ":" * N, "hex": "af" * N + ":1",
+    "dotted": "1.2." * N, "secret": "token=" + "x" * N, "hex secret": "token=" + "a1" * (N // 10), "apostrophes": "Dr. O" + "’" * N,
+    "groups": "12 " * (N // 100), "dashes": "123-" * (N // 100), "trunk": "01 234 " * (N // 100), "iban": "DE89" + " 3704" * (N // 100),
+    "key words": "token " * (N // 100), "titles": "Mr. " * (N // 100), "initials": "Mr." + " A." * (N // 100)}
+
+
+def test_length_ends_no_task(frame):
+    """A million repetitions: neither the stack nor the time may follow them."""
+    rows = [(form, "x " + text + " mail a.b@c.org end") for form, text in LONG.items()]
+    out = pii.replace_pii(frame(rows, "doc_id string, text string", 4), KEY).collect()
+    assert len(out) == len(rows)
+    for row in out:
+        assert row.text.startswith("x ") and row.text.endswith(" end") and "a.b@c.org" not in row.text, row.doc_id
+        assert row.n_entities >= 1
+
+
+def test_equals_brute_force(frame):
+    """Entities found by another regex engine; all else stays, and the mapping
+    is one to one, of the same type, and never onto a value of the corpus."""
+    import random
+
+    import regex
+    rnd = random.Random(8)
+    bits = ["ab.%d@mail.org" % i for i in range(9)] + ["+49 30 123456%d" % i for i in range(5)] + ["10.0.0.%d" % i for i in range(7)] + [
+        "Mr. John Smith", "Frau Weber", "Анна Смирнова", "Mr. O'Brien", "123-45-678%d" % 3, "4111 1111 1111 1111", "2001:db8::1",
+        "token=abcdef123456", "DE89 3704 0044 0532 0130 00", "plain", "words", "v 4.0.", "on 01.02.2024", "a@b", "Smith", "MR. X", "@", "::"]
+    rows = [(i, " | ".join(rnd.choice(["", "see "]) + rnd.choice(bits) + rnd.choice(["", "", ",", ".", " left"])
+                           for _ in range(rnd.randrange(1, 14)))) for i in range(300)]
+    got = {r.doc_id: r for r in pii.replace_pii(frame(rows, "doc_id long, text string"), KEY).collect()}
+    here = lambda p: re.sub(r"\\k<(\w+)>", r"(?P=\1)", p)
+    any_of = regex.compile(here(pii.ANY))
+    kind = lambda e: next((k for k, p in pii.PATTERNS.items() if regex.fullmatch(here(p), e)), None)
+    images = {}
+    for i, text in rows:
+        assert got[i].n_entities == len(any_of.findall(text)), text
+        parts, out = text.split(" | "), got[i].text.split(" | ")
+        assert len(parts) == len(out)
+        for part, new in zip(parts, out):
+            found = list(any_of.finditer(part))
+            if not found:
+                assert new == part
+                continue
+            (m,) = found  # what stands before and after the entity stays
+            before, old, after = part[:m.start()], m.group(), part[m.end():]
+            assert new.startswith(before) and new.endswith(after), (part, new)
+            new = new[len(before):len(new) - len(after)]
+            assert new != old and images.setdefault(old, new) == new, (old, new)
+            if kind(old) not in ("name", "secret"):
+                assert kind(new) == kind(old), (old, new)
+    assert len(set(images.values())) == len(images) > 25 and not set(images) & set(images.values())
