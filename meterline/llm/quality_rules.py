@@ -66,11 +66,17 @@ POLICIES: tuple[Policy, ...] = (
 DEFAULT_POLICY = POLICIES[2]
 
 
+def _hash(a: Column, b: Column, d: Column) -> Column:
+    return F.xxhash64(a, b, d)
+
+
 def _measures(text: Column) -> list[dict[str, Column]]:
     """Projection steps; each refers to the columns of the earlier ones."""
     c = F.col
     lo = F.bitwise_not(c("__hi"))
-    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    window = lambda i: _hash(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    word = lambda p, j: F.get("__w", (p + j).cast("int"))
+    is_in = lambda x, i: (F.get("__e", i)["a"] == x["a"]) & (F.get("__e", i)["b"] == x["b"]) & (F.get("__e", i)["d"] == x["d"])
     same = lambda x, i: F.get("__s", i).bitwiseAND(c("__hi")) == x.bitwiseAND(c("__hi"))
     none = F.array().cast("array<bigint>")
     return [
@@ -88,9 +94,14 @@ def _measures(text: Column) -> list[dict[str, Column]]:
         {"__s": F.when(c("n_words") >= 3, F.sort_array(F.transform(
             F.sequence(F.lit(0).cast("long"), c("n_words") - 3),
             lambda i: window(i.cast("int")).bitwiseAND(c("__hi")).bitwiseOR(i)))).otherwise(none)},
-        {"__p": F.transform(F.filter("__s", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False))
+        {"__c": F.transform(F.filter("__s", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False))
                                      | F.coalesce(same(x, i + 1), F.lit(False))),
                             lambda x: x.bitwiseAND(lo))},
+        # the hash only finds candidates; they are sorted again by their words
+        {"__e": F.sort_array(F.transform("__c", lambda p: F.struct(
+            word(p, 0).alias("a"), word(p, 1).alias("b"), word(p, 2).alias("d"), p.alias("p"))))},
+        {"__p": F.transform(F.filter("__e", lambda x, i: F.coalesce(is_in(x, i - 1), F.lit(False))
+                                     | F.coalesce(is_in(x, i + 1), F.lit(False))), lambda x: x["p"])},
         {"n_repeat_words": F.size(F.array_distinct(F.concat(
             c("__p"), F.transform("__p", lambda p: p + 1), F.transform("__p", lambda p: p + 2)))).cast("long")},
     ]
@@ -100,9 +111,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, columns named in ``keep``, the measures and ``fail_bits``.
 
-    Windows of three words are compared by hash: the bits of a long that its
-    position does not need (for 500 words 55 bits), so an unequal pair counts
-    as equal with a chance of about 4e-12 per such text."""
+    Windows of three words that share the bits of a hash which their position
+    leaves in a long are compared by their words, so the measures are exact for
+    texts of any length."""
     ids = [id_col, *keep]
     renamed = {n: f"__id{i}" for i, n in enumerate(ids)}
     out = docs.select(*[F.col(f"`{n}`").alias(a) for n, a in renamed.items()], F.col(f"`{text_col}`").alias("__text"))

@@ -42,6 +42,14 @@ def test_ledger(frame):
     assert Q.ledger(frame([], docs.schema)).collect() == [] and Q.apply_policy(frame([], docs.schema)).collect() == []
 
 
+def test_repeats_are_exact_when_hashes_collide(frame, monkeypatch):
+    monkeypatch.setattr(Q, "_hash", lambda a, b, d: Q.F.lit(0).cast("long"))  # every window a candidate of every other
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(n)) for n in (2, 3, 4, 9, 30, 60, 90)] + ["a b c d e f g h i", "ab c a bc ab c", None]
+    got = Q.ledger(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: brute_measures(t)[-1] for i, t in enumerate(texts)}
+
+
 def test_policies_and_ablation(frame):
     led = frame([(i, b) for i, b in enumerate([0, 0, 1, 3, 4, 6, 64])], "doc_id long, fail_bits long")
     pols = (Q.Policy("a", 1, 0b11), Q.Policy("a", 2, 0b1000111, 2))
