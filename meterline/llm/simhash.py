@@ -11,10 +11,12 @@
    with t_i bits masked, for every choice of bits; fingerprints sharing a key
    are candidates and their whole distance is checked.
 5. *Large buckets.*  A bucket over ``BUCKET`` fingerprints is not expanded
-   into pairs.  Its members are indexed under the midpoints instead: for t = 2
-   two fingerprints are within 2 bits exactly when their balls of radius 1
-   meet, so joining every ball point's group to one member gives the same
-   components in 65 rows a fingerprint.  This is exact at every size.
+   into pairs.  Its members are indexed under midpoints instead: with r = t // 2
+   two fingerprints are within t bits exactly when some value is within r bits
+   of one and t - r of the other.  Joining all fingerprints within t - r bits
+   of a value to one of those within r bits gives the same components, in 65
+   rows a fingerprint for t = 1 and 2, 2,081 for 3 and 4, 43,745 for 5 and 6.
+   This is exact and linear at every size.
 6. *Components* of the links by star contraction (``components.py``).
 
 Equal fingerprints are collapsed before step 2, so copies cost one row each.
@@ -188,7 +190,7 @@ def links(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
     components are those of "differ in at most ``t`` bits".
 
     Every edge from an ordinary bucket is a verified pair; large buckets add
-    star edges through midpoints (t = 2; other distances expand their pairs)."""
+    star edges through midpoints."""
     m = m or t + 1
     n, both = bit_counts(fps)
     parts = group_bits(n, both, m)
@@ -205,21 +207,33 @@ def links(fps: DataFrame, t: int = 2, m: int | None = None) -> DataFrame:
     # the largest size up to which a bucket is expanded
     size = keys.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1")
     member = stored(keys.join(size, ["i", "v"]), "gph-buckets")
-    small = member.where(F.col("n") <= BUCKET) if t == 2 else member
+    small = member.where(F.col("n") <= BUCKET)
     a, b = small.select("i", "v", F.col("fp").alias("a")), small.select("i", "v", F.col("fp").alias("b"))
     found = a.join(b, ["i", "v"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)).select("a", "b")
-    if t != 2:
-        return found.distinct()
+    if t < 1:
+        return found.distinct()  # distinct fingerprints share no whole key
     large = member.where(F.col("n") > BUCKET).select("fp").distinct()
-    ball = large.select("fp", F.explode(F.concat(F.array("fp"), F.transform(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
-        lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))).alias("point"))
-    low = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
-    star = ball.join(low, "point").where("a != fp").select("a", F.col("fp").alias("b"))
+    ball = midpoints(large, t - t // 2)
+    low = ball.groupBy("point").agg(F.min(F.when(F.col("flips") <= t // 2, F.col("fp"))).alias("a"), F.count("*").alias("n")) \
+        .where("n > 1 and a is not null").select("point", "a")
+    # merged: the planner cannot know how many points a fingerprint has
+    star = ball.join(low.hint("merge"), "point").where("a != fp").select("a", F.col("fp").alias("b"))
     return found.unionByName(star).distinct()
 
 
+def midpoints(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, point, flips): every value within ``radius`` bits of a fingerprint."""
+    ball = layer = fps.select("fp", F.col("fp").alias("point"), F.lit(0).alias("flips"), F.lit(-1).alias("last"))
+    for k in range(1, radius + 1):
+        layer = layer.where(F.col("last") < BITS - 1).withColumn(
+            "last", F.explode(F.sequence(F.col("last") + 1, F.lit(BITS - 1))))
+        layer = layer.select("fp", F.col("point").bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))).alias("point"), F.lit(k).alias("flips"), "last")
+        ball = ball.unionByName(layer)
+    return ball.select("fp", "point", "flips")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, t: int = 2,
                     keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, columns ``keep``, ``fp``, ``root``

@@ -79,7 +79,8 @@ def test_links_have_the_brute_force_components(spark, monkeypatch, bucket):
         assert got.get(x, x) == want[x] or {k for k, v in got.items() if v == got[x]} == {k for k, v in want.items() if v == want[x]}
 
 
-def test_distance_three_expands_pairs(spark):
+def test_distance_three_expands_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 10 ** 6)  # no bucket is large
     fps = clustered(random.Random(9), 120, 5)
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     got = {(r.a, r.b) for r in S.links(df, t=3).collect()}
@@ -88,6 +89,37 @@ def test_distance_three_expands_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("t", [0, 1, 3, 4, 5])
+def test_every_distance_through_midpoints(spark, monkeypatch, t):
+    """Crowded buckets: a cluster whose neighbours are t bits apart, and noise."""
+    monkeypatch.setattr(S, "BUCKET", 2)
+    rnd = random.Random(t)
+    fps, x = set(), rnd.getrandbits(64)
+    for _ in range(25):
+        fps.add(x)
+        for b in rnd.sample(range(64), max(t, 1) if rnd.random() < 0.7 else t + 1):
+            x ^= 1 << b
+    fps |= {rnd.getrandbits(64) for _ in range(5)}
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3)
+    roots = {r.node: r.root for r in components(S.links(df, t=t)).collect()}
+    want = {f: f for f in map(signed, fps)}
+    changed = True
+    while changed:
+        changed = False
+        for a in want:
+            for b in want:
+                if bin((a ^ b) & (2 ** 64 - 1)).count("1") <= t and want[b] < want[a]:
+                    want[a], changed = want[b], True
+    assert {f: roots.get(f, f) for f in want} == want
+
+
+def test_a_large_bucket_gives_linear_rows(spark):
+    """A bucket of many members at t = 3 expands into midpoints, not pairs."""
+    base = spark.range(1000).select((F.col("id") * 2 ** 40).alias("fp"))
+    edges = S.links(base, t=3)
+    assert edges.count() < 100 * 1000
+
+
 def test_thresholds_lose_no_pair():
     parts = [list(range(0, 10)), list(range(10, 40)), list(range(40, 64))]
     p = np.full(64, 0.5)
