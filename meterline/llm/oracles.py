@@ -89,7 +89,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, translate({_B32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV',
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest, min(page_id) OVER (PARTITION BY html) AS low FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN low <> page_id THEN low END AS refers_to
+       CASE WHEN low <> page_id THEN low END AS refers_to, true AS complete
 FROM q
 """
 

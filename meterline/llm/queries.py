@@ -58,20 +58,21 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the archives are read once; of a response only its payload's size and digest go on
     kind, block = F.col("type"), F.col("block")
     recs = warc.read(spark, path).withColumn("body", F.when(kind == "response", warc.payload_of(block)))
-    recs = stored(recs.select("type", "id", "uri", "concurrent_to", "refers_to", "digest",
+    recs = stored(recs.select("type", "id", "uri", "concurrent_to", "refers_to", "digest", "complete",
                               F.when(kind.isin("request", "metadata"), block).alias("block"),
                               F.octet_length("body").cast("long").alias("bytes"),
                               warc.base32_sha1(F.col("body")).alias("sha1")), "warc-records")
-    caps = warc.assemble(recs, ("bytes", "sha1"))
-    page = F.regexp_extract(F.col("metadata")[0]["block"], r"capture: (-?[0-9]+)", 1).try_cast("long")
+    caps = warc.assemble(recs, ("bytes", "sha1", "complete"))
+    note = F.get("metadata", F.lit(0))
+    page = F.regexp_extract(note["block"].cast("string"), r"capture: (-?[0-9]+)", 1).try_cast("long")
     rows = stored(caps.select("capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"),
                               F.col("response.refers_to").alias("to"), F.col("response.bytes").alias("bytes"),
                               F.coalesce("response.sha1", F.regexp_replace("response.digest", "^sha1:", ""))
-                              .alias("payload_digest")), "warc-captures")
+                              .alias("payload_digest"), (F.col("response.complete") & note["complete"]).alias("complete")), "warc-captures")
     first = rows.where("record_type = 'response'").select(
         F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes")).distinct()
     return rows.join(first, "to", "left").select(
-        "page_id", F.coalesce("first_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+        "page_id", F.coalesce("first_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "complete")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def test_warc_round_trip(frame, spark):
         by = defaultdict(list)
         for c in caps:
             assert len(c.requests) == len(c.metadata) == 1
-            by[c.metadata[0].block].append(c)
+            by[bytes(c.metadata[0].block).decode()].append(c)
         first = {}
         for i, _, h, _ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
             first.setdefault(h or "", i)
@@ -165,7 +165,7 @@ def test_warc_round_trip(frame, spark):
             assert c.response.digest == "sha1:" + b32(data)
             assert c.uri == (url and url.replace("\r", "%0D").replace("\n", "%0A"))
             if first[h or ""] == i:
-                assert c.response.type == "response" and c.body == (h or "") and c.response.refers_to is None
+                assert c.response.type == "response" and bytes(c.body) == data and c.response.refers_to is None
             else:
                 assert c.response.type == "revisit" and c.response.refers_to == next(x.capture_id for x in by[f"capture: {first[h or '']}\r\n"])
 
@@ -174,8 +174,11 @@ def test_warc_chains_and_short_blocks(frame, spark):
     recs = frame([("response", "r", None, "R"), ("request", "q", "r", "Q"), ("metadata", "m", "q", "M"), ("metadata", "lost", "gone", "L")],
                  "type string, id string, concurrent_to string, block string")
     recs = recs.withColumns({c: F.lit(None).cast("string") for c in ("uri", "refers_to", "digest")}).withColumn("complete", F.lit(True))
-    (cap,) = warc.assemble(recs).collect()
+    rows = warc.assemble(recs).collect()
+    (cap,) = [r for r in rows if r.capture_id]
     assert [x.block for x in cap.requests] == ["Q"] and [x.block for x in cap.metadata] == ["M"]
+    (orphan,) = [r for r in rows if not r.capture_id]
+    assert orphan.response is None and [x.block for x in orphan.metadata] == ["L"]
     path = warc.scratch_archive(spark)
     bad = spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nshort",)], "value string")
     warc.write(bad, path, "none")
@@ -183,3 +186,54 @@ def test_warc_chains_and_short_blocks(frame, spark):
     path = warc.scratch_archive(spark)
     warc.write(warc.records(warc.captures(frame([], "page_id long, url string, html string"))), path)
     assert warc.assemble(warc.read(spark, path)).collect() == []
+
+
+RECS = "type string, id string, concurrent_to array<string>, block string"
+
+
+def assembled(frame, rows):
+    recs = frame(rows, RECS).withColumns({c: F.lit(None).cast("string") for c in ("uri", "refers_to", "digest")})
+    out = warc.assemble(recs.withColumn("complete", F.lit(True))).collect()
+    return sorted(((r.capture_id or "", r.response.id if r.response else None, tuple(x.oid for x in r.requests), tuple(x.oid for x in r.metadata))
+                   for r in out), key=repr)
+
+
+def test_warc_links_of_any_length_and_number(frame):
+    chain = [("metadata", f"m{i:02d}", [f"m{i - 1:02d}"] if i else ["q"], "x") for i in range(20)]
+    rows = [("response", "r", [], "R"), ("request", "q", ["other", "r"], "Q"), *chain,
+            ("response", "s", ["t"], "S"), ("request", "t", [], "T"), ("metadata", "u", ["t"], "U"),  # named by the answer
+            ("resource", "v", None, "V"), ("metadata", "w", ["r", "v"], "W"), ("revisit", "y", [], "Y")]
+    assert assembled(frame, rows) == [("r", "r", ("q",), (*[f"m{i:02d}" for i in range(20)], "w")), ("s", "s", ("t",), ("u",)),
+                                      ("v", "v", (), ("w",)), ("y", "y", (), ())]
+
+
+def test_warc_loses_no_record(frame):
+    """Orphans, a ring, a hot missing id, other types and records without id are rows of their own."""
+    rows = [("request", "a", ["gone"], ""), ("metadata", "b", ["c"], ""), ("metadata", "c", ["b"], ""), ("request", None, ["r"], ""),
+            ("response", "r", [], ""), ("response", None, [], ""), ("warcinfo", "i", [], ""), (None, None, None, "")]
+    rows += [("metadata", f"d{i}", ["dead"], "") for i in range(50)]
+    got = assembled(frame, rows)
+    assert len(got) == len(rows) and ("r", "r", (), ()) in got and ("", "i", (), ()) in got and ("", None, ("a",), ()) in got
+    assert all(len(r[2]) + len(r[3]) <= 1 for r in got)
+
+
+def test_warc_versions_binary_payloads_and_strays(spark):
+    from pyspark.sql import Row
+    body = bytes(range(256)) * 3 + b"\nWARC/1.1\r\nx\xff" + b"\r\n"
+    pages = spark.createDataFrame([Row(page_id=i, url="http://h/" + str(i), html=b) for i, b in enumerate([body, b"", b"\xff\xfe", b"WARC/1.0"])])
+    path = warc.scratch_archive(spark)
+    warc.write(warc.records(warc.captures(pages)), path, "none")
+    recs = warc.read(spark, path)
+    assert recs.count() == 12 and recs.where("not complete").count() == 0
+    caps = warc.assemble(recs).select(warc.payload_of(F.col("response.block")).alias("body")).collect()
+    assert sorted(bytes(c.body) for c in caps) == sorted([body, b"", b"\xff\xfe", b"WARC/1.0"])
+    old = ("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <u:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+           "WARC/1.1\r\nwarc-type: request\r\nWARC-Record-ID: <u:2>\r\nWARC-Concurrent-To: <u:9>\r\nwarc-concurrent-to:<u:1>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+           "WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <u:3>\r\nContent-Length: 99\r\n\r\nshort\nWARC/1.stray\r\n\r\n")
+    path = warc.scratch_archive(spark)
+    spark.createDataFrame([(old,)], "value string").write.option("lineSep", "\n").text(path)
+    got = {r.id: r for r in warc.read(spark, path).collect()}
+    assert got["u:1"].complete and bytes(got["u:1"].block) == b"abc" and got["u:2"].complete and got["u:2"].concurrent_to == ["u:9", "u:1"]
+    assert not got["u:3"].complete and not got[None].complete and len(got) == 4
+    caps = warc.assemble(warc.read(spark, path)).collect()
+    assert {r.capture_id for r in caps} == {"u:1", None} and [x.oid for r in caps if r.capture_id for x in r.requests] == ["u:2"]
