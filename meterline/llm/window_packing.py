@@ -42,7 +42,7 @@ from meterline.llm.common import fresh, stored
 
 CAPACITY = 2048
 END_ID = 1
-PIECE, FINE, FINE_EVERY = 1024, 32, 16
+PIECE, FINE, FINE_EVERY = 1024, 64, 16
 #: Windows of a block: the memory of a differencing is some 20 pieces a window.
 WINDOWS = 256
 SLICE = 1 << 23
@@ -65,6 +65,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        # a word of ASCII letters that the tokenizer neither changes nor splits goes to its model alone
+        probe = ["abcdefghijklmnopqrstuvwxyz", "the", "q"]
+        self.plain = all(self._model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+
+    def _model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -85,8 +91,14 @@ class Encoder:
         if len(known) + len(new) > KNOWN:
             known.clear()
             new = words
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
+        model, odd = self.tokenizer.model, []
+        for w in new:
+            if self.plain and w.isalpha():  # bytes: ASCII letters only, already lower case
+                known[w] = np.array([t.id for t in model.tokenize(w.decode())], "<u4").tobytes()
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
         found = [known[w] for w in words]
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
