@@ -361,6 +361,8 @@ ORACLE.update({
 })
 
 ORACLE.update({
+    "live_keep_first": ORACLE["stream_dedup"],
+    "live_state_blocks": ORACLE["stream_blocks"],
     "incremental_refresh": ORACLE["jsonl_ingest"],
     "manifest_diff": """
         SELECT status, count(*) AS files FROM (

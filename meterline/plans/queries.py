@@ -448,7 +448,29 @@ def q_stream_blocks(spark, sf):
                  lambda e: _block_view(B.identify_blocks(e, 5, "session_id", AS_OF), "session_id"))
 
 
+def _live_state(spark, sf):
+    """The stateful operators, the logs landing in a few triggers; nothing of an
+    earlier run is used."""
+    from meterline.sources.events_logs import events_log_root
+    from meterline.streaming.stateful import LiveLog
+    return LiveLog(spark, events_log_root(spark, sf), max_files_per_trigger=500).advance()
+
+
+def q_live_keep_first(spark, sf):
+    d = _live_state(spark, sf).deltas()
+    cols = ["entry_id", "message_id", "request_id", "session_id", "source_file", "total_tokens"]
+    # what is left when the retractions are taken off
+    left = d.groupBy(*cols, "file_block_start", "line_seq").agg(F.sum("sign").alias("n")).where("n > 0")
+    return left.select(*[_rel(c).alias(c) if c == "source_file" else c for c in cols])
+
+
+def q_live_state_blocks(spark, sf):
+    return _block_view(B.with_active_flag(_live_state(spark, sf).blocks(), 5, AS_OF), "session_id")
+
+
 QUERIES.update({
+    "live_keep_first": q_live_keep_first,
+    "live_state_blocks": q_live_state_blocks,
     "stream_dedup": q_stream_dedup,
     "stream_daily": q_stream_daily,
     "stream_totals": q_stream_totals,
