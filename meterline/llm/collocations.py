@@ -29,8 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterline.llm.common import stored
+from meterline.session import session_conf
 
-SLICE = 1 << 23
+SLICE = 1 << 21
+BATCH_ROWS = 1000
 MAX_BITS = 1 << 27
 _BREAK = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAK, b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * len(_BREAK))
@@ -192,6 +194,12 @@ def phrase_counts(docs: DataFrame, min_count: int, order: int = 4, lang: str = "
     """``lang``, ``phrase`` (its words joined by a space), ``size`` and ``f`` of
     every phrase of 1 to ``order`` words with f >= ``min_count``, and for each
     language the number of its words as a row of size 0."""
+    # small Arrow batches: a task holds a few megabytes of text at a time
+    with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        return _phrase_counts(docs, min_count, order, lang, text)
+
+
+def _phrase_counts(docs: DataFrame, min_count: int, order: int, lang: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
