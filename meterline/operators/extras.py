@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.timefns import date_key, iso_week_key
 from meterline.operators.common import key_list, money_out, nonempty, sum0
-from meterline.operators.reports import _period_report
+from meterline.operators.reports import period_sums
 from meterline.operators.filters import valid_time
 from meterline.schema import MONEY
 
@@ -58,7 +58,7 @@ def project_daily(df: DataFrame, tz: str = "UTC", project: str | None = None, ex
 def iso_weekly_report(df: DataFrame) -> DataFrame:
     """The daily report's measures per ISO week 'YYYY-Www' (X3)."""
     x = valid_time(df)
-    return _period_report(x, "week_key", iso_week_key("ts"), True, False)
+    return period_sums(x, "week_key", iso_week_key("ts"), True, False)
 
 
 def daily_cost_series(df: DataFrame, tz: str = "UTC") -> DataFrame:

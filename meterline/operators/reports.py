@@ -37,8 +37,10 @@ def _money_cols():
     return {a: money_out(F.coalesce(F.col(a), F.lit(0))) for _, a in COST_MEASURES}
 
 
-def _period_report(df: DataFrame, key: str, key_expr, total_tokens_from_parts: bool,
-                   with_total: bool, label_models: bool = True) -> DataFrame:
+def period_sums(df: DataFrame, key: str, key_expr, total_tokens_from_parts: bool,
+                with_total: bool, label_models: bool = True) -> DataFrame:
+    """Sums, distinct sessions and model labels per ``key``; the rows are entries
+    or partial aggregates of them (``operators.partials``)."""
     x = df.withColumn(key, key_expr)
     model_val = model_label("model") if label_models else F.col("model")
     aggs = [F.count_distinct(F.when(nonempty("session_id"), F.col("session_id"))).alias("sessions"),
@@ -65,7 +67,7 @@ def daily_report(df: DataFrame, tz: str = "UTC", since: str | None = None, until
     """Per day in zone ``tz``: distinct sessions, model labels, token and cost
     sums; total tokens recomputed from the four parts (O4.1, O4.3)."""
     x = filter_days(valid_time(df).withColumn("date_key", date_key("ts", tz)), since, until, tz=tz)
-    return _period_report(x, "date_key", F.col("date_key"), True, with_total)
+    return period_sums(x, "date_key", F.col("date_key"), True, with_total)
 
 
 def monthly_report(df: DataFrame, tz: str = "UTC", since: str | None = None, until: str | None = None,
@@ -73,7 +75,7 @@ def monthly_report(df: DataFrame, tz: str = "UTC", since: str | None = None, unt
     """Per month; total tokens are the stored per-entry totals (O4.2, O4.3)."""
     x = valid_time(df).withColumn("month_key", month_key(date_key("ts", tz)))
     x = filter_months(x, since, until, tz=tz)
-    return _period_report(x, "month_key", F.col("month_key"), False, with_total)
+    return period_sums(x, "month_key", F.col("month_key"), False, with_total)
 
 
 def usage_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:

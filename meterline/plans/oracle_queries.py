@@ -361,6 +361,8 @@ ORACLE.update({
 })
 
 ORACLE.update({
+    "live_reports": ORACLE["jsonl_ingest"],
+    "monthly_from_partials": ORACLE["monthly_report_total"],
     "live_keep_first": ORACLE["stream_dedup"],
     "live_state_blocks": ORACLE["stream_blocks"],
     "incremental_refresh": ORACLE["jsonl_ingest"],

@@ -8,7 +8,7 @@ compares value by value with the DuckDB oracle.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -411,71 +411,59 @@ QUERIES.update({
 
 # ---- streaming over the same logs (availableNow, result read from the sink) ----
 
-def _live(spark, sf, name: str, report):
-    """The report after the last trigger, over the deduplicated entries."""
+#: Live logs of this application by log folder: the first query of a view fills it, later ones go on from there.
+_LIVE: dict[tuple, object] = {}
+
+
+def _live(spark, sf, *views):
+    """The stateful operators over the logs, landing in a few triggers, with
+    ``views`` kept up to date; nothing of an earlier application is used."""
     from meterline.sources.events_logs import events_log_root
-    from meterline.streaming.live import live_reports
+    from meterline.streaming.stateful import LiveLog
     root = events_log_root(spark, sf)
-    # one checkpoint per log set, so a repeated run resumes it
-    tag = hashlib.sha1(root.encode()).hexdigest()[:12]
-    return live_reports(spark, root, f"{name}-{tag}", {name: report})[name]
+    name = _LIVE.setdefault((spark.sparkContext.applicationId, root), uuid.uuid4().hex)
+    return LiveLog(spark, root, name, max_files_per_trigger=500, views=views).advance()
 
 
-def q_stream_dedup(spark, sf):
-    return _live(spark, sf, "dedup", lambda e: e.select(
-        "entry_id", "message_id", "request_id", "session_id", _rel("source_file").alias("source_file"), "total_tokens"))
+def q_live_keep_first(spark, sf):
+    cols = ["entry_id", "message_id", "request_id", "session_id", "source_file", "total_tokens"]
+    return _live(spark, sf).kept(*cols).withColumn("source_file", _rel("source_file"))
 
 
 def q_stream_daily(spark, sf):
-    return _live(spark, sf, "daily", lambda e: _period(R.daily_report(e), "date_key"))
+    return _period(_live(spark, sf, "days").daily(), "date_key")
 
 
 def q_stream_totals(spark, sf):
-    return _live(spark, sf, "totals", R.usage_totals)
+    return _live(spark, sf, "days").totals()
 
 
 def q_stream_activity(spark, sf):
-    def activity(e):
-        return (e.groupBy("session_id", F.session_window("ts", "5 hours").alias("w"))
-                .agg(F.count(F.lit(1)).alias("entries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-                .select("session_id", F.col("w.start").alias("start_time"), F.col("w.end").alias("end_time"),
-                        "entries", "first_ts", "last_ts"))
-    return _live(spark, sf, "activity", activity)
+    return _live(spark, sf, "activity").activity()
 
 
-def q_stream_blocks(spark, sf):
-    return _live(spark, sf, "blocks",
-                 lambda e: _block_view(B.identify_blocks(e, 5, "session_id", AS_OF), "session_id"))
+def q_live_state_blocks(spark, sf):
+    return _block_view(B.with_active_flag(_live(spark, sf, "blocks").blocks(), 5, AS_OF), "session_id")
 
 
-def _live_state(spark, sf):
-    """The stateful operators, the logs landing in a few triggers; nothing of an
-    earlier run is used."""
+def q_live_reports(spark, sf):
+    """The batch daily report once per trigger over all parsed lines."""
     from meterline.sources.events_logs import events_log_root
-    from meterline.streaming.stateful import LiveLog
-    return LiveLog(spark, events_log_root(spark, sf), max_files_per_trigger=500).advance()
-
-
-def q_live_keep_first(spark, sf):
-    d = _live_state(spark, sf).deltas()
-    cols = ["entry_id", "message_id", "request_id", "session_id", "source_file", "total_tokens"]
-    # what is left when the retractions are taken off
-    left = d.groupBy(*cols, "file_block_start", "line_seq").agg(F.sum("sign").alias("n")).where("n > 0")
-    return left.select(*[_rel(c).alias(c) if c == "source_file" else c for c in cols])
-
-
-def q_live_state_blocks(spark, sf):
-    return _block_view(B.with_active_flag(_live_state(spark, sf).blocks(), 5, AS_OF), "session_id")
+    from meterline.streaming.live import live_reports
+    root = events_log_root(spark, sf)
+    out = live_reports(spark, root, uuid.uuid4().hex, {"daily": lambda e: _period(R.daily_report(e), "date_key")})
+    return out["daily"]
 
 
 QUERIES.update({
     "live_keep_first": q_live_keep_first,
     "live_state_blocks": q_live_state_blocks,
-    "stream_dedup": q_stream_dedup,
+    "live_reports": q_live_reports,
+    "stream_dedup": q_live_keep_first,
     "stream_daily": q_stream_daily,
     "stream_totals": q_stream_totals,
     "stream_activity": q_stream_activity,
-    "stream_blocks": q_stream_blocks,
+    "stream_blocks": q_live_state_blocks,
 })
 
 
@@ -672,13 +660,10 @@ QUERIES.update({
 
 def q_stream_active_blocks(spark, sf):
     from meterline.streaming.live import live_block_metrics
-
-    def active(e):
-        m = live_block_metrics(B.identify_blocks(e, 5, "session_id", AS_OF), 5, AS_OF, 50_000)
-        return m.where("is_active").select(
-            "session_id", "block_id", "entry_count", "total_tokens", "remaining_minutes", "projected_total_tokens",
-            "limit_status", "burn_status", "usage_level", "projection_status")
-    return _live(spark, sf, "active", active)
+    m = live_block_metrics(B.with_active_flag(_live(spark, sf, "blocks").blocks(), 5, AS_OF), 5, AS_OF, 50_000)
+    return m.where("is_active").select(
+        "session_id", "block_id", "entry_count", "total_tokens", "remaining_minutes", "projected_total_tokens",
+        "limit_status", "burn_status", "usage_level", "projection_status")
 
 
 def q_blocks_date_filtered(spark, sf):
@@ -698,7 +683,16 @@ def q_weekly_default(spark, sf):
     return s.withColumns({"models": map_joined("models"), "projects": map_joined("projects")})
 
 
+def q_monthly_from_partials(spark, sf):
+    """Day partials stored once; the months are added up from them, not from facts."""
+    from meterline.operators.partials import day_partials, monthly_from_partials
+    from meterline.session import materialize_checkpoint
+    stored = materialize_checkpoint(day_partials(priced_usage(spark, sf, names=False), "Asia/Tokyo"))
+    return _period(monthly_from_partials(stored, with_total=True), "month_key", total=True)
+
+
 QUERIES.update({
+    "monthly_from_partials": q_monthly_from_partials,
     "stream_active_blocks": q_stream_active_blocks,
     "blocks_date_filtered": q_blocks_date_filtered,
     "sessions_activity_filtered": q_sessions_activity_filtered,

@@ -14,21 +14,16 @@ restarted query resumes where it stopped.
 from __future__ import annotations
 
 import uuid
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.functions.labels import is_real_model, model_label
-from meterline.functions.timefns import date_key
 from meterline.operators.common import nonempty
 from meterline.session import checkpoint_dir
 from meterline.sources.jsonl import ENTRY_COLS, JSONL_GLOB, parse_narrow, plain_path
 
 MIN_REFRESH_SECONDS = 1
-COST_UNITS = 10 ** 12          # money is carried as exact integer units of 1e-12
 MAX_REFRESH_SECONDS = 60
 LIVE_WINDOW = "24 hours"
 
@@ -101,176 +96,14 @@ def stream_logs(spark: SparkSession, root: str, max_files_per_trigger: int | Non
 
 def stream_dedup(sdf: DataFrame, delay: str = LIVE_WINDOW) -> DataFrame:
     """Drop repeated (message_id, request_id) inside the watermark delay;
-    rows missing either key pass through (O8.4, O8.5)."""
+    rows missing either key pass through (O8.5).  The copy that arrives first
+    stays; ``stateful.keep_first`` keeps the one that is first in load order."""
     keyed = F.coalesce(nonempty("message_id") & nonempty("request_id"), F.lit(False))
     w = sdf.withWatermark("ts", delay)
     first = w.where(keyed).dropDuplicatesWithinWatermark(["message_id", "request_id"])
     return first.unionByName(w.where(~keyed))
 
 
-def stream_daily(sdf: DataFrame, tz: str = "UTC", delay: str | None = None) -> DataFrame:
-    """Incremental daily report over priced entries (O8.6).  Sessions and
-    models are exact sets held in state per day (bounded by the day's
-    sessions and the model catalogue).
-
-    Without ``delay`` every day stays in state (complete/update output).  With
-    ``delay`` (UTC days only) the days are event-time windows under a
-    watermark: a day is emitted once in append mode when the watermark passes
-    its end, and its state is dropped, so a long-running stream keeps only
-    the open days.
-    """
-    aggs = [
-        F.size(F.collect_set(F.when(nonempty("session_id"), F.col("session_id")))).cast("bigint").alias("sessions"),
-        F.array_join(F.sort_array(F.collect_set(F.when(is_real_model("model"), model_label("model")))), ";")
-        .alias("models"),
-        F.count(F.lit(1)).alias("requests"),
-        F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
-        F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
-        F.sum(F.coalesce("cache_create_tokens", F.lit(0))).alias("cache_create_tokens"),
-        F.sum(F.coalesce("cache_read_tokens", F.lit(0))).alias("cache_read_tokens"),
-        F.sum("cost").alias("cost")]
-    if delay is not None:
-        if tz not in (None, "", "UTC"):
-            raise ValueError("finalized days are UTC days; use delay=None for other zones")
-        g = sdf.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w")).agg(*aggs)
-        return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("date_key"), *[a for a in g.columns if a != "w"])
-    return sdf.withColumn("date_key", date_key("ts", tz)).groupBy("date_key").agg(*aggs)
-
-
-def stream_totals(sdf: DataFrame) -> DataFrame:
-    """Running requests, cost and tokens (O8.6, monitor totals)."""
-    return sdf.groupBy().agg(F.count(F.lit(1)).alias("total_requests"), F.sum("cost").alias("total_cost"),
-                             F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"))
-
-
-def stream_activity(sdf: DataFrame, key: str = "session_id", gap: str = "5 hours",
-                    delay: str = LIVE_WINDOW) -> DataFrame:
-    """Activity sessions: entries closer than ``gap`` belong together (O8.9)."""
-    return (sdf.withWatermark("ts", delay)
-            .groupBy(key, F.session_window("ts", gap).alias("w"))
-            .agg(F.count(F.lit(1)).alias("entries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-            .select(key, F.col("w.start").alias("start_time"), F.col("w.end").alias("end_time"),
-                    "entries", "first_ts", "last_ts"))
-
-
-# ---- live billing blocks: stateful processor ----------------------------------------
-
-BLOCK_STATE = T.StructType([
-    T.StructField("block_start_us", T.LongType()), T.StructField("first_us", T.LongType()),
-    T.StructField("last_us", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()),
-    T.StructField("cache_creation_input_tokens", T.LongType()), T.StructField("cache_read_input_tokens", T.LongType()),
-    T.StructField("cost_usd", T.StringType()),
-])
-
-
-def _block_output(key: str) -> T.StructType:
-    return T.StructType([
-        T.StructField(key, T.StringType()), T.StructField("start_time", T.TimestampType()),
-        T.StructField("first_ts", T.TimestampType()), T.StructField("last_ts", T.TimestampType()),
-        T.StructField("entry_count", T.LongType()), T.StructField("input_tokens", T.LongType()),
-        T.StructField("output_tokens", T.LongType()), T.StructField("cache_creation_input_tokens", T.LongType()),
-        T.StructField("cache_read_input_tokens", T.LongType()), T.StructField("cost_usd", T.StringType()),
-        T.StructField("is_closed", T.BooleanType()),
-    ])
-
-
-def _block_processor(key: str, hours: int):
-    d_us = hours * 3600 * 1_000_000
-    hour_us = 3600 * 1_000_000
-
-    def emit(k, st, closed):
-        return {key: k, "start_time": pd.Timestamp(st["block_start_us"], unit="us"),
-                "first_ts": pd.Timestamp(st["first_us"], unit="us"), "last_ts": pd.Timestamp(st["last_us"], unit="us"),
-                "entry_count": st["n"], "input_tokens": st["input_tokens"], "output_tokens": st["output_tokens"],
-                "cache_creation_input_tokens": st["cache_creation_input_tokens"],
-                "cache_read_input_tokens": st["cache_read_input_tokens"], "cost_usd": st["cost_usd"],
-                "is_closed": closed}
-
-    def fn(k, pdfs, state):
-        k = k[0]
-        out = []
-        st = None
-        if state.exists:
-            st = dict(zip([f.name for f in BLOCK_STATE.fields], state.get))
-        if state.hasTimedOut:
-            if st is not None:
-                out.append(emit(k, st, True))
-            state.remove()
-            yield pd.DataFrame(out, columns=[f.name for f in _block_output(key).fields])
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        # vectorized compression: one mark per (hour, strictly after the hour);
-        # the sequential rule then walks the marks, never the rows
-        ts = rows["ts_us"].astype("int64")
-        rows = rows.assign(
-            hs=ts - ts % hour_us, strict=ts % hour_us != 0,
-            cc=rows["cache_create_tokens"].fillna(0).astype("int64"),
-            cr=rows["cache_read_tokens"].fillna(0).astype("int64"),
-            cost_units=[int(Decimal(c) * COST_UNITS) for c in rows["cost"]])
-        marks = (rows.groupby(["hs", "strict"], sort=True)
-                 .agg(n=("ts_us", "size"), first_us=("ts_us", "min"), last_us=("ts_us", "max"),
-                      inp=("input_tokens", "sum"), outp=("output_tokens", "sum"), cc=("cc", "sum"),
-                      cr=("cr", "sum"), cost_units=("cost_units", "sum"))
-                 .reset_index())
-        for m in marks.itertuples(index=False):
-            hs = int(m.hs)
-            if st is not None and hs < st["block_start_us"]:
-                continue  # older than the open block: corrected by the batch refresh
-            if st is None or hs > st["block_start_us"] + d_us or (hs == st["block_start_us"] + d_us and m.strict):
-                if st is not None:
-                    out.append(emit(k, st, True))
-                st = {"block_start_us": hs, "first_us": int(m.first_us), "last_us": int(m.last_us), "n": 0,
-                      "input_tokens": 0, "output_tokens": 0, "cache_creation_input_tokens": 0,
-                      "cache_read_input_tokens": 0, "cost_usd": "0"}
-            st["first_us"] = min(st["first_us"], int(m.first_us))
-            st["last_us"] = max(st["last_us"], int(m.last_us))
-            st["n"] += int(m.n)
-            st["input_tokens"] += int(m.inp)
-            st["output_tokens"] += int(m.outp)
-            st["cache_creation_input_tokens"] += int(m.cc)
-            st["cache_read_input_tokens"] += int(m.cr)
-            st["cost_usd"] = str(Decimal(st["cost_usd"]) + Decimal(int(m.cost_units)) / COST_UNITS)
-        if st is not None:
-            end_ms = st["block_start_us"] // 1000 + d_us // 1000 + 1
-            if end_ms <= state.getCurrentWatermarkMs():
-                out.append(emit(k, st, True))   # already past its end
-                state.remove()
-            else:
-                state.update(tuple(st[f.name] for f in BLOCK_STATE.fields))
-                # the open block closes once event time passes its end
-                state.setTimeoutTimestamp(end_ms)
-                out.append(emit(k, st, False))
-        yield pd.DataFrame(out, columns=[f.name for f in _block_output(key).fields])
-
-    return fn
-
-
-def stream_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id", delay: str = LIVE_WINDOW) -> DataFrame:
-    """Live billing blocks per key with the batch rule (O8.7).
-
-    State per key: the open block's start, first/last time and sums.  An
-    entry more than D after the block start closes it; the open block also
-    closes when the watermark passes its end.  Each trigger emits the open
-    block (``is_closed`` false) and every block closed in it.  Inside a
-    trigger a key's rows are first compressed (vectorized) to one mark per
-    hour and side of the hour mark, and the rule walks the marks.
-    """
-    x = (sdf.withWatermark("ts", delay)
-         .select(F.col(key).cast("string").alias(key), "ts", F.unix_micros("ts").alias("ts_us"), "line_seq",
-                 "input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens",
-                 F.col("cost").cast("string").alias("cost")))
-    return x.groupBy(key).applyInPandasWithState(
-        _block_processor(key, hours), _block_output(key), BLOCK_STATE, "update", "EventTimeTimeout")
-
-
-def latest_blocks(blocks_table: DataFrame, key: str = "session_id") -> DataFrame:
-    """Final view of a live block sink: the latest version of each block."""
-    return (blocks_table.groupBy(key, "start_time")
-            .agg(F.max_by(F.struct("*"), F.col("entry_count")).alias("b"))
-            .select("b.*"))
-
-
 def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append",
                       fmt: str = "parquet") -> DataFrame:
     """Run a streaming frame over everything available, then stop; return the
@@ -306,18 +139,6 @@ def _written(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "p
     return spark.createDataFrame([], schema.add("_epoch", "int"))
 
 
-def open_blocks_frame(emitted: DataFrame, hours: int, key: str = "session_id") -> DataFrame:
-    """Block rows emitted by ``stream_blocks`` in the batch block schema."""
-    return emitted.select(
-        key, F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_id"), "start_time",
-        (F.col("start_time") + F.make_interval(hours=F.lit(hours))).alias("end_time"),
-        F.col("last_ts").alias("actual_end_time"), "first_ts", F.lit(False).alias("is_gap"), "entry_count",
-        "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
-        (F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_input_tokens")
-         + F.col("cache_read_input_tokens")).alias("total_tokens"),
-        F.col("cost_usd").cast("decimal(38,12)").alias("cost_usd"), "is_closed")
-
-
 def live_block_metrics(blocks: DataFrame, hours: int, as_of, token_limit: int) -> DataFrame:
     """Burn rate, projection, limit status and live labels of the open blocks
     (O8.8, applying O5.6-O5.10 to each trigger's block table)."""
@@ -329,40 +150,11 @@ def live_block_metrics(blocks: DataFrame, hours: int, as_of, token_limit: int) -
     return with_live_status(b, token_limit)
 
 
-def stream_active_blocks(sdf: DataFrame, hours: int = 5, key: str = "session_id", token_limit: int = 0,
-                         as_of=None, name: str = "active-blocks") -> DataFrame:
-    """Run the live block processor; every trigger applies the block metrics
-    to the blocks it emitted and appends the active ones to a table in the
-    shared checkpoint folder, which is returned (``availableNow`` run).
-    ``as_of`` None means each trigger's processing time."""
-    spark = sdf.sparkSession
-    base = checkpoint_dir(spark).rstrip("/") + f"/meterline-streams/{name}-{uuid.uuid4().hex[:8]}"
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        now = as_of if as_of is not None else F.current_timestamp()
-        m = live_block_metrics(open_blocks_frame(batch, hours, key).where(~F.col("is_closed")), hours, now,
-                               token_limit)
-        m.where("is_active").write.mode("overwrite").parquet(f"{base}/out/_epoch={epoch}")
-
-    q = (stream_blocks(sdf, hours, key).writeStream.outputMode("update")
-         .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True).foreachBatch(each).start())
-    q.awaitTermination()
-    empty = live_block_metrics(open_blocks_frame(spark.createDataFrame([], _block_output(key)), hours, key), hours,
-                               as_of if as_of is not None else F.current_timestamp(), token_limit).schema
-    out = _written(spark, base + "/out", empty)
-    # the latest trigger's view of each block
-    return (out.groupBy(key, "start_time").agg(F.max_by(F.struct("*"), F.col("_epoch")).alias("b"))
-            .select("b.*").drop("_epoch"))
-
-
-def run_live(sdf: DataFrame, name: str, refresh_seconds: float = 5, output_mode: str = "update",
-             sink=None):
+def run_live(sdf: DataFrame, name: str, sink, refresh_seconds: float = 5, output_mode: str = "update"):
     """Start a long-running live query refreshing every ``refresh_seconds``
-    (clamped to 1-60 s, O8.10).  ``sink`` is a ``foreachBatch`` function;
-    without one the rows go to an in-memory table named ``name`` (for
-    interactive use).  The checkpoint lives under ``spark.checkpoint.dir``,
-    so a restarted query resumes; the caller stops the returned query."""
+    (clamped to 1-60 s, O8.10).  ``sink`` is a ``foreachBatch`` function.  The
+    checkpoint lives under ``spark.checkpoint.dir``, so a restarted query
+    resumes; the caller stops the returned query."""
     base = checkpoint_dir(sdf.sparkSession).rstrip("/") + f"/meterline-streams/{name}"
-    w = (sdf.writeStream.outputMode(output_mode).option("checkpointLocation", base + "/_checkpoint")
-         .trigger(processingTime=refresh_interval(refresh_seconds)))
-    return (w.foreachBatch(sink) if sink is not None else w.format("memory").queryName(name)).start()
+    return (sdf.writeStream.outputMode(output_mode).option("checkpointLocation", base + "/_checkpoint")
+            .trigger(processingTime=refresh_interval(refresh_seconds)).foreachBatch(sink).start())

@@ -1,6 +1,6 @@
-"""Exact live operators over keyed state (O8.4, O8.7).
+"""Exact live operators over keyed state (O8.4, O8.6, O8.7, O8.9).
 
-Three streaming queries in a row, each with a checkpoint of its own:
+Streaming queries in a row, each with a checkpoint of its own:
 
 1. ``land_entries`` parses what has landed and appends the priced entries with
    their load order.
@@ -11,6 +11,10 @@ Three streaming queries in a row, each with a checkpoint of its own:
 3. ``live_blocks`` holds, per key, one mark per hour and side of the hour with
    signed sums, folds the marks by the block rule and emits the blocks that
    changed (``entry_count`` 0 for a block that is no more).
+4. The signed rows of a trigger, added up per day, session and model, are a run of
+   day partials (``runs.py``); daily, monthly and total reports add up the runs.
+5. ``activity_windows`` holds, per key, how often each time stands there and emits
+   the activity sessions that changed.
 
 Deltas commute, so any order of arrival and any split into triggers gives the
 batch result, and a trigger costs its new lines and the keys they touch, not
@@ -35,10 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from meterline.operators.common import nonempty
+from meterline.operators.partials import (SCHEMA, daily_from_partials, day_partials, merge_partials, monthly_from_partials,
+                                          totals_from_partials)
 from meterline.operators.pricing import with_cost
 from meterline.session import checkpoint_dir, session_conf
 from meterline.sources.jsonl import parse_narrow, split_parsed
 from meterline.streaming.live import stream_lines
+from meterline.streaming.runs import RunLog
 
 # The processors travel with the query: the process that first calls them need
 # not have this package on its path.
@@ -63,6 +70,9 @@ def _names(ddl: str) -> list[str]:
 
 _DELTA = Row("sign", *_names(_ENTRY))
 _OUT = Row(*_names(_BLOCK))
+_TIME = "key string, ts_us long, n long"
+_WINDOW = "key string, start_us long, last_us long, n long"
+_WINDOW_ROW = Row(*_names(_WINDOW))
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -211,21 +221,104 @@ def block_view(emitted: DataFrame, hours: int = 5, key: str = "session_id") -> D
         sum((F.col(c) for c in TOKENS), F.lit(0)).cast("long").alias("total_tokens"), "models")
 
 
+class ActivityWindows(StatefulProcessor):
+    """Activity sessions of one key: entries at most ``gap`` microseconds apart.
+
+    Two entries of one bucket of that length always belong together, so the rule
+    walks one (first, last, n) per bucket; the times themselves are read only in
+    the buckets that a trigger touches."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.times = handle.getMapState("times", "bucket long", "counts string")
+        self.edges = handle.getMapState("edges", "bucket long", "first long, last long, n long")
+        self.sent = handle.getMapState("sent", "start long", "last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        touched: dict[int, dict[int, int]] = {}
+        for r in rows:
+            bucket = r.ts_us // self.gap
+            if bucket not in touched:
+                old = self.times.getValue((bucket,)) if self.times.containsKey((bucket,)) else None
+                touched[bucket] = {int(t): n for t, n in json.loads(old[0]).items()} if old else {}
+            touched[bucket][r.ts_us] = touched[bucket].get(r.ts_us, 0) + r.n
+        for bucket, counts in touched.items():
+            # a retraction may come before what it takes off: kept until both are there
+            counts = {t: n for t, n in counts.items() if n}
+            there = [t for t, n in counts.items() if n > 0]
+            if counts:
+                self.times.updateValue((bucket,), (json.dumps(counts),))
+            elif self.times.containsKey((bucket,)):
+                self.times.removeKey((bucket,))
+            if there:
+                self.edges.updateValue((bucket,), (min(there), max(there), sum(counts[t] for t in there)))
+            elif self.edges.containsKey((bucket,)):
+                self.edges.removeKey((bucket,))
+        windows: list[list[int]] = []
+        for _, (first, last, n) in sorted((tuple(k), tuple(v)) for k, v in self.edges.iterator()):
+            if windows and first - windows[-1][1] <= self.gap:
+                windows[-1][1], windows[-1][2] = last, windows[-1][2] + n
+            else:
+                windows.append([first, last, n])
+        sent = {k[0]: tuple(v) for k, v in self.sent.iterator()}
+        for first, last, n in windows:
+            if sent.pop(first, None) != (last, n):
+                self.sent.updateValue((first,), (last, n))
+                yield _WINDOW_ROW(key[0], first, last, n)
+        for first in sent:  # no window starts here any more
+            self.sent.removeKey((first,))
+            yield _WINDOW_ROW(key[0], first, None, 0)
+
+    def close(self) -> None:
+        pass
+
+
+def activity_windows(times: DataFrame, gap_seconds: float = 5 * 3600) -> DataFrame:
+    """Changed activity sessions of a stream of (key, ts_us, n) rows."""
+    return times.groupBy("key").transformWithState(ActivityWindows(int(gap_seconds * 10 ** 6)), _WINDOW, "Update", "None")
+
+
+def window_view(emitted: DataFrame, gap_seconds: float = 5 * 3600, key: str = "session_id") -> DataFrame:
+    """The activity sessions as of the last trigger, from all emitted rows with ``epoch``."""
+    last = emitted.groupBy("key", "start_us").agg(F.max_by(F.struct("*"), "epoch").alias("w")).select("w.*").where("n > 0")
+    return last.select(F.col("key").alias(key), F.timestamp_micros("start_us").alias("start_time"),
+                       F.timestamp_micros(F.col("last_us") + int(gap_seconds * 10 ** 6)).alias("end_time"), F.col("n").alias("entries"),
+                       F.timestamp_micros("start_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"))
+
+
+def delta_entries(deltas: DataFrame) -> DataFrame:
+    """Signed rows with the columns of entries (time and money)."""
+    return deltas.withColumns({"ts": F.timestamp_micros("ts_us"), **{c: F.col(c).cast("decimal(38,12)") for c in COSTS}})
+
+
+VIEWS = ("blocks", "days", "activity")
+
+
 class LiveLog:
-    """The three queries over the logs below ``root``.  ``advance`` runs each over
+    """The queries over the logs below ``root``.  ``advance`` runs each over
     everything new and stops; called again it goes on where it stopped, also in
-    another session with the same ``name``."""
+    another session with the same ``name``.
+
+    ``views`` names what is kept up to date beside the entries: ``blocks``;
+    ``days``, the day partials that the daily, monthly and total reports add up;
+    ``activity``, the activity sessions.  Each view reads the deltas with a
+    checkpoint of its own, so one asked for later catches up by itself."""
 
     def __init__(self, spark: SparkSession, root: str, name: str | None = None, prices: DataFrame | None = None, hours: int = 5,
-                 key: str | None = "session_id", max_files_per_trigger: int | None = None, retention: float | None = None):
+                 key: str | None = "session_id", max_files_per_trigger: int | None = None, retention: float | None = None,
+                 views: tuple[str, ...] = ("blocks",), tz: str = "UTC", gap_seconds: float = 5 * 3600):
+        if set(views) - set(VIEWS):
+            raise ValueError(f"views are {VIEWS}")
         self.spark, self.root, self.prices, self.hours, self.key = spark, root, prices, hours, key
-        self.max_files, self.retention = max_files_per_trigger, retention
+        self.max_files, self.retention, self.views, self.tz, self.gap = max_files_per_trigger, retention, views, tz, gap_seconds
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/meterline-live/{name or uuid.uuid4().hex}"
 
     def _run(self, stream: DataFrame, name: str, write) -> None:
         with session_conf(self.spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
             (stream.writeStream.option("checkpointLocation", f"{self.base}/{name}-checkpoint").outputMode(
-                "update" if name == "blocks" else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
+                "update" if name in ("blocks", "activity") else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
 
     def _to(self, name: str, of=lambda rows: rows):
         def write(batch: DataFrame, epoch: int) -> None:
@@ -243,10 +336,47 @@ class LiveLog:
 
         self._run(stream_lines(self.spark, self.root, self.max_files), "entries", self._to("entries", landed))
         self._run(keep_first(self._read("entries", _ENTRY)), "deltas", self._to("deltas"))
-        self._run(live_blocks(self._read("deltas", "sign int, " + _ENTRY), self.hours, self.key, self.retention), "blocks",
-                  self._to("blocks"))
+        deltas = self._read("deltas", "sign int, " + _ENTRY)
+        if "blocks" in self.views:
+            self._run(live_blocks(deltas, self.hours, self.key, self.retention), "blocks", self._to("blocks"))
+        if "days" in self.views:
+            log = self.day_log()
+            self._run(deltas, "days", lambda batch, epoch: log.add(day_partials(delta_entries(batch), self.tz), epoch))
+        if "activity" in self.views:
+            # added up per key and time first: repeated times of a hot key are one row
+            own = F.col(self.key).cast("string") if self.key else F.lit(None).cast("string")
+            self._run(deltas, "times", self._to("times", lambda rows: rows.groupBy(own.alias("key"), "ts_us").agg(
+                F.sum("sign").cast("long").alias("n")).where("n != 0")))
+            self._run(activity_windows(self._read("times", _TIME), self.gap), "activity", self._to("activity"))
         return self
 
+    def day_log(self) -> RunLog:
+        return RunLog(self.spark, f"{self.base}/days", SCHEMA, merge_partials)
+
+    def daily(self, with_total: bool = False) -> DataFrame:
+        """``reports.daily_report`` of everything landed (view ``days``)."""
+        return daily_from_partials(self.day_log().read(), with_total)
+
+    def monthly(self, with_total: bool = False) -> DataFrame:
+        """``reports.monthly_report`` of everything landed (view ``days``)."""
+        return monthly_from_partials(self.day_log().read(), with_total)
+
+    def totals(self) -> DataFrame:
+        """``reports.usage_totals`` of everything landed (view ``days``)."""
+        return totals_from_partials(self.day_log().read())
+
+    def activity(self) -> DataFrame:
+        """Activity sessions of everything landed (view ``activity``)."""
+        emitted = self.spark.read.schema(_WINDOW + ", epoch long").parquet(f"{self.base}/activity")
+        return window_view(emitted, self.gap, self.key or "key")
+
+    def kept(self, *cols: str) -> DataFrame:
+        """The entries that count now, columns ``cols``: what is left when the
+        retractions are taken off."""
+        place = ["source_file", "file_block_start", "line_seq"]
+        names = list(dict.fromkeys([*cols, *place]))
+        return self.deltas().groupBy(*names).agg(F.sum("sign").alias("_n")).where("_n > 0").select(*cols)
+
     def deltas(self) -> DataFrame:
         return self.spark.read.schema("sign int, " + _ENTRY).parquet(f"{self.base}/deltas")
 
