@@ -57,9 +57,9 @@ class RunLog:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*map(self._folder, runs))
 
-    def read(self) -> DataFrame:
-        """All rows, merged."""
-        return self.merge(self._load(self.runs()))
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, merged; with ``before`` those of earlier triggers."""
+        return self.merge(self._load([r for r in self.runs() if before is None or r[1] < before]))
 
     def add(self, rows: DataFrame, epoch: int) -> None:
         """The merged ``rows`` of trigger ``epoch``."""

@@ -43,6 +43,7 @@ from meterline.operators.partials import (SCHEMA, daily_from_partials, day_parti
                                           totals_from_partials)
 from meterline.operators.pricing import with_cost
 from meterline.session import checkpoint_dir, session_conf
+from meterline.sources.growing import growing_lines
 from meterline.sources.jsonl import parse_narrow, split_parsed
 from meterline.streaming.live import stream_lines
 from meterline.streaming.runs import RunLog
@@ -304,14 +305,21 @@ class LiveLog:
     ``views`` names what is kept up to date beside the entries: ``blocks``;
     ``days``, the day partials that the daily, monthly and total reports add up;
     ``activity``, the activity sessions.  Each view reads the deltas with a
-    checkpoint of its own, so one asked for later catches up by itself."""
+    checkpoint of its own, so one asked for later catches up by itself.
+
+    ``growing``: files may be appended to in place and only the new bytes are read
+    (``sources/growing.py``).  The place of a file in load order is its earliest
+    time; when an append makes it earlier, the file's keyed entries are sent again
+    with their new place, which only ever moves forward."""
 
     def __init__(self, spark: SparkSession, root: str, name: str | None = None, prices: DataFrame | None = None, hours: int = 5,
                  key: str | None = "session_id", max_files_per_trigger: int | None = None, retention: float | None = None,
-                 views: tuple[str, ...] = ("blocks",), tz: str = "UTC", gap_seconds: float = 5 * 3600):
+                 views: tuple[str, ...] = ("blocks",), tz: str = "UTC", gap_seconds: float = 5 * 3600, growing: bool = False,
+                 truncated: str = "fail"):
         if set(views) - set(VIEWS):
             raise ValueError(f"views are {VIEWS}")
         self.spark, self.root, self.prices, self.hours, self.key = spark, root, prices, hours, key
+        self.growing, self.truncated = growing, truncated
         self.max_files, self.retention, self.views, self.tz, self.gap = max_files_per_trigger, retention, views, tz, gap_seconds
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/meterline-live/{name or uuid.uuid4().hex}"
 
@@ -334,7 +342,10 @@ class LiveLog:
             parsed = parse_narrow(batch.withColumn("line_seq", F.monotonically_increasing_id()))
             return entry_deltas(with_cost(split_parsed(parsed)["entries"], self.prices))
 
-        self._run(stream_lines(self.spark, self.root, self.max_files), "entries", self._to("entries", landed))
+        if self.growing:
+            self._run(growing_lines(self.spark, self.root, self.truncated), "entries", self._grown)
+        else:
+            self._run(stream_lines(self.spark, self.root, self.max_files), "entries", self._to("entries", landed))
         self._run(keep_first(self._read("entries", _ENTRY)), "deltas", self._to("deltas"))
         deltas = self._read("deltas", "sign int, " + _ENTRY)
         if "blocks" in self.views:
@@ -350,6 +361,30 @@ class LiveLog:
             self._run(activity_windows(self._read("times", _TIME), self.gap), "activity", self._to("activity"))
         return self
 
+    def _grown(self, batch: DataFrame, epoch: int) -> None:
+        """The entries of a trigger over growing files."""
+        spark, path = batch.sparkSession, f"{self.base}/parsed/epoch={epoch}"
+        narrow = parse_narrow(batch)
+        narrow.write.mode("overwrite").parquet(path)
+        parsed = spark.read.schema(narrow.schema).parquet(path)
+        first = parsed.groupBy("source_file").agg(F.min(F.unix_micros("_first_ts_candidate")).alias("first_us"))
+        log = RunLog(spark, f"{self.base}/firsts", "source_file string, first_us long",
+                     lambda rows: rows.groupBy("source_file").agg(F.min("first_us").alias("first_us")))
+        known = log.read(before=epoch).withColumnRenamed("first_us", "known_us")
+        log.add(first, epoch)
+        entries = split_parsed(parsed)["entries"].drop("file_first_ts").join(log.read(), "source_file", "left") \
+            .withColumn("file_first_ts", F.timestamp_micros("first_us")).drop("first_us")
+        out = entry_deltas(with_cost(entries, self.prices))
+        moved = first.join(known, "source_file").where("first_us < known_us or (known_us is null and first_us is not null)") \
+            .select("source_file", "first_us")
+        if not moved.isEmpty():  # the rare append with an earlier time: read the entries landed before
+            old = spark.read.schema(_ENTRY + ", epoch long").parquet(f"{self.base}/entries").where(F.col("epoch") < epoch)
+            again = old.where(nonempty("message_id") & nonempty("request_id")).drop("file_first_us", "epoch") \
+                .dropDuplicates(["source_file", "file_block_start", "line_seq"]).join(moved, "source_file") \
+                .withColumnRenamed("first_us", "file_first_us")
+            out = out.unionByName(again)
+        out.write.mode("overwrite").parquet(f"{self.base}/entries/epoch={epoch}")
+
     def day_log(self) -> RunLog:
         return RunLog(self.spark, f"{self.base}/days", SCHEMA, merge_partials)
 
