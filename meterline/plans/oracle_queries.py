@@ -362,6 +362,7 @@ ORACLE.update({
 
 ORACLE.update({
     "live_reports": ORACLE["jsonl_ingest"],
+    "growing_daily": ORACLE["jsonl_ingest"],
     "monthly_from_partials": ORACLE["monthly_report_total"],
     "live_keep_first": ORACLE["stream_dedup"],
     "live_state_blocks": ORACLE["stream_blocks"],

@@ -497,6 +497,21 @@ def q_incremental_refresh(spark, sf):
     return _period(R.daily_report(out["entries"]), "date_key")
 
 
+def q_growing_daily(spark, sf):
+    """The logs grow in place between two refreshes; only new bytes are read."""
+    from meterline.session import checkpoint_dir
+    from meterline.sinks.jsonl import write_jsonl
+    from meterline.sources.events_logs import usage_log_lines
+    from meterline.streaming.stateful import LiveLog
+    root = checkpoint_dir(spark).rstrip("/") + f"/meterline-refresh/{uuid.uuid4().hex[:8]}"
+    lines = usage_log_lines(spark, sf)
+    live = LiveLog(spark, root, views=("days",), growing=True)
+    for upto in (lines.where(F.col("ts") < F.lit(REFRESH_SPLIT).cast("timestamp")), lines):
+        write_jsonl(upto, root, order=["ts", "line_seq", "kind"])
+        live.advance()
+    return _period(live.daily(), "date_key")
+
+
 def q_manifest_diff(spark, sf):
     root, state, old_manifest, diff_fn, manifest_fn = _two_phase_logs(spark, sf)
     d = diff_fn(old_manifest, manifest_fn(spark, root))
@@ -504,6 +519,7 @@ def q_manifest_diff(spark, sf):
 
 
 QUERIES.update({
+    "growing_daily": q_growing_daily,
     "incremental_refresh": q_incremental_refresh,
     "manifest_diff": q_manifest_diff,
 })

@@ -32,13 +32,32 @@ ROWS = 10_000
 
 
 @dataclass
-class Appended(InputPartition):
+class Appended:
     """Bytes ``begin`` to ``end`` of a file."""
     path: str
     begin: int
     end: int
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads."""
+    ranges: list[Appended]
+
+
+def in_tasks(ranges: list[Appended], open_cost: int = 256 << 10, least: int = 4 << 20, split: int = SPLIT) -> list[Task]:
+    """Consecutive ranges together until they are worth a task."""
+    costs = [r.end - r.begin + open_cost for r in ranges]
+    target, out, size = min(split, max(least, sum(costs) // 64)), [], 0
+    for r, cost in zip(ranges, costs):
+        if not out or size + cost > target:
+            out.append(Task([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += cost
+    return out
+
+
 def split_appended(start: dict[str, int], end: dict[str, int], restart: bool, split: int = SPLIT) -> list[Appended]:
     """The byte ranges between two offsets."""
     out = []
@@ -104,29 +123,30 @@ class GrowingReader(DataSourceStreamReader):
         listed = filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True))
         return {f.path: f.size for f in listed if f.is_file and f.path.endswith(".jsonl")}
 
-    def partitions(self, start: dict, end: dict) -> list[Appended]:
-        return split_appended(start, end, self.restart, self.split)
+    def partitions(self, start: dict, end: dict) -> list[Task]:
+        return in_tasks(split_appended(start, end, self.restart, self.split))
 
-    def read(self, partition: Appended):
+    def read(self, partition: Task):
         import pyarrow as pa
         _, filesystem, _, scheme = self._filesystem()
-        name = scheme + partition.path
 
         def batch(rows):
             return pa.RecordBatch.from_pydict({
-                "line": [line.decode("utf-8", "replace") for _, line in rows], "source_file": [name] * len(rows),
-                "file_block_start": pa.array([0] * len(rows), pa.int64()), "line_seq": pa.array([at for at, _ in rows], pa.int64())})
-
-        with filesystem.open_input_file(partition.path) as f:
-            rows, size = [], 0
-            for row in appended_lines(f, partition.begin, partition.end):
-                rows.append(row)
-                size += len(row[1])
-                if len(rows) >= ROWS or size >= BLOCK:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
+                "line": [line.decode("utf-8", "replace") for _, _, line in rows], "source_file": [name for name, _, _ in rows],
+                "file_block_start": pa.array([0] * len(rows), pa.int64()),
+                "line_seq": pa.array([at for _, at, _ in rows], pa.int64())})
+
+        rows, size = [], 0
+        for part in partition.ranges:
+            with filesystem.open_input_file(part.path) as f:
+                for at, line in appended_lines(f, part.begin, part.end):
+                    rows.append((scheme + part.path, at, line))
+                    size += len(line)
+                    if len(rows) >= ROWS or size >= BLOCK:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
     def commit(self, end: dict) -> None:
         pass

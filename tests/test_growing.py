@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import reports as R
-from meterline.sources.growing import appended_lines, split_appended
+from meterline.sources.growing import appended_lines, in_tasks, split_appended
 from meterline.sources.jsonl import load_usage
 from meterline.streaming.stateful import LiveLog
 from tests.test_jsonl import usage
@@ -49,6 +49,13 @@ def test_long_line_and_truncated_files():
     assert [(p.begin, p.end) for p in split_appended({"f": 10, "gone": 5}, {"f": 4}, True)] == [(0, 4)]
 
 
+def test_small_ranges_share_a_task_and_none_is_lost():
+    ranges = split_appended({}, {f"f{i:04d}": i * 1000 for i in range(1000)} | {"big": 200 << 20}, False)
+    tasks = in_tasks(ranges)
+    assert [r for t in tasks for r in t.ranges] == ranges and 8 <= len(tasks) <= 80
+    assert in_tasks([]) == []
+
+
 def test_appended_logs_equal_a_full_load(spark, tmp_logs):
     def line(hour, mid=None, day=2, **kw):
         return usage(f"2024-05-{day:02d}T{hour:02d}:00:00Z", **({"mid": mid, "requestId": "r"} if mid else {}), **kw)
