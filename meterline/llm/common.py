@@ -62,3 +62,19 @@ def plain_words(col: Column) -> Column:
 def text_key(col: Column) -> Column:
     """128-bit key of a text; null counts as its own value."""
     return F.coalesce(F.md5(col), F.lit("null"))
+
+
+def numbered(rows: DataFrame, name: str = "row", chunk: int = 4096) -> DataFrame:
+    """``rows`` with ``name``, the number of a row among rows equal to it (from 0):
+    the same whatever files or partitions the rows came from.  Equal rows are one
+    row with a count while they move, and a long run of them is written out by
+    many tasks."""
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+
+    def out(start, end):
+        return [*rows.columns, F.explode(F.sequence(start, end)).alias(name)]
+
+    few = same.where(F.col("_n") <= chunk).select(*out(F.lit(0).cast("long"), F.col("_n") - 1))
+    many = same.where(F.col("_n") > chunk).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {chunk}")))).repartition("_c")
+    return few.unionByName(many.select(*out(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("_n")) - 1)))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from meterline.llm.common import plain_words, stored, text_key
+from meterline.llm.common import numbered, plain_words, stored, text_key
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -82,18 +82,19 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``bin``, ``bin_offset`` and ``bin_free`` (words left in the bin)."""
     n = F.size(plain_words(F.col(f"`{text_col}`")))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                       text_key(F.col(f"`{text_col}`")).alias("cluster"), n.alias("n"),
-                       F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows, "pack-rows")
+                       text_key(F.col(f"`{text_col}`")).alias("cluster"), n.alias("n"))
+    rows = stored(numbered(rows), "pack-rows")
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1)
     pieces = rows.select("id", "source", "cluster", "row", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")) \
         .withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity))
     total = rows.agg(F.sum(last + 1)).first()[0] or 0
     groups = max(1, -(-total // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece", "cluster", "id"), F.lit(groups)))
+    # by content alone: the same rows give the same bins whatever files they are in
+    dealt = pieces.withColumn("tie", F.xxhash64("row", "piece", "cluster", "id", "source")) \
+        .withColumn("grp", F.pmod("tie", F.lit(groups)))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "cluster", "piece", "row"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "cluster", "piece", "tie"], ascending=[False, True, True, True], kind="stable")
         source = pd.factorize(pdf["source"], use_na_sentinel=False)[0].tolist()
         number, _ = pd.factorize(pdf["cluster"])
         counts = pd.Series(number).value_counts()

@@ -33,7 +33,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from meterline.llm.common import stored, text_key
+from meterline.llm.common import numbered, stored, text_key
 
 OVERHEAD = 16
 HEAVY = 64
@@ -139,15 +139,14 @@ def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str =
     ``overhead``), ``text_crc32``, ``shard`` (0 to k - 1) and ``slot``, gapless
     from 0 within the shard.  Rows with equal texts share a shard."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = stored(docs.select(
+    rows = stored(numbered(docs.select(
         F.col(f"`{id_col}`").alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), text_key(text).alias("grp"),
-        F.monotonically_increasing_id().alias("row")), "shard-rows")
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), text_key(text).alias("grp"))), "shard-rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
     placed = stored(assign(stored(groups, "shard-groups"), k, block), "shard-groups-placed")
     n = rows.count()
     cells = max(1, -(-n // (k * cell)))
-    spread = F.pmod(F.xxhash64("row"), F.lit(cells))
+    spread = F.pmod(F.xxhash64("row", "id", "grp"), F.lit(cells))
     full = stored(rows.join(placed, "grp").withColumn("cell", spread), "shard-cells")
     ahead = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offset = full.groupBy("shard", "cell").agg(F.count("*").alias("n")).select(

@@ -94,3 +94,23 @@ def test_shards_in_blocks(frame):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) < 200
     assert S.shard(frame([], "doc_id long, text string")).collect() == []
+
+
+def test_results_do_not_depend_on_files_or_partitions(frame):
+    rnd = random.Random(11)
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 200) + [str(i % 60)]), rnd.choice(["a", "b", None])) for i in range(300)]
+    rows += [(7, "same row", "a")] * 50 + [(None, None, None)] * 3
+    one = frame(rows, "doc_id long, text string, source string").coalesce(1)
+    rnd.shuffle(rows)
+    other = frame(rows, "doc_id long, text string, source string").repartition(7)
+    for run in (lambda d: P.pack_documents(d, capacity=64, group=100), lambda d: S.shard(d, k=5, block=64, cell=16)):
+        a, b = (sorted(map(str, run(d).collect())) for d in (one, other))
+        assert a == b and len(a) >= len(rows)
+
+
+def test_numbered_writes_out_long_runs(frame):
+    from meterline.llm.common import numbered
+    rows = [(1, "a")] * 25 + [(2, None)] * 3 + [(None, None)]
+    got = Counter((r.id, r.t, r.row) for r in numbered(frame(rows, "id long, t string"), chunk=4).collect())
+    want = [(1, "a", i) for i in range(25)] + [(2, None, i) for i in range(3)] + [(None, None, 0)]
+    assert got == Counter(want)
