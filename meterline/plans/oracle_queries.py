@@ -367,6 +367,7 @@ ORACLE.update({
     "live_keep_first": ORACLE["stream_dedup"],
     "live_state_blocks": ORACLE["stream_blocks"],
     "incremental_refresh": ORACLE["jsonl_ingest"],
+    "refresh_by_keys": ORACLE["jsonl_ingest"],
     "manifest_diff": """
         SELECT status, count(*) AS files FROM (
           SELECT src, CASE WHEN min(ts) < TIMESTAMP '2024-01-16 00:00:00' THEN 'changed' ELSE 'new' END AS status

@@ -497,6 +497,30 @@ def q_incremental_refresh(spark, sf):
     return _period(R.daily_report(out["entries"]), "date_key")
 
 
+def q_refresh_by_keys(spark, sf):
+    """First load with half of the month and copies of the agents' files that
+    come first in load order; then the logs grow, the copies are deleted, and the
+    store, opened anew, is refreshed by the keys this touches."""
+    from meterline.session import checkpoint_dir
+    from meterline.sinks.jsonl import write_jsonl
+    from meterline.sources.events_logs import usage_log_lines
+    from meterline.streaming.store import UsageStore
+    base = checkpoint_dir(spark).rstrip("/") + f"/meterline-refresh/{uuid.uuid4().hex[:8]}"
+    root = base + "/logs"
+    lines = usage_log_lines(spark, sf)
+    first = lines.where(F.col("ts") < F.lit(REFRESH_SPLIT).cast("timestamp"))
+    gone = first.where(F.col("rel_path").contains("/subagents/")) \
+        .withColumn("rel_path", F.concat(F.lit("projects/0-gone/"), "rel_path"))
+    write_jsonl(first.unionByName(gone), root, order=["ts", "line_seq", "kind"])
+    UsageStore(spark, root, base + "/store").refresh()
+    write_jsonl(lines, root, order=["ts", "line_seq", "kind"])
+    p = spark._jvm.org.apache.hadoop.fs.Path(root + "/projects/0-gone")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    store = UsageStore(spark, root, base + "/store")
+    store.refresh()
+    return _period(R.daily_report(store.entries()), "date_key")
+
+
 def q_growing_daily(spark, sf):
     """The logs grow in place between two refreshes; only new bytes are read."""
     from meterline.session import checkpoint_dir
@@ -521,6 +545,7 @@ def q_manifest_diff(spark, sf):
 QUERIES.update({
     "growing_daily": q_growing_daily,
     "incremental_refresh": q_incremental_refresh,
+    "refresh_by_keys": q_refresh_by_keys,
     "manifest_diff": q_manifest_diff,
 })
 
