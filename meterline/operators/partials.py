@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from meterline.functions.timefns import date_key, month_key
 from meterline.operators.common import money_out
-from meterline.operators.reports import period_sums
+from meterline.operators.filters import valid_time
+from meterline.operators.reports import SKETCH_LG_K, period_sums, session_sketch
 
 KEYS = ["date_key", "session_id", "model"]
 TOKENS = ["input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens", "total_tokens"]
@@ -69,3 +70,37 @@ def totals_from_partials(partials: DataFrame) -> DataFrame:
 
 def _days(partials: DataFrame) -> DataFrame:
     return merge_partials(partials).where("n > 0 and date_key is not null")
+
+
+# ---- sketches: a bounded row per day and model ---------------------------------
+
+def _united():
+    return F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+
+
+def day_sketches(entries: DataFrame, tz: str = "UTC", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """One row per day and model: ``n``, the sums and the sketch ``sessions``.
+
+    Its size follows days and models, whatever the number of sessions.  Tables of
+    disjoint entries add up (``merge_sketches``); unlike partials they cannot take
+    an entry off, so they are made from deduplicated entries."""
+    kinds = {c: "decimal(38,12)" if c in COSTS else "long" for c in SUMS}
+    return valid_time(entries).withColumns({"date_key": date_key("ts", tz), "n": F.lit(1)}).groupBy("date_key", "model").agg(
+        *[F.sum(F.coalesce(F.col(c), F.lit(0))).cast(kinds[c]).alias(c) for c in SUMS], session_sketch(lg_k).alias("sessions"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketch tables of disjoint entries, united row-wise, as one table."""
+    kinds = {c: "decimal(38,12)" if c in COSTS else "long" for c in SUMS}
+    return sketches.groupBy("date_key", "model").agg(
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in SUMS], F.hll_union_agg("sessions").alias("sessions"))
+
+
+def daily_from_sketches(sketches: DataFrame, with_total: bool = False) -> DataFrame:
+    """``reports.daily_report(approx=True)`` without reading a fact."""
+    return period_sums(sketches.withColumnRenamed("sessions", "sketch"), "date_key", F.col("date_key"), True, with_total, sessions=_united())
+
+
+def monthly_from_sketches(sketches: DataFrame, with_total: bool = False) -> DataFrame:
+    """``reports.monthly_report(approx=True)`` without reading a fact."""
+    return period_sums(sketches.withColumnRenamed("sessions", "sketch"), "month_key", month_key("date_key"), False, with_total, sessions=_united())

@@ -364,6 +364,8 @@ ORACLE.update({
     "live_reports": ORACLE["jsonl_ingest"],
     "growing_daily": ORACLE["jsonl_ingest"],
     "monthly_from_partials": ORACLE["monthly_report_total"],
+    "monthly_from_sketches": f"SELECT * EXCLUDE (sessions), TRUE AS sessions_close FROM ({ORACLE['monthly_report_total']})",
+    "daily_approx": f"SELECT * EXCLUDE (sessions), TRUE AS sessions_close FROM ({ORACLE['daily_report_total']})",
     "live_keep_first": ORACLE["stream_dedup"],
     "live_state_blocks": ORACLE["stream_blocks"],
     "incremental_refresh": ORACLE["jsonl_ingest"],

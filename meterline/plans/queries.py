@@ -732,7 +732,39 @@ def q_monthly_from_partials(spark, sf):
     return _period(monthly_from_partials(stored, with_total=True), "month_key", total=True)
 
 
+#: Four standard errors of a session sketch.
+SKETCH_MARGIN = 0.052
+
+
+def _sessions_close(estimated, exact, key):
+    """The estimated report with ``sessions_close``: whether its sessions are
+    within the margin of the exact count."""
+    want = exact.select(F.col(key).alias("_k"), "is_total", F.col("sessions").alias("_want"))
+    e = estimated.alias("e").join(want.alias("w"), F.col(f"e.{key}").eqNullSafe(F.col("w._k"))
+                                  & (F.col("e.is_total") == F.col("w.is_total")))
+    close = F.abs(F.col("sessions") - F.col("_want")) <= F.lit(SKETCH_MARGIN) * F.col("_want")
+    return e.select("e.*", close.alias("sessions_close")).drop("sessions")
+
+
+def q_daily_approx(spark, sf):
+    x = priced_usage(spark, sf, names=False)
+    est, exact = (R.daily_report(x, with_total=True, approx=a) for a in (True, False))
+    return _sessions_close(_period(est, "date_key", total=True), exact, "date_key")
+
+
+def q_monthly_from_sketches(spark, sf):
+    """Day sketches stored once; the months are united from them, not from facts."""
+    from meterline.operators.partials import day_sketches, monthly_from_sketches
+    from meterline.session import materialize_checkpoint
+    x = priced_usage(spark, sf, names=False)
+    stored = materialize_checkpoint(day_sketches(x, "Asia/Tokyo"))
+    est = _period(monthly_from_sketches(stored, with_total=True), "month_key", total=True)
+    return _sessions_close(est, R.monthly_report(x, tz="Asia/Tokyo", with_total=True), "month_key")
+
+
 QUERIES.update({
+    "daily_approx": q_daily_approx,
+    "monthly_from_sketches": q_monthly_from_sketches,
     "monthly_from_partials": q_monthly_from_partials,
     "stream_active_blocks": q_stream_active_blocks,
     "blocks_date_filtered": q_blocks_date_filtered,
