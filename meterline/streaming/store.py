@@ -6,7 +6,7 @@ The store is a folder of append-only tables and one commit file a refresh:
 * ``files/G``: per live file its manifest line, its earliest time and the refresh
   (``gen``) whose lines count.  Lines of any other ``gen`` of a file are dead;
 * ``facts/v=G/day=D``: the deduplicated entries of the UTC day D as refresh G left them;
-* ``commits/G``: which ``v`` counts for each day.
+* ``commits/G``: which ``v`` counts for each day, and from which ``gen`` on lines count.
 
 A refresh parses new and changed files only.  The dedup keys of their lines,
 and of the lines they had before, are the affected keys; only these are
@@ -58,10 +58,10 @@ class UsageStore:
 
     def __init__(self, spark: SparkSession, root: str, path: str):
         self.spark, self.root, self.path = spark, resolve_root(spark, root), path.rstrip("/")
-        self.gen, self.days, self._parsed_schema = 0, {}, None
+        self.gen, self.since, self.days, self._parsed_schema = 0, 0, {}, None
         last = self._last_commit()
         if last:
-            self.gen, self.days, self._parsed_schema = last["gen"], last["days"], last["parsed"]
+            self.gen, self.since, self.days, self._parsed_schema = last["gen"], last["since"], last["days"], last["parsed"]
 
     # ---- commits ---------------------------------------------------------------
 
@@ -79,16 +79,16 @@ class UsageStore:
         text = self.spark.read.option("wholetext", "true").text(f"{self.path}/commits/{max(gens)}").first()
         return json.loads(text.value)
 
-    def _commit(self, gen: int, days: dict[str, int], parsed_schema: str) -> None:
+    def _commit(self, gen: int, days: dict[str, int], since: int) -> None:
         """The commit file appears whole under its name or not at all."""
         fs, new = self._fs(f"commits/.{gen}.writing")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"gen": gen, "days": days, "parsed": parsed_schema}).encode()))
+        out.write(bytearray(json.dumps({"gen": gen, "since": since, "days": days, "parsed": self._parsed_schema}).encode()))
         out.close()
         _, done = self._fs(f"commits/{gen}")
         if not fs.rename(new, done):
             raise RuntimeError(f"refresh {gen} of {self.path} was committed by another writer")
-        self.gen, self.days, self._parsed_schema = gen, days, parsed_schema
+        self.gen, self.since, self.days = gen, since, days
 
     # ---- tables ----------------------------------------------------------------
 
@@ -100,8 +100,10 @@ class UsageStore:
 
     def _lines(self, kind: str, upto: int) -> DataFrame:
         """Stored lines of a kind, dead ones too, of refreshes up to ``upto``."""
-        base = self.spark.read.schema(self._parsed_schema).parquet(f"{self.path}/parsed")
-        return base.where((F.col("kind") == kind) & (F.col("gen") <= upto))
+        return self._parsed().where((F.col("kind") == kind) & F.col("gen").between(self.since, upto))
+
+    def _parsed(self) -> DataFrame:
+        return self.spark.read.schema(self._parsed_schema).parquet(f"{self.path}/parsed")
 
     def live_lines(self, kind: str) -> DataFrame:
         """Lines of a kind (entry, name, reject) of the live files, with the
@@ -156,7 +158,7 @@ class UsageStore:
         old, new = self._winners(gen, diff, files)
         days = self._rewrite(gen, old, new)
         left = self._written_days(gen) if days else set()
-        self._commit(gen, {d: v for d, v in self.days.items() if d not in days} | {d: gen for d in left}, self._parsed_schema)
+        self._commit(gen, {d: v for d, v in self.days.items() if d not in days} | {d: gen for d in left}, self.since)
         return {"diff": diff, "days": sorted(days), "changed": n.changed}
 
     def _append(self, gen: int, read: DataFrame, oldest: int | None) -> None:
@@ -177,8 +179,7 @@ class UsageStore:
         self._parsed_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema) + ", gen bigint"
 
     def _next_files(self, gen: int, diff: DataFrame) -> DataFrame:
-        base = self.spark.read.schema(self._parsed_schema).parquet(f"{self.path}/parsed")
-        first = base.where((F.col("gen") == gen) & F.col("_first_ts_candidate").isNotNull()) \
+        first = self._parsed().where((F.col("gen") == gen) & F.col("_first_ts_candidate").isNotNull()) \
             .groupBy("source_file").agg(F.min("_first_ts_candidate").alias("file_first_ts"))
         fresh = diff.where(F.col("status").isin("new", "changed")).select(
             "path", F.col("new_mtime").alias("modification_time"), F.col("new_length").alias("length")) \
@@ -230,3 +231,35 @@ class UsageStore:
         fs, p = self._fs(f"facts/v={gen}")
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return {n[len("day="):] for n in names if n.startswith("day=")}
+
+    # ---- upkeep ----------------------------------------------------------------
+
+    def compact(self) -> None:
+        """Write the live lines and the facts anew, as one refresh that reads no
+        log.  Dead lines are left behind; ``vacuum`` removes them.  Done when dead
+        lines outnumber live ones, it costs a constant share of all refreshes."""
+        if not self.gen:
+            return
+        gen = self.gen + 1
+        files = self.files()
+        mine = files.select(F.col("path").alias("source_file"), "gen")
+        self._parsed().where(F.col("gen").between(self.since, self.gen)).join(mine, ["source_file", "gen"], "left_semi") \
+            .drop("gen").write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/parsed/gen={gen}")
+        now = F.lit(gen).cast("long")
+        files.withColumn("gen", now).write.mode("overwrite").parquet(f"{self.path}/files/{gen}")
+        if self.days:
+            self.facts().withColumn("gen", now).hint("rebalance", "day") \
+                .write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/facts/v={gen}")
+        self._commit(gen, {d: gen for d in self.days}, gen)
+
+    def vacuum(self) -> None:
+        """Delete tables that the last commit doesn't use.  Data frames of commits
+        before can't be read any more."""
+        used = {"parsed": lambda g: self.since <= g <= self.gen, "facts": lambda g: g in self.days.values(),
+                "files": lambda g: g == self.gen, "commits": lambda g: g == self.gen}
+        for table, keep in used.items():
+            fs, p = self._fs(table)
+            for s in fs.listStatus(p) if fs.exists(p) else ():
+                number = s.getPath().getName().rpartition("=")[2]
+                if number.isdigit() and not keep(int(number)):
+                    fs.delete(s.getPath(), True)

@@ -57,6 +57,15 @@ def test_refresh_by_keys_equals_full_load(spark, tmp_logs):
     write(tmp_logs, "projects/p/f3.jsonl", ["{broken"])
     s = check(["2024-05-04", "2024-05-09"], changed=1, unchanged=4)
     assert "2024-05-09" not in s.days
+    # compacted, the store gives the same and goes on
+    before = rows(s.entries())
+    s.compact()
+    s.vacuum()
+    assert rows(s.entries()) == before == rows(UsageStore(spark, tmp_logs, path).entries())
+    for table in ("parsed", "facts", "files", "commits"):
+        assert len([f for f in os.listdir(f"{path}/{table}") if not f.startswith(".")]) == 1
+    write(tmp_logs, "projects/q/b.jsonl", [call("2024-05-03T00:00:00Z", "m3", sid="t")])
+    check(["2024-05-01", "2024-05-02"], changed=1, unchanged=4)
 
 
 def test_refresh_that_dies_is_done_again(spark, tmp_logs, monkeypatch):
