@@ -396,7 +396,7 @@ def q_file_order(spark, sf):
     from meterline.sources.events_logs import events_log_root
     from meterline.sources.jsonl import parse_lines, scan_logs
     lines = scan_logs(spark, events_log_root(spark, sf))
-    e = parse_lines(lines)["entries"]
+    e = parse_lines(lines, "checkpoint")["entries"]
     return e.groupBy(_rel("source_file").alias("rel_path")).agg(F.min("file_first_ts").alias("file_first_ts"))
 
 

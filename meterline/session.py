@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a repeated key in a log line keeps its last value, as the logs' readers do
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # a generated method longer than this is never compiled by the JIT (the JSONL
+    # parser's are): such a stage runs without fusion, its expressions in small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -1,11 +1,11 @@
 """JSONL usage-log source (O1.1-O1.13, O3.2 input).
 
-The scan is a plain text read of every ``*.jsonl`` (case-insensitive) below
-the root, prefering ``<root>/projects``.  Every line keeps its lineage:
-``source_file`` and ``file_block_start`` come from ``_metadata``, and
-``line_seq`` is ``monotonically_increasing_id`` taken right after the scan,
-which grows with the read order inside a split (ids of one split are
-consecutive).  The load order of the reference, files by the earliest
+The scan reads every ``*.jsonl`` (case-insensitive) below the root, prefering
+``<root>/projects``; files are listed and read in tasks (``sources/files.py``).
+Every line keeps its lineage: ``source_file``, the split's first byte
+``file_block_start``, and ``line_seq``, the line's first byte (where Spark's text
+source reads, ``monotonically_increasing_id`` taken right after the scan, which
+grows with the read order inside a split).  The load order of the reference, files by the earliest
 RFC3339 timestamp in them and then lines, is therefore a
 sort key that never needs a global sort.
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.operators.common import blank_to_null
+from meterline.sources.files import in_tasks, list_files, read_files, tasks_for
 
 JSONL_GLOB = "*.[jJ][sS][oO][nN][lL]"
 RFC3339_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
@@ -67,15 +68,26 @@ def project_from_file(path: Column) -> Column:
 
 def scan_logs(spark: SparkSession, root: str, modified_within: timedelta | None = None,
               as_of: datetime | None = None, max_files: int | None = None,
-              paths: list[str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+              paths: list[str] | None = None, skip_unreadable: bool = False,
+              files: DataFrame | None = None) -> DataFrame:
     """Raw lines ``(line, source_file, file_block_start, file_mtime, line_seq)``.
 
     ``modified_within`` prunes files at listing time (``modifiedAfter``);
-    ``max_files`` keeps the newest N files by modification time (O1.3, O1.4).
+    ``max_files`` keeps the newest N files by modification time (O1.3, O1.4);
+    ``files`` (rows of ``file_manifest``) are the files to read instead of all.
     A read error ends the job unless ``skip_unreadable`` lets Spark leave out
     the rest of such a file.  Lines end at a newline only, as in the logs'
     definition; a carriage return is white space.
     """
+    uri = in_tasks(spark, resolve_root(spark, root)) if paths is None else None
+    if uri:
+        from meterline.session import materialize_checkpoint
+        listed = files if files is not None else file_manifest(spark, uri, modified_within, as_of)
+        if max_files:
+            listed = listed.orderBy(F.desc("modification_time"), "path").limit(max_files)
+        listed = materialize_checkpoint(listed.select("path", "modification_time", "length"))
+        n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return read_files(listed, uri, tasks_for(spark, n, size), skip_unreadable)
     reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", JSONL_GLOB)
               .option("lineSep", "\n").option("ignoreMissingFiles", str(skip_unreadable).lower())
               .option("ignoreCorruptFiles", str(skip_unreadable).lower()))
@@ -95,12 +107,13 @@ def scan_logs(spark: SparkSession, root: str, modified_within: timedelta | None
             paths = [base]
     # line order inside a split is the read order: the id grows with it and
     # never needs a shuffle; (source_file, file_block_start, line_seq) sorts lines
-    return reader.text(paths).select(
+    lines = reader.text(paths).select(
         F.col("value").alias("line"),
         plain_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.monotonically_increasing_id().alias("line_seq"))
+    return lines if files is None else lines.join(files.select(F.col("path").alias("source_file")), "source_file", "left_semi")
 
 
 def _empty_lines(spark):
@@ -112,6 +125,13 @@ def file_manifest(spark: SparkSession, root: str, modified_within: timedelta | N
                   as_of: datetime | None = None) -> DataFrame:
     """``(path, modification_time, length)`` of every log file, without reading
     any content (O8.1)."""
+    uri = in_tasks(spark, root)
+    if uri:
+        found = list_files(spark, uri)
+        if modified_within is not None:
+            cutoff = ((as_of or datetime.utcnow()) - modified_within).strftime("%Y-%m-%d %H:%M:%S")
+            found = found.where(F.col("modification_time") > F.lit(cutoff).cast("timestamp"))
+        return found
     reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", JSONL_GLOB))
     if modified_within is not None:
@@ -280,14 +300,16 @@ def split_parsed(parsed: DataFrame) -> dict[str, DataFrame]:
     return {"entries": entries, "names": names, "rejects": rejects}
 
 
-def parse_lines(lines: DataFrame) -> dict[str, DataFrame]:
+def parse_lines(lines: DataFrame, materialize_as: str | None = None) -> dict[str, DataFrame]:
     """Split raw lines into ``entries`` (USAGE_ENTRY rows before dedup),
     ``names`` (session-name lines) and ``rejects`` (O1.5-O1.12).
 
     ``rejects.counted`` tells whether the reference would count the line as a
-    parse error (blank lines are not kept at all).
+    parse error (blank lines are not kept at all).  ``entries`` and ``names``
+    use the parsed lines twice; ``materialize_as`` (see ``materialize``) parses
+    them once.
     """
-    return split_parsed(parse_narrow(lines))
+    return split_parsed(materialize(parse_narrow(lines), materialize_as))
 
 
 def reject_summary(rejects: DataFrame) -> DataFrame:

@@ -47,30 +47,32 @@ def removed_projects(old: DataFrame, new: DataFrame) -> DataFrame:
     return proj(old).join(proj(new), "project", "left_anti")
 
 
-def refresh_parsed(spark: SparkSession, parsed_old: DataFrame, diff: DataFrame) -> DataFrame:
+def refresh_parsed(spark: SparkSession, root: str, parsed_old: DataFrame, diff: DataFrame) -> DataFrame:
     """Replace the rows of changed and deleted files; add new files."""
     stale = diff.where(F.col("status").isin("changed", "deleted")).select(F.col("path").alias("source_file"))
     keep = parsed_old.join(stale, "source_file", "left_anti")
-    # only the changed files are listed for reading: the list is bounded by
-    # what changed, and the reader prunes every other file
-    to_read = [r.path for r in diff.where(F.col("status").isin("new", "changed")).select("path").collect()]
-    if not to_read:
-        return keep
-    fresh = parse_narrow(scan_logs(spark, "", paths=to_read))
+    # only the new and changed files are read; their list stays in tasks
+    fresh = parse_narrow(scan_logs(spark, root, files=files_to_read(diff)))
     return keep.unionByName(fresh.select(*keep.columns))
 
 
+def files_to_read(diff: DataFrame) -> DataFrame:
+    """The manifest lines of new and changed files."""
+    return diff.where(F.col("status").isin("new", "changed")).select(
+        "path", F.col("new_mtime").alias("modification_time"), F.col("new_length").alias("length"))
+
+
 def refresh(spark: SparkSession, root: str, state: dict, prices: DataFrame | None = None,
             tz: str = "UTC") -> dict:
     """One refresh step.  ``state`` holds ``parsed`` and ``manifest`` from the
     previous load (``load_state``) or refresh; with no change the previous
     result is returned as is."""
     new_manifest = manifest(spark, root)
-    diff = manifest_diff(state["manifest"], new_manifest)
+    diff = materialize(manifest_diff(state["manifest"], new_manifest))
     changed = diff.where(F.col("status") != "unchanged").limit(1).count() > 0
     if not changed and "entries" in state:
         return {**state, "manifest": new_manifest, "diff": diff}
-    parsed = materialize(refresh_parsed(spark, state["parsed"], diff))
+    parsed = materialize(refresh_parsed(spark, root, state["parsed"], diff))
     out = finish_usage(parsed, prices, tz)
     return {**out, "parsed": parsed, "manifest": new_manifest, "diff": diff}
 
@@ -78,7 +80,7 @@ def refresh(spark: SparkSession, root: str, state: dict, prices: DataFrame | Non
 def load_state(spark: SparkSession, root: str, prices: DataFrame | None = None, tz: str = "UTC") -> dict:
     """Initial full load plus the manifest it was made from."""
     m = manifest(spark, root)
-    lines = scan_logs(spark, root)
+    lines = scan_logs(spark, root, files=m)
     parsed = materialize(parse_narrow(lines))
     out = finish_usage(parsed, prices, tz)
     return {**out, "parsed": parsed, "manifest": m}

@@ -16,8 +16,8 @@ leaves no commit, its tables are written over by the next one, and readers of
 the commit before are not disturbed.  One writer at a time.
 
 The driver holds one entry per calendar day that has entries, never a file list.
-Of the files on disk, those older than the oldest new or changed one are not
-opened.  Looking up the affected keys reads the stored lines as columns, without
+Of the files on disk, only new and changed ones are opened (where Spark's text
+source reads them: those not older than the oldest of these).  Looking up the affected keys reads the stored lines as columns, without
 shuffling them as long as the keys are few.
 """
 
@@ -37,7 +37,7 @@ from meterline.operators.pricing import with_cost
 from meterline.schema import LOAD_ORDER
 from meterline.session import materialize_checkpoint, session_conf
 from meterline.sources.jsonl import ENTRY_COLS, parse_narrow, resolve_root, scan_logs
-from meterline.streaming.refresh import manifest, manifest_diff
+from meterline.streaming.refresh import files_to_read, manifest, manifest_diff
 
 FILES_SCHEMA = "path string, modification_time timestamp, length long, file_first_ts timestamp, gen long"
 OWN = "\u0000"
@@ -169,9 +169,7 @@ class UsageStore:
         path = f"{self.path}/parsed/gen={gen}"
         at = datetime.fromtimestamp(oldest // 1_000_000 - 2, timezone.utc)
         after = {"modified_within": timedelta(0), "as_of": at} if self.gen else {}
-        lines = scan_logs(self.spark, self.root, **after)
-        if self.gen:
-            lines = lines.join(read.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+        lines = scan_logs(self.spark, self.root, files=files_to_read(read), **after)
         parsed = parse_narrow(lines)
         # as in materialize(): the parser's fused stage is too large to compile
         with session_conf(self.spark, spark__sql__codegen__wholeStage="false"):
