@@ -413,16 +413,18 @@ QUERIES.update({
 
 #: Live logs of this application by log folder: the first query of a view fills it, later ones go on from there.
 _LIVE: dict[tuple, object] = {}
+#: Bytes of logs a trigger; a fixed number of files would make triggers as many as small files ask for.
+LIVE_TRIGGER_BYTES = 256 << 20
 
 
 def _live(spark, sf, *views):
-    """The stateful operators over the logs, landing in a few triggers, with
-    ``views`` kept up to date; nothing of an earlier application is used."""
+    """The stateful operators over the logs, landing in triggers sized by bytes,
+    with ``views`` kept up to date; nothing of an earlier application is used."""
     from meterline.sources.events_logs import events_log_root
     from meterline.streaming.stateful import LiveLog
     root = events_log_root(spark, sf)
     name = _LIVE.setdefault((spark.sparkContext.applicationId, root), uuid.uuid4().hex)
-    return LiveLog(spark, root, name, max_files_per_trigger=500, views=views).advance()
+    return LiveLog(spark, root, name, max_bytes_per_trigger=LIVE_TRIGGER_BYTES, views=views).advance()
 
 
 def q_live_keep_first(spark, sf):

@@ -1,6 +1,7 @@
 """Structured Streaming operators (O8.3-O8.10).
 
-``stream_logs`` reads log files as they land (each file is immutable once
+``stream_logs`` reads log files as they land, ``landed_lines`` what has landed
+so far, listed and read in tasks (each file is immutable once
 it is in the folder; a file grown in place is handled by the batch refresh
 in ``meterline.streaming.refresh``).  The same narrow parser as the batch
 path turns lines into entries; streaming adds event-time watermarks, keyed
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from meterline.operators.common import nonempty
 from meterline.session import checkpoint_dir
-from meterline.sources.jsonl import ENTRY_COLS, JSONL_GLOB, parse_narrow, plain_path
+from meterline.sources.files import in_tasks, read_files, tasks_for
+from meterline.sources.jsonl import ENTRY_COLS, JSONL_GLOB, file_manifest, materialize, parse_narrow, plain_path
 
 MIN_REFRESH_SECONDS = 1
 MAX_REFRESH_SECONDS = 60
@@ -46,6 +48,44 @@ def stream_lines(spark: SparkSession, root: str, max_files_per_trigger: int | No
         F.col("_metadata.file_block_start").alias("file_block_start"))
 
 
+def with_line_seq(batch: DataFrame) -> DataFrame:
+    """A trigger's lines with their place in the split: the read order, as in the
+    batch scan, unless the source tells it."""
+    return batch if "line_seq" in batch.columns else batch.withColumn("line_seq", F.monotonically_increasing_id())
+
+
+_FILES = "path string, modification_time timestamp, length long"
+
+
+def landed_lines(spark: SparkSession, root: str, table: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """``stream_lines`` of what is below ``root`` now, for queries that run over
+    it and stop: the files not yet in ``table`` are added to it by tasks, oldest
+    first, and the stream reads that table, which is small, instead of listing
+    and keeping every log file on the driver.  A trigger takes one file of the
+    table: at most ``max_files_per_trigger`` logs or about
+    ``max_bytes_per_trigger`` bytes.  ``checkpoint`` is the query's: one begun
+    over ``stream_lines`` goes on with it."""
+    uri = in_tasks(spark, root)
+    p, q = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (table, checkpoint))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not uri or (fs.exists(q) and not fs.exists(p)):
+        return stream_lines(spark, root, max_files_per_trigger)
+    fs.mkdirs(p)
+    known = spark.read.schema(_FILES).parquet(table).select("path")
+    new = materialize(file_manifest(spark, uri).join(known, "path", "left_anti"))
+    n, size = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, -(-size // max_bytes_per_trigger)) if max_bytes_per_trigger else 1
+    if n:
+        new.select("path", "modification_time", "length").repartitionByRange(parts, "modification_time", "path") \
+            .sortWithinPartitions("modification_time", "path").write.option("maxRecordsPerFile", str(max_files_per_trigger or 0)) \
+            .mode("append").parquet(table)
+    listed = spark.readStream.schema(_FILES).option("recursiveFileLookup", "true")
+    if max_files_per_trigger or max_bytes_per_trigger:
+        listed = listed.option("maxFilesPerTrigger", "1")
+    return read_files(listed.parquet(table), uri, tasks_for(spark, min(n, max_files_per_trigger or n) // parts, size // parts))
+
+
 def live_reports(spark: SparkSession, root: str, name: str, reports: dict, prices: DataFrame | None = None,
                  max_files_per_trigger: int | None = None) -> dict[str, DataFrame]:
     """Reports over everything landed so far, refreshed on every trigger, equal
@@ -65,14 +105,13 @@ def live_reports(spark: SparkSession, root: str, name: str, reports: dict, price
 
     def each(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        # the read order inside a split, as in the batch scan
-        parsed = parse_narrow(batch.withColumn("line_seq", F.monotonically_increasing_id()))
+        parsed = parse_narrow(with_line_seq(batch))
         parsed.write.mode("overwrite").parquet(f"{base}/parsed/epoch={epoch}")
         entries = finish_usage(session.read.parquet(f"{base}/parsed").drop("epoch"), prices)["entries"]
         for report, fn in reports.items():
             fn(entries).write.mode("overwrite").parquet(f"{base}/reports/{report}/epoch={epoch}")
 
-    q = (stream_lines(spark, root, max_files_per_trigger).writeStream
+    q = (landed_lines(spark, root, f"{base}/files", f"{base}/_checkpoint", max_files_per_trigger).writeStream
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
 

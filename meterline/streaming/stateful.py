@@ -44,8 +44,8 @@ from meterline.operators.partials import (SCHEMA, daily_from_partials, day_parti
 from meterline.operators.pricing import with_cost
 from meterline.session import checkpoint_dir, session_conf
 from meterline.sources.growing import growing_lines
-from meterline.sources.jsonl import parse_narrow, split_parsed
-from meterline.streaming.live import stream_lines
+from meterline.sources.jsonl import materialize, parse_narrow, split_parsed
+from meterline.streaming.live import landed_lines, with_line_seq
 from meterline.streaming.runs import RunLog
 
 # The processors travel with the query: the process that first calls them need
@@ -315,11 +315,12 @@ class LiveLog:
     def __init__(self, spark: SparkSession, root: str, name: str | None = None, prices: DataFrame | None = None, hours: int = 5,
                  key: str | None = "session_id", max_files_per_trigger: int | None = None, retention: float | None = None,
                  views: tuple[str, ...] = ("blocks",), tz: str = "UTC", gap_seconds: float = 5 * 3600, growing: bool = False,
-                 truncated: str = "fail"):
+                 truncated: str = "fail", max_bytes_per_trigger: int | None = None):
         if set(views) - set(VIEWS):
             raise ValueError(f"views are {VIEWS}")
         self.spark, self.root, self.prices, self.hours, self.key = spark, root, prices, hours, key
         self.growing, self.truncated = growing, truncated
+        self.max_bytes = max_bytes_per_trigger
         self.max_files, self.retention, self.views, self.tz, self.gap = max_files_per_trigger, retention, views, tz, gap_seconds
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/meterline-live/{name or uuid.uuid4().hex}"
 
@@ -339,13 +340,15 @@ class LiveLog:
 
     def advance(self) -> "LiveLog":
         def landed(batch: DataFrame) -> DataFrame:
-            parsed = parse_narrow(batch.withColumn("line_seq", F.monotonically_increasing_id()))
+            parsed = materialize(parse_narrow(with_line_seq(batch)))
             return entry_deltas(with_cost(split_parsed(parsed)["entries"], self.prices))
 
         if self.growing:
             self._run(growing_lines(self.spark, self.root, self.truncated), "entries", self._grown)
         else:
-            self._run(stream_lines(self.spark, self.root, self.max_files), "entries", self._to("entries", landed))
+            lines = landed_lines(self.spark, self.root, f"{self.base}/files", f"{self.base}/entries-checkpoint", self.max_files,
+                                 self.max_bytes)
+            self._run(lines, "entries", self._to("entries", landed))
         self._run(keep_first(self._read("entries", _ENTRY)), "deltas", self._to("deltas"))
         deltas = self._read("deltas", "sign int, " + _ENTRY)
         if "blocks" in self.views:
