@@ -60,7 +60,7 @@ def _visible(name: str) -> bool:
     return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
 
 
-def _listing(uri: str, whole: bool):
+def _listing(uri: str, whole: bool, hidden: bool):
     """Directories replaced by what is in them, with ``whole`` down to the files."""
     def expand(batches):
         import pyarrow as pa
@@ -71,7 +71,7 @@ def _listing(uri: str, whole: bool):
             folders = [path]
             while folders:
                 for f in filesystem.get_file_info(fs.FileSelector(folders.pop())):
-                    if not _visible(f.base_name):
+                    if not hidden and not _visible(f.base_name):
                         continue
                     if f.type != fs.FileType.Directory:
                         yield f.path, (f.mtime_ns or 0) // 1_000_000, f.size or 0
@@ -98,18 +98,23 @@ def _listing(uri: str, whole: bool):
     return expand
 
 
-def list_files(spark: SparkSession, uri: str) -> DataFrame:
-    """``(path, modification_time, length)`` of every ``*.jsonl`` file below ``uri``
-    that is not empty, as Spark's file sources list them."""
+def list_all(spark: SparkSession, uri: str, hidden: bool = False) -> DataFrame:
+    """``(path, modification_time, length)`` of every file below ``uri``, with
+    ``hidden`` also of those that Spark's file sources leave out."""
     _, base, before = storage(uri)
     n = 4 * spark.sparkContext.defaultParallelism
     found = spark.range(1, numPartitions=1).select(
         F.lit(base or "/").alias("path"), F.lit(None).cast("long").alias("modified_ms"), F.lit(None).cast("long").alias("length"))
     # folders are dealt out twice on the way down: one with most of the files is not one task
-    found = found.mapInArrow(_listing(uri, False), _LISTED).repartition(n, "path").mapInArrow(_listing(uri, False), _LISTED) \
-        .repartition(n, "path").mapInArrow(_listing(uri, True), _LISTED)
-    return found.where(F.lower("path").endswith(".jsonl") & (F.col("length") > 0)).select(
-        F.concat(F.lit(before), "path").alias("path"), F.timestamp_millis("modified_ms").alias("modification_time"), "length")
+    found = found.mapInArrow(_listing(uri, False, hidden), _LISTED).repartition(n, "path").mapInArrow(_listing(uri, False, hidden), _LISTED) \
+        .repartition(n, "path").mapInArrow(_listing(uri, True, hidden), _LISTED)
+    return found.select(F.concat(F.lit(before), "path").alias("path"), F.timestamp_millis("modified_ms").alias("modification_time"), "length")
+
+
+def list_files(spark: SparkSession, uri: str) -> DataFrame:
+    """``(path, modification_time, length)`` of every ``*.jsonl`` file below ``uri``
+    that is not empty, as Spark's file sources list them."""
+    return list_all(spark, uri).where(F.lower("path").endswith(".jsonl") & (F.col("length") > 0))
 
 
 def lines_beginning(f, begin: int, end: int, block: int = BLOCK) -> Iterator[tuple[int, bytes]]:

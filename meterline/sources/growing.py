@@ -4,8 +4,10 @@ A trigger reads, of every ``*.jsonl`` file below the root, the bytes appended
 since the trigger before.  A range of bytes yields the lines whose newline lies
 in it, so each line comes exactly once, also when an append ends in the middle of
 a line (its first part waits for the newline) and when a long range is cut into
-splits.  Only the file sizes are read on the driver, one number a file, which is
-also the offset that the checkpoint keeps; bytes are read in tasks.
+splits.  ``grown_lines`` lists the files in tasks into a table of byte ranges, which
+the stream reads, so the driver holds no file.  Where tasks cannot list the root the
+source ``growing_logs`` does: there the file sizes, one number a file, are read on
+the driver and are the offset that the checkpoint keeps; bytes are read in tasks.
 
 A last line without a newline is not yielded until its newline is there (a batch
 load reads it at once).  A file that got shorter was truncated or replaced: the
@@ -21,14 +23,20 @@ from dataclasses import dataclass
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from meterline.sources.files import in_tasks as listable
+from meterline.sources.files import list_all, storage, tasks_for
+
 # The reader travels with the query: the process that runs it need not have this package on its path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPLIT = 64 << 20
 BLOCK = 4 << 20
 ROWS = 10_000
+_LINES = "line string, source_file string, file_block_start long, line_seq long"
+_RANGES = "path string, listing long, begin long, end long"
 
 
 @dataclass
@@ -104,6 +112,29 @@ def appended_lines(f, begin: int, end: int, block: int = BLOCK) -> Iterator[tupl
         open_line.append(rest)
 
 
+def line_batches(filesystem, ranges) -> Iterator:
+    """Arrow batches of the lines in ``ranges`` (path to open, file's name, begin, end)."""
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({
+            "line": [line.decode("utf-8", "replace") for _, _, line in rows], "source_file": [name for name, _, _ in rows],
+            "file_block_start": pa.array([0] * len(rows), pa.int64()),
+            "line_seq": pa.array([at for _, at, _ in rows], pa.int64())})
+
+    rows, size = [], 0
+    for path, name, begin, end in ranges:
+        with filesystem.open_input_file(path) as f:
+            for at, line in appended_lines(f, begin, end):
+                rows.append((name, at, line))
+                size += len(line)
+                if len(rows) >= ROWS or size >= BLOCK:
+                    yield batch(rows)
+                    rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
+
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.restart = options["path"], options.get("truncated", "fail") == "restart"
@@ -127,26 +158,8 @@ class GrowingReader(DataSourceStreamReader):
         return in_tasks(split_appended(start, end, self.restart, self.split))
 
     def read(self, partition: Task):
-        import pyarrow as pa
         _, filesystem, _, scheme = self._filesystem()
-
-        def batch(rows):
-            return pa.RecordBatch.from_pydict({
-                "line": [line.decode("utf-8", "replace") for _, _, line in rows], "source_file": [name for name, _, _ in rows],
-                "file_block_start": pa.array([0] * len(rows), pa.int64()),
-                "line_seq": pa.array([at for _, at, _ in rows], pa.int64())})
-
-        rows, size = [], 0
-        for part in partition.ranges:
-            with filesystem.open_input_file(part.path) as f:
-                for at, line in appended_lines(f, part.begin, part.end):
-                    rows.append((scheme + part.path, at, line))
-                    size += len(line)
-                    if len(rows) >= ROWS or size >= BLOCK:
-                        yield batch(rows)
-                        rows, size = [], 0
-        if rows:
-            yield batch(rows)
+        yield from line_batches(filesystem, ((part.path, scheme + part.path, part.begin, part.end) for part in partition.ranges))
 
     def commit(self, end: dict) -> None:
         pass
@@ -160,7 +173,7 @@ class GrowingLogs(DataSource):
         return "growing_logs"
 
     def schema(self) -> str:
-        return "line string, source_file string, file_block_start long, line_seq long"
+        return _LINES
 
     def streamReader(self, schema) -> GrowingReader:
         return GrowingReader(self.options)
@@ -171,3 +184,43 @@ def growing_lines(spark: SparkSession, root: str, truncated: str = "fail", split
     spark.dataSource.register(GrowingLogs)
     return (spark.readStream.format("growing_logs").option("path", root).option("truncated", truncated)
             .option("split", str(split)).load())
+
+
+def grown_lines(spark: SparkSession, root: str, table: str, checkpoint: str, truncated: str = "fail", split: int = SPLIT) -> DataFrame:
+    """``growing_lines`` of what is below ``root`` now, for queries that run over it
+    and stop: tasks compare the files with the ends of their last ranges in ``table``
+    and add a range for each that changed (empty for one that is gone); the stream
+    reads that table.  ``checkpoint`` is the query's: one begun over ``growing_lines``
+    goes on with it."""
+    from meterline.session import materialize_checkpoint
+    uri = listable(spark, root)
+    p, q = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (table, checkpoint))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not uri or (fs.exists(q) and not fs.exists(p)):
+        return growing_lines(spark, root, truncated, split)
+    fs.mkdirs(p)
+    ranges = spark.read.schema(_RANGES).parquet(table)
+    listing = ranges.agg(F.coalesce(F.max("listing") + 1, F.lit(0))).first()[0]
+    known = ranges.groupBy("path").agg(F.max_by("end", "listing").alias("known"))
+    files = list_all(spark, uri, hidden=True).where(F.col("path").endswith(".jsonl")).select("path", "length")
+    size, before = F.coalesce("length", F.lit(0)), F.coalesce("known", F.lit(0))
+    new = materialize_checkpoint(files.join(known, "path", "full").where(size != before).select(
+        "path", F.lit(listing).cast("long").alias("listing"), F.when(size > before, before).otherwise(0).cast("long").alias("begin"),
+        size.alias("end"), F.when(F.col("length") < before, before).alias("was")))
+    shorter = new.where("was is not null").orderBy("path").first() if truncated != "restart" else None
+    if shorter:
+        raise ValueError(f"{shorter.path} was {shorter.was} bytes long and is {shorter.end} now: truncated or replaced")
+    n, total = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    if n:
+        new.select("path", "listing", "begin", "end").write.mode("append").parquet(table)
+    _, _, scheme = storage(uri)
+
+    def read(batches):
+        filesystem, _, _ = storage(uri)
+        yield from line_batches(filesystem, ((path.removeprefix(scheme), path, begin, end) for b in batches
+                                             for path, begin, end in zip(*(c.to_pylist() for c in b.columns))))
+
+    found = spark.readStream.schema(_RANGES).option("recursiveFileLookup", "true").parquet(table).where("end > begin")
+    parts = found.select("path", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(split).cast("long"))).alias("begin"), "end") \
+        .select("path", "begin", F.least(F.col("begin") + split, "end").alias("end"))
+    return parts.repartition(tasks_for(spark, n, total)).mapInArrow(read, _LINES)

@@ -7,7 +7,9 @@ Streaming queries in a row, each with a checkpoint of its own:
 2. ``keep_first`` holds, per (message id, request id), the copy that is first in
    load order.  A copy that arrives late but was loaded earlier takes its
    place: the old copy is retracted (``sign`` -1) and the new one added (+1).
-   Entries without either id pass through.
+   Entries without either id pass through.  The copy is held by a built-in
+   aggregate; a trigger in which a copy is replaced also reads the signed rows
+   of the triggers before, for the rows to retract.
 3. ``live_blocks`` holds, per key, one mark per hour and side of the hour with
    signed sums, folds the marks by the block rule and emits the blocks that
    changed (``entry_count`` 0 for a block that is no more).
@@ -43,7 +45,7 @@ from meterline.operators.partials import (SCHEMA, daily_from_partials, day_parti
                                           totals_from_partials)
 from meterline.operators.pricing import with_cost
 from meterline.session import checkpoint_dir, session_conf
-from meterline.sources.growing import growing_lines
+from meterline.sources.growing import grown_lines
 from meterline.sources.jsonl import materialize, parse_narrow, split_parsed
 from meterline.streaming.live import landed_lines, with_line_seq
 from meterline.streaming.runs import RunLog
@@ -69,7 +71,7 @@ def _names(ddl: str) -> list[str]:
     return [column.split()[0] for column in ddl.split(", ")]
 
 
-_DELTA = Row("sign", *_names(_ENTRY))
+_DELTA = "sign int, " + _ENTRY
 _OUT = Row(*_names(_BLOCK))
 _TIME = "key string, ts_us long, n long"
 _WINDOW = "key string, start_us long, last_us long, n long"
@@ -86,36 +88,20 @@ def entry_deltas(entries: DataFrame) -> DataFrame:
         F.unix_micros("ts").alias("ts_us"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in TOKENS], *costs)
 
 
-class KeepFirst(StatefulProcessor):
-    """The copy of a call that is first in load order, as signed rows."""
-
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("held", _ENTRY)
-
-    @staticmethod
-    def place(row):
-        first = row[2]
-        return (first is None, first or 0, row[3], row[4], row[5])
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best = min((tuple(r) for r in rows), key=self.place)
-        held = tuple(self.held.get()) if self.held.exists() else None
-        if held is None or self.place(best) < self.place(held):
-            self.held.update(best)
-            if held is not None:
-                yield _DELTA(-1, *held)
-            yield _DELTA(1, *best)
-
-    def close(self) -> None:
-        pass
-
-
 def keep_first(stream: DataFrame) -> DataFrame:
-    """Signed rows (``sign`` and the entry) of a stream of :func:`entry_deltas`."""
+    """Of a stream of :func:`entry_deltas` with the trigger ``epoch`` they landed in:
+    per call of a trigger the copy that is first in load order by now, the trigger
+    ``landed`` of that copy and the trigger ``since`` of the call's first copy.
+
+    A built-in streaming minimum: the state holds one copy a call and no row of it
+    leaves the executors' own state store.  Entries without either id pass through."""
     keyed = F.coalesce(nonempty("message_id") & nonempty("request_id"), F.lit(False))
-    state = stream.where(keyed).groupBy("message_id", "request_id").transformWithState(
-        KeepFirst(), "sign int, " + _ENTRY, "Append", "None")
-    return state.unionByName(stream.where(~keyed).withColumn("sign", F.lit(1)))
+    place = [F.col("file_first_us").isNull().alias("last"), *ORDER, F.col("epoch").alias("landed")]
+    rest = [c for c in _names(_ENTRY) if c not in ("message_id", "request_id", *ORDER)]
+    state = stream.where(keyed).groupBy("message_id", "request_id").agg(
+        F.min(F.struct(*place, *rest)).alias("first"), F.min("epoch").alias("since"))
+    return state.select("message_id", "request_id", "first.*", "since").select(*_names(_ENTRY), "landed", "since").unionByName(
+        stream.where(~keyed).select(*_names(_ENTRY), F.col("epoch").alias("landed"), F.col("epoch").alias("since")))
 
 
 class BlockMarks(StatefulProcessor):
@@ -327,7 +313,7 @@ class LiveLog:
     def _run(self, stream: DataFrame, name: str, write) -> None:
         with session_conf(self.spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
             (stream.writeStream.option("checkpointLocation", f"{self.base}/{name}-checkpoint").outputMode(
-                "update" if name in ("blocks", "activity") else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
+                "update" if name in ("deltas", "blocks", "activity") else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
 
     def _to(self, name: str, of=lambda rows: rows):
         def write(batch: DataFrame, epoch: int) -> None:
@@ -344,13 +330,15 @@ class LiveLog:
             return entry_deltas(with_cost(split_parsed(parsed)["entries"], self.prices))
 
         if self.growing:
-            self._run(growing_lines(self.spark, self.root, self.truncated), "entries", self._grown)
+            lines = grown_lines(self.spark, self.root, f"{self.base}/ranges", f"{self.base}/entries-checkpoint", self.truncated)
+            self._run(lines, "entries", self._grown)
         else:
             lines = landed_lines(self.spark, self.root, f"{self.base}/files", f"{self.base}/entries-checkpoint", self.max_files,
                                  self.max_bytes)
             self._run(lines, "entries", self._to("entries", landed))
-        self._run(keep_first(self._read("entries", _ENTRY)), "deltas", self._to("deltas"))
-        deltas = self._read("deltas", "sign int, " + _ENTRY)
+        landed_in = F.regexp_extract(F.col("_metadata.file_path"), r"/epoch=(\d+)/[^/]*$", 1).cast("long")
+        self._run(keep_first(self._read("entries", _ENTRY).withColumn("epoch", landed_in)), "deltas", self._signed)
+        deltas = self._read("deltas", _DELTA)
         if "blocks" in self.views:
             self._run(live_blocks(deltas, self.hours, self.key, self.retention), "blocks", self._to("blocks"))
         if "days" in self.views:
@@ -364,6 +352,21 @@ class LiveLog:
             self._run(activity_windows(self._read("times", _TIME), self.gap), "activity", self._to("activity"))
         return self
 
+    def _signed(self, batch: DataFrame, epoch: int) -> None:
+        """The signed rows of a trigger over :func:`keep_first`."""
+        spark, path, upto = batch.sparkSession, f"{self.base}/deltas/epoch={epoch}", f"{self.base}/landed/epoch="
+        before = spark.read.schema("landed long").parquet(f"{upto}{epoch - 1}").first().landed if epoch else -1
+        batch.where(F.col("landed") > before).withColumn("sign", F.lit(1)).write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(_DELTA + ", landed long, since long").parquet(path)
+        calls = ["message_id", "request_id"]
+        replaced = rows.where(F.col("since") <= before).select(*calls)
+        if not replaced.isEmpty():  # a copy that comes late but was loaded earlier: read the rows of triggers before
+            held = spark.read.schema(_DELTA + ", epoch long").parquet(f"{self.base}/deltas").where(
+                (F.col("epoch") < epoch) & (F.col("sign") > 0)).join(replaced, calls, "left_semi")
+            held.groupBy(*calls).agg(F.max_by(F.struct(*[c for c in held.columns if c not in calls]), "epoch").alias("held")) \
+                .select(*calls, "held.*").drop("epoch").withColumn("sign", F.lit(-1)).write.mode("append").parquet(path)
+        rows.agg(F.coalesce(F.max("landed"), F.lit(before)).cast("long").alias("landed")).write.mode("overwrite").parquet(f"{upto}{epoch}")
+
     def _grown(self, batch: DataFrame, epoch: int) -> None:
         """The entries of a trigger over growing files."""
         spark, path = batch.sparkSession, f"{self.base}/parsed/epoch={epoch}"
@@ -416,7 +419,7 @@ class LiveLog:
         return self.deltas().groupBy(*names).agg(F.sum("sign").alias("_n")).where("_n > 0").select(*cols)
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema("sign int, " + _ENTRY).parquet(f"{self.base}/deltas")
+        return self.spark.read.schema(_DELTA).parquet(f"{self.base}/deltas")
 
     def emitted(self) -> DataFrame:
         return self.spark.read.schema(_BLOCK + ", epoch long").parquet(f"{self.base}/blocks")
