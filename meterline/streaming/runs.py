@@ -16,17 +16,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FANOUT = 8
+BUCKETS = 32
+_PLACE = "run string, bucket int"
 
 
 class RunLog:
+    mark = "run-"
+
     def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame]):
         self.spark, self.path, self.schema, self.merge = spark, path.rstrip("/"), schema, merge
 
     def _folder(self, run: tuple[int, int]) -> str:
-        return f"{self.path}/run-{run[0]}-{run[1]}"
+        return f"{self.path}/{self.mark}{run[0]}-{run[1]}"
 
     def _fs(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -39,9 +44,10 @@ class RunLog:
             return []
         found = []
         for status in fs.listStatus(p):
-            name = status.getPath().getName().split("-")
-            if name[0] == "run" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append((int(name[1]), int(name[2])))
+            name = status.getPath().getName()
+            if name.startswith(self.mark) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                first, last = name.removeprefix(self.mark).split("-")
+                found.append((int(first), int(last)))
         return found
 
     def runs(self) -> list[tuple[int, int]]:
@@ -64,7 +70,10 @@ class RunLog:
     def add(self, rows: DataFrame, epoch: int) -> None:
         """The merged ``rows`` of trigger ``epoch``."""
         self._compact(epoch)
-        self.merge(rows).write.mode("overwrite").parquet(self._folder((epoch, epoch)))
+        self._write(rows, (epoch, epoch))
+
+    def _write(self, rows: DataFrame, run: tuple[int, int]) -> None:
+        self.merge(rows).write.mode("overwrite").parquet(self._folder(run))
 
     def _compact(self, epoch: int) -> None:
         while True:
@@ -73,7 +82,7 @@ class RunLog:
             if len(last) < FANOUT or len({self._size_class(r) for r in last}) > 1:
                 return
             wide = (last[0][0], last[-1][1])
-            self.merge(self._load(last)).write.mode("overwrite").parquet(self._folder(wide))
+            self._write(self._load(last), wide)
             # what an earlier merge replaced; the runs just merged stay for readers of this moment
             _, fs = self._fs()
             for r in self._whole():
@@ -86,3 +95,57 @@ class RunLog:
         while width >= FANOUT:
             width, level = width // FANOUT, level + 1
         return level
+
+
+def bucket(key: str = "key") -> Column:
+    """The folder of a key; ``repartition(BUCKETS, key)`` deals rows out the same way."""
+    return F.pmod(F.hash(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_by_key(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows in ``BUCKETS`` folders by the hash of their ``key``."""
+    rows.withColumn("bucket", bucket()).sortWithinPartitions("bucket", "key").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of ``rows`` written by :func:`write_by_key` whose key is in ``keys``;
+    folders without such a key are not read."""
+    there = [r.bucket for r in keys.select(bucket().alias("bucket")).distinct().collect()]  # at most BUCKETS
+    wanted = keys.select(F.col("key").alias("_key"))
+    return rows.where(F.col("bucket").isin(there)).join(wanted, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+
+
+class KeyedLog(RunLog):
+    """A run log of rows with a ``key``, laid out by it: the rows of some keys are
+    read without the folders of others.  ``live`` (rows, epoch) leaves out, where
+    runs are merged or read, what is forgotten before that trigger."""
+
+    mark = "run="  # a column, as the folders by key are
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame],
+                 live: Callable[[DataFrame, int], DataFrame] = lambda rows, epoch: rows):
+        super().__init__(spark, path, schema, merge)
+        self.live = live
+
+    def _load(self, runs: list[tuple[int, int]]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], f"{self.schema}, {_PLACE}")
+        return self.spark.read.schema(f"{self.schema}, {_PLACE}").option("basePath", self.path).parquet(*map(self._folder, runs))
+
+    def _write(self, rows: DataFrame, run: tuple[int, int]) -> None:
+        if run[0] != run[1]:
+            rows = self.live(rows, run[1] + 1)
+        write_by_key(self.merge(rows.drop("run", "bucket").repartition(BUCKETS, "key")), self._folder(run))
+
+    def begun(self, epoch: int) -> bool:
+        """Whether there are runs of triggers before ``epoch``."""
+        return any(r[1] < epoch for r in self.runs())
+
+    def own(self, epoch: int) -> DataFrame:
+        """The rows of trigger ``epoch``."""
+        return self._load([(epoch, epoch)]).drop("run", "bucket")
+
+    def read_keys(self, keys: DataFrame, before: int) -> DataFrame:
+        """The rows of ``keys`` of triggers before ``before``, merged."""
+        rows = self._load([r for r in self.runs() if r[1] < before])
+        return self.merge(self.live(of_keys(rows, keys).drop("run", "bucket"), before))

@@ -10,14 +10,17 @@ Streaming queries in a row, each with a checkpoint of its own:
    Entries without either id pass through.  The copy is held by a built-in
    aggregate; a trigger in which a copy is replaced also reads the signed rows
    of the triggers before, for the rows to retract.
-3. ``live_blocks`` holds, per key, one mark per hour and side of the hour with
-   signed sums, folds the marks by the block rule and emits the blocks that
+3. ``LiveBlocks`` holds, per key, signed sums by time and model, folds the hour
+   marks of the keys a trigger touches by the block rule and sends the blocks that
    changed (``entry_count`` 0 for a block that is no more).
 4. The signed rows of a trigger, added up per day, session and model, are a run of
    day partials (``runs.py``); daily, monthly and total reports add up the runs.
-5. ``activity_windows`` holds, per key, how often each time stands there and emits
+5. ``live_activity`` holds, per key, how often each time stands there and sends
    the activity sessions that changed.
 
+Blocks and activity sessions are ``keyed.KeyedView``s: their state is a log of runs
+laid out by key, of which a trigger reads the folders its keys fall in.
+
 Deltas commute, so any order of arrival and any split into triggers gives the
 batch result, and a trigger costs its new lines and the keys they touch, not
 the history.  With ``retention`` (seconds) a key forgets the blocks that ended
@@ -29,30 +32,22 @@ a copy that comes later a second time.
 
 from __future__ import annotations
 
-import json
-import sys
 import uuid
-from collections.abc import Iterator
-from decimal import Decimal
 
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
+from meterline.operators.blocks import block_assignment
 from meterline.operators.common import nonempty
 from meterline.operators.partials import (SCHEMA, daily_from_partials, day_partials, merge_partials, monthly_from_partials,
                                           totals_from_partials)
 from meterline.operators.pricing import with_cost
-from meterline.session import checkpoint_dir, session_conf
+from meterline.session import checkpoint_dir, materialize_checkpoint, session_conf
 from meterline.sources.growing import grown_lines
 from meterline.sources.jsonl import materialize, parse_narrow, split_parsed
+from meterline.streaming.keyed import KeyedView
 from meterline.streaming.live import landed_lines, with_line_seq
-from meterline.streaming.runs import RunLog
-
-# The processors travel with the query: the process that first calls them need
-# not have this package on its path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from meterline.streaming.runs import KeyedLog, RunLog
 
 TOKENS = ["input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens"]
 COSTS = ["cost", "api_cost", "cache_create_cost", "cache_read_cost"]
@@ -61,8 +56,9 @@ _ENTRY = ("message_id string, request_id string, file_first_us long, source_file
           "entry_id string, session_id string, model string, total_tokens long, ts_us long, " +
           ", ".join(f"{c} long" for c in TOKENS) + ", " + ", ".join(f"{c} string" for c in COSTS))
 HOUR = 3600 * 10 ** 6
-_MARK = "n long, " + ", ".join(f"{c} long" for c in TOKENS) + ", " + ", ".join(f"{c} string" for c in COSTS) + \
-    ", times string, models string"  # JSON: how often each time and model stands there
+_MARK = "key string, ts_us long, model string, n long, " + ", ".join(f"{c} long" for c in TOKENS) + ", " + \
+    ", ".join(f"{c} decimal(38,12)" for c in COSTS)
+_SEEN = "key string, newest long, floor long"
 _BLOCK = "kind string, key string, start_us long, first_us long, last_us long, entry_count long, " + \
     ", ".join(f"{c} long" for c in TOKENS) + ", " + ", ".join(f"{c} string" for c in COSTS) + ", models array<string>"
 
@@ -72,10 +68,8 @@ def _names(ddl: str) -> list[str]:
 
 
 _DELTA = "sign int, " + _ENTRY
-_OUT = Row(*_names(_BLOCK))
 _TIME = "key string, ts_us long, n long"
 _WINDOW = "key string, start_us long, last_us long, n long"
-_WINDOW_ROW = Row(*_names(_WINDOW))
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -104,93 +98,93 @@ def keep_first(stream: DataFrame) -> DataFrame:
         stream.where(~keyed).select(*_names(_ENTRY), F.col("epoch").alias("landed"), F.col("epoch").alias("since")))
 
 
-class BlockMarks(StatefulProcessor):
-    """Billing blocks of one key, folded again from its hour marks."""
-
-    def __init__(self, hours: int, retention: float | None):
-        self.span, self.keep = hours * HOUR, retention and int(retention * 10 ** 6)
-
-    def init(self, handle) -> None:
-        self.marks = handle.getMapState("marks", "hour long, strict boolean", _MARK)
-        self.sent = handle.getMapState("sent", "start long", "digest string")
-        self.newest = handle.getValueState("newest", "ts long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        horizon = newest - self.keep if self.keep is not None and newest is not None else None
-        touched: dict[tuple, list] = {}
-        for r in rows:
-            if horizon is not None and r.ts_us < horizon:
-                yield self._row("late", key[0], r.ts_us, r.ts_us, r.ts_us, r.sign, [r[c] for c in TOKENS], [r[c] for c in COSTS], [r.model])
-                continue
-            newest = r.ts_us if newest is None else max(newest, r.ts_us)
-            mark = (r.ts_us - r.ts_us % HOUR, r.ts_us % HOUR != 0)
-            if mark not in touched:
-                old = self.marks.getValue(mark) if self.marks.containsKey(mark) else None
-                touched[mark] = [0, [0] * 4, [Decimal(0)] * 4, {}, {}] if old is None else [
-                    old[0], list(old[1:5]), [Decimal(c) for c in old[5:9]], {int(t): n for t, n in json.loads(old[9]).items()}, json.loads(old[10])]
-            m = touched[mark]
-            m[0] += r.sign
-            m[1] = [a + r.sign * r[c] for a, c in zip(m[1], TOKENS)]
-            m[2] = [a + r.sign * Decimal(r[c]) for a, c in zip(m[2], COSTS)]
-            m[3][r.ts_us] = m[3].get(r.ts_us, 0) + r.sign
-            if r.model:
-                m[4][r.model] = m[4].get(r.model, 0) + r.sign
-        for mark, m in touched.items():
-            times, models = ({k: v for k, v in d.items() if v} for d in m[3:])
-            if m[0] or times:
-                self.marks.updateValue(mark, (m[0], *m[1], *map(str, m[2]), json.dumps(times), json.dumps(models)))
-            elif self.marks.containsKey(mark):
-                self.marks.removeKey(mark)
-        if newest is not None:
-            self.newest.update((newest,))
-        yield from self._fold(key[0], newest)
-
-    def _fold(self, key, newest) -> Iterator[Row]:
-        """The block rule over the marks; what changed since the last time."""
-        marks = sorted(((tuple(k), tuple(v)) for k, v in self.marks.iterator() if v[0] > 0), key=lambda x: x[0])
-        blocks: dict[int, list] = {}
-        start = None
-        for (hour, strict), v in marks:
-            if start is None or hour > start + self.span or (hour == start + self.span and strict):
-                start = hour
-            blocks.setdefault(start, []).append(((hour, strict), v))
-        sent = {k[0]: v[0] for k, v in self.sent.iterator()}
-        for start, parts in blocks.items():
-            values = [v for _, v in parts]
-            times = [int(t) for v in values for t, n in json.loads(v[9]).items() if n > 0]
-            row = self._row("block", key, start, min(times), max(times), sum(v[0] for v in values),
-                            [sum(v[1 + i] for v in values) for i in range(4)],
-                            [str(sum((Decimal(v[5 + i]) for v in values), Decimal(0))) for i in range(4)],
-                            sorted({m for v in values for m, n in json.loads(v[10]).items() if n > 0}))
-            if sent.pop(start, None) != str(row):
-                self.sent.updateValue((start,), (str(row),))
-                yield row
-        done = newest - self.keep if self.keep is not None and newest is not None else None
-        for start in sent:  # no block starts here any more
-            self.sent.removeKey((start,))
-            if done is None or start + self.span >= done:
-                yield self._row("block", key, start, None, None, 0, [0] * 4, ["0"] * 4, [])
-        for start, parts in blocks.items():
-            if done is not None and start + self.span < done:  # no entry can reach it
-                for mark, _ in parts:
-                    self.marks.removeKey(mark)
-                self.sent.removeKey((start,))
-
-    @staticmethod
-    def _row(kind, key, start, first, last, n, tokens, costs, models) -> Row:
-        return _OUT(kind, key, start, first, last, n, *tokens, *costs, models)
-
-    def close(self) -> None:
-        pass
-
-
-def live_blocks(deltas: DataFrame, hours: int = 5, key: str | None = "session_id", retention: float | None = None) -> DataFrame:
-    """Changed blocks (kind ``block``) and late entries (kind ``late``) of a stream
-    of signed rows; ``key`` None is the one global timeline."""
-    own = F.col(key).cast("string") if key else F.lit(None).cast("string")
-    return deltas.withColumn("block_key", own).groupBy("block_key").transformWithState(
-        BlockMarks(hours, retention), _BLOCK, "Update", "None")
+def _own(key: str | None) -> Column:
+    """The key of a row's view; None is one key for all."""
+    return (F.col(key) if key else F.lit(None)).cast("string").alias("key")
+
+
+def _summed() -> list[Column]:
+    """Sums over signed rows: their number and measures."""
+    return [F.sum(c).cast("long").alias(c) for c in ("n", *TOKENS)] + [F.sum(c).cast("decimal(38,12)").alias(c) for c in COSTS]
+
+
+def merge_marks(rows: DataFrame) -> DataFrame:
+    """Signed rows added up per key, time and model.  A sum of no rows may still hold
+    the difference of two calls, so it stays unless it is 0 in every measure."""
+    return rows.groupBy("key", "ts_us", "model").agg(*_summed()).where(" or ".join(f"{c} != 0" for c in ("n", *TOKENS, *COSTS)))
+
+
+def marks_of(deltas: DataFrame, key: str | None = "session_id") -> DataFrame:
+    """Signed rows as rows of :func:`merge_marks`."""
+    def signed(c: Column) -> Column:  # a product of decimals would lose places
+        return F.when(F.col("sign") < 0, -c).otherwise(c)
+
+    return deltas.select(
+        _own(key), "ts_us", "model", F.col("sign").cast("long").alias("n"), *[signed(F.col(c)).alias(c) for c in TOKENS],
+        *[signed(F.col(c).cast("decimal(38,12)")).cast("decimal(38,12)").alias(c) for c in COSTS])
+
+
+def folded_blocks(marks: DataFrame, hours: int = 5) -> DataFrame:
+    """The blocks of all rows of some keys: the batch's fold over two marks an hour."""
+    hour, there = F.col("ts_us") - F.expr(f"pmod(ts_us, {HOUR})"), F.col("n") > 0
+    hourly = marks.withColumns({"_hs": F.expr("div(ts_us - pmod(ts_us, %d), 1000000)" % HOUR), "_strict": F.col("ts_us") > hour}) \
+        .groupBy("key", "_hs", "_strict").agg(
+            *_summed(), F.min(F.when(there, F.col("ts_us"))).alias("first_us"), F.max(F.when(there, F.col("ts_us"))).alias("last_us"),
+            F.collect_set(F.when(there & (F.col("model") != ""), F.col("model"))).alias("models")).where("n > 0")
+    parts = block_assignment(None, hours, "key", hourly=materialize_checkpoint(hourly))
+    return parts.groupBy("key", "_block_hs").agg(
+        *_summed(), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("models")))).alias("models")).select(
+        F.lit("block").alias("kind"), "key", (F.col("_block_hs") * 10 ** 6).alias("start_us"), "first_us", "last_us",
+        F.col("n").alias("entry_count"), *TOKENS, *[F.col(c).cast("string").alias(c) for c in COSTS], "models")
+
+
+class LiveBlocks:
+    """Billing blocks kept per key below ``path``: changed blocks (kind ``block``) and
+    late entries (kind ``late``) of triggers of signed rows; ``key`` None is the one
+    global timeline."""
+
+    def __init__(self, spark: SparkSession, path: str, hours: int = 5, key: str | None = "session_id", retention: float | None = None):
+        self.spark, self.key, self.span, self.keep = spark, key, hours * HOUR, None if retention is None else int(retention * 10 ** 6)
+        # per key its newest time, and up to which time what it held is forgotten
+        self.seen = KeyedLog(spark, f"{path}/seen", _SEEN, lambda rows: rows.groupBy("key").agg(
+            F.max("newest").alias("newest"), F.max("floor").alias("floor")))
+        log = KeyedLog(spark, f"{path}/marks", _MARK, merge_marks, self._remembered)
+        gone = {"kind": F.lit("block"), "first_us": F.lit(None).cast("long"), "last_us": F.lit(None).cast("long"), "entry_count": F.lit(0).cast("long"),
+                **{c: F.lit(0).cast("long") for c in TOKENS}, **{c: F.lit("0") for c in COSTS}, "models": F.array().cast("array<string>")}
+        self.view = KeyedView(spark, f"{path}/sent", log, _BLOCK, lambda rows: folded_blocks(rows, hours), gone, "entry_count", "kind = 'block'")
+
+    def sent(self) -> DataFrame:
+        return self.view.sent().drop("bucket")
+
+    def _with_seen(self, rows: DataFrame, epoch: int, seen: DataFrame | None = None) -> DataFrame:
+        """``rows`` with what was known of their key before trigger ``epoch``."""
+        seen = (self.seen.read(before=epoch) if seen is None else seen).withColumnRenamed("key", "_key")
+        return rows.join(seen, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+
+    def _remembered(self, rows: DataFrame, epoch: int) -> DataFrame:
+        if self.keep is None:
+            return rows
+        return self._with_seen(rows, epoch).where("floor is null or ts_us > floor").drop("newest", "floor")
+
+    def add(self, deltas: DataFrame, epoch: int) -> None:
+        """The signed rows of trigger ``epoch``."""
+        if self.keep is None:
+            return self.view.add(marks_of(deltas, self.key), epoch)
+        rows = materialize_checkpoint(self._with_seen(deltas.withColumn("key", _own(self.key)), epoch).withColumn(
+            "_late", F.coalesce(F.col("ts_us") < F.col("newest") - self.keep, F.lit(False))))
+        late = rows.where("_late").select(
+            F.lit("late").alias("kind"), "key", F.col("ts_us").alias("start_us"), F.col("ts_us").alias("first_us"),
+            F.col("ts_us").alias("last_us"), F.col("sign").cast("long").alias("entry_count"), *TOKENS, *COSTS, F.array("model").alias("models"))
+        times = rows.where("not _late").groupBy("key").agg(F.max("ts_us").alias("_newest"))
+        seen = materialize_checkpoint(self._with_seen(times, epoch).select("key", F.greatest("newest", "_newest").alias("newest"), "floor"))
+        done = F.col("newest") - self.keep > F.col("start_us") + self.span  # no entry can reach it
+        self.view.add(marks_of(rows.where("not _late"), "key"), epoch, late, lambda changed: self._with_seen(changed, epoch, seen).where(
+            ~(F.col("_gone") & F.coalesce(done, F.lit(False)))).drop("newest", "floor"))
+        ended = self._with_seen(self.view.now(epoch), epoch, seen).where(done).groupBy("key").agg(
+            F.max(F.col("start_us") + self.span).alias("_end"))
+        self.seen.add(seen.join(ended.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left").select(
+            "key", "newest", F.greatest("floor", "_end").alias("floor")), epoch)
 
 
 def block_view(emitted: DataFrame, hours: int = 5, key: str = "session_id") -> DataFrame:
@@ -208,63 +202,30 @@ def block_view(emitted: DataFrame, hours: int = 5, key: str = "session_id") -> D
         sum((F.col(c) for c in TOKENS), F.lit(0)).cast("long").alias("total_tokens"), "models")
 
 
-class ActivityWindows(StatefulProcessor):
-    """Activity sessions of one key: entries at most ``gap`` microseconds apart.
+def merge_times(rows: DataFrame) -> DataFrame:
+    """Signed rows (key, ts_us, n) added up per key and time."""
+    return rows.groupBy("key", "ts_us").agg(F.sum("n").cast("long").alias("n")).where("n != 0")
+
+
+def activity_windows(times: DataFrame, gap: int) -> DataFrame:
+    """Activity sessions of all times of some keys: entries at most ``gap``
+    microseconds apart.
 
     Two entries of one bucket of that length always belong together, so the rule
-    walks one (first, last, n) per bucket; the times themselves are read only in
-    the buckets that a trigger touches."""
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle) -> None:
-        self.times = handle.getMapState("times", "bucket long", "counts string")
-        self.edges = handle.getMapState("edges", "bucket long", "first long, last long, n long")
-        self.sent = handle.getMapState("sent", "start long", "last long, n long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        touched: dict[int, dict[int, int]] = {}
-        for r in rows:
-            bucket = r.ts_us // self.gap
-            if bucket not in touched:
-                old = self.times.getValue((bucket,)) if self.times.containsKey((bucket,)) else None
-                touched[bucket] = {int(t): n for t, n in json.loads(old[0]).items()} if old else {}
-            touched[bucket][r.ts_us] = touched[bucket].get(r.ts_us, 0) + r.n
-        for bucket, counts in touched.items():
-            # a retraction may come before what it takes off: kept until both are there
-            counts = {t: n for t, n in counts.items() if n}
-            there = [t for t, n in counts.items() if n > 0]
-            if counts:
-                self.times.updateValue((bucket,), (json.dumps(counts),))
-            elif self.times.containsKey((bucket,)):
-                self.times.removeKey((bucket,))
-            if there:
-                self.edges.updateValue((bucket,), (min(there), max(there), sum(counts[t] for t in there)))
-            elif self.edges.containsKey((bucket,)):
-                self.edges.removeKey((bucket,))
-        windows: list[list[int]] = []
-        for _, (first, last, n) in sorted((tuple(k), tuple(v)) for k, v in self.edges.iterator()):
-            if windows and first - windows[-1][1] <= self.gap:
-                windows[-1][1], windows[-1][2] = last, windows[-1][2] + n
-            else:
-                windows.append([first, last, n])
-        sent = {k[0]: tuple(v) for k, v in self.sent.iterator()}
-        for first, last, n in windows:
-            if sent.pop(first, None) != (last, n):
-                self.sent.updateValue((first,), (last, n))
-                yield _WINDOW_ROW(key[0], first, last, n)
-        for first in sent:  # no window starts here any more
-            self.sent.removeKey((first,))
-            yield _WINDOW_ROW(key[0], first, None, 0)
-
-    def close(self) -> None:
-        pass
-
-
-def activity_windows(times: DataFrame, gap_seconds: float = 5 * 3600) -> DataFrame:
-    """Changed activity sessions of a stream of (key, ts_us, n) rows."""
-    return times.groupBy("key").transformWithState(ActivityWindows(int(gap_seconds * 10 ** 6)), _WINDOW, "Update", "None")
+    walks one (first, last, n) per bucket."""
+    edges = times.where("n > 0").groupBy("key", F.expr(f"ts_us - pmod(ts_us, {gap})").alias("_bucket")).agg(
+        F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.sum("n").alias("n"))
+    w = Window.partitionBy("key").orderBy("_bucket")
+    begins = F.coalesce(F.col("first") - F.lag("last").over(w) > gap, F.lit(True))
+    return edges.withColumn("_begins", begins.cast("int")).withColumn("_window", F.sum("_begins").over(w)).groupBy("key", "_window").agg(
+        F.min("first").alias("start_us"), F.max("last").alias("last_us"), F.sum("n").cast("long").alias("n")).drop("_window")
+
+
+def live_activity(spark: SparkSession, path: str, gap_seconds: float = 5 * 3600) -> KeyedView:
+    """Activity sessions kept per key below ``path``; it takes rows (key, ts_us, n)."""
+    log = KeyedLog(spark, f"{path}/times", _TIME, merge_times)
+    gone = {"last_us": F.lit(None).cast("long"), "n": F.lit(0).cast("long")}
+    return KeyedView(spark, f"{path}/sent", log, _WINDOW, lambda times: activity_windows(times, int(gap_seconds * 10 ** 6)), gone, "n")
 
 
 def window_view(emitted: DataFrame, gap_seconds: float = 5 * 3600, key: str = "session_id") -> DataFrame:
@@ -313,7 +274,7 @@ class LiveLog:
     def _run(self, stream: DataFrame, name: str, write) -> None:
         with session_conf(self.spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
             (stream.writeStream.option("checkpointLocation", f"{self.base}/{name}-checkpoint").outputMode(
-                "update" if name in ("deltas", "blocks", "activity") else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
+                "update" if name == "deltas" else "append").trigger(availableNow=True).foreachBatch(write).start()).awaitTermination()
 
     def _to(self, name: str, of=lambda rows: rows):
         def write(batch: DataFrame, epoch: int) -> None:
@@ -340,16 +301,13 @@ class LiveLog:
         self._run(keep_first(self._read("entries", _ENTRY).withColumn("epoch", landed_in)), "deltas", self._signed)
         deltas = self._read("deltas", _DELTA)
         if "blocks" in self.views:
-            self._run(live_blocks(deltas, self.hours, self.key, self.retention), "blocks", self._to("blocks"))
+            self._run(deltas, "blocks-by-key", self._blocks().add)
         if "days" in self.views:
             log = self.day_log()
             self._run(deltas, "days", lambda batch, epoch: log.add(day_partials(delta_entries(batch), self.tz), epoch))
         if "activity" in self.views:
-            # added up per key and time first: repeated times of a hot key are one row
-            own = F.col(self.key).cast("string") if self.key else F.lit(None).cast("string")
-            self._run(deltas, "times", self._to("times", lambda rows: rows.groupBy(own.alias("key"), "ts_us").agg(
-                F.sum("sign").cast("long").alias("n")).where("n != 0")))
-            self._run(activity_windows(self._read("times", _TIME), self.gap), "activity", self._to("activity"))
+            self._run(deltas, "activity-by-key", lambda batch, epoch: self._activity().add(
+                batch.select(_own(self.key), "ts_us", F.col("sign").cast("long").alias("n")), epoch))
         return self
 
     def _signed(self, batch: DataFrame, epoch: int) -> None:
@@ -391,6 +349,12 @@ class LiveLog:
             out = out.unionByName(again)
         out.write.mode("overwrite").parquet(f"{self.base}/entries/epoch={epoch}")
 
+    def _blocks(self) -> LiveBlocks:
+        return LiveBlocks(self.spark, f"{self.base}/blocks-by-key", self.hours, self.key, self.retention)
+
+    def _activity(self) -> KeyedView:
+        return live_activity(self.spark, f"{self.base}/activity-by-key", self.gap)
+
     def day_log(self) -> RunLog:
         return RunLog(self.spark, f"{self.base}/days", SCHEMA, merge_partials)
 
@@ -408,8 +372,7 @@ class LiveLog:
 
     def activity(self) -> DataFrame:
         """Activity sessions of everything landed (view ``activity``)."""
-        emitted = self.spark.read.schema(_WINDOW + ", epoch long").parquet(f"{self.base}/activity")
-        return window_view(emitted, self.gap, self.key or "key")
+        return window_view(self._activity().sent().drop("bucket"), self.gap, self.key or "key")
 
     def kept(self, *cols: str) -> DataFrame:
         """The entries that count now, columns ``cols``: what is left when the
@@ -422,7 +385,7 @@ class LiveLog:
         return self.spark.read.schema(_DELTA).parquet(f"{self.base}/deltas")
 
     def emitted(self) -> DataFrame:
-        return self.spark.read.schema(_BLOCK + ", epoch long").parquet(f"{self.base}/blocks")
+        return self._blocks().sent()
 
     def blocks(self) -> DataFrame:
         return block_view(self.emitted(), self.hours, self.key or "key")
