@@ -506,18 +506,19 @@ def q_refresh_by_keys(spark, sf):
     from meterline.session import checkpoint_dir
     from meterline.sinks.jsonl import write_jsonl
     from meterline.sources.events_logs import usage_log_lines
+    from meterline.sources.files import delete_tree
     from meterline.streaming.store import UsageStore
     base = checkpoint_dir(spark).rstrip("/") + f"/meterline-refresh/{uuid.uuid4().hex[:8]}"
     root = base + "/logs"
     lines = usage_log_lines(spark, sf)
     first = lines.where(F.col("ts") < F.lit(REFRESH_SPLIT).cast("timestamp"))
-    gone = first.where(F.col("rel_path").contains("/subagents/")) \
-        .withColumn("rel_path", F.concat(F.lit("projects/0-gone/"), "rel_path"))
-    write_jsonl(first.unionByName(gone), root, order=["ts", "line_seq", "kind"])
+    gone = F.when(F.col("rel_path").contains("/subagents/"), F.concat(F.lit("projects/0-gone/"), "rel_path"))
+    # each line and its copy in one pass: the lines are not made a second time
+    both = first.withColumn("rel_path", F.explode(F.when(gone.isNotNull(), F.array("rel_path", gone)).otherwise(F.array("rel_path"))))
+    write_jsonl(both, root, order=["ts", "line_seq", "kind"])
     UsageStore(spark, root, base + "/store").refresh()
     write_jsonl(lines, root, order=["ts", "line_seq", "kind"])
-    p = spark._jvm.org.apache.hadoop.fs.Path(root + "/projects/0-gone")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    delete_tree(spark, root + "/projects/0-gone")
     store = UsageStore(spark, root, base + "/store")
     store.refresh()
     return _period(R.daily_report(store.entries()), "date_key")

@@ -98,19 +98,54 @@ def _listing(uri: str, whole: bool, hidden: bool):
     return expand
 
 
-def list_all(spark: SparkSession, uri: str, hidden: bool = False) -> DataFrame:
-    """``(path, modification_time, length)`` of every file below ``uri``, with
-    ``hidden`` also of those that Spark's file sources leave out."""
-    _, base, before = storage(uri)
+def _dealt_out(spark: SparkSession, uri: str, hidden: bool) -> DataFrame:
+    """What is two folders below ``uri``, and the files above, dealt out to tasks twice
+    on the way down: one folder with most of the files is not one task."""
+    _, base, _ = storage(uri)
     n = 4 * spark.sparkContext.defaultParallelism
     found = spark.range(1, numPartitions=1).select(
         F.lit(base or "/").alias("path"), F.lit(None).cast("long").alias("modified_ms"), F.lit(None).cast("long").alias("length"))
-    # folders are dealt out twice on the way down: one with most of the files is not one task
-    found = found.mapInArrow(_listing(uri, False, hidden), _LISTED).repartition(n, "path").mapInArrow(_listing(uri, False, hidden), _LISTED) \
-        .repartition(n, "path").mapInArrow(_listing(uri, True, hidden), _LISTED)
+    return found.mapInArrow(_listing(uri, False, hidden), _LISTED).repartition(n, "path") \
+        .mapInArrow(_listing(uri, False, hidden), _LISTED).repartition(n, "path")
+
+
+def list_all(spark: SparkSession, uri: str, hidden: bool = False) -> DataFrame:
+    """``(path, modification_time, length)`` of every file below ``uri``, with
+    ``hidden`` also of those that Spark's file sources leave out."""
+    _, _, before = storage(uri)
+    found = _dealt_out(spark, uri, hidden).mapInArrow(_listing(uri, True, hidden), _LISTED)
     return found.select(F.concat(F.lit(before), "path").alias("path"), F.timestamp_millis("modified_ms").alias("modification_time"), "length")
 
 
+def _deleting(uri: str):
+    def delete(batches):
+        import os
+        import pyarrow as pa
+        filesystem, _, before = storage(uri)
+        n = 0
+        for b in batches:
+            for path, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                if not before and (os.path.islink(path) or os.path.islink(os.path.dirname(path))):
+                    continue  # the link goes, not what it points to; that is left to the driver
+                try:
+                    filesystem.delete_dir(path) if length is None else filesystem.delete_file(path)
+                    n += 1
+                except FileNotFoundError:  # another attempt of this task was first
+                    pass
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+    return delete
+
+
+def delete_tree(spark: SparkSession, root: str) -> None:
+    """Delete ``root`` and all below, in tasks where tasks can list it; the driver
+    deletes no more than its two uppermost levels of folders."""
+    uri = in_tasks(spark, root)
+    if uri:
+        _dealt_out(spark, uri, True).mapInArrow(_deleting(uri), "n long").agg(F.sum("n")).first()
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def list_files(spark: SparkSession, uri: str) -> DataFrame:
     """``(path, modification_time, length)`` of every ``*.jsonl`` file below ``uri``
     that is not empty, as Spark's file sources list them."""

@@ -171,8 +171,9 @@ class UsageStore:
         after = {"modified_within": timedelta(0), "as_of": at} if self.gen else {}
         lines = scan_logs(self.spark, self.root, files=files_to_read(read), **after)
         parsed = parse_narrow(lines)
-        # as in materialize(): the parser's fused stage is too large to compile
-        with session_conf(self.spark, spark__sql__codegen__wholeStage="false"):
+        # as in materialize(): the parser's fused stage is too large to compile; a task
+        # has a file open per kind, so the lines are not sorted by kind first
+        with session_conf(self.spark, spark__sql__codegen__wholeStage="false", spark__sql__maxConcurrentOutputFileWriters="8"):
             parsed.write.mode("overwrite").partitionBy("kind").parquet(path)
         self._parsed_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema) + ", gen bigint"
 

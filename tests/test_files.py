@@ -97,3 +97,20 @@ def test_parsed_once_gives_the_same_parts(spark, tmp_logs):
     for how in (None, "checkpoint"):
         parts = parse_lines(scan_logs(spark, tmp_logs), how)
         assert parts["entries"].first().file_first_ts is not None and parts["rejects"].count() == 1
+
+
+def test_a_tree_is_deleted_in_tasks_and_nothing_beside_it(spark, tmp_logs):
+    beside = put(tmp_logs, "beside/d/a.jsonl", b"x")
+    for i in range(20):
+        put(tmp_logs, f"gone/p{i % 3}/s{i}/t/f.jsonl", b"x")
+    put(tmp_logs, "gone/top.jsonl", b"x")
+    put(tmp_logs, "gone/p0/.hidden", b"x")
+    os.symlink(f"{tmp_logs}/beside", f"{tmp_logs}/gone/link")
+    os.symlink(f"{tmp_logs}/beside/d", f"{tmp_logs}/gone/p0/link")
+    rows = L._dealt_out(spark, f"file:{tmp_logs}/gone", True).mapInArrow(L._deleting(f"file:{tmp_logs}/gone"), "n long")
+    assert sum(r.n for r in rows.collect()) == 22  # 20 folders and 2 files; before, the driver deleted one by one
+    L.delete_tree(spark, f"{tmp_logs}/gone")  # again, as another attempt would
+    assert not os.path.exists(f"{tmp_logs}/gone") and os.path.exists(beside)
+    put(tmp_logs, "gone/p0/s/f.jsonl", b"x")
+    L.delete_tree(spark, f"{tmp_logs}/gone")
+    assert os.listdir(tmp_logs) == ["beside"]

@@ -99,3 +99,22 @@ def test_empty_root(spark, tmp_logs):
     store = UsageStore(spark, tmp_logs, tmp_logs + "-store")
     assert store.refresh()["changed"] == 0
     assert store.entries().count() == 0
+
+
+def test_each_kind_is_written_by_a_writer_of_its_own(spark, tmp_logs):
+    write(tmp_logs, "projects/p/a.jsonl", [call("2024-05-01T00:00:00Z", "m1"), "{broken", "", '{"type":"agent-name","agentName":"n","sessionId":"s"}'])
+    seen = []
+
+    class Spy(UsageStore):
+        def _next_files(self, gen, diff):
+            path = f"{self.path}/parsed/gen={gen}"
+            seen.append({d: len([f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")]) for d in os.listdir(path) if d.startswith("kind=")})
+            seen.append(self.spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+            return super()._next_files(gen, diff)
+
+    store = Spy(spark, tmp_logs, tmp_logs + "-store")
+    store.refresh()
+    assert seen[0] == {f"kind={k}": 1 for k in ("entry", "reject", "blank", "name")}
+    assert rows(store.entries()) == rows(load_usage(spark, tmp_logs)["entries"])
+    # the option holds for that write alone
+    assert seen[1] == "0"
